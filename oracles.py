@@ -430,3 +430,87 @@ check("download_names", f"""
 SELECT scene_id, CAST(rn AS INT) AS position, concat('sentinel1_', strftime(start_time, '%Y%m%d'), '_', CAST(rn AS VARCHAR), '.tif') AS filename FROM (
   SELECT *, row_number() OVER (ORDER BY start_time DESC, scene_id) - 1 AS rn FROM (SELECT * {_SEARCH.format('1990-01-01', '2000-01-01')}))""")
 check("run_summary", "SELECT status, count(*) AS scenes, count(*) FILTER (tile_count > 0) AS with_tiles FROM catalog GROUP BY status")
+
+# --- masks and land -------------------------------------------------------------------
+
+cte("mask", """
+SELECT g.scene_key, g.tile_x, g.tile_y, g.tile_width, g.tile_height, CAST(g.py - g.tile_y AS INT) AS "row", CAST(g.px - g.tile_x AS INT) AS col
+FROM grey g JOIN bright b USING (scene_key, tile_x, tile_y) WHERE g.grey > 128""")
+_CELL = 'scene_key, tile_x, tile_y, "row", col'
+check("segment_tiles", f"SELECT {_CELL} FROM mask")
+check("segment_with_model", f"""
+SELECT g.scene_key, g.tile_x, g.tile_y, CAST(g.py - g.tile_y AS INT) AS "row", CAST(g.px - g.tile_x AS INT) AS col
+FROM grey g JOIN grey_cells s ON s.scene_key = g.scene_key AND s.tile_x = g.tile_x AND s.tile_y = g.tile_y
+  AND s."at" = ((g.py - g.tile_y) // 2 * 2) * 8 + (g.px - g.tile_x) // 2 * 2
+WHERE s.grey > 128""")
+cte("fill", """
+SELECT scene_key, tile_x, tile_y, CAST(count(*) AS INT) AS filled, count(*) / CAST(any_value(tile_width * tile_height) AS DOUBLE) AS fill_ratio
+FROM mask GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY scene_key, tile_x, tile_y"))
+check("mask_fill", "SELECT scene_key, tile_x, tile_y, filled, round(fill_ratio, 9) AS fill_ratio FROM fill")
+check("filled_masks", "SELECT scene_key, tile_x, tile_y, filled FROM fill WHERE fill_ratio >= 0.05")
+check("mask_runs", """
+SELECT scene_key, tile_x, tile_y, tile_width, tile_height, "row", CAST(min(col) AS INT) AS c0, CAST(max(col) AS INT) AS c1 FROM (
+  SELECT *, col - row_number() OVER (PARTITION BY scene_key, tile_x, tile_y, "row" ORDER BY col) AS island FROM mask)
+GROUP BY scene_key, tile_x, tile_y, tile_width, tile_height, "row", island""")
+check("stored_masks", """
+SELECT l_orderkey, l_linenumber, CAST(floor(least(greatest(l_discount * 10, 0e0), 1e0) * 255) AS INT) AS alpha,
+  floor(least(greatest(l_discount * 10, 0e0), 1e0) * 255) > 127 AS "set" FROM lineitem""")
+cte("land", """
+SELECT s_suppkey AS poly_id, v AS seq,
+  round(70e0 + (s_suppkey % 10) * 0.5e0 + ((s_suppkey * 37) % 100) * 0.0008e0
+    + ((s_suppkey % 5) * 0.002e0 + 0.004e0) * cos(2e0 * pi() * (v % (3 + s_suppkey % 4)) / (3 + s_suppkey % 4) + s_suppkey), 9) AS lon,
+  round(75e0 - (s_suppkey % 10) * 0.3e0 - ((s_suppkey * 61) % 100) * 0.0004e0
+    + ((s_suppkey % 5) * 0.002e0 + 0.004e0) * sin(2e0 * pi() * (v % (3 + s_suppkey % 4)) / (3 + s_suppkey % 4) + s_suppkey), 9) AS lat
+FROM supplier, (SELECT CAST(n_nationkey AS INT) AS v FROM nation WHERE n_nationkey < 7) r WHERE v <= 3 + s_suppkey % 4""")
+cte("edges", """
+SELECT a.poly_id, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM land a JOIN land b ON a.poly_id = b.poly_id AND b.seq = a.seq + 1""")
+check("land_edges", "SELECT * FROM edges")
+cte("tile_boxes", """
+SELECT source_object_key AS scene_key, tile_x, tile_y, tile_width, tile_height, west, south, east, north,
+  top_left_lon, top_left_lat, top_right_lon, top_right_lat, bottom_left_lon, bottom_left_lat FROM full_boxes""")
+_SIDES = "(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)"
+
+
+def touches(w: str, s: str, e: str, n: str) -> str:
+    sides = ", ".join(_SIDES.format(x=x, y=y) for x in (w, e) for y in (s, n))
+    return (f"least(x1, x2) <= {e} AND greatest(x1, x2) >= {w} AND least(y1, y2) <= {n} AND greatest(y1, y2) >= {s} "
+            f"AND least({sides}) <= 0 AND greatest({sides}) >= 0")
+
+
+def crosses(x: str, y: str) -> str:
+    return f"least(y1, y2) <= {y} AND {y} < greatest(y1, y2) AND x1 + ({y} - y1) * (x2 - x1) / (y2 - y1) > {x}"
+
+
+check("land_candidates", f"""
+SELECT scene_key, tile_x, tile_y, poly_id FROM tile_boxes t, edges
+GROUP BY scene_key, tile_x, tile_y, poly_id
+HAVING bool_or({touches('west', 'south', 'east', 'north')}) OR count(*) FILTER ({crosses('west', 'north')}) % 2 = 1""")
+cte("close_pairs", """
+SELECT t.*, e.poly_id FROM tile_boxes t JOIN (SELECT poly_id, min(least(x1, x2)) AS w, max(greatest(x1, x2)) AS e, min(least(y1, y2)) AS s,
+  max(greatest(y1, y2)) AS n FROM edges GROUP BY 1) e ON t.west <= e.e AND t.east >= e.w AND t.south <= e.n AND t.north >= e.s""")
+cte("near_cells", """
+SELECT t.*, CAST(r.n AS INT) AS "row", CAST(c.n AS INT) AS col FROM close_pairs t, range(8) r(n), range(8) c(n)
+WHERE r.n < tile_height AND c.n < tile_width""")
+cte("grid_edges", """
+SELECT n.scene_key, n.tile_x, n.tile_y, n."row", n.col, n.poly_id,
+  (e.x1 - west) / (east - west) * tile_width AS x1, (north - e.y1) / (north - south) * tile_height AS y1,
+  (e.x2 - west) / (east - west) * tile_width AS x2, (north - e.y2) / (north - south) * tile_height AS y2
+FROM near_cells n JOIN edges e USING (poly_id)""")
+cte("land_cells", f"""
+SELECT DISTINCT {_CELL} FROM (SELECT {_CELL}, poly_id FROM grid_edges GROUP BY {_CELL}, poly_id
+HAVING bool_or({touches('col', '"row"', 'col + 1', '"row" + 1')}) OR count(*) FILTER ({crosses('col + 0.5e0', '"row" + 0.5e0')}) % 2 = 1)""")
+check("rasterize_land", "SELECT * FROM land_cells")
+check("union_land", """
+SELECT scene_key, tile_x, tile_y, count(DISTINCT ("row", island)) AS spans, count(*) AS cells FROM (
+  SELECT *, col - row_number() OVER (PARTITION BY scene_key, tile_x, tile_y, "row" ORDER BY col) AS island FROM land_cells)
+GROUP BY scene_key, tile_x, tile_y""")
+check("clip_mask_to_water", f"SELECT {_CELL} FROM mask ANTI JOIN land_cells USING ({_CELL})")
+cte("centres", """
+SELECT *, top_left_lon + (top_right_lon - top_left_lon) / tile_width * (col + 0.5e0) + (bottom_left_lon - top_left_lon) / tile_height * ("row" + 0.5e0) AS cx,
+  top_left_lat + (top_right_lat - top_left_lat) / tile_width * (col + 0.5e0) + (bottom_left_lat - top_left_lat) / tile_height * ("row" + 0.5e0) AS cy
+FROM near_cells""")
+cte("centre_cells", f"""
+SELECT DISTINCT {_CELL} FROM (SELECT {_CELL}, poly_id FROM centres JOIN edges USING (poly_id) GROUP BY {_CELL}, poly_id
+HAVING count(*) FILTER ({crosses('cx', 'cy')}) % 2 = 1)""")
+check("centre_land", "SELECT * FROM centre_cells")
+check("clip_polygons_to_water", f"SELECT {_CELL} FROM mask ANTI JOIN centre_cells USING ({_CELL})")

@@ -9,7 +9,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rastertables import params as P
-from rastertables.operators import blocks, raster
+from rastertables.functions import bbox
+from rastertables.operators import blocks, land, masks, raster
 from rastertables.operators.ranking import number_within
 from rastertables.storage import materialize
 
@@ -282,3 +283,22 @@ class Inputs:
                 "processed/shapefiles/S1_IW_202401%02d/S1_IW_202401%02d_masks.%s",
                 "number", "number", "extension").alias("export_key"))
         )
+
+    def boxed_tiles(self) -> DataFrame:
+        """Tiles keyed by scene and origin, with corners and box."""
+        return self.tiles.withColumnRenamed("source_object_key", "scene_key").select(
+            "*", *bbox.tile_bbox().columns())
+
+    @cached_property
+    def land_edges(self) -> DataFrame:
+        return land.load_land(self.land)
+
+    @cached_property
+    def masked(self) -> DataFrame:
+        """Mask runs of the surviving tiles, before any land clipping."""
+        return self.stored("masked", self.build_masked)
+
+    def build_masked(self, params: P.SceneParams = PARAMS) -> DataFrame:
+        survivors = raster.drop_black_tiles(self.stretched(params))
+        plain = survivors.select(*blocks.SIZED_TILE, "band", "grey")
+        return masks.segment_tiles(plain, lambda grey: grey > params.mask_threshold)

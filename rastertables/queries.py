@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, Inputs, scene_key, task_key
 from rastertables.functions import bbox, geojson, names, overlay
 from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, raster
+from rastertables.operators import blocks, land, masks, raster
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.plans import catalog
 from rastertables.schemas import TILES
@@ -536,3 +537,84 @@ def download_names(i: Inputs) -> DataFrame:
 @query
 def run_summary(i: Inputs) -> DataFrame:
     return catalog.run_summary(_catalog(i))
+
+
+# --- masks and land -------------------------------------------------------------------
+
+
+@query
+def segment_tiles(i: Inputs) -> DataFrame:
+    return masks.mask_cells(i.build_masked())
+
+
+def _mean_split(image: np.ndarray) -> np.ndarray:
+    """Stand-in model on a coarser grid: brighter than the threshold, at every other cell."""
+    return image[::2, ::2].astype("float64") - PARAMS.mask_threshold - 0.5
+
+
+@query
+def segment_with_model(i: Inputs) -> DataFrame:
+    return masks.mask_cells(masks.segment_with_model(i.stretched(), lambda: _mean_split, "mean-split"))
+
+
+@query
+def mask_fill(i: Inputs) -> DataFrame:
+    return masks.mask_fill(i.masked).select(*TILE, "filled", F.round("fill_ratio", 9).alias("fill_ratio"))
+
+
+@query
+def filled_masks(i: Inputs) -> DataFrame:
+    return masks.filled_masks(i.masked, PARAMS.min_fill_ratio).select(*TILE, "filled")
+
+
+@query
+def mask_runs(i: Inputs) -> DataFrame:
+    return masks.run_rows(i.masked)
+
+
+@query
+def stored_masks(i: Inputs) -> DataFrame:
+    share = F.col("l_discount") * 10
+    alpha = masks.stored_alpha(share)
+    return i.table("lineitem").select("l_orderkey", "l_linenumber", alpha.alias("alpha"), masks.is_set(alpha).alias("set"))
+
+
+@query
+def land_edges(i: Inputs) -> DataFrame:
+    return i.land_edges
+
+
+@query
+def land_candidates(i: Inputs) -> DataFrame:
+    return land.land_candidates(i.boxed_tiles(), i.land_edges)
+
+
+def _span_cells(spans: DataFrame) -> DataFrame:
+    return spans.select(*TILE, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+@query
+def rasterize_land(i: Inputs) -> DataFrame:
+    return _span_cells(land.rasterize_land(i.boxed_tiles(), i.land_edges))
+
+
+@query
+def union_land(i: Inputs) -> DataFrame:
+    merged = land.union_land(land.land_spans(i.boxed_tiles(), i.land_edges))
+    return merged.groupBy(*TILE).agg(
+        F.count(F.lit(1)).alias("spans"), F.sum(F.col("c1") - F.col("c0") + 1).alias("cells"))
+
+
+@query
+def clip_mask_to_water(i: Inputs) -> DataFrame:
+    return masks.mask_cells(land.clip_mask_to_water(i.masked, i.boxed_tiles(), i.land_edges))
+
+
+@query
+def centre_land(i: Inputs) -> DataFrame:
+    return _span_cells(land.centre_land_spans(i.boxed_tiles(), i.land_edges))
+
+
+@query
+def clip_polygons_to_water(i: Inputs) -> DataFrame:
+    return masks.mask_cells(land.clip_polygons_to_water(i.masked, i.boxed_tiles(), i.land_edges))
