@@ -514,3 +514,86 @@ SELECT DISTINCT {_CELL} FROM (SELECT {_CELL}, poly_id FROM centres JOIN edges US
 HAVING count(*) FILTER ({crosses('cx', 'cy')}) % 2 = 1)""")
 check("centre_land", "SELECT * FROM centre_cells")
 check("clip_polygons_to_water", f"SELECT {_CELL} FROM mask ANTI JOIN centre_cells USING ({_CELL})")
+
+# --- components, polygons, outlines ---------------------------------------------------
+
+_TILE = "scene_key, tile_x, tile_y"
+cte("numbered_mask", 'SELECT *, "row" * 8 + col AS id FROM mask')
+cte("linked", f"""
+SELECT a.scene_key, a.tile_x, a.tile_y, a.id, b.id AS next FROM numbered_mask a JOIN numbered_mask b USING ({_TILE})
+WHERE abs(a."row" - b."row") + abs(a.col - b.col) = 1""")
+cte("reach", f"""
+SELECT {_TILE}, id, id AS other FROM numbered_mask
+UNION SELECT r.scene_key, r.tile_x, r.tile_y, r.id, l.next FROM reach r
+JOIN linked l ON l.scene_key = r.scene_key AND l.tile_x = r.tile_x AND l.tile_y = r.tile_y AND l.id = r.other""")
+cte("seeded", f"SELECT m.*, s.seed FROM numbered_mask m JOIN (SELECT {_TILE}, id, min(other) AS seed FROM reach GROUP BY ALL) s USING ({_TILE}, id)")
+cte("components", f"""
+SELECT {_TILE}, tile_width, tile_height, CAST(seed // 8 AS INT) AS seed_row, CAST(seed % 8 AS INT) AS seed_col, count(*) AS cells,
+  CAST(min(col) AS INT) AS col_min, CAST(max(col) AS INT) AS col_max, CAST(min("row") AS INT) AS row_min, CAST(max("row") AS INT) AS row_max
+FROM seeded GROUP BY {_TILE}, tile_width, tile_height, seed""")
+check("polygonize", "SELECT * FROM components")
+cte("areas", f"""
+SELECT c.*, t.filename, t.mask_name, cells * abs((top_right_lon - top_left_lon) / c.tile_width * ((bottom_left_lat - top_left_lat) / c.tile_height)
+  - (bottom_left_lon - top_left_lon) / c.tile_height * ((top_right_lat - top_left_lat) / c.tile_width)) AS area
+FROM components c JOIN tiles t ON t.source_object_key = c.scene_key AND t.tile_x = c.tile_x AND t.tile_y = c.tile_y""")
+check("polygon_area", f"SELECT {_TILE}, seed_row, seed_col, cells, round(area, 12) AS area FROM areas")
+check("large_polygons", "SELECT filename, mask_name, seed_row, seed_col, cells FROM areas WHERE area >= 0.00001")
+check("component_rings", f"""
+SELECT {_TILE}, CAST(seed // 8 AS INT) AS seed_row, CAST(seed % 8 AS INT) AS seed_col,
+  4 * count(*) - coalesce(sum(n.joins), 0)::BIGINT AS perimeter, count(*) AS cells, CAST(1 AS BIGINT) AS outer_rings
+FROM seeded LEFT JOIN (SELECT {_TILE}, id, count(*) AS joins FROM linked GROUP BY ALL) n USING ({_TILE}, id) GROUP BY {_TILE}, seed""")
+cte("scene_mask", """
+SELECT m.scene_key, m.tile_x + m.col AS x, m.tile_y + m."row" AS y, CAST(m.tile_y + m."row" AS BIGINT) * s.width + m.tile_x + m.col AS id
+FROM mask m JOIN scenes s USING (scene_key)""")
+cte("scene_linked", """
+SELECT a.scene_key, a.id, b.id AS next FROM scene_mask a JOIN scene_mask b ON a.scene_key = b.scene_key AND b.y = a.y AND b.x = a.x + 1
+UNION ALL SELECT a.scene_key, b.id, a.id FROM scene_mask a JOIN scene_mask b ON a.scene_key = b.scene_key AND b.y = a.y AND b.x = a.x + 1
+UNION ALL SELECT a.scene_key, a.id, b.id FROM scene_mask a JOIN scene_mask b ON a.scene_key = b.scene_key AND b.x = a.x AND b.y = a.y + 1
+UNION ALL SELECT a.scene_key, b.id, a.id FROM scene_mask a JOIN scene_mask b ON a.scene_key = b.scene_key AND b.x = a.x AND b.y = a.y + 1""")
+cte("scene_reach", """
+SELECT scene_key, id, id AS other FROM scene_mask
+UNION SELECT r.scene_key, r.id, l.next FROM scene_reach r JOIN scene_linked l ON l.scene_key = r.scene_key AND l.id = r.other""")
+check("merge_masks", """
+SELECT scene_key, component, count(*) AS cells, CAST(min(x) AS INT) AS x_min, CAST(max(x) AS INT) AS x_max,
+  CAST(min(y) AS INT) AS y_min, CAST(max(y) AS INT) AS y_max
+FROM scene_mask JOIN (SELECT scene_key, id, min(other) AS component FROM scene_reach GROUP BY ALL) USING (scene_key, id)
+GROUP BY scene_key, component""")
+cte("disc", "SELECT CAST(a.n AS INT) - 2 AS dx, CAST(b.n AS INT) - 2 AS dy FROM range(5) a(n), range(5) b(n) WHERE (a.n - 2) * (a.n - 2) + (b.n - 2) * (b.n - 2) <= 4")
+cte("grown", "SELECT DISTINCT scene_key, x + dx AS x, y + dy AS y FROM scene_mask, disc")
+check("close_gaps", """
+SELECT scene_key, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT scene_key, x - dx AS x, y - dy AS y FROM grown, disc)
+GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM disc)""")
+cte("seams", """
+SELECT a.source_object_key, 'top' AS edge, a.filename, greatest(abs(a.top_right_lon - b.top_left_lon), abs(a.top_right_lat - b.top_left_lat)) AS delta,
+  a.tile_y AS ay, b.tile_y AS yb
+FROM tiles a JOIN tiles b ON a.source_object_key = b.source_object_key AND b.tile_x = a.tile_x + a.tile_width AND b.tile_y = a.tile_y
+UNION ALL SELECT a.source_object_key, 'bottom', a.filename, greatest(abs(a.bottom_right_lon - b.bottom_left_lon), abs(a.bottom_right_lat - b.bottom_left_lat)), a.tile_y, b.tile_y
+FROM tiles a JOIN tiles b ON a.source_object_key = b.source_object_key AND b.tile_x = a.tile_x + a.tile_width AND b.tile_y = a.tile_y
+UNION ALL SELECT a.source_object_key, 'left', a.filename, greatest(abs(a.bottom_left_lon - b.top_left_lon), abs(a.bottom_left_lat - b.top_left_lat)), a.tile_y, b.tile_y
+FROM tiles a JOIN tiles b ON a.source_object_key = b.source_object_key AND b.tile_x = a.tile_x AND b.tile_y = a.tile_y + a.tile_height
+UNION ALL SELECT a.source_object_key, 'right', a.filename, greatest(abs(a.bottom_right_lon - b.top_right_lon), abs(a.bottom_right_lat - b.top_right_lat)), a.tile_y, b.tile_y
+FROM tiles a JOIN tiles b ON a.source_object_key = b.source_object_key AND b.tile_x = a.tile_x AND b.tile_y = a.tile_y + a.tile_height""")
+check("validate_corners", """
+SELECT source_object_key, count(edge) AS checked, count(*) FILTER (delta > 1e-10) AS mismatches, count(*) FILTER (delta > 1e-10) = 0 AS consistent
+FROM (SELECT DISTINCT source_object_key FROM tiles) LEFT JOIN seams USING (source_object_key) GROUP BY 1""")
+cte("moved_seams", """
+SELECT *, (edge IN ('bottom', 'left') AND ay % 16 = 0) AS off FROM seams""")
+check("validate_corners_other_rows", """
+SELECT source_object_key, count(edge) AS checked, count(*) FILTER (off) AS mismatches, count(*) FILTER (off) = 0 AS consistent
+FROM (SELECT DISTINCT source_object_key FROM tiles) LEFT JOIN moved_seams USING (source_object_key) GROUP BY 1""")
+cte("tile_sides", """
+SELECT source_object_key, tile_x AS ax, tile_y AS ay, tile_x + tile_width AS bx, tile_y AS by, 0 AS direction FROM tiles
+UNION ALL SELECT source_object_key, tile_x + tile_width, tile_y, tile_x + tile_width, tile_y + tile_height, 1 FROM tiles
+UNION ALL SELECT source_object_key, tile_x + tile_width, tile_y + tile_height, tile_x, tile_y + tile_height, 2 FROM tiles
+UNION ALL SELECT source_object_key, tile_x, tile_y + tile_height, tile_x, tile_y, 3 FROM tiles""")
+cte("outer_sides", """
+SELECT * FROM tile_sides s WHERE NOT EXISTS (SELECT 1 FROM tile_sides o WHERE o.source_object_key = s.source_object_key
+  AND o.ax = s.bx AND o.ay = s.by AND o.bx = s.ax AND o.by = s.ay)""")
+check("footprint_sides", "SELECT * FROM outer_sides")
+check("footprint_area", """
+SELECT source_object_key, round(sum(abs(top_left_lon * top_right_lat - top_right_lon * top_left_lat + top_right_lon * bottom_right_lat - bottom_right_lon * top_right_lat
+  + bottom_right_lon * bottom_left_lat - bottom_left_lon * bottom_right_lat + bottom_left_lon * top_left_lat - top_left_lon * bottom_left_lat)) / 2, 9) AS area
+FROM tiles GROUP BY 1""")
+check("footprint_rings", """
+SELECT source_object_key, sides, grid_area FROM (SELECT source_object_key, count(*) AS sides FROM outer_sides GROUP BY 1)
+JOIN (SELECT source_object_key, CAST(sum(tile_width * tile_height) AS BIGINT) AS grid_area FROM tiles GROUP BY 1) USING (source_object_key)""")

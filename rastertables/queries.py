@@ -11,7 +11,7 @@ from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, Inputs, scene
 from rastertables.functions import bbox, geojson, names, overlay
 from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, land, masks, raster
+from rastertables.operators import blocks, components, grid, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.plans import catalog
 from rastertables.schemas import TILES
@@ -618,3 +618,115 @@ def centre_land(i: Inputs) -> DataFrame:
 @query
 def clip_polygons_to_water(i: Inputs) -> DataFrame:
     return masks.mask_cells(land.clip_polygons_to_water(i.masked, i.boxed_tiles(), i.land_edges))
+
+
+# --- components, polygons, outlines ---------------------------------------------------
+
+
+@query
+def polygonize(i: Inputs) -> DataFrame:
+    return components.polygonize(i.masked).drop("runs", "component")
+
+
+def _polygons(i: Inputs) -> DataFrame:
+    return components.with_area(components.polygonize(i.masked), i.boxed_tiles())
+
+
+@query
+def polygon_area(i: Inputs) -> DataFrame:
+    return _polygons(i).select(*TILE, "seed_row", "seed_col", "cells", F.round("area", 12).alias("area"))
+
+
+@query
+def large_polygons(i: Inputs) -> DataFrame:
+    large = components.large_polygons(_polygons(i), PARAMS.min_area)
+    return large.select("filename", "mask_name", "seed_row", "seed_col", "cells")
+
+
+@query
+def component_rings(i: Inputs) -> DataFrame:
+    points = rings.ring_points(rings.component_rings(components.polygonize(i.masked)))
+    sides = F.aggregate(F.sequence(F.lit(0), F.size("points") - 2), F.lit(0), lambda n, k: (
+        n + F.abs(F.get("points", k)["x"] - F.get("points", k + 1)["x"])
+        + F.abs(F.get("points", k)["y"] - F.get("points", k + 1)["y"])))
+    return points.withColumn("sides", sides).groupBy(*TILE, "seed_row", "seed_col").agg(
+        F.sum("sides").alias("perimeter"), (F.sum("double_area") / 2).cast("bigint").alias("cells"),
+        F.count_if(F.col("double_area") > 0).alias("outer_rings"))
+
+
+@query
+def located_rings(i: Inputs) -> DataFrame:
+    outlined = rings.located_rings(rings.component_rings(_polygons(i)))
+    return outlined.select(*TILE, "seed_row", "seed_col", F.posexplode("rings").alias("ring", "points")).select(
+        *TILE, "seed_row", "seed_col", "ring", F.posexplode("points").alias("seq", "p")).select(
+        *TILE, "seed_row", "seed_col", "ring", "seq", "p.lon", "p.lat")
+
+
+def _by_component(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("scene_key", "component").agg(
+        F.sum(F.col("c1") - F.col("c0") + 1).alias("cells"), F.min("c0").alias("x_min"), F.max("c1").alias("x_max"),
+        F.min("row").alias("y_min"), F.max("row").alias("y_max"))
+
+
+@query
+def merge_masks(i: Inputs) -> DataFrame:
+    return _by_component(components.merge_masks(i.masked, i.scenes, PARAMS.tile_size))
+
+
+@query
+def merge_masks_closing_gaps(i: Inputs) -> DataFrame:
+    return _by_component(components.merge_masks(i.masked, i.scenes, PARAMS.tile_size, gap=1))
+
+
+@query
+def close_gaps(i: Inputs) -> DataFrame:
+    closed = components.close_gaps(components.scene_runs(i.masked), 2)
+    return closed.select("scene_key", F.col("row").alias("y"), F.explode(F.sequence("c0", "c1")).alias("x"))
+
+
+@query
+def validate_corners(i: Inputs) -> DataFrame:
+    return grid.validate_corners(i.tiles)
+
+
+@query
+def validate_corners_other_rows(i: Inputs) -> DataFrame:
+    """Tiles of every other grid row moved by a little: all seams along rows must show."""
+    moved = F.when(F.col("tile_y") % 16 == 0, F.col("bottom_left_lat") + 0.000001).otherwise(F.col("bottom_left_lat"))
+    return grid.validate_corners(i.tiles.withColumn("bottom_left_lat", moved))
+
+
+@query
+def footprint_sides(i: Inputs) -> DataFrame:
+    return grid.footprint_sides(i.tiles).drop("lon", "lat")
+
+
+@query
+def footprint_area(i: Inputs) -> DataFrame:
+    return grid.footprint_area(i.tiles).withColumn("area", F.round("area", 9))
+
+
+@query
+def scene_footprint(i: Inputs) -> DataFrame:
+    return grid.scene_footprint(i.tiles)
+
+
+@query
+def footprint_rings(i: Inputs) -> DataFrame:
+    """Enclosed grid area per scene from the ordered rings: outer rings minus holes."""
+    ordered = grid.scene_footprint(i.tiles)
+    after = ordered.select("source_object_key", "ring", (F.col("seq") - 1).alias("seq"),
+                           F.col("ax").alias("nx"), F.col("ay").alias("ny"))
+    stepped = ordered.join(after, ["source_object_key", "ring", "seq"], "left")
+    start = F.first(F.when(F.col("seq") == 0, F.struct("ax", "ay")), ignorenulls=True)
+    sums = stepped.groupBy("source_object_key", "ring").agg(
+        F.sum(F.col("ax") * F.col("ny") - F.col("nx") * F.col("ay")).alias("open"),
+        F.max_by(F.struct("ax", "ay"), "seq").alias("last"), start.alias("start"), F.count(F.lit(1)).alias("sides"))
+    closing = F.col("last.ax") * F.col("start.ay") - F.col("start.ax") * F.col("last.ay")
+    return sums.groupBy("source_object_key").agg(
+        F.sum("sides").alias("sides"), (F.sum(F.col("open") + closing) / 2).cast("bigint").alias("grid_area"))
+
+
+@query
+def footprint_features(i: Inputs) -> DataFrame:
+    return grid.footprint_features(i.tiles)
