@@ -597,3 +597,40 @@ FROM tiles GROUP BY 1""")
 check("footprint_rings", """
 SELECT source_object_key, sides, grid_area FROM (SELECT source_object_key, count(*) AS sides FROM outer_sides GROUP BY 1)
 JOIN (SELECT source_object_key, CAST(sum(tile_width * tile_height) AS BIGINT) AS grid_area FROM tiles GROUP BY 1) USING (source_object_key)""")
+
+# --- whole run and streams ------------------------------------------------------------
+
+check("process_scenes", "SELECT * EXCLUDE (partial) FROM tiles")
+cte("placed_mask", f"""
+SELECT m.* FROM mask m JOIN tiles t ON t.source_object_key = m.scene_key AND t.tile_x = m.tile_x AND t.tile_y = m.tile_y
+ANTI JOIN land_cells l ON l.scene_key = m.scene_key AND l.tile_x = m.tile_x AND l.tile_y = m.tile_y AND l."row" = m."row" AND l.col = m.col""")
+check("processed_masks", f"SELECT {_CELL} FROM placed_mask")
+cte("scanned", """
+SELECT scene_key, CAST(ceil((x1 - x0) / 8e0) * ceil((y1 - y0) / 8e0) AS INT) AS windows FROM (
+  SELECT scene_key, greatest(0, min(px) - 1) // 8 * 8 AS x0, greatest(0, min(py) - 1) // 8 * 8 AS y0,
+    least(any_value(width), ceil(least(any_value(width), max(px) + 2) / 8e0) * 8) AS x1,
+    least(any_value(height), ceil(least(any_value(height), max(py) + 2) / 8e0) * 8) AS y1
+  FROM valid JOIN scenes USING (scene_key) GROUP BY scene_key)""")
+check("scan_events", """
+SELECT scene_key AS object_key, 'scan_tiles' AS stage, CAST(count(*) AS INT) AS progress_current, any_value(windows) AS progress_total
+FROM kept JOIN scanned USING (scene_key) GROUP BY scene_key""")
+cte("entries", """
+SELECT k.scene_key, CAST(row_number() OVER (PARTITION BY k.scene_key ORDER BY k.tile_y, k.tile_x) AS INT) AS i,
+  CAST(count(*) OVER (PARTITION BY k.scene_key) AS INT) AS n, b.grey_max
+FROM kept k JOIN bounds USING (scene_key) LEFT JOIN bright b USING (scene_key, tile_x, tile_y)""")
+check("progress_events", """
+SELECT scene_key AS object_key, 'generate_tiles' AS stage, printf('Tiles prepared: %d of %d.', i, n) AS message, i AS progress_current, n AS progress_total
+FROM entries WHERE grey_max IS NOT NULL AND (i = 1 OR i % 10 = 0 OR i = n)""")
+cte("tile_counts", "SELECT source_object_key AS object_key, CAST(count(*) AS INT) AS n FROM tiles GROUP BY 1")
+_STATUS = r"""
+SELECT object_key, CASE WHEN NOT regexp_matches(lower(object_key), '\.tiff?$') THEN 'skipped' WHEN NOT known THEN 'failed' WHEN n IS NULL THEN 'empty' ELSE 'processed' END AS status,
+  CASE WHEN NOT regexp_matches(lower(object_key), '\.tiff?$') THEN 'validate_input' WHEN NOT known THEN 'failed' ELSE 'completed' END AS stage,
+  coalesce(n, 0) AS tile_count, CASE WHEN known THEN coalesce(n, 0) END AS progress_total
+FROM (SELECT scene_key AS object_key, true AS known FROM checkable UNION SELECT object_key, false FROM raw_listing) LEFT JOIN tile_counts USING (object_key)"""
+check("scene_status", _STATUS)
+check("notification_stream", "SELECT bucket, object_key, filename FROM parsed WHERE object_key <> ''")
+check("dedup_keys", "SELECT DISTINCT object_key FROM parsed WHERE object_key <> ''")
+check("task_state_stream", _TASK_TEXT)
+check("log_stream", f"""
+SELECT object_key, worker_name, stage, coalesce(level, 'INFO') AS level, message, progress_current, progress_total,
+  {iso('created_at')} AS created_at FROM log_events""")

@@ -101,9 +101,9 @@ def sources_with_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select("source_object_key").distinct().orderBy("source_object_key")
 
 
-def missing_exports(tiles: DataFrame, exports: DataFrame) -> DataFrame:
+def missing_exports(tiles: DataFrame, exports: DataFrame, suffix: str = ".shp") -> DataFrame:
     """Scenes that have tiles but no main export file in their folder."""
-    complete = exports.where(F.col("export_key").endswith(".shp")).select(
+    complete = exports.where(F.col("export_key").endswith(suffix)).select(
         F.regexp_extract("export_key", "^(" + P.EXPORT_PREFIX + "[^/]+/)", 1).alias("folder")
     )
     sources = tiles.select("source_object_key").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,9 +14,12 @@ from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
 from rastertables.operators import blocks, components, grid, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
-from rastertables.plans import catalog
-from rastertables.schemas import TILES
-from rastertables.sources import objects, state
+from rastertables.functions.worker import worker_name as running_worker
+from rastertables.plans import catalog, scene_run
+from rastertables.schemas import TASKS, TILES
+from rastertables.sources import exports as polygon_exports, objects, state
+from rastertables.storage import materialize, shared_folder
+from rastertables.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -730,3 +734,135 @@ def footprint_rings(i: Inputs) -> DataFrame:
 @query
 def footprint_features(i: Inputs) -> DataFrame:
     return grid.footprint_features(i.tiles)
+
+
+# --- whole run ------------------------------------------------------------------------
+
+
+def _run(i: Inputs, keys: DataFrame | None = None) -> scene_run.SceneRun:
+    wanted = keys if keys is not None else i.checkable_scenes.select(F.col("scene_key").alias("object_key"))
+    return scene_run.process_scenes(
+        wanted, i.chunks, i.scenes, i.land_edges, scene_run.threshold_segment(PARAMS.mask_threshold), PARAMS)
+
+
+@query
+def process_scenes(i: Inputs) -> DataFrame:
+    run = _run(i)
+    corner_names = [c for c in run.tiles.columns if c.endswith(("_lon", "_lat"))]
+    return run.tiles.withColumns({c: F.round(c, 9) for c in corner_names})
+
+
+@query
+def processed_masks(i: Inputs) -> DataFrame:
+    return masks.mask_cells(_run(i).masks)
+
+
+@query
+def processed_polygons(i: Inputs) -> DataFrame:
+    return _run(i).polygons.select("filename", "mask_name", "seed_row", "seed_col", "cells",
+                                   F.round("fill_ratio", 9).alias("fill_ratio"), F.size("rings").alias("rings"))
+
+
+@query
+def scene_status(i: Inputs) -> DataFrame:
+    """All scenes the SQL can check, and the listed objects that are no raster of ours."""
+    scenes = i.checkable_scenes.select(F.col("scene_key").alias("object_key"))
+    keys = scenes.unionByName(objects.list_raw_objects(i.listing))
+    return _run(i, keys).results.select("object_key", "status", "stage", "tile_count", "progress_total")
+
+
+@query
+def polygon_features(i: Inputs) -> DataFrame:
+    return polygon_exports.polygon_features(_run(i).polygons)
+
+
+@query
+def rebuild_exports(i: Inputs) -> DataFrame:
+    run = _run(i)
+    stored = i.exports().withColumn("export_key", F.regexp_replace("export_key", "shp$", "geojson"))
+    _, reports = scene_run.rebuild_exports(run.tiles, run.masks, stored, i.land_edges, PARAMS)
+    return reports
+
+
+@query
+def scan_events(i: Inputs) -> DataFrame:
+    window = raster.data_window(i.pixels, i.scenes, PARAMS)
+    return scene_run.scan_events(i.kept(), window, i.bounds(), PARAMS).drop("message")
+
+
+@query
+def progress_events(i: Inputs) -> DataFrame:
+    kept = materialize(i.stretched().select(*SIZED_TILE, (F.array_max("grey") == 0).alias("black")), "kept-tiles")
+    return scene_run.progress_events(kept, F.col("black"), step=10)
+
+
+@query
+def worker_names(i: Inputs) -> DataFrame:
+    named = i.events.select("event_id", running_worker(F.col("event_id")).alias("worker_name"))
+    return named.groupBy("worker_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+# --- streams --------------------------------------------------------------------------
+
+
+def _fresh_folder(i: Inputs, name: str) -> str:
+    return f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _message_files(i: Inputs) -> str:
+    folder = _fresh_folder(i, "messages")
+    i.notifications.repartition(4, "event_id").select("value").write.text(folder)
+    return folder
+
+
+@query
+def notification_stream(i: Inputs) -> DataFrame:
+    out = _fresh_folder(i, "notified")
+    parsed = objects.parse_notifications(streams.notification_stream(i.spark, _message_files(i), 1))
+    writer = parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.schema(parsed.schema).parquet(out)
+
+
+@query
+def dedup_keys(i: Inputs) -> DataFrame:
+    out = _fresh_folder(i, "distinct-keys")
+    parsed = objects.parse_notifications(streams.notification_stream(i.spark, _message_files(i), 1))
+    keys = streams.dedup_keys(parsed)
+    writer = keys.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.schema(keys.schema).parquet(out)
+
+
+def _streamed(i: Inputs, rows: DataFrame) -> DataFrame:
+    folder = _fresh_folder(i, "stream-input")
+    rows.repartition(4, "event_id").write.parquet(folder)
+    return i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def task_state_stream(i: Inputs) -> DataFrame:
+    root = _fresh_folder(i, "task-state")
+    reports = i.task_reports.withColumn("reported_at", F.col("reported_at").cast("timestamp"))
+    streams.task_state_stream(_streamed(i, reports), root, root + "-checkpoint", ["reported_at", "event_id"]).awaitTermination()
+    return _task_text(state.read_version(i.spark, root, TASKS))
+
+
+@query
+def log_stream(i: Inputs) -> DataFrame:
+    out = _fresh_folder(i, "log")
+    stream = _streamed(i, i.events)
+    streams.log_stream(stream, out, out + "-checkpoint").awaitTermination()
+    logged = i.spark.read.schema(stream.schema).parquet(out)
+    return logged.select(
+        "object_key", "worker_name", "stage", "level", "message", "progress_current", "progress_total",
+        names.iso_timestamp(F.col("created_at")).alias("created_at"))
+
+
+@query
+def ingest_stream(i: Inputs) -> DataFrame:
+    store = streams.IngestStore(_fresh_folder(i, "ingest"))
+    listed = i.scenes.select(F.col("scene_key").alias("object_key"))
+    messages = streams.notification_stream(i.spark, _message_files(i), 2)
+    streams.ingest_stream(messages, lambda: listed, lambda keys: _run(i, keys), store).awaitTermination()
+    return state.read_version(i.spark, store.path("tasks"), TASKS).select("object_key", "status", "stage", "progress_current")

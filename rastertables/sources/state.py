@@ -16,21 +16,28 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max(ranked).alias("_newest")).select(key, "_newest._row.*")
 
 
-def upsert(current: DataFrame, updates: DataFrame, key: str, kept: tuple[str, ...] = ("created_at",)) -> DataFrame:
+def upsert(
+    current: DataFrame, updates: DataFrame, key: str, kept: tuple[str, ...] = ("created_at",), newer: str | None = None
+) -> DataFrame:
     """Current rows with the updates applied.
 
     Every column of a matched row is replaced except the `kept` ones; rows without an
-    update stay. `updates` holds one row per key.
+    update stay. With `newer`, an update that is older by that column is ignored. `updates`
+    holds one row per key.
     """
     stored = current.select(key, F.struct(*current.columns).alias("_old"))
     fresh = updates.select(key, F.struct(*updates.columns).alias("_new"))
     joined = stored.join(fresh, key, "full")
 
+    applies = F.col("_new").isNotNull()
+    if newer:
+        applies = applies & (F.col("_old").isNull() | (F.col(f"_new.{newer}") >= F.col(f"_old.{newer}")))
+
     def merged(name: str) -> Column:
         old, new = F.col(f"_old.{name}"), F.col(f"_new.{name}") if name in updates.columns else F.lit(None)
         if name in kept:
-            return F.coalesce(old, new)
-        return F.when(F.col("_new").isNotNull(), new).otherwise(old)
+            return F.coalesce(old, new) if newer is None else F.least(old, new)
+        return F.when(applies, new).otherwise(old)
 
     return joined.select(*(F.col(c) if c == key else merged(c).alias(c) for c in current.columns))
 
@@ -49,8 +56,11 @@ def reported_tasks(reports: DataFrame, order: list[str]) -> DataFrame:
 
 
 def upsert_tasks(current: DataFrame, reports: DataFrame, order: list[str]) -> DataFrame:
-    """Tasks keyed by object_key; updated_at is the time of the newest report."""
-    return upsert(current, reported_tasks(reports, order), "object_key")
+    """Tasks keyed by object_key; updated_at is the time of the newest report.
+
+    Batches may arrive in any order: the state depends on the report times only.
+    """
+    return upsert(current, reported_tasks(reports, order), "object_key", newer="updated_at")
 
 
 def prepare_log(events: DataFrame, worker: str | Column = "driver") -> DataFrame:
