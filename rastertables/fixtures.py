@@ -291,7 +291,7 @@ class Inputs:
 
     @cached_property
     def land_edges(self) -> DataFrame:
-        return land.load_land(self.land)
+        return self.stored("land_edges", lambda: land.load_land(self.land))
 
     @cached_property
     def masked(self) -> DataFrame:

@@ -11,10 +11,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rastertables.storage import broadcast_if_small
+
 TILE = ["scene_key", "tile_x", "tile_y"]
 SIZED_TILE = TILE + ["tile_width", "tile_height"]
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are expensive and used more than once.
+
+    Filters on such columns would be pushed below their projection and evaluate the whole
+    array expression again; nothing is pushed below a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def tile_origin(position: Column, tile_size: int) -> Column:
     """Grid origin of a pixel position. The data window is aligned to the same grid."""
     return (F.floor(position / F.lit(tile_size)) * tile_size).cast("int")
@@ -38,27 +50,23 @@ def assign_tiles(pixels: DataFrame, scenes: DataFrame, tile_size: int) -> DataFr
     )
 
 
-def _dense(segments: Column, size: Column) -> Column:
-    """Concatenate (position, cells) segments in order, NULL cells in the gaps."""
-    ordered = F.array_sort(segments)
+def _gathered(segments: DataFrame) -> DataFrame:
+    """One dense tile per (scene, tile) from its (at, cells) segments; a tile bounds the group.
+
+    The segments are put in order and concatenated, with NULL cells in the gaps.
+    """
+    grouped = segments.groupBy(*SIZED_TILE).agg(F.collect_list(F.struct("at", "cells")).alias("s"))
+    ordered = computed_once(grouped, {"s": F.array_sort("s")})
     no_cells = F.lit(None).cast("double")
 
     def with_gap(segment: Column, i: Column) -> Column:
-        previous = F.get(ordered, i - 1)
+        previous = F.get("s", i - 1)
         stop = F.when(i == 0, F.lit(0)).otherwise(previous["at"] + F.size(previous["cells"]))
         return F.concat(F.array_repeat(no_cells, segment["at"] - stop), segment["cells"])
 
-    body = F.flatten(F.transform(ordered, with_gap))
-    return F.concat(body, F.array_repeat(no_cells, size - F.size(body)))
-
-
-def _gathered(segments: DataFrame) -> DataFrame:
-    """One dense tile per (scene, tile) from its segments; a tile bounds the group."""
-    grouped = segments.groupBy(*SIZED_TILE).agg(
-        F.collect_list(F.struct("at", "cells")).alias("segments")
-    )
-    size = F.col("tile_width") * F.col("tile_height")
-    return grouped.select(*SIZED_TILE, _dense(F.col("segments"), size).alias("band"))
+    body = computed_once(ordered, {"s": F.flatten(F.transform("s", with_gap))})
+    rest = F.col("tile_width") * F.col("tile_height") - F.size("s")
+    return body.select(*SIZED_TILE, F.concat("s", F.array_repeat(no_cells, rest)).alias("band"))
 
 
 def blocks_from_pixels(pixels: DataFrame, scenes: DataFrame, tile_size: int) -> DataFrame:
@@ -83,21 +91,25 @@ def tiles_from_chunks(chunks: DataFrame, scenes: DataFrame, tile_size: int) -> D
     """Cut storage chunks into the processing grid.
 
     A chunk that already is a whole tile passes through without a shuffle. The others are cut
-    into row segments, so the shuffle moves arrays and not single cells.
+    into row segments, so the shuffle moves arrays and not single cells. The layout columns
+    are looked at first, so that the cells are read by the branches that are needed only.
     """
     x, y = F.col("chunk_x"), F.col("chunk_y")
     w, h = F.col("chunk_width"), F.col("chunk_height")
     sized = scenes.select("scene_key", "width", "height")
-    placed = chunks.join(sized, "scene_key")
+    placed = chunks.join(broadcast_if_small(sized), "scene_key")
     whole = (
         (x % tile_size == 0) & (y % tile_size == 0)
         & (w == F.least(F.lit(tile_size), F.col("width") - x))
         & (h == F.least(F.lit(tile_size), F.col("height") - y))
     )
+    layout = placed.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(whole).alias("whole")).first()
     aligned = placed.where(whole).select(
         "scene_key", x.alias("tile_x"), y.alias("tile_y"), w.alias("tile_width"),
         h.alias("tile_height"), "band",
     )
+    if layout["whole"] == layout["chunks"]:
+        return aligned
     by_row = placed.where(~whole).withColumn("line", F.explode(F.sequence(F.lit(0), h - 1)))
     by_segment = by_row.withColumn(
         "tile_x", F.explode(F.sequence(tile_origin(x, tile_size), tile_origin(x + w - 1, tile_size), F.lit(tile_size)))
@@ -116,7 +128,8 @@ def tiles_from_chunks(chunks: DataFrame, scenes: DataFrame, tile_size: int) -> D
             F.slice("band", F.col("line") * w + start - x + 1, stop - start).alias("cells"),
         )
     )
-    return aligned.unionByName(_gathered(segments))
+    cut = _gathered(segments)
+    return cut if layout["whole"] == 0 else aligned.unionByName(cut)
 
 
 def pixels_from_chunks(chunks: DataFrame) -> DataFrame:

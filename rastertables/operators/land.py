@@ -12,7 +12,7 @@ from rastertables.functions.bbox import Box
 from rastertables.operators.binning import bin_pairs, degree_bin
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.operators.masks import subtract_spans
-from rastertables.storage import broadcast_if_small
+from rastertables.storage import broadcast_if_small, materialize
 
 LAND_BIN = 0.05
 
@@ -36,9 +36,9 @@ def land_edges(vertices: DataFrame) -> DataFrame:
 
 
 def load_land(primary: DataFrame | None, fallback: DataFrame | None = None) -> DataFrame | None:
-    """Edges of the first data set there is; None means nothing is clipped."""
+    """Edges of the first data set there is, written once; None means nothing is clipped."""
     vertices = primary if primary is not None else fallback
-    return None if vertices is None else land_edges(vertices)
+    return None if vertices is None else materialize(land_edges(vertices), "land-edges")
 
 
 def _edge_boxes(edges: DataFrame) -> DataFrame:
@@ -64,9 +64,13 @@ def _edge_crossing(y: Column, x1="x1", y1="y1", x2="x2", y2="y2") -> Column:
 
 
 def _near_edges(tiles: DataFrame, edges: DataFrame, bin_degrees: float) -> DataFrame:
-    """Edges that touch the box of a tile, joined by degree cell; once per pair."""
+    """Edges that touch the box of a tile, joined by degree cell; once per pair.
+
+    Written, because the scan reads them several times.
+    """
     near = bin_pairs(tiles.select(*TILE, *Box.of().columns()), _edge_boxes(edges), bin_degrees)
-    return near.where(_touches(Box.of("_l_"))).select(*TILE, "poly_id", "x1", "y1", "x2", "y2")
+    close = near.where(_touches(Box.of("_l_"))).select(*TILE, "poly_id", "x1", "y1", "x2", "y2")
+    return materialize(close, "near-edges")
 
 
 def _enclosing(points: DataFrame, edges: DataFrame, bin_degrees: float) -> DataFrame:

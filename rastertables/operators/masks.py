@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from rastertables.operators.blocks import SIZED_TILE, TILE
+from rastertables.operators.blocks import SIZED_TILE, TILE, computed_once
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 SET_ALPHA = 127
@@ -46,7 +46,7 @@ def segment_tiles(stretched: DataFrame, predicate: Callable[[Column], Column]) -
     """Runs of the cells a Column predictor sets. Invalid cells stay unset."""
     mask = F.zip_with("grey", "band", lambda g, v: v.isNotNull() & predicate(g))
     kept = [c for c in stretched.columns if c not in ("band", "grey")]
-    masked = stretched.select(*kept, mask.alias("mask"))
+    masked = computed_once(stretched.select(*kept, "band", "grey"), {"mask": mask})
     return masked.select(*kept, runs_of(F.col("mask"), F.col("tile_width")).alias("runs"))
 
 
@@ -101,7 +101,7 @@ def segment_with_model(stretched: DataFrame, load: Callable[[], Predictor], name
     kept = [c for c in stretched.columns if c not in ("band", "grey")]
     valid = F.transform("band", lambda v: v.isNotNull())
     predicted = stretched.select(*kept, valid.alias("valid"), predict("grey", "tile_width", "tile_height").alias("mask"))
-    masked = predicted.select(*kept, F.zip_with("mask", "valid", lambda m, v: m & v).alias("mask"))
+    masked = computed_once(predicted, {"mask": F.zip_with("mask", "valid", lambda m, v: m & v)})
     return masked.select(*kept, runs_of(F.col("mask"), F.col("tile_width")).alias("runs"))
 
 
@@ -111,7 +111,7 @@ def filled_cells(runs: Column) -> Column:
 
 def mask_fill(masked: DataFrame) -> DataFrame:
     """Non-empty masks with their share of set cells."""
-    counted = masked.withColumn("filled", filled_cells(F.col("runs")))
+    counted = computed_once(masked, {"filled": filled_cells(F.col("runs"))})
     return counted.where(F.col("filled") > 0).withColumn(
         "fill_ratio", F.col("filled") / (F.col("tile_width") * F.col("tile_height"))
     )

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rastertables import params as P
 from rastertables.functions import names
+from rastertables.functions.bbox import CORNERS
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators.blocks import SIZED_TILE, TILE
+from rastertables.operators.blocks import SIZED_TILE, TILE, computed_once
 from rastertables.operators.ranking import number_within
 from rastertables.operators.selection import exact_quantiles
 from rastertables.storage import broadcast_if_small, materialize
@@ -25,18 +26,17 @@ def valid_pixels(pixels: DataFrame, epsilon: float = P.BACKGROUND_EPSILON) -> Da
 
 def blank_invalid(tiles: DataFrame, epsilon: float = P.BACKGROUND_EPSILON) -> DataFrame:
     """Tiles whose invalid cells are NULL."""
-    return tiles.withColumn("band", F.transform("band", lambda v: F.when(is_valid(v, epsilon), v)))
+    return computed_once(tiles, {"band": F.transform("band", lambda v: F.when(is_valid(v, epsilon), v))})
 
 
 def tile_stats(tiles: DataFrame) -> DataFrame:
     """Valid count, total and value range of each tile. Expects blanked cells."""
-    return tiles.select(
-        *SIZED_TILE, "band",
-        F.size(F.array_compact("band")).alias("valid_count"),
-        (F.col("tile_width") * F.col("tile_height")).alias("total_count"),
-        F.array_min("band").alias("value_min"),
-        F.array_max("band").alias("value_max"),
-    )
+    return computed_once(tiles.select(*SIZED_TILE, "band"), {
+        "valid_count": F.size(F.array_compact("band")),
+        "total_count": F.col("tile_width") * F.col("tile_height"),
+        "value_min": F.array_min("band"),
+        "value_max": F.array_max("band"),
+    })
 
 
 def passes_quality(min_ratio: float) -> Column:
@@ -88,10 +88,12 @@ def data_window(pixels: DataFrame, scenes: DataFrame, params: P.SceneParams) ->
 
 def sample_contrast(kept: DataFrame, cap: int) -> DataFrame:
     """Per tile all valid values up to the cap, else evenly spaced ones in row-major order."""
-    values = kept.select(*TILE, F.array_compact("band").alias("values"))
+    values = computed_once(kept.select(*TILE, "band"), {"values": F.array_compact("band")})
     step = F.greatest(F.lit(1), F.floor(F.size("values") / F.lit(cap))).cast("int")
-    spaced = F.slice(F.filter("values", lambda _, i: i % F.col("step") == 0), 1, cap)
-    return values.withColumn("step", step).select(*TILE, F.explode(spaced).alias("value"))
+    wanted = F.least(F.size("values"), F.lit(cap))
+    spaced = F.transform(F.sequence(F.lit(0), wanted - 1), lambda n: F.get("values", n * F.col("step")))
+    stepped = computed_once(values.where(wanted > 0), {"step": step})
+    return stepped.select(*TILE, F.explode(spaced).alias("value"))
 
 
 def contrast_bounds(sample: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def grey_value(value: Column) -> Column:
 def stretch(kept: DataFrame, bounds: DataFrame, scenes: DataFrame) -> DataFrame:
     """Tiles with a grey array. Bounds have at most one row per scene, which is counted."""
     joined = kept.join(broadcast_if_small(bounds, counted=scenes.select("scene_key")), "scene_key")
-    return joined.withColumn("grey", F.transform("band", grey_value))
+    return computed_once(joined, {"grey": F.transform("band", grey_value)})
 
 
 def drop_black_tiles(stretched: DataFrame) -> DataFrame:
@@ -155,9 +157,12 @@ def tile_corners(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """Eight corner columns; scenes without a reference system drop out."""
     x0, y0 = F.col("tile_x"), F.col("tile_y")
     x1, y1 = x0 + F.col("tile_width"), y0 + F.col("tile_height")
-    nodes = {"top_left": (x0, y0), "top_right": (x1, y0), "bottom_right": (x1, y1), "bottom_left": (x0, y1)}
+    nodes = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
     frame = scenes.where(F.col("epsg").isNotNull()).select("scene_key", "epsg", *"abcdef")
     placed = tiles.join(broadcast_if_small(frame, counted=scenes.select("scene_key")), "scene_key")
-    placed = placed.withColumns({name: pixel_to_wgs84(*node) for name, node in nodes.items()})
-    flat = {f"{name}_{axis}": F.col(f"{name}.{axis}") for name in nodes for axis in ("lon", "lat")}
-    return placed.withColumns(flat).drop("epsg", *"abcdef", *nodes)
+    placed = placed.withColumn("points", F.transform(nodes, lambda n: pixel_to_wgs84(n["x"], n["y"])))
+    flat = {
+        f"{name}_{axis}": F.col("points")[i][axis]
+        for i, name in enumerate(CORNERS) for axis in ("lon", "lat")
+    }
+    return placed.withColumns(flat).drop("epsg", *"abcdef", "points")
