@@ -634,3 +634,40 @@ check("task_state_stream", _TASK_TEXT)
 check("log_stream", f"""
 SELECT object_key, worker_name, stage, coalesce(level, 'INFO') AS level, message, progress_current, progress_total,
   {iso('created_at')} AS created_at FROM log_events""")
+
+cte("placed_fill", f"""
+SELECT {_TILE}, count(*) / CAST(any_value(tile_width * tile_height) AS DOUBLE) AS fill_ratio FROM placed_mask GROUP BY {_TILE}
+HAVING count(*) / CAST(any_value(tile_width * tile_height) AS DOUBLE) >= 0.05""")
+cte("final_mask", f"""
+SELECT m.*, f.fill_ratio, m."row" * 8 + m.col AS id FROM placed_mask m JOIN placed_fill f USING ({_TILE})
+ANTI JOIN centre_cells l ON l.scene_key = m.scene_key AND l.tile_x = m.tile_x AND l.tile_y = m.tile_y AND l."row" = m."row" AND l.col = m.col""")
+cte("final_linked", f"""
+SELECT a.scene_key, a.tile_x, a.tile_y, a.id, b.id AS next FROM final_mask a JOIN final_mask b USING ({_TILE})
+WHERE abs(a."row" - b."row") + abs(a.col - b.col) = 1""")
+cte("final_reach", f"""
+SELECT {_TILE}, id, id AS other FROM final_mask
+UNION SELECT r.scene_key, r.tile_x, r.tile_y, r.id, l.next FROM final_reach r
+JOIN final_linked l ON l.scene_key = r.scene_key AND l.tile_x = r.tile_x AND l.tile_y = r.tile_y AND l.id = r.other""")
+cte("final_components", f"""
+SELECT m.scene_key, m.tile_x, m.tile_y, s.seed, count(*) AS cells, any_value(m.fill_ratio) AS fill_ratio
+FROM final_mask m JOIN (SELECT {_TILE}, id, min(other) AS seed FROM final_reach GROUP BY {_TILE}, id) s USING ({_TILE}, id)
+GROUP BY m.scene_key, m.tile_x, m.tile_y, s.seed""")
+cte("final_polygons", """
+SELECT c.scene_key, t.filename, t.mask_name, CAST(seed // 8 AS INT) AS seed_row, CAST(seed % 8 AS INT) AS seed_col, cells, round(fill_ratio, 9) AS fill_ratio
+FROM final_components c JOIN tiles t ON t.source_object_key = c.scene_key AND t.tile_x = c.tile_x AND t.tile_y = c.tile_y
+WHERE cells * abs((top_right_lon - top_left_lon) / t.tile_width * ((bottom_left_lat - top_left_lat) / t.tile_height)
+  - (bottom_left_lon - top_left_lon) / t.tile_height * ((top_right_lat - top_left_lat) / t.tile_width)) >= 0.00001""")
+check("processed_polygons", "SELECT * EXCLUDE (scene_key) FROM final_polygons")
+check("rebuild_exports", f"""
+SELECT object_key, 'processed' AS status, 'mask_assembler' AS processor_name, 'rebuild_shapefile' AS stage,
+  concat('processed/shapefiles/', {safe('object_key')}, '/', {safe('object_key')}, '_masks.geojson') AS result_path,
+  'Export rebuilt from stored tiles and masks.' AS details
+FROM (SELECT DISTINCT scene_key AS object_key FROM final_polygons) WHERE NOT EXISTS (SELECT 1 FROM exports
+  WHERE starts_with(export_key, concat('processed/shapefiles/', {safe('object_key')}, '/')) AND ends_with(export_key, '.shp'))""")
+check("ingest_stream", """
+SELECT object_key, CASE WHEN s.scene_key IS NULL THEN 'failed' WHEN coalesce(n, 0) = 0 THEN 'empty' ELSE 'processed' END AS status,
+  CASE WHEN s.scene_key IS NULL THEN 'failed' ELSE 'completed' END AS stage,
+  CASE WHEN s.scene_key IS NOT NULL THEN coalesce(n, 0) END AS progress_current
+FROM (SELECT object_key FROM parsed WHERE object_key <> '' UNION SELECT scene_key FROM scenes) k
+LEFT JOIN scenes s ON s.scene_key = k.object_key
+LEFT JOIN (SELECT scene_key, CAST(count(*) AS INT) AS n FROM numbered JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL GROUP BY 1) c ON c.scene_key = k.object_key""")

@@ -760,7 +760,7 @@ def processed_masks(i: Inputs) -> DataFrame:
 @query
 def processed_polygons(i: Inputs) -> DataFrame:
     return _run(i).polygons.select("filename", "mask_name", "seed_row", "seed_col", "cells",
-                                   F.round("fill_ratio", 9).alias("fill_ratio"), F.size("rings").alias("rings"))
+                                   F.round("fill_ratio", 9).alias("fill_ratio"))
 
 
 @query
