@@ -133,7 +133,7 @@ def utm_forward(lon, lat, zone):
     x = k0 * n * (A + (1 - t + c) * A**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * A**5 / 120) + 500000
     y = k0 * (m + n * math.tan(phi) * (A * A / 2 + (5 - t + 9 * c + 4 * c * c) * A**4 / 24
                                        + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * A**6 / 720))
-    return x, y
+    return float(x), float(y)
 
 
 GRID = "epsg int, a double, b double, c double, d double, e double, f double"
