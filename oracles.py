@@ -317,6 +317,7 @@ check("pixels_from_blocks", "SELECT * FROM pixels")
 check("tile_stats", "SELECT * FROM stats_12")
 check("valid_tiles", "SELECT * FROM kept")
 check("valid_tiles_clipped_grid", "SELECT * FROM kept_12")
+check("tile_summaries", "SELECT * FROM kept_12")
 check("data_window", """
 SELECT scene_key,
   CAST(coalesce(greatest(0, x0 - 1) // 12 * 12, 0) AS INT) AS x_start, CAST(coalesce(greatest(0, y0 - 1) // 12 * 12, 0) AS INT) AS y_start,

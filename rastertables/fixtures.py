@@ -130,7 +130,7 @@ class Inputs:
         return raster.contrast_bounds(raster.sample_contrast(self.kept(params), params.contrast_cap))
 
     def stretched(self, params: P.SceneParams = PARAMS) -> DataFrame:
-        return raster.stretch(self.kept(params), self.bounds(params), self.scenes)
+        return raster.stretch(self.kept(params), self.bounds(params))
 
     def numbered(self, params: P.SceneParams = PARAMS) -> DataFrame:
         survivors = raster.drop_black_tiles(self.stretched(params))

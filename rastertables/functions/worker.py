@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.pandas.functions import pandas_udf
 
+from rastertables.shipping import ship_package
+
 
 def local_worker_name() -> str:
     """host:pid, and inside a task also its partition and attempt."""
@@ -21,6 +23,7 @@ def local_worker_name() -> str:
 
 def worker_name(any_column: Column) -> Column:
     """The worker that evaluates the row; one call per Arrow batch."""
+    ship_package(SparkSession.getActiveSession())
 
     @pandas_udf("string")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from rastertables.operators.blocks import SIZED_TILE, TILE, tile_extent, tile_origin
 from rastertables.operators.land import tile_affine
 from rastertables.operators.masks import run
+from rastertables.shipping import ship_package
 from rastertables.storage import materialize
 
 MAX_ROUNDS = 64
@@ -61,6 +62,7 @@ def labelled_runs(masked: DataFrame) -> DataFrame:
     The component is the index of its first run. A tile is labelled where it lies: its runs travel as three integer arrays, nothing is
     shuffled.
     """
+    ship_package(masked.sparkSession)
     labelled = masked.withColumn("labels", _labels())
     seeds = F.transform("labels", lambda n: F.get("runs", n))
     joined = F.inline(F.arrays_zip(F.col("runs").alias("run"), F.col("labels").alias("label"), seeds.alias("seed")))

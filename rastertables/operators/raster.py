@@ -113,10 +113,14 @@ def grey_value(value: Column) -> Column:
     return F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int"), F.lit(0))
 
 
-def stretch(kept: DataFrame, bounds: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Tiles with a grey array. Bounds have at most one row per scene, which is counted."""
-    joined = kept.join(broadcast_if_small(bounds, counted=scenes.select("scene_key")), "scene_key")
-    return computed_once(joined, {"grey": F.transform("band", grey_value)})
+def with_bounds(tiles: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Tiles with the bounds of their scene; scenes without bounds drop out."""
+    return tiles.join(broadcast_if_small(bounds), "scene_key")
+
+
+def stretch(kept: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Tiles with a grey array."""
+    return computed_once(with_bounds(kept, bounds), {"grey": F.transform("band", grey_value)})
 
 
 def drop_black_tiles(stretched: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from rastertables.operators.land import tile_affine
+from rastertables.shipping import ship_package
 from rastertables.storage import materialize
 
 # Directions in scan order of a right turn, y growing downwards.
@@ -66,6 +67,7 @@ def trace_rings(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> list[list[in
 
 def component_rings(polygons: DataFrame) -> DataFrame:
     """Polygons (with runs) plus `outlines` array<array<int>> in cell corners of the tile."""
+    ship_package(polygons.sparkSession)
 
     @pandas_udf("array<array<int>>")
     def outlines(rows: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:

@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rastertables import params as P
 from rastertables.functions import bbox, names
-from rastertables.operators import blocks, components, grid, land, masks, raster, rings
+from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
+from rastertables.operators.kernels import Predictor
 from rastertables.operators.ranking import number_within
 from rastertables.plans.catalog import missing_exports
 from rastertables.sources.exports import EXPORT_SUFFIX, export_keys
 from rastertables.storage import broadcast_if_small, materialize
 
-Segment = Callable[[DataFrame], DataFrame]
-
 # Stages and processor names of reports.
 GEOTIFF_PROCESSOR = "geotiff_processor"
 MASK_ASSEMBLER = "mask_assembler"
@@ -41,22 +40,19 @@ class SceneRun:
     results: DataFrame
 
 
-def threshold_segment(threshold: int) -> Segment:
-    return lambda stretched: masks.segment_tiles(stretched, lambda grey: grey > threshold)
-
-
-def cut_tiles(chunks: DataFrame, scenes: DataFrame, segment: Segment, params: P.SceneParams) -> DataFrame:
+def cut_tiles(
+    chunks: DataFrame, scenes: DataFrame, load: Callable[[], Predictor], params: P.SceneParams, model: str = "default"
+) -> DataFrame:
     """Surviving tiles with their mask runs, written.
 
     First pass: quality gate and contrast sample. Second pass: stretch, segment. The cells
-    never leave the row of their tile; what is written is small.
+    stay in the row of their tile and go to Python once per pass; what is written is small.
     """
     located = scenes.where(F.col("epsg").isNotNull())
     tiles = blocks.tiles_from_chunks(chunks, located, params.tile_size)
-    kept = raster.valid_tiles(tiles, params)
-    bounds = raster.contrast_bounds(raster.sample_contrast(kept, params.contrast_cap))
-    survivors = raster.drop_black_tiles(raster.stretch(kept, bounds, located))
-    return materialize(segment(survivors).drop("value_min", "value_max", "low", "high"), "cut-tiles")
+    sample = kernels.tile_summaries(tiles, params).select("scene_key", F.explode("sample").alias("value"))
+    bounds = raster.contrast_bounds(sample)
+    return materialize(kernels.masked_tiles(raster.with_bounds(tiles, bounds), params, load, model), "cut-tiles")
 
 
 def tile_table(cut: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -88,14 +84,17 @@ def stored_tiles(tiles: DataFrame) -> DataFrame:
 
 def process_scenes(
     keys: DataFrame, chunks: DataFrame, scenes: DataFrame, land_edges: DataFrame | None,
-    segment: Segment, params: P.SceneParams = P.SceneParams(),
+    load: Callable[[], Predictor], params: P.SceneParams = P.SceneParams(), model: str = "default",
 ) -> SceneRun:
-    """Run every key (object_key) through cutting, masking, checking and polygonising."""
+    """Run every key (object_key) through cutting, masking, checking and polygonising.
+
+    `load` gives the predictor, which is kept under the name `model` in each Python worker.
+    """
     wanted = keys.where(names.is_geotiff(F.col("object_key"))).select(F.col("object_key").alias("scene_key")).distinct()
     chosen = materialize(scenes.join(wanted, "scene_key", "left_semi"), "chosen-scenes")
     own_chunks = chunks.join(broadcast_if_small(chosen.select("scene_key")), "scene_key", "left_semi")
 
-    cut = cut_tiles(own_chunks, chosen, segment, params)
+    cut = cut_tiles(own_chunks, chosen, load, params, model)
     tiles = materialize(tile_table(cut, chosen), "tiles")
     masked = materialize(land.clip_mask_to_water(cut.select(*SIZED_TILE, "runs"), tiles, land_edges), "masks")
 

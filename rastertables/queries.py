@@ -12,7 +12,7 @@ from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, Inputs, scene
 from rastertables.functions import bbox, geojson, names, overlay
 from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, components, grid, land, masks, raster, rings
+from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.functions.worker import worker_name as running_worker
 from rastertables.plans import catalog, scene_run
@@ -558,7 +558,15 @@ def _mean_split(image: np.ndarray) -> np.ndarray:
 
 @query
 def segment_with_model(i: Inputs) -> DataFrame:
-    return masks.mask_cells(masks.segment_with_model(i.stretched(), lambda: _mean_split, "mean-split"))
+    tiles = blocks.tiles_from_chunks(i.chunks, i.scenes, PARAMS.tile_size)
+    bounded = raster.with_bounds(tiles, i.bounds())
+    return masks.mask_cells(kernels.masked_tiles(bounded, PARAMS, lambda: _mean_split, "mean-split"))
+
+
+@query
+def tile_summaries(i: Inputs) -> DataFrame:
+    tiles = blocks.tiles_from_chunks(i.chunks, i.scenes, CLIPPED_GRID.tile_size)
+    return kernels.tile_summaries(tiles, CLIPPED_GRID).drop("sample")
 
 
 @query
@@ -742,7 +750,7 @@ def footprint_features(i: Inputs) -> DataFrame:
 def _run(i: Inputs, keys: DataFrame | None = None) -> scene_run.SceneRun:
     wanted = keys if keys is not None else i.checkable_scenes.select(F.col("scene_key").alias("object_key"))
     return scene_run.process_scenes(
-        wanted, i.chunks, i.scenes, i.land_edges, scene_run.threshold_segment(PARAMS.mask_threshold), PARAMS)
+        wanted, i.chunks, i.scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS, "threshold")
 
 
 @query

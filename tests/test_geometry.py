@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastertables.operators import components, grid, land, masks, rings
+from rastertables.operators import components, grid, kernels, land, masks, rings
+from rastertables.params import SceneParams
 
 TILE = "scene_key string, tile_x int, tile_y int, tile_width int, tile_height int"
 
@@ -92,9 +93,9 @@ def test_runs_of_mask(spark):
 
 
 def test_model_on_a_coarser_grid_and_broken_model(spark):
-    grey = np.arange(36).reshape(6, 6)
-    frame = spark.createDataFrame(
-        [("s", 0, 0, 6, 6, [None] + [1.0] * 35, grey.ravel().tolist())], TILE + ", band array<double>, grey array<int>")
+    band = [None] + [float(v) for v in range(1, 36)]
+    frame = spark.createDataFrame([("s", 0, 0, 6, 6, band, 0.0, 36.0)], TILE + ", band array<double>, low double, high double")
+    params = SceneParams(tile_size=6)
 
     def quarter(image):
         return np.array([[1.0, -1.0], [0.0, 5.0]])
@@ -102,16 +103,17 @@ def test_model_on_a_coarser_grid_and_broken_model(spark):
     def broken():
         raise ImportError("no weights")
 
-    got = masks.mask_cells(masks.segment_with_model(frame, lambda: quarter, "quarter")).collect()
+    got = masks.mask_cells(kernels.masked_tiles(frame, params, lambda: quarter, "quarter")).collect()
     expected = {(r, c) for r in range(6) for c in range(6) if (r < 3) == (c < 3)} - {(0, 0)}
     assert {(r["row"], r["col"]) for r in got} == expected
-    assert masks.mask_cells(masks.segment_with_model(frame, broken, "broken")).count() == 0
+    empty = kernels.masked_tiles(frame, params, broken, "broken").collect()
+    assert [(r["valid_count"], r["runs"]) for r in empty] == [(35, [])]
 
 
 @pytest.mark.parametrize("requested,cuda,device", [
     ("auto", False, "cpu"), ("auto", True, "cuda"), ("cuda:1", True, "cuda:1"), ("cuda", False, "cpu"), ("CPU", True, "cpu")])
 def test_choose_device(requested, cuda, device):
-    assert masks.choose_device(requested, cuda) == device
+    assert kernels.choose_device(requested, cuda) == device
 
 
 def test_subtract_spans(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertables.fixtures import PARAMS, Inputs
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, raster
+from rastertables.operators import blocks, kernels, masks, raster
 from rastertables.operators.ranking import number_within
 from rastertables.operators.selection import exact_quantiles
 from rastertables.params import SceneParams
@@ -77,6 +77,30 @@ def test_contrast_sample(spark, cap):
     assert sorted(r["value"] for r in sampled.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_kernels_equal_the_column_operators(spark, as_rows, seed):
+    rng = np.random.default_rng(seed)
+    bands = []
+    for _ in range(6):
+        band = np.round(rng.normal(size=16), 3)
+        band[rng.random(16) < 0.3] = 0.0
+        bands.append([None if rng.random() < 0.1 else v for v in band])
+    bands += [[0.0] * 16, [3.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf"), 1.0] + [0.0] * 14]
+    params = SceneParams(tile_size=4, contrast_cap=5, min_valid_ratio=0.3)
+    tiles = tile_frame(spark, *bands)
+    kept = raster.valid_tiles(tiles, params)
+    stats = ["tile_x", "valid_count", "total_count", "value_min", "value_max"]
+    summaries = kernels.tile_summaries(tiles, params)
+    assert as_rows(summaries.select(*stats)) == as_rows(kept.select(*stats))
+    sampled = summaries.select("tile_x", F.explode("sample").alias("value"))
+    assert as_rows(sampled) == as_rows(raster.sample_contrast(kept, 5).select("tile_x", "value"))
+    bounds = spark.createDataFrame([("s", -1.0, 1.0)], "scene_key string, low double, high double")
+    columns = masks.segment_tiles(
+        raster.drop_black_tiles(raster.stretch(kept, bounds)).select(*blocks.SIZED_TILE, "band", "grey"), lambda g: g > 128)
+    fused = kernels.masked_tiles(raster.with_bounds(tiles, bounds), params, kernels.threshold_model(128), "threshold")
+    assert as_rows(fused.select("tile_x", "runs")) == as_rows(columns.select("tile_x", "runs"))
+
+
 @pytest.mark.parametrize("kind", ["normal", "duplicates", "constant", "single", "outliers"])
 def test_quantiles_equal_numpy(spark, kind):
     rng = np.random.default_rng(3)
@@ -114,7 +138,7 @@ def test_data_window(spark):
 def test_stretch_clips_and_truncates(spark):
     kept = raster.valid_tiles(tile_frame(spark, [-5, 1, 1.5, 2, 3, 9, None, 0] + [1] * 8), SceneParams(tile_size=4))
     bounds = spark.createDataFrame([("s", 1.0, 3.0)], "scene_key string, low double, high double")
-    grey = raster.stretch(kept, bounds, spark.createDataFrame([("s", 4, 4)], SCENE)).first()["grey"]
+    grey = raster.stretch(kept, bounds).first()["grey"]
     assert grey[:8] == [0, 0, 63, 127, 255, 255, 0, 0]
 
 

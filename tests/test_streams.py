@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rastertables import schemas
 from rastertables.fixtures import PARAMS, Inputs
+from rastertables.operators import kernels
 from rastertables.plans import scene_run
 from rastertables.sources import state
 from rastertables.streaming import streams
@@ -26,7 +27,7 @@ def test_failed_scenes_are_offered_again_and_finished_ones_are_not(spark, sf_dir
     def process(keys):
         offered.append({r[0] for r in keys.collect()})
         return scene_run.process_scenes(
-            keys, inputs.chunks, scenes["known"], None, scene_run.threshold_segment(PARAMS.mask_threshold), PARAMS)
+            keys, inputs.chunks, scenes["known"], None, kernels.threshold_model(PARAMS.mask_threshold), PARAMS, "threshold")
 
     listing = spark.createDataFrame([(k,) for k in (good, missing, other)], "object_key string")
     store = streams.IngestStore(str(tmp_path / "store"))
@@ -65,7 +66,7 @@ def test_whole_run_without_land_and_with_disagreeing_corners(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
     keys = inputs.scenes.select(F.col("scene_key").alias("object_key")).limit(3)
     run = scene_run.process_scenes(
-        keys, inputs.chunks, inputs.scenes, None, scene_run.threshold_segment(PARAMS.mask_threshold), PARAMS)
+        keys, inputs.chunks, inputs.scenes, None, kernels.threshold_model(PARAMS.mask_threshold), PARAMS, "threshold")
     assert {r["status"] for r in run.results.collect()} <= {"processed", "empty"}
     tiles = run.tiles.withColumnRenamed("source_object_key", "scene_key")
     checks = spark.createDataFrame([(r["object_key"], 2, False) for r in keys.collect()],
