@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from rastertables.operators.blocks import SIZED_TILE, TILE, tile_extent, tile_origin
+from rastertables.operators.kernels import RUN
 from rastertables.operators.land import tile_affine
 from rastertables.operators.masks import run
 from rastertables.shipping import ship_package
@@ -72,14 +74,53 @@ def labelled_runs(masked: DataFrame) -> DataFrame:
         F.col("seed.row").alias("seed_row"), F.col("seed.c0").alias("seed_col"))
 
 
+PIECE = (
+    "array<struct<component:int,cells:bigint,col_min:int,col_max:int,row_min:int,row_max:int,"
+    "runs:array<struct<row:int,c0:int,c1:int>>>>"
+)
+
+
+def component_pieces(rows: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Components of each tile, in the order of their first runs, from its run arrays."""
+    per_tile, firsts, stats, parts = [0], [], [], []
+    for tile in zip(rows, starts, ends):
+        row, c0, c1 = (v.values.to_numpy(zero_copy_only=False).astype(np.int64) for v in tile)
+        if len(row) == 0:
+            per_tile.append(per_tile[-1])
+            continue
+        label = label_runs(row, c0, c1)
+        order = np.argsort(label, kind="stable")
+        label, row, c0, c1 = label[order], row[order], c0[order], c1[order]
+        at = np.flatnonzero(np.diff(label, prepend=-1))
+        firsts.append(np.diff(np.append(at, len(label))))
+        stats.append((
+            label[at], np.add.reduceat(c1 - c0 + 1, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at),
+            np.minimum.reduceat(row, at), np.maximum.reduceat(row, at)))
+        parts.append((row, c0, c1))
+        per_tile.append(per_tile[-1] + len(at))
+    joined = lambda lists, i, kind: pa.array(np.concatenate([v[i] for v in lists] or [np.zeros(0)]), kind)
+    runs = pa.StructArray.from_arrays(
+        [joined([[p.astype(np.int32) for p in v] for v in parts], i, pa.int32()) for i in range(3)], fields=list(RUN))
+    offsets = np.concatenate([[0], *firsts]).cumsum().astype(np.int32)
+    names = ["component", "cells", "col_min", "col_max", "row_min", "row_max"]
+    kinds = [pa.int32(), pa.int64()] + [pa.int32()] * 4
+    columns = [joined(stats, i, pa.int64()).cast(kind) for i, kind in enumerate(kinds)]
+    pieces = pa.StructArray.from_arrays(
+        [*columns, pa.ListArray.from_arrays(pa.array(offsets), runs)], names=[*names, "runs"])
+    return pa.ListArray.from_arrays(pa.array(np.array(per_tile, dtype=np.int32)), pieces)
+
+
 def polygonize(masked: DataFrame) -> DataFrame:
-    """Components of every tile: seed cell, cells, box and their runs in scan order."""
-    return labelled_runs(masked).groupBy(*SIZED_TILE, "component", "seed_row", "seed_col").agg(
-        F.array_sort(F.collect_list(run(F.col("row"), F.col("c0"), F.col("c1")))).alias("runs"),
-        F.sum(F.col("c1") - F.col("c0") + 1).alias("cells"),
-        F.min("c0").alias("col_min"), F.max("c1").alias("col_max"),
-        F.min("row").alias("row_min"), F.max("row").alias("row_max"),
-    )
+    """Components of every tile: seed cell, cells, box and their runs in scan order.
+
+    Nothing is shuffled: a tile's components come out of the row of the tile, and the other
+    columns of the tile go along.
+    """
+    ship_package(masked.sparkSession)
+    kept = [c for c in masked.columns if c != "runs"]
+    pieces = F.arrow_udf(component_pieces, PIECE).asNondeterministic()("runs.row", "runs.c0", "runs.c1")
+    split = masked.withColumn("pieces", pieces).select(*kept, F.inline("pieces"))
+    return split.withColumns({"seed_row": F.col("runs")[0]["row"], "seed_col": F.col("runs")[0]["c0"]})
 
 
 def polygon_area(cells: Column) -> Column:
@@ -88,11 +129,14 @@ def polygon_area(cells: Column) -> Column:
     return cells * F.abs(m["lx"] * m["ay"] - m["ly"] * m["ax"])
 
 
-def with_area(polygons: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Polygons with the tile's names and corners, and their area."""
-    extra = [c for c in tiles.columns if c not in polygons.columns and c not in TILE]
-    joined = polygons.join(tiles.select(*TILE, *extra), TILE)
-    return joined.withColumn("area", polygon_area(F.col("cells")))
+def located_polygons(masked: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Polygons with the tile's names and corners, and their area.
+
+    The tile's columns are joined to the mask, one row per tile, before it is taken apart.
+    """
+    extra = [c for c in tiles.columns if c not in masked.columns]
+    located = masked.join(tiles.select(*TILE, *extra), TILE)
+    return polygonize(located).withColumn("area", polygon_area(F.col("cells")))
 
 
 def large_polygons(polygons: DataFrame, min_area: float) -> DataFrame:

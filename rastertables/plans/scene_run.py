@@ -68,10 +68,8 @@ def mask_polygons(
     """Outlined polygons of well filled masks: cut at the coast, large enough, in degrees."""
     filled = masks.filled_masks(masked, params.min_fill_ratio).select(*SIZED_TILE, "runs", "fill_ratio")
     watered = land.clip_polygons_to_water(filled, tiles, land_edges)
-    ratios = tiles.join(filled.select(*TILE, "fill_ratio"), TILE)
-    sized = components.with_area(components.polygonize(watered.drop("fill_ratio")), ratios)
-    large = components.large_polygons(sized, params.min_area)
-    return rings.located_rings(rings.component_rings(large)).drop("runs", "outlines")
+    polygons = components.large_polygons(components.located_polygons(watered, tiles), params.min_area)
+    return rings.located_rings(rings.component_rings(polygons)).drop("runs", "outlines")
 
 
 def stored_tiles(tiles: DataFrame) -> DataFrame:

@@ -641,7 +641,7 @@ def polygonize(i: Inputs) -> DataFrame:
 
 
 def _polygons(i: Inputs) -> DataFrame:
-    return components.with_area(components.polygonize(i.masked), i.boxed_tiles())
+    return components.located_polygons(i.masked, i.boxed_tiles())
 
 
 @query

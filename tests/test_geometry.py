@@ -79,6 +79,25 @@ def test_labels_equal_flood_fill(density):
         assert seeds == [expected[r, c] for r, c, _ in runs]
 
 
+def test_polygonize_equals_flood_fill(spark):
+    tiles = {("s", 20 * n, 0): np.random.default_rng(n).random((11, 20)) < 0.2 * n for n in range(5)}
+    got = components.polygonize(masked_frame(spark, tiles)).collect()
+    for (_, x, _), mask in tiles.items():
+        expected = flood(mask)
+        own = [r for r in got if r["tile_x"] == x]
+        cells = {(r["row"], c): p["seed_row"] * 20 + p["seed_col"] for p in own for r in p["runs"] for c in range(r["c0"], r["c1"] + 1)}
+        assert cells == {(y, c): expected[y, c] for y, c in zip(*map(list, np.nonzero(mask)))}
+        assert sum(p["cells"] for p in own) == mask.sum()
+        for p in own:
+            rows, cols = np.nonzero(expected == p["seed_row"] * 20 + p["seed_col"])
+            assert (p["row_min"], p["row_max"], p["col_min"], p["col_max"]) == (rows.min(), rows.max(), cols.min(), cols.max())
+
+
+def test_polygonize_does_not_shuffle(spark):
+    frame = masked_frame(spark, {("s", 0, 0): np.ones((3, 3), dtype=bool)})
+    assert "Exchange" not in components.polygonize(frame)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spiral_is_one_component():
     mask = spiral(41)
     assert len(set(components.label_runs(*np.array(runs_of(mask)).T))) == 1
