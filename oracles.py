@@ -559,6 +559,10 @@ SELECT scene_key, component, count(*) AS cells, CAST(min(x) AS INT) AS x_min, CA
   CAST(min(y) AS INT) AS y_min, CAST(max(y) AS INT) AS y_max
 FROM scene_mask JOIN (SELECT scene_key, id, min(other) AS component FROM scene_reach GROUP BY ALL) USING (scene_key, id)
 GROUP BY scene_key, component""")
+check("scene_outlines", """
+SELECT scene_key, component, count(*) AS cells, CAST(1 AS BIGINT) AS outer_rings
+FROM scene_mask JOIN (SELECT scene_key, id, min(other) AS component FROM scene_reach GROUP BY ALL) USING (scene_key, id)
+GROUP BY scene_key, component""")
 cte("disc", "SELECT CAST(a.n AS INT) - 2 AS dx, CAST(b.n AS INT) - 2 AS dy FROM range(5) a(n), range(5) b(n) WHERE (a.n - 2) * (a.n - 2) + (b.n - 2) * (b.n - 2) <= 4")
 cte("grown", "SELECT DISTINCT scene_key, x + dx AS x, y + dy AS y FROM scene_mask, disc")
 check("close_gaps", """

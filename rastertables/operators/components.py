@@ -197,14 +197,17 @@ def scene_runs(masked: DataFrame) -> DataFrame:
         (F.col("tile_x") + F.col("r.c0")).alias("c0"), (F.col("tile_x") + F.col("r.c1")).alias("c1"))
 
 
-def joined_runs(runs: DataFrame) -> DataFrame:
-    """Overlapping and touching runs of a scene row as one; a group is one raster row."""
+def joined_runs(runs: DataFrame, *same: str) -> DataFrame:
+    """Overlapping and touching runs of a scene row as one; a group is one raster row.
+
+    Joined runs agree on the columns `same`, which are kept.
+    """
     in_order = Window.partitionBy("scene_key", "row").orderBy("c0", "c1")
     reach = F.max("c1").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.withColumn("opens", F.when(reach >= F.col("c0") - 1, 0).otherwise(1))
     numbered = opened.withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("scene_key", "row", "island").agg(
-        F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("island")
+        F.min("c0").alias("c0"), F.max("c1").alias("c1"), *(F.max(c).alias(c) for c in same)).drop("island")
 
 
 def _disc(gap: int) -> Column:

@@ -93,21 +93,16 @@ def footprint_area(tiles: DataFrame) -> DataFrame:
 
 
 def scene_footprint(tiles: DataFrame) -> DataFrame:
-    """Vertex rows of the footprint rings: source, ring, seq, lon, lat. Corners of the grid only."""
+    """Vertex rows of the footprint rings: source, ring, seq, lon, lat; one per tile side."""
     sides = footprint_sides(tiles)
     ident = (F.col("ay").cast("bigint") * 8 * 2**28 + F.col("ax") * 8 + F.col("direction")).cast("bigint")
     ordered = chained(sides.withColumn("id", ident), "source_object_key")
-    return ordered.select("source_object_key", "ring", "seq", "ax", "ay", "direction", "lon", "lat")
+    return ordered.select("source_object_key", "ring", "seq", "ax", "ay", "direction", "corner", "lon", "lat")
 
 
 def footprint_features(tiles: DataFrame) -> DataFrame:
     """GeoJSON feature text per scene; only the corners of the outline enter it."""
-    from pyspark.sql import Window
-
-    rows = scene_footprint(tiles)
-    around = Window.partitionBy("source_object_key", "ring").orderBy("seq")
-    before = F.coalesce(F.lag("direction").over(around), F.lit(-1))
-    corners = rows.withColumn("before", before).where((F.col("direction") != F.col("before")))
+    corners = scene_footprint(tiles).where("corner")
     rings = corners.groupBy("source_object_key", "ring").agg(
         F.array_sort(F.collect_list(F.struct("seq", F.array("lon", "lat").alias("p")))).alias("v"))
     closed = rings.select("source_object_key", "ring", F.transform("v", lambda v: v["p"]).alias("p")).select(

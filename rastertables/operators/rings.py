@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from rastertables.functions.crs import pixel_to_wgs84
+from rastertables.operators.blocks import computed_once
+from rastertables.operators.components import joined_runs
 from rastertables.operators.land import tile_affine
 from rastertables.shipping import ship_package
-from rastertables.storage import materialize
+from rastertables.storage import broadcast_if_small, materialize
 
 # Directions in scan order of a right turn, y growing downwards.
 EAST, SOUTH, WEST, NORTH = range(4)
@@ -120,13 +123,16 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
     `edges`: key, id (bigint, unique in key), ax, ay, bx, by, direction (0..3, right turns
     count up). Each edge finds its successor by join; pointer doubling then spreads the
     smallest edge id of the ring and the distance to it in log2(length) rounds. Adds
-    ring (that id) and seq (position from that edge on).
+    ring (that id), seq (position from that edge on) and corner (the ring turns where the
+    edge starts).
     """
     edges = materialize(edges, "ring-edges")
     ahead = edges.select(key, F.col("id").alias("next"), F.col("ax").alias("bx"), F.col("ay").alias("by"),
                          F.col("direction").alias("turned"))
     turn = F.pmod(F.col("turned") - F.col("direction") + 2, F.lit(4))  # right 3, ahead 2, left 1
-    followed = edges.join(ahead, [key, "bx", "by"]).groupBy(key, "id").agg(F.max_by("next", turn).alias("next"))
+    followed = materialize(
+        edges.join(ahead, [key, "bx", "by"]).groupBy(key, "id", "direction").agg(F.max_by("next", turn).alias("next")),
+        "ring-successors")
     state = materialize(
         followed.select(key, "id", "next", F.least("id", "next").alias("low"),
                         F.when(F.col("next") < F.col("id"), 1).otherwise(0).cast("bigint").alias("hops")),
@@ -153,4 +159,71 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
     lengths = state.groupBy(key, "low").agg(F.count(F.lit(1)).alias("length"))
     placed = state.join(lengths, [key, "low"]).select(
         key, "id", F.col("low").alias("ring"), F.pmod(F.col("length") - F.col("hops"), F.col("length")).alias("seq"))
-    return edges.join(placed, [key, "id"])
+    came = followed.select(key, F.col("next").alias("id"), F.col("direction").alias("came"))
+    joined = edges.join(placed, [key, "id"]).join(came, [key, "id"])
+    return joined.withColumn("corner", F.col("direction") != F.col("came")).drop("came")
+
+
+def outline_edges(runs: DataFrame) -> DataFrame:
+    """Directed boundary edges of scene runs (scene_key, component, row, c0, c1; no two touch in a row).
+
+    Every run has its two upright ends. The level parts come from a sweep along each line
+    between two rows: where only one of the rows is covered. A sweep sees one line of a scene.
+    """
+    row, left, right = F.col("row"), F.col("c0"), F.col("c1") + 1
+
+    def edge(ax: Column, ay: Column, bx: Column, by: Column, direction: int) -> Column:
+        return F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), F.lit(direction).alias("direction"))
+
+    upright = runs.select("scene_key", "component", F.inline(F.array(
+        edge(right, row, right, row + 1, SOUTH), edge(left, row + 1, left, row, NORTH))))
+
+    def event(line: Column, at: Column, below: int, above: int, component: Column) -> Column:
+        return F.struct(line.alias("line"), at.alias("x"), F.lit(below).alias("below"), F.lit(above).alias("above"),
+                        component.alias("component"))
+
+    component = F.col("component")
+    events = runs.select("scene_key", F.inline(F.array(
+        event(row, left, 1, 0, component), event(row, right, -1, 0, component),
+        event(row + 1, left, 0, 1, component), event(row + 1, right, 0, -1, component))))
+    # a run opening below or above names the component that owns the part to its right
+    opened = lambda side: F.max(F.when(F.col(side) == 1, F.col("component")))
+    met = events.groupBy("scene_key", "line", "x").agg(
+        F.sum("below").alias("below"), F.sum("above").alias("above"),
+        opened("below").alias("owner_below"), opened("above").alias("owner_above"))
+    along = Window.partitionBy("scene_key", "line").orderBy("x")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    swept = met.select(
+        "scene_key", "line", "x", F.lead("x").over(along).alias("stop"),
+        F.sum("below").over(so_far).alias("below"), F.sum("above").over(so_far).alias("above"),
+        F.last("owner_below", ignorenulls=True).over(so_far).alias("owner_below"),
+        F.last("owner_above", ignorenulls=True).over(so_far).alias("owner_above"))
+    top = (F.col("below") == 1) & (F.col("above") == 0)
+    bottom = (F.col("below") == 0) & (F.col("above") == 1)
+    level = swept.where(top | bottom).select(
+        "scene_key", F.when(top, F.col("owner_below")).otherwise(F.col("owner_above")).alias("component"),
+        F.when(top, F.col("x")).otherwise(F.col("stop")).alias("ax"), F.col("line").alias("ay"),
+        F.when(top, F.col("stop")).otherwise(F.col("x")).alias("bx"), F.col("line").alias("by"),
+        F.when(top, EAST).otherwise(WEST).alias("direction"))
+    return upright.unionByName(level)
+
+
+def scene_outlines(runs: DataFrame) -> DataFrame:
+    """Corner rows of the outlines of scene components: component, ring, seq, x, y.
+
+    Rings of any length are put in order by joins; outer rings and holes run in opposite
+    directions.
+    """
+    whole = joined_runs(runs, "component")
+    ident = F.col("ay").cast("bigint") * 2**31 + F.col("ax").cast("bigint") * 4 + F.col("direction")
+    ordered = chained(outline_edges(whole).withColumn("id", ident), "scene_key")
+    return ordered.where("corner").select(
+        "scene_key", "component", "ring", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"))
+
+
+def located_outlines(outlines: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Outline corners in degrees, by the scene's own grid."""
+    frame = scenes.where(F.col("epsg").isNotNull()).select("scene_key", "epsg", *"abcdef")
+    placed = outlines.join(broadcast_if_small(frame), "scene_key")
+    point = computed_once(placed, {"point": pixel_to_wgs84(F.col("x"), F.col("y"))})
+    return point.select("scene_key", "component", "ring", "seq", "x", "y", "point.lon", "point.lat")

@@ -36,6 +36,7 @@ class SceneRun:
     tiles: DataFrame
     masks: DataFrame
     polygons: DataFrame
+    merged: DataFrame | None
     exports: DataFrame
     results: DataFrame
 
@@ -69,7 +70,14 @@ def mask_polygons(
     filled = masks.filled_masks(masked, params.min_fill_ratio).select(*SIZED_TILE, "runs", "fill_ratio")
     watered = land.clip_polygons_to_water(filled, tiles, land_edges)
     polygons = components.large_polygons(components.located_polygons(watered, tiles), params.min_area)
-    return rings.located_rings(rings.component_rings(polygons)).drop("runs", "outlines")
+    return rings.located_rings(rings.component_rings(polygons)).drop("outlines")
+
+
+def merged_outlines(polygons: DataFrame, scenes: DataFrame, params: P.SceneParams) -> DataFrame:
+    """Outline rows of the united polygons of each scene, gaps closed."""
+    united = components.merge_masks(
+        polygons.select(*TILE, "runs"), scenes.select("scene_key", "width", "height"), params.tile_size, params.gap_cells)
+    return rings.located_outlines(rings.scene_outlines(united), scenes)
 
 
 def stored_tiles(tiles: DataFrame) -> DataFrame:
@@ -102,9 +110,10 @@ def process_scenes(
     polygons = materialize(
         mask_polygons(masked.join(broadcast_if_small(passed), "scene_key", "left_semi"), tiles, land_edges, params),
         "polygons")
+    merged = merged_outlines(polygons, chosen, params) if params.merge_masks else None
     exports = export_keys(polygons)
     results = scene_status(keys, chosen, tiles, sound, exports)
-    return SceneRun(stored_tiles(tiles), masked, polygons, exports, results)
+    return SceneRun(stored_tiles(tiles), masked, polygons, merged, exports, results)
 
 
 def scene_status(

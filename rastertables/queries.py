@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, Inputs, scene_key, task_key
 from rastertables.functions import bbox, geojson, names, overlay
@@ -690,6 +691,32 @@ def merge_masks_closing_gaps(i: Inputs) -> DataFrame:
     return _by_component(components.merge_masks(i.masked, i.scenes, PARAMS.tile_size, gap=1))
 
 
+def _ring_areas(outlines: DataFrame) -> DataFrame:
+    """Twice the signed area inside the outlines of each component, and its outer rings."""
+    numbered = outlines.select("scene_key", "component", "ring", "seq", "x", "y")
+    pairs = Window.partitionBy("scene_key", "ring").orderBy("seq")
+    stepped = numbered.select(
+        "scene_key", "component", "ring", "x", "y",
+        F.coalesce(F.lead("x").over(pairs), F.first("x").over(pairs)).alias("nx"),
+        F.coalesce(F.lead("y").over(pairs), F.first("y").over(pairs)).alias("ny"))
+    by_ring = stepped.groupBy("scene_key", "component", "ring").agg(
+        F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).alias("twice"))
+    return by_ring.groupBy("scene_key", "component").agg(
+        (F.sum("twice") / 2).cast("bigint").alias("cells"), F.count_if(F.col("twice") > 0).alias("outer_rings"))
+
+
+@query
+def scene_outlines(i: Inputs) -> DataFrame:
+    merged = components.merge_masks(i.masked, i.scenes, PARAMS.tile_size)
+    return _ring_areas(rings.scene_outlines(merged))
+
+
+@query
+def merged_outlines(i: Inputs) -> DataFrame:
+    polygons = components.large_polygons(_polygons(i), PARAMS.min_area)
+    return scene_run.merged_outlines(polygons, i.checkable_scenes, replace(PARAMS, merge_masks=True, gap_cells=1))
+
+
 @query
 def close_gaps(i: Inputs) -> DataFrame:
     closed = components.close_gaps(components.scene_runs(i.masked), 2)

@@ -27,10 +27,14 @@ def polygon_features(polygons: DataFrame) -> DataFrame:
         F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
-def merged_features(rings: DataFrame) -> DataFrame:
-    """Properties of united masks: one name for every part of a scene."""
-    properties = F.struct(names.safe_source_name(F.col("scene_key")).alias("source"), F.lit("mask").alias("name"))
-    return rings.select("*", properties.alias("properties"))
+def merged_rows(outlines: DataFrame) -> DataFrame:
+    """United masks as vertex rows: one name for every part of a scene.
+
+    A united mask may cover a whole scene, so its vertices stay rows and are never one value.
+    """
+    return outlines.select(
+        names.safe_source_name(F.col("scene_key")).alias("source_name"), F.lit("mask").alias("name"),
+        "component", "ring", "seq", "lon", "lat")
 
 
 def export_polygons(features: DataFrame, path: str) -> None:
@@ -38,6 +42,11 @@ def export_polygons(features: DataFrame, path: str) -> None:
     features.write.mode("append").partitionBy("source_name").text(path)
 
 
+def export_merged(rows: DataFrame, path: str) -> None:
+    """Append the vertex rows of each scene below its own folder."""
+    rows.write.mode("append").partitionBy("source_name").parquet(path)
+
+
 def export_keys(polygons: DataFrame) -> DataFrame:
     """Key of the export of every scene that has polygons."""
     scenes = polygons.select(F.col("scene_key").alias("object_key")).distinct()

@@ -349,3 +349,26 @@ def test_footprint_with_hole_and_touching_corner(spark):
         sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2 for p in by_ring.values())
     assert areas == [-16, 16, 144]
     assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 4 for p in by_ring.values() for a, b in zip(p, p[1:] + p[:1]))
+
+
+@pytest.mark.parametrize("density", [0.35, 0.55, 0.75])
+def test_scene_outlines_enclose_their_components(spark, density):
+    image = scene_image(11, density=density)
+    scenes = spark.createDataFrame(
+        [("s", 31, 23, 4326, 0.1, 0.0, 70.0, 0.0, -0.1, 75.0)],
+        "scene_key string, width int, height int, epsg int, a double, b double, c double, d double, e double, f double")
+    merged = components.merge_masks(masked_frame(spark, cut(image, 7)), scenes.select("scene_key", "width", "height"), 7)
+    rows = rings.located_outlines(rings.scene_outlines(merged), scenes).collect()
+    label = flood(image)
+    area, by_ring = {}, {}
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        by_ring.setdefault((r["component"], r["ring"]), []).append((r["x"], r["y"]))
+        assert (r["lon"], r["lat"]) == pytest.approx((70 + 0.1 * r["x"], 75 - 0.1 * r["y"]))
+    for (component, _), p in by_ring.items():
+        steps = list(zip(p, p[1:] + p[:1]))
+        assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in steps)
+        assert all((a[0] == b[0]) != (b[0] == c[0]) for (a, b), (_, c) in zip(steps, steps[1:] + steps[:1]))
+        area[component] = area.get(component, 0) + sum(a[0] * b[1] - b[0] * a[1] for a, b in steps) // 2
+    assert area == {n: int((label == n).sum()) for n in np.unique(label) if n >= 0}
+    outer = [c for (c, _), p in by_ring.items() if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) > 0]
+    assert sorted(outer) == sorted(area)
