@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rastertables import params as P
+from rastertables import params as P, schemas
 from rastertables.functions import bbox, names
 from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
@@ -98,6 +98,8 @@ def process_scenes(
     """
     wanted = keys.where(names.is_geotiff(F.col("object_key"))).select(F.col("object_key").alias("scene_key")).distinct()
     chosen = materialize(scenes.join(wanted, "scene_key", "left_semi"), "chosen-scenes")
+    if chosen.limit(1).count() == 0:
+        return _nothing_cut(keys, chosen)
     own_chunks = chunks.join(broadcast_if_small(chosen.select("scene_key")), "scene_key", "left_semi")
 
     cut = cut_tiles(own_chunks, chosen, load, params, model)
@@ -116,6 +118,24 @@ def process_scenes(
     return SceneRun(stored_tiles(tiles), masked, polygons, merged, exports, results)
 
 
+STORED_TILES = T.StructType([
+    *(f for f in schemas.TILES.fields if f.name != "created_at"), T.StructField("ordinal", T.IntegerType())])
+MASKS = ("scene_key string, tile_x int, tile_y int, tile_width int, tile_height int, "
+         "runs array<struct<row:int,c0:int,c1:int>>")
+POLYGONS = ("scene_key string, filename string, mask_name string, fill_ratio double, cells bigint, area double, "
+            "rings array<array<struct<lon:double,lat:double>>>")
+
+
+def _nothing_cut(keys: DataFrame, chosen: DataFrame) -> SceneRun:
+    """A cycle in which no offered key has a raster, for example retries only."""
+    empty = lambda schema: keys.sparkSession.createDataFrame([], schema)
+    tiles, polygons = empty(STORED_TILES), empty(POLYGONS)
+    checks = empty("scene_key string, checked bigint, consistent boolean")
+    results = scene_status(
+        keys, chosen, tiles.withColumnRenamed("source_object_key", "scene_key"), checks, export_keys(polygons))
+    return SceneRun(tiles, empty(MASKS), polygons, None, export_keys(polygons), results)
+
+
 def scene_status(
     keys: DataFrame, scenes: DataFrame, tiles: DataFrame, checks: DataFrame, exports: DataFrame
 ) -> DataFrame:

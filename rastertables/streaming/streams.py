@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rastertables import params as P, schemas
 from rastertables.plans.catalog import pending_keys
+from rastertables.plans import scene_run
 from rastertables.plans.scene_run import SceneRun
 from rastertables.sources import objects, state
 
@@ -80,7 +81,7 @@ class IngestStore:
         return f"{self.root}/{table}"
 
 
-STORED_TILES = T.StructType([*(f for f in schemas.TILES.fields), T.StructField("ordinal", T.IntegerType())])
+STORED_TILES = T.StructType([*scene_run.STORED_TILES.fields, T.StructField("created_at", T.TimestampType())])
 
 
 def ingest_batch(
