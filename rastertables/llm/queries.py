@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_gam
+from . import exact_dedup, quality_gam, toxicity
 from .common import table
 
 
@@ -17,7 +17,12 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
+    "op6_toxicity": toxicity_query,
     "op7_exact_dedup": exact_dedup_query,
     "op10_quality_classifier": quality_query,
 }
