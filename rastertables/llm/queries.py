@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_gam, toxicity
+from . import byte_bpe, exact_dedup, packing, quality_gam, rans, toxicity
 from .common import table
 
 
@@ -21,7 +21,22 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def token_file_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.read_ids(spark, rans.write_ids(table(spark, sf_dir, "documents")))
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
+    "op3_token_file": token_file_query,
+    "op4_packing": packing_query,
+    "op5_byte_bpe": byte_bpe_query,
     "op6_toxicity": toxicity_query,
     "op7_exact_dedup": exact_dedup_query,
     "op10_quality_classifier": quality_query,
