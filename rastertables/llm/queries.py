@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality_gam, rans, toxicity
+from . import byte_bpe, exact_dedup, packing, quality_gam, rans, secret_scan, toxicity
 from .common import table
 
 
@@ -21,6 +21,20 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [rule.kind for rule in secret_scan.BASE_RULES]
+    counts = [(F.size("spans") - F.size(F.array_remove("spans.kind", kind))).cast("long").alias(f"n_{kind}") for kind in base]
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
 def token_file_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(spark, rans.write_ids(table(spark, sf_dir, "documents")))
 
@@ -34,6 +48,7 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_secret_scan": secret_query,
     "op3_token_file": token_file_query,
     "op4_packing": packing_query,
     "op5_byte_bpe": byte_bpe_query,
