@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality_gam, rans, secret_scan, toxicity
+from . import byte_bpe, exact_dedup, mtree, packing, quality_gam, rans, secret_scan, toxicity
 from .common import table
 
 
@@ -47,6 +47,10 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 REGISTRY = {
     "op1_secret_scan": secret_query,
     "op3_token_file": token_file_query,
@@ -54,9 +58,20 @@ REGISTRY = {
     "op5_byte_bpe": byte_bpe_query,
     "op6_toxicity": toxicity_query,
     "op7_exact_dedup": exact_dedup_query,
+    "op8_exact_top_k": top_k_query,
     "op10_quality_classifier": quality_query,
 }
 ORACLES = {
+    "op8_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+        scored as (
+            select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+            from v as q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 5""",
     "op7_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id is not distinct from max(doc_id) over same as kept,
