@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mtree, packing, quality_gam, rans, secret_scan, toxicity
+from . import byte_bpe, exact_dedup, mtree, packing, quality_gam, rans, secret_scan, substring_dedup, toxicity
 from .common import table
 
 
@@ -51,6 +51,11 @@ def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 REGISTRY = {
     "op1_secret_scan": secret_query,
     "op3_token_file": token_file_query,
@@ -59,6 +64,7 @@ REGISTRY = {
     "op6_toxicity": toxicity_query,
     "op7_exact_dedup": exact_dedup_query,
     "op8_exact_top_k": top_k_query,
+    "op9_substring_dedup": substring_query,
     "op10_quality_classifier": quality_query,
 }
 ORACLES = {
