@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mtree, packing, quality_gam, rans, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, mtree, packing, prob_minhash, quality_gam, rans, secret_scan, substring_dedup, toxicity
 from .common import table
 
 
@@ -56,8 +56,13 @@ def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_secret_scan": secret_query,
+    "op2_near_dedup": near_dedup_query,
     "op3_token_file": token_file_query,
     "op4_packing": packing_query,
     "op5_byte_bpe": byte_bpe_query,
