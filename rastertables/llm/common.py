@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..shipping import ship_package
+from ..storage import broadcast_if_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_key() -> Column:
+    """Tells apart rows that share an id; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are those of `dropped` (doc_id, text_key)."""
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+
+
 def arrow_pass(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship_package(df.sparkSession)

@@ -124,7 +124,7 @@ def build_index(docs: DataFrame, capacity: int = BUCKET_BYTES, max_depth: int =
 
 
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, bucket, chain) for every row.
+    """(doc_id, keep_id, group_size, kept, text_sha256, bucket, chain, text_key) for every row.
 
     Texts are compared unchanged; null counts as empty, and empty texts form one group. The row with
     the largest doc_id stays; rows that repeat this id stay together, a null id stays only in a
@@ -133,5 +133,5 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES, max_depth: int =
     index = build_index(docs, capacity, max_depth)
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
     return rows.join(index, ["key", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain",
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain", F.col("key").alias("text_key"),
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import broadcast_if_small, materialize
-from .common import arrow_pass, texts
+from .common import arrow_pass, text_key, texts
 from .components import components
 from .words import Words, mix, word_slices
 
@@ -123,7 +123,7 @@ def similarity(a_code: np.ndarray, a: np.ndarray, b_code: np.ndarray, b: np.ndar
 
 
 def describe(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, node, keys): the hash of each document's weighted set and its band keys.
+    """(doc_id, text_key, node, keys): the hash of each document's weighted set and its band keys.
 
     `node` and `keys` are null for texts without words and for rows with a null id.
     """
@@ -137,9 +137,9 @@ def describe(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS) ->
                 void = (np.bincount(row, minlength=n) == 0) | ~ids[low:high]
                 nodes = pa.array(node_hashes(row, code, weight, n).view(np.int64), mask=void)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)), mask=pa.array(void))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(low, n), nodes, lists], ["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(low, n), batch["text_key"].slice(low, n), nodes, lists], ["doc_id", "text_key", "node", "keys"])
 
-    return arrow_pass(docs, run, "doc_id long, node long, keys array<long>")
+    return arrow_pass(docs.withColumn("text_key", text_key()), run, "doc_id long, text_key long, node long, keys array<long>")
 
 
 def weighted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def near_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) of every row.
+    """(doc_id, class_id, class_size, kept, text_key) of every row.
 
     A class holds the documents that links of at least `threshold` connect, among them all with equal
     weighted sets; class_id is its smallest doc_id, and that row is kept (rows that repeat this id
@@ -243,7 +243,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     classes = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     labelled = labelled.join(classes, "component").select("node", "class_id", "class_size")
     class_id = F.coalesce("class_id", "doc_id")
-    return described.select("doc_id", "node").join(labelled, "node", "left").select(
+    return described.select("doc_id", "text_key", "node").join(labelled, "node", "left").select(
         "doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.col("doc_id").eqNullSafe(class_id).alias("kept"),
+        F.col("doc_id").eqNullSafe(class_id).alias("kept"), "text_key",
     )

@@ -57,7 +57,7 @@ def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prob_minhash.near_classes(table(spark, sf_dir, "documents"))
+    return prob_minhash.near_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 REGISTRY = {

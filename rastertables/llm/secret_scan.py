@@ -237,11 +237,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of its texts replaced; overlapping spans are replaced together.
+    """docs with every span of its texts replaced, and `redacted`; overlapping spans go together.
 
-    All rows stay; a null text stays null. The columns are those of docs.
+    All rows stay; a null text stays null.
     """
     found = scan(docs, rules)
+    found = found.withColumn("redacted", F.size("spans") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

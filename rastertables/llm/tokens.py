@@ -13,7 +13,8 @@ from .words import ragged
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 600_000
+CACHED_PIECES = 500_000
+_TOGETHER = 2000
 
 
 class _Codes(dict):
@@ -83,27 +84,29 @@ _LATIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
 _LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _SPACE = "\t-\r \u0085\u00a0"
-_UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+_UNIT = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+_ASCII_UNIT = re.compile("[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\t-\\r a-z0-9]+")
 #: Characters that str.split() takes for white space and the vocabulary's own pattern does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _is_unit(piece: str) -> bool:
-    return _UNIT.fullmatch(piece) is not None and _LATIN.fullmatch(piece) is not None and "<|" not in piece
+def _split_at_space(text: str) -> list[str]:
+    """What stands between white space; a text with odd characters stays whole."""
+    return [text] if text and any(c in text for c in _ODD_SPACE) else text.split()
 
 
-def _word_pieces(text: str) -> list[str]:
-    """Pieces of a text that encode independently: units, else what stands between white space."""
-    if "<|" not in text and _LATIN.fullmatch(text):
-        return _UNIT.findall(text.lower())
-    if _ODD_SPACE.search(text):
-        return [text]
-    return text.split()
+def _units(piece: str) -> list[str]:
+    if "<|" not in piece and _LATIN.fullmatch(piece):
+        return (_ASCII_UNIT if piece.isascii() else _UNIT).findall(piece.lower())
+    return _split_at_space(piece)
 
 
 def word_encoder(path: str) -> PieceEncoder:
-    """Encoder of a word vocabulary that drops white space; one per worker and file."""
+    """Encoder of a word vocabulary that drops white space; one per worker and file.
+
+    Words as they stand in a text are remembered, and so are the units that new words are made of.
+    """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -113,20 +116,25 @@ def word_encoder(path: str) -> PieceEncoder:
         last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Single units are encoded together: each ends with its only id that closes a word."""
-            single = np.fromiter(map(_is_unit, pieces), bool, len(pieces))
-            joined = tokenizer.encode(" ".join(p for p, s in zip(pieces, single) if s), add_special_tokens=False)
-            ids = np.array(joined.ids, np.uint16)
-            if single.all():
+            parts = [encode_some(pieces[i:i + _TOGETHER]) for i in range(0, len(pieces), _TOGETHER)]
+            return tuple(np.concatenate(p) for p in zip(*parts))
+
+        def encode_some(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Units are encoded together: each ends with its only id that closes a word."""
+            joined = " ".join(pieces)
+            if "<|" not in joined and _LATIN.fullmatch(joined) and _UNIT.findall(joined) == pieces:
+                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, np.uint16)
                 return ids, np.diff(np.flatnonzero(last[ids]), prepend=-1)
-            parts = np.empty(len(pieces), object)
-            closed = np.flatnonzero(last[ids]) + 1
-            parts[single] = [ids[a:b] for a, b in zip(np.concatenate([[0], closed]), closed)]
-            others = [p for p, s in zip(pieces, single) if not s]
-            parts[~single] = [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch(others, add_special_tokens=False)]
-            return np.concatenate(list(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
-
-        _encoders[path] = PieceEncoder(_word_pieces, encode, np.uint16)
+            found = [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+        units = PieceEncoder(_units, encode, np.uint16, CACHED_PIECES // 2)
+
+        def encode_words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, ends = units(pieces)
+            return ids, np.diff(ends)
+
+        _encoders[path] = PieceEncoder(_split_at_space, encode_words, np.uint16)
     return _encoders[path]
 
 
