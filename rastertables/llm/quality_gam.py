@@ -127,24 +127,25 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
     return np.concatenate([_tree(g[:cut], h[:cut], depth - 1), _tree(g[cut:], h[cut:], depth - 1)])
 
 
+def _cut_scores(g: np.ndarray, h: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """For each row of bins the best sum of G^2 / H over the two sides of a cut."""
+    left_g, left_h = np.cumsum(g, 1), np.cumsum(h, 1)
+    right_g, right_h = left_g[:, -1:] - left_g, left_h[:, -1:] - left_h
+    return (left_g**2 / (left_h + smooth) + right_g**2 / (right_h + smooth)).max(1)
+
+
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """Best cut along one axis, then one along the other axis on either side; gain and values."""
-    gain, cut = _best_cut(g.sum(1), h.sum(1))
-    turned, other = _best_cut(g.sum(0), h.sum(0))
-    if turned > gain:
-        total, values = _pair_tree_along(g.T, h.T, other)
-        return total, values.T
-    return _pair_tree_along(g, h, cut)
-
-
-def _pair_tree_along(g: np.ndarray, h: np.ndarray, cut: int) -> tuple[float, np.ndarray]:
-    sides = [slice(0, cut), slice(cut, None)] if cut else [slice(None)]
-    values, total = np.zeros_like(g), 0.0
-    for side in sides:
-        part = _tree(g[side].sum(0), h[side].sum(0), 1)
-        values[side] = part
-        total += float((part * g[side].sum(0)).sum())
-    return total, values
+    """The best cut along one axis with a cut along the other axis on either side; gain and values."""
+    best = (-np.inf, 0, False)
+    for turned in (False, True):
+        a, b = (g.T, h.T) if turned else (g, h)
+        top_g, top_h = np.cumsum(a, 0)[:-1], np.cumsum(b, 0)[:-1]
+        scores = _cut_scores(top_g, top_h) + _cut_scores(a.sum(0) - top_g, b.sum(0) - top_h)
+        best = max(best, (float(scores.max()), int(scores.argmax()) + 1, turned))
+    score, cut, turned = best
+    a, b = (g.T, h.T) if turned else (g, h)
+    values = np.vstack([np.tile(_tree(a[s].sum(0), b[s].sum(0), 1), (a[s].shape[0], 1)) for s in (slice(0, cut), slice(cut, None))])
+    return score - float(g.sum() ** 2 / (h.sum() + 1.0)), values.T if turned else values
 
 
 def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, rounds: int = ROUNDS, pairs: int = PAIRS, rate: float = RATE) -> AdditiveModel:
