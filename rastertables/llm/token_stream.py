@@ -18,6 +18,9 @@ from .common import arrow_pass, texts
 from .tokens import END_ID, WORD_VOCABULARY, public_path, word_encoder
 from .words import row_slices, text_buffer
 
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 1 << 22
+
 BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary"
 
 
@@ -36,8 +39,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
     size = 0
     for batch in batches:
         _, offsets = text_buffer(batch["text"])
-        for low, high in row_slices(offsets):
-            ids, ends = encoder(batch["text"].slice(low, high - low).to_pylist())
+        for low, high in row_slices(offsets, ENCODED_BYTES):
+            ids, ends = encoder(batch["text"].slice(low, high - low))
             ids = np.insert(ids, ends[1:], end_id)
             ends = ends + np.arange(len(ends))
             for doc, begin, end in zip(batch["doc_id"].slice(low, high - low).to_pylist(), ends, ends[1:]):

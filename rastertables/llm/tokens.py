@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
-from itertools import chain, islice
+from collections.abc import Callable, Iterable
+from itertools import chain, compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import ragged
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 500_000
+CACHED_PIECES = 800_000
 _TOGETHER = 2000
 
 
@@ -34,19 +36,26 @@ class PieceEncoder:
 
     `split` cuts a text into pieces whose ids, one after the other, are the text's ids. `encode`
     gives the ids of a list of pieces, one after the other, and how many each has. About `limit`
-    pieces and those of one call are held; beyond that the later half is forgotten.
+    pieces and those of one call are held; beyond that only those seen more often stay.
     """
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable, dtype, limit: int = CACHED_PIECES):
         self.split, self.encode, self.dtype, self.limit = split, encode, dtype, limit
         self.codes = _Codes()
+        self.seen = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, dtype)
         self.starts = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
+        often = 2
+        while (self.seen >= often).sum() > self.limit // 2:
+            often *= 2
+        stay = np.flatnonzero(self.seen >= often)
         kept = _Codes()
-        kept.update(islice(self.codes.items(), self.limit // 2))
-        self.codes, self.starts = kept, self.starts[:len(kept) + 1].copy()
+        kept.update(zip(compress(self.codes, (self.seen >= often).tolist()), range(len(stay))))
+        lengths = np.diff(self.starts)[stay]
+        self.flat = np.append(self.flat[ragged(self.starts[stay], lengths)], np.zeros(1 << 16, self.dtype))
+        self.codes, self.starts, self.seen = kept, np.concatenate([[0], np.cumsum(lengths)]), np.ones(len(stay), np.int32)
 
     def _learn(self) -> None:
         ids, counts = self.encode(self.codes.fresh)
@@ -58,25 +67,41 @@ class PieceEncoder:
         self.flat[used:ends[-1]] = ids
         self.starts = np.concatenate([self.starts, ends])
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers of all texts, and how many pieces each text has."""
+    def look_up(self, pieces: Iterable[str], n: int) -> np.ndarray:
+        """Numbers of n pieces, the new ones encoded; good until the next call."""
         if len(self.codes) > self.limit:
             self._forget()
-        found = [self.split(t) for t in texts]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, n)
         if self.codes.fresh:
             self._learn()
-        return codes, counts
+        return codes
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's ids begin (texts + 1 values)."""
-        codes, counts = self.pieces(texts)
+    def ids(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, of `counts` pieces each, and where each text's begin."""
+        seen = np.bincount(codes, minlength=len(self.codes))
+        seen[:len(self.seen)] += self.seen
+        self.seen = seen
         lengths = self.starts[codes + 1] - self.starts[codes]
         ids = self.flat[ragged(self.starts[codes], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids begin (texts + 1 values)."""
+        found = [self.split(t) for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return self.ids(self.look_up(chain.from_iterable(found), int(counts.sum())), counts)
+
+
+class WordEncoder(PieceEncoder):
+    """Pieces are what stands between ASCII white space; each is looked up once in a column."""
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = pc.ascii_split_whitespace(texts)
+        words = found.flatten().dictionary_encode()
+        known = self.look_up(words.dictionary.to_pylist(), len(words.dictionary))
+        return self.ids(known[words.indices.to_numpy()], found.value_lengths().to_numpy())
+
 
 #: Texts of these characters, without a special token's opening, are cut into the vocabulary's own
 #: units here, in lower case. In this range normalisation leaves characters as they are.
@@ -88,24 +113,21 @@ _UNIT = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACE}
 _ASCII_UNIT = re.compile("[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\t-\\r a-z0-9]+")
 #: Characters that str.split() takes for white space and the vocabulary's own pattern does not.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def _split_at_space(text: str) -> list[str]:
-    """What stands between white space; a text with odd characters stays whole."""
-    return [text] if text and any(c in text for c in _ODD_SPACE) else text.split()
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _units(piece: str) -> list[str]:
+    """Parts of a piece that encode independently: units, else what stands between white space."""
     if "<|" not in piece and _LATIN.fullmatch(piece):
         return (_ASCII_UNIT if piece.isascii() else _UNIT).findall(piece.lower())
-    return _split_at_space(piece)
+    return [piece] if any(c in piece for c in _ODD_SPACE) else piece.split()
 
 
-def word_encoder(path: str) -> PieceEncoder:
-    """Encoder of a word vocabulary that drops white space; one per worker and file.
+def word_encoder(path: str) -> WordEncoder:
+    """Encoder of a word vocabulary that drops white space, for Arrow columns without nulls.
 
-    Words as they stand in a text are remembered, and so are the units that new words are made of.
+    One per worker and file. Words are remembered as they stand in texts, and so are the units, in
+    lower case and without punctuation, that new words are made of.
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,11 +152,11 @@ def word_encoder(path: str) -> PieceEncoder:
 
         units = PieceEncoder(_units, encode, np.uint16, CACHED_PIECES // 2)
 
-        def encode_words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids, ends = units(pieces)
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, ends = units(words)
             return ids, np.diff(ends)
 
-        _encoders[path] = PieceEncoder(_split_at_space, encode_words, np.uint16)
+        _encoders[path] = WordEncoder(str.split, encode_words, np.uint16)
     return _encoders[path]
 
 

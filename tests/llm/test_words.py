@@ -52,7 +52,7 @@ ODD = ["", " ", "Don't STOP!! 12ab", "a\x1cb c", "é ́ İ Σ ΑΣ ſ", "<|endof
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=30), TEXT), min_size=1, max_size=6))
 def test_word_encoder_equals_library(library, texts):
-    ids, ends = tokens.word_encoder(tokens.public_path(tokens.WORD_VOCABULARY))(texts)
+    ids, ends = tokens.word_encoder(tokens.public_path(tokens.WORD_VOCABULARY))(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
