@@ -81,7 +81,6 @@ SELECT {scene_key('label + 1')} AS scene_key, 80 AS width, CAST(8 * ceil(count(*
   CASE WHEN label % 3 = 1 THEN -100e0 WHEN label = 2 THEN -10e0 ELSE -0.001e0 END AS e,
   CASE WHEN label % 3 = 1 THEN 12900000e0 - 30000e0 * label WHEN label = 2 THEN 8300000e0 ELSE 75e0 - 0.3e0 * label END AS f
 FROM embeddings GROUP BY label""")
-cte("checkable", "SELECT * FROM scenes WHERE epsg IS NULL OR epsg IN (4326, 3857)")
 cte("valid", "SELECT * FROM pixels WHERE isfinite(value) AND abs(value) > 1e-12")
 
 
@@ -107,7 +106,7 @@ FROM valid v JOIN kept{tag} k ON v.scene_key = k.scene_key AND v.px // {size} *
 WINDOW w AS (PARTITION BY k.scene_key, k.tile_x, k.tile_y ORDER BY py, px)""")
     cte(f"sampled{tag}", f"SELECT scene_key, tile_x, tile_y, value FROM ordered{tag} WHERE rn % step = 0 AND rn // step < 16")
     cte(f"bounds{tag}", f"""
-SELECT scene_key, quantile_cont(value, 0.02) AS low, quantile_cont(value, 0.98) AS high FROM sampled{tag}
+SELECT scene_key, quantile_cont(value, 0.02) AS low, quantile_cont(value, 0.98) AS high FROM ordered{tag}
 GROUP BY scene_key HAVING quantile_cont(value, 0.98) - quantile_cont(value, 0.02) <> 0""")
     cte(f"grey{tag}", f"""
 SELECT k.scene_key, k.tile_x, k.tile_y, k.tile_width, k.tile_height, v.px, v.py,
@@ -130,13 +129,33 @@ grid_ctes("_first", 8, "0.5")
 grid_ctes("_12", 12, "0.08")
 
 
+# WGS84 ellipsoid and the Krueger series of the inverse transverse Mercator.
+_N = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+_SCALE = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+         17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+          56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+
+
+def _utm(px: str, py: str) -> tuple[str, str]:
+    xi, eta = f"((d*{px}+e*{py}+f) / {_SCALE!r})", f"((a*{px}+b*{py}+c - 500000e0) / {_SCALE!r})"
+    terms = list(enumerate(_BETA, 1))
+    u = f"({xi}" + "".join(f" - {b!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, b in terms) + ")"
+    v = f"({eta}" + "".join(f" - {b!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, b in terms) + ")"
+    chi = f"asin(sin({u}) / cosh({v}))"
+    lat = f"degrees({chi}" + "".join(f" + {d!r} * sin({2 * j} * {chi})" for j, d in enumerate(_DELTA, 1)) + ")"
+    return f"(epsg % 100 * 6 - 183 + degrees(atan2(sinh({v}), cos({u}))))", lat
+
+
 def lon(px: str, py: str) -> str:
-    return f"round(CASE epsg WHEN 4326 THEN a*{px}+b*{py}+c ELSE (a*{px}+b*{py}+c) / 6378137e0 * (180e0 / pi()) END, 9)"
+    return (f"round(CASE epsg WHEN 4326 THEN a*{px}+b*{py}+c WHEN 3857 THEN (a*{px}+b*{py}+c) / 6378137e0 * (180e0 / pi()) "
+            f"ELSE {_utm(px, py)[0]} END, 9)")
 
 
 def lat(px: str, py: str) -> str:
-    return (f"round(CASE epsg WHEN 4326 THEN d*{px}+e*{py}+f ELSE "
-            f"(2e0 * atan(exp((d*{px}+e*{py}+f) / 6378137e0)) - pi() / 2) * (180e0 / pi()) END, 9)")
+    return (f"round(CASE epsg WHEN 4326 THEN d*{px}+e*{py}+f WHEN 3857 THEN "
+            f"(2e0 * atan(exp((d*{px}+e*{py}+f) / 6378137e0)) - pi() / 2) * (180e0 / pi()) ELSE {_utm(px, py)[1]} END, 9)")
 
 
 def corner_sql(source: str) -> str:
@@ -144,7 +163,7 @@ def corner_sql(source: str) -> str:
     nodes = {"top_left": (x0, y0), "top_right": (x1, y0), "bottom_right": (x1, y1), "bottom_left": (x0, y1)}
     columns = ", ".join(f"{lon(*n)} AS {c}_lon, {lat(*n)} AS {c}_lat" for c, n in nodes.items())
     return (f"SELECT filename, scene_key AS source_object_key, {columns}, tile_x, tile_y, tile_width, tile_height, "
-            f"mask_name, ordinal, partial FROM {source} JOIN checkable USING (scene_key) WHERE epsg IS NOT NULL")
+            f"mask_name, ordinal, partial FROM {source} JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL")
 
 
 cte("tiles", corner_sql("named"))
@@ -326,6 +345,7 @@ SELECT scene_key,
 FROM scenes LEFT JOIN (SELECT scene_key, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM valid GROUP BY 1) USING (scene_key)""")
 check("sample_contrast", "SELECT * FROM sampled")
 check("contrast_bounds", "SELECT scene_key, round(low, 12) AS low, round(high, 12) AS high FROM bounds")
+check("scene_bounds", "SELECT scene_key, round(low, 12) AS low, round(high, 12) AS high FROM bounds")
 cte("grey_cells", """
 SELECT k.scene_key, k.tile_x, k.tile_y, k.tile_width, k.tile_height, CAST(r.n AS INT) AS "at", coalesce(g.grey, 0) AS grey
 FROM kept k JOIN bounds USING (scene_key), range(64) r(n)
@@ -348,7 +368,7 @@ SELECT scene_key, tile_x, tile_y, tile_width, tile_height, valid_count < total_c
   CASE WHEN valid_count < total_count THEN '.png' ELSE '.jpg' END AS extension, valid_count AS opaque_cells FROM kept""")
 check("pixel_to_wgs84", f"""
 SELECT scene_key, px, py, CASE WHEN epsg IS NOT NULL THEN {lon('px', 'py')} END AS lon, CASE WHEN epsg IS NOT NULL THEN {lat('px', 'py')} END AS lat
-FROM pixels JOIN checkable USING (scene_key)""")
+FROM pixels JOIN scenes USING (scene_key)""")
 check("tile_corners", "SELECT * EXCLUDE (ordinal, partial) FROM tiles")
 
 # --- keyed state ----------------------------------------------------------------------
@@ -631,7 +651,7 @@ _STATUS = r"""
 SELECT object_key, CASE WHEN NOT regexp_matches(lower(object_key), '\.tiff?$') THEN 'skipped' WHEN NOT known THEN 'failed' WHEN n IS NULL THEN 'empty' ELSE 'processed' END AS status,
   CASE WHEN NOT regexp_matches(lower(object_key), '\.tiff?$') THEN 'validate_input' WHEN NOT known THEN 'failed' ELSE 'completed' END AS stage,
   coalesce(n, 0) AS tile_count, CASE WHEN known THEN coalesce(n, 0) END AS progress_total
-FROM (SELECT scene_key AS object_key, true AS known FROM checkable UNION SELECT object_key, false FROM raw_listing) LEFT JOIN tile_counts USING (object_key)"""
+FROM (SELECT scene_key AS object_key, true AS known FROM scenes UNION SELECT object_key, false FROM raw_listing) LEFT JOIN tile_counts USING (object_key)"""
 check("scene_status", _STATUS)
 check("notification_stream", "SELECT bucket, object_key, filename FROM parsed WHERE object_key <> ''")
 check("dedup_keys", "SELECT DISTINCT object_key FROM parsed WHERE object_key <> ''")

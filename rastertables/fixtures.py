@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rastertables import params as P
 from rastertables.functions import bbox
-from rastertables.operators import blocks, land, masks, raster
+from rastertables.operators import blocks, kernels, land, masks, raster
 from rastertables.operators.ranking import number_within
 from rastertables.storage import materialize
 
 CHUNK_SIDE = 8
 GRID_COLUMNS = 10
-PARAMS = P.SceneParams(tile_size=CHUNK_SIDE, contrast_cap=16)
+PARAMS = P.SceneParams(tile_size=CHUNK_SIDE)
+SAMPLE_CAP = 16
 CLIPPED_GRID = replace(PARAMS, tile_size=12)
 FIRST_RUN = replace(PARAMS, min_valid_ratio=0.5)
 
@@ -116,10 +117,10 @@ class Inputs:
             term(F.lit(12900000.0) - label * 30000.0, 8300000.0, F.lit(75.0) - label * 0.3).alias("f"),
         )
 
-    @cached_property
-    def checkable_scenes(self) -> DataFrame:
-        """Scenes whose reference system the SQL check can compute (no UTM)."""
-        return self.scenes.where(F.col("epsg").isNull() | F.col("epsg").isin(4326, 3857))
+    def summaries(self, params: P.SceneParams = PARAMS) -> DataFrame:
+        """Tile summaries of the first pass, written."""
+        tiles = blocks.tiles_from_chunks(self.chunks, self.scenes, params.tile_size)
+        return materialize(kernels.tile_summaries(tiles, params), "summaries")
 
     def kept(self, params: P.SceneParams = PARAMS) -> DataFrame:
         return raster.valid_tiles(
@@ -127,7 +128,7 @@ class Inputs:
         )
 
     def bounds(self, params: P.SceneParams = PARAMS) -> DataFrame:
-        return raster.contrast_bounds(raster.sample_contrast(self.kept(params), params.contrast_cap))
+        return raster.contrast_bounds(raster.valid_values(self.kept(params)))
 
     def stretched(self, params: P.SceneParams = PARAMS) -> DataFrame:
         return raster.stretch(self.kept(params), self.bounds(params))
@@ -143,7 +144,7 @@ class Inputs:
 
     def build_tiles(self, params: P.SceneParams = PARAMS) -> DataFrame:
         """The tiles table, corners rounded to nine decimals."""
-        cornered = raster.tile_corners(self.numbered(params), self.checkable_scenes)
+        cornered = raster.tile_corners(self.numbered(params), self.scenes)
         corner_names = [c for c in cornered.columns if c.endswith(("_lon", "_lat"))]
         return cornered.withColumns({c: F.round(c, 9) for c in corner_names}).select(
             "filename", F.col("scene_key").alias("source_object_key"), *corner_names,

@@ -88,7 +88,12 @@ def pixels_from_blocks(tiles: DataFrame) -> DataFrame:
 
 
 def tiles_from_chunks(chunks: DataFrame, scenes: DataFrame, tile_size: int) -> DataFrame:
-    """Cut storage chunks into the processing grid.
+    """Cut storage chunks into the processing grid."""
+    return laid_out_tiles(chunks, scenes, tile_size)[0]
+
+
+def laid_out_tiles(chunks: DataFrame, scenes: DataFrame, tile_size: int) -> tuple[DataFrame, bool]:
+    """Tiles of the processing grid, and whether every storage chunk is one already.
 
     A chunk that already is a whole tile passes through without a shuffle. The others are cut
     into row segments, so the shuffle moves arrays and not single cells. The layout columns
@@ -109,7 +114,7 @@ def tiles_from_chunks(chunks: DataFrame, scenes: DataFrame, tile_size: int) -> D
         h.alias("tile_height"), "band",
     )
     if layout["whole"] == layout["chunks"]:
-        return aligned
+        return aligned, True
     by_row = placed.where(~whole).withColumn("line", F.explode(F.sequence(F.lit(0), h - 1)))
     by_segment = by_row.withColumn(
         "tile_x", F.explode(F.sequence(tile_origin(x, tile_size), tile_origin(x + w - 1, tile_size), F.lit(tile_size)))
@@ -129,7 +134,7 @@ def tiles_from_chunks(chunks: DataFrame, scenes: DataFrame, tile_size: int) -> D
         )
     )
     cut = _gathered(segments)
-    return cut if layout["whole"] == 0 else aligned.unionByName(cut)
+    return cut if layout["whole"] == 0 else aligned.unionByName(cut), False
 
 
 def pixels_from_chunks(chunks: DataFrame) -> DataFrame:

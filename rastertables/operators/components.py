@@ -17,8 +17,6 @@ from rastertables.operators.masks import run
 from rastertables.shipping import ship_package
 from rastertables.storage import materialize
 
-MAX_ROUNDS = 64
-
 
 def label_runs(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
     """Smallest run index of the component each run belongs to. Runs are in scan order.
@@ -153,14 +151,17 @@ def connected_components(edges: DataFrame, key: str) -> DataFrame:
     and is written to the shared folder. Nodes that are their own root give no row.
     """
     current = materialize(_directed(edges, key), "cc-start")
-    known = _signature(current)
-    for _ in range(MAX_ROUNDS):
+    while _unsettled(current, key):
         current = materialize(_small_star(_large_star(current, key), key), "cc-round")
-        signature = _signature(current)
-        if signature == known:
-            return current.select(key, "u", F.col("v").alias("root"))
-        known = signature
-    raise RuntimeError("components did not settle")
+    return current.select(key, "u", F.col("v").alias("root"))
+
+
+def _unsettled(edges: DataFrame, key: str) -> bool:
+    """True while a node has two parents or hangs on a node that hangs itself."""
+    roles = edges.select(key, F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(key, F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = roles.groupBy(key, "node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _directed(edges: DataFrame, key: str) -> DataFrame:
@@ -185,10 +186,6 @@ def _small_star(edges: DataFrame, key: str) -> DataFrame:
     return moved.unionByName(lowest.select(key, "u", F.col("m").alias("v"))).distinct()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.col("u") - F.col("v")).cast("decimal(38,0)"))).first())
-
-
 def scene_runs(masked: DataFrame) -> DataFrame:
     """Runs in scene coordinates: scene_key, row, c0, c1."""
     runs = masked.select(*TILE, F.explode("runs").alias("r"))

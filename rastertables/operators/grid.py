@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rastertables import params as P
 from rastertables.functions import bbox
@@ -50,10 +50,18 @@ def validate_corners(tiles: DataFrame, tolerance: float = P.CORNER_TOLERANCE) ->
         (F.coalesce("mismatches", zero) == 0).alias("consistent"))
 
 
-def mismatch_examples(tiles: DataFrame, source: str, tolerance: float = P.CORNER_TOLERANCE) -> DataFrame:
-    """The first few mismatches of one scene, for its failure text."""
-    checks = neighbour_checks(tiles.where(F.col("source_object_key") == source))
-    return checks.where(F.col("delta") > tolerance).orderBy("filename", "neighbour", "edge").limit(EXAMPLES)
+def with_examples(checked: DataFrame, tiles: DataFrame, tolerance: float = P.CORNER_TOLERANCE) -> DataFrame:
+    """Checked scenes with up to eight mismatches as text, the first by name.
+
+    Only tiles of scenes that failed are looked at again.
+    """
+    failing = tiles.join(checked.where("not consistent").select("source_object_key"), "source_object_key", "left_semi")
+    off = neighbour_checks(failing).where(F.col("delta") > tolerance)
+    text = F.format_string("%s / %s (%s): %.3e", "filename", "neighbour", "edge", "delta")
+    ranked = off.select("source_object_key", text.alias("text")).withColumn("place", F.row_number().over(
+        Window.partitionBy("source_object_key").orderBy("text"))).where(F.col("place") <= EXAMPLES)
+    first = ranked.groupBy("source_object_key").agg(F.array_sort(F.collect_list("text")).alias("examples"))
+    return checked.join(first, "source_object_key", "left")
 
 
 def footprint_sides(tiles: DataFrame) -> DataFrame:

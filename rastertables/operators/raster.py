@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rastertables import params as P
 from rastertables.functions import names
 from rastertables.functions.bbox import CORNERS
-from rastertables.functions.crs import pixel_to_wgs84
+from rastertables.functions.crs import is_supported, pixel_to_wgs84
+from rastertables.operators import kernels
 from rastertables.operators.blocks import SIZED_TILE, TILE, computed_once
 from rastertables.operators.ranking import number_within
 from rastertables.operators.selection import exact_quantiles
@@ -77,11 +78,14 @@ def _aligned_window(scenes: DataFrame, tile_size: int) -> DataFrame:
     )
 
 
-def data_window(pixels: DataFrame, scenes: DataFrame, params: P.SceneParams) -> DataFrame:
-    """Tile-aligned extent of the valid cells of each scene; the whole raster if none is."""
-    extent = valid_pixels(pixels, params.background_epsilon).groupBy("scene_key").agg(
-        F.min("px").alias("min_px"), F.min("py").alias("min_py"),
-        F.max("px").alias("max_px"), F.max("py").alias("max_py"),
+def data_window(summaries: DataFrame, scenes: DataFrame, params: P.SceneParams) -> DataFrame:
+    """Tile-aligned extent of the valid cells of each scene; the whole raster if none is.
+
+    Takes tile summaries, which know the extent of their valid cells; no cell becomes a row.
+    """
+    extent = summaries.groupBy("scene_key").agg(
+        F.min(F.col("tile_x") + F.col("min_col")).alias("min_px"), F.min(F.col("tile_y") + F.col("min_row")).alias("min_py"),
+        F.max(F.col("tile_x") + F.col("max_col")).alias("max_px"), F.max(F.col("tile_y") + F.col("max_row")).alias("max_py"),
     )
     return _aligned_window(scenes.join(extent, "scene_key", "left"), params.tile_size)
 
@@ -96,17 +100,63 @@ def sample_contrast(kept: DataFrame, cap: int) -> DataFrame:
     return stepped.select(*TILE, F.explode(spaced).alias("value"))
 
 
-def contrast_bounds(sample: DataFrame) -> DataFrame:
-    """Low and high quantile per scene; scenes with no range are left out.
+def valid_values(kept: DataFrame) -> DataFrame:
+    """Every valid value of the kept tiles as a row."""
+    return computed_once(kept.select(*TILE, "band"), {"values": F.array_compact("band")}).select(
+        *TILE, F.explode("values").alias("value"))
 
-    This is the barrier between the two passes: the sample and the bounds are written.
-    """
+
+def contrast_bounds(values: DataFrame) -> DataFrame:
+    """Low and high quantile of value rows per scene; scenes with no range are left out."""
     low, high = P.CONTRAST_QUANTILES
-    written = materialize(sample.select("scene_key", "value"), "contrast-sample")
+    written = materialize(values.select("scene_key", "value"), "contrast-values")
     bounds = exact_quantiles(written, "scene_key", "value", {"low": low, "high": high})
     return materialize(bounds.where(F.col("high") - F.col("low") != 0), "contrast-bounds")
 
 
+def scene_bounds(tiles: DataFrame, kept: DataFrame, params: P.SceneParams) -> DataFrame:
+    """Bounds as in contrast_bounds, of all valid cells, without a row for each cell.
+
+    `kept` holds the written summaries of the tiles that count. Their buckets tell which of them hold
+    the wanted ranks; only tiles with values there are read again, and of these values only the
+    different ones travel, with their numbers.
+    """
+    fractions = dict(zip(("low", "high"), P.CONTRAST_QUANTILES))
+    in_order = Window.partitionBy("scene_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = kept.select("scene_key", F.inline("buckets")).groupBy("scene_key", "bucket").agg(F.sum("n").alias("n"))
+    placed = buckets.withColumns({
+        "before": F.coalesce(F.sum("n").over(in_order), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("scene_key"))})
+
+    def position(fraction: float) -> Column:
+        return F.lit(fraction) * (F.col("total") - 1)
+
+    ends = [end for f in fractions.values() for end in (F.floor(position(f)), F.ceil(position(f)))]
+    hit = placed.withColumn("ranks", F.filter(
+        F.array_distinct(F.array(*ends)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))))
+    hit = materialize(hit.where(F.size("ranks") > 0).drop("n"), "rank-buckets")
+
+    wanted = hit.groupBy("scene_key").agg(F.collect_set("bucket").alias("wanted"))
+    holding = kept.join(broadcast_if_small(wanted), "scene_key").where(F.arrays_overlap("buckets.bucket", "wanted"))
+    chosen = tiles.join(broadcast_if_small(holding.select(*TILE, "wanted")), TILE)
+    values = kernels.wanted_values(chosen, params).groupBy("scene_key", "bucket", "value").agg(F.sum("n").alias("n"))
+    inside = Window.partitionBy("scene_key", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.join(broadcast_if_small(hit), ["scene_key", "bucket"]).withColumn(
+        "stop", F.col("before") + F.sum("n").over(inside))
+    found = ranked.select("scene_key", "total", "value", F.explode(F.filter(
+        "ranks", lambda r: (r >= F.col("stop") - F.col("n")) & (r < F.col("stop")))).alias("rank"))
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col("value")))
+
+    def interpolated(fraction: float) -> Column:
+        at = position(fraction)
+        lower, upper = at_rank(F.floor(at)), at_rank(F.ceil(at))
+        return lower + (upper - lower) * F.max(at - F.floor(at))
+
+    bounds = found.groupBy("scene_key").agg(*(interpolated(f).alias(name) for name, f in fractions.items()))
+    return materialize(bounds.where(F.col("high") - F.col("low") != 0), "contrast-bounds")
+
+
 def grey_value(value: Column) -> Column:
     """0..255 between the scene bounds; invalid cells are 0."""
     scaled = F.lit(255.0) * ((value - F.col("low")) / (F.col("high") - F.col("low")))
@@ -158,11 +208,11 @@ def name_tiles(numbered: DataFrame) -> DataFrame:
 
 
 def tile_corners(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Eight corner columns; scenes without a reference system drop out."""
+    """Eight corner columns; scenes without a known reference system drop out."""
     x0, y0 = F.col("tile_x"), F.col("tile_y")
     x1, y1 = x0 + F.col("tile_width"), y0 + F.col("tile_height")
     nodes = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
-    frame = scenes.where(F.col("epsg").isNotNull()).select("scene_key", "epsg", *"abcdef")
+    frame = scenes.where(is_supported(F.col("epsg"))).select("scene_key", "epsg", *"abcdef")
     placed = tiles.join(broadcast_if_small(frame, counted=scenes.select("scene_key")), "scene_key")
     placed = placed.withColumn("points", F.transform(nodes, lambda n: pixel_to_wgs84(n["x"], n["y"])))
     flat = {

@@ -18,7 +18,6 @@ from rastertables.storage import broadcast_if_small, materialize
 EAST, SOUTH, WEST, NORTH = range(4)
 STEP_X = np.array([1, 0, -1, 0])
 STEP_Y = np.array([0, 1, 0, -1])
-MAX_ROUNDS = 64
 
 
 def boundary_edges(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,8 +137,8 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
                         F.when(F.col("next") < F.col("id"), 1).otherwise(0).cast("bigint").alias("hops")),
         "ring-state")
     # `low` is the smallest id among the 2 * span edges from this one on, `hops` the way to it
-    span = 2
-    for _ in range(MAX_ROUNDS):
+    span, changed = 2, True
+    while changed:
         other = state.select(key, F.col("id").alias("next"), F.col("next").alias("far"),
                              F.col("low").alias("far_low"), F.col("hops").alias("far_hops"))
         # the window of `next` starts where ours ends after `reach` steps
@@ -152,10 +151,7 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
             F.when(lower, F.col("far_hops") + reach).otherwise(F.col("hops")).alias("hops"),
             lower.alias("changed")), "ring-state")
         span *= 2
-        if state.where("changed").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("rings did not settle")
+        changed = not state.where("changed").isEmpty()
     lengths = state.groupBy(key, "low").agg(F.count(F.lit(1)).alias("length"))
     placed = state.join(lengths, [key, "low"]).select(
         key, "id", F.col("low").alias("ring"), F.pmod(F.col("length") - F.col("hops"), F.col("length")).alias("seq"))

@@ -38,7 +38,6 @@ class SceneParams:
 
     tile_size: int = 1000
     min_valid_ratio: float = 0.08
-    contrast_cap: int = 2048
     background_epsilon: float = BACKGROUND_EPSILON
     mask_threshold: int = 128
     min_fill_ratio: float = 0.05

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rastertables import params as P, schemas
 from rastertables.functions import bbox, names
+from rastertables.functions.crs import is_supported
 from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.operators.kernels import Predictor
@@ -42,23 +43,42 @@ class SceneRun:
 
 
 def cut_tiles(
-    chunks: DataFrame, scenes: DataFrame, load: Callable[[], Predictor], params: P.SceneParams, model: str = "default"
-) -> DataFrame:
-    """Surviving tiles with their mask runs, written.
+    chunks: DataFrame, scenes: DataFrame, load: Callable[[], Predictor], params: P.SceneParams
+) -> tuple[DataFrame, DataFrame]:
+    """Surviving tiles with their mask runs, and the tiles that failed with their error; written.
 
-    First pass: quality gate and contrast sample. Second pass: stretch, segment. The cells
-    stay in the row of their tile and go to Python once per pass; what is written is small.
+    First pass: statistics and value buckets of every tile. Then the values that decide the contrast of
+    a scene, from the tiles that hold them. Last pass, over kept tiles only: stretch, segment. The
+    cells stay in the row of their tile; what is written is small. Tiles that have to be cut from
+    other chunks are written once, so that their cells are shuffled once.
     """
-    located = scenes.where(F.col("epsg").isNotNull())
-    tiles = blocks.tiles_from_chunks(chunks, located, params.tile_size)
-    sample = kernels.tile_summaries(tiles, params).select("scene_key", F.explode("sample").alias("value"))
-    bounds = raster.contrast_bounds(sample)
-    return materialize(kernels.masked_tiles(raster.with_bounds(tiles, bounds), params, load, model), "cut-tiles")
+    located = scenes.where(is_supported(F.col("epsg")))
+    tiles, as_stored = blocks.laid_out_tiles(chunks, located, params.tile_size)
+    if not as_stored:
+        tiles = materialize(tiles, "cut-cells")
+    summaries = materialize(kernels.tile_summaries(tiles, params), "tile-summaries")
+    kept = kernels.good_summaries(summaries, params)
+    bounds = raster.scene_bounds(tiles, kept, params)
+    wanted = tiles.join(broadcast_if_small(kept.select(*TILE)), TILE, "left_semi")
+    cut = materialize(kernels.masked_tiles(raster.with_bounds(wanted, bounds), params, load), "cut-tiles")
+    failed = summaries.where(F.col("error").isNotNull()).select(*TILE, "error").unionByName(
+        cut.where(F.col("error").isNotNull()).select(*TILE, "error"))
+    return cut.where(F.col("error").isNull()).drop("error"), failed
+
+
+def scene_errors(failed: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(scene_key, error): why a scene cannot be finished, one row per such scene."""
+    tiles = failed.groupBy("scene_key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("tile_y", "tile_x", "error")).alias("first"))
+    text = F.format_string("%d tiles failed, first at (%d, %d): %s", "n", "first.tile_x", "first.tile_y", "first.error")
+    unknown = scenes.where(F.col("epsg").isNotNull() & ~is_supported(F.col("epsg")))
+    return tiles.select("scene_key", text.alias("error")).unionByName(unknown.select(
+        "scene_key", F.format_string("reference system EPSG:%d is not supported", "epsg").alias("error")))
 
 
 def tile_table(cut: DataFrame, scenes: DataFrame) -> DataFrame:
     """Numbered, named and located tiles, with their box."""
-    numbered = number_within(cut.drop("runs"), ["scene_key"], ["tile_y"], ["tile_x"], "ordinal")
+    numbered = number_within(cut.drop("runs", "model_missing"), ["scene_key"], ["tile_y"], ["tile_x"], "ordinal")
     cornered = raster.tile_corners(raster.name_tiles(numbered), scenes)
     return cornered.select("*", *bbox.tile_bbox().columns())
 
@@ -90,11 +110,12 @@ def stored_tiles(tiles: DataFrame) -> DataFrame:
 
 def process_scenes(
     keys: DataFrame, chunks: DataFrame, scenes: DataFrame, land_edges: DataFrame | None,
-    load: Callable[[], Predictor], params: P.SceneParams = P.SceneParams(), model: str = "default",
+    load: Callable[[], Predictor], params: P.SceneParams = P.SceneParams(),
 ) -> SceneRun:
     """Run every key (object_key) through cutting, masking, checking and polygonising.
 
-    `load` gives the predictor, which is kept under the name `model` in each Python worker.
+    `load` gives the predictor; each Python worker calls it once. What fails in one scene, be it its
+    reference system, a band, the predictor or its corners, fails that scene alone.
     """
     wanted = keys.where(names.is_geotiff(F.col("object_key"))).select(F.col("object_key").alias("scene_key")).distinct()
     chosen = materialize(scenes.join(wanted, "scene_key", "left_semi"), "chosen-scenes")
@@ -102,19 +123,24 @@ def process_scenes(
         return _nothing_cut(keys, chosen)
     own_chunks = chunks.join(broadcast_if_small(chosen.select("scene_key")), "scene_key", "left_semi")
 
-    cut = cut_tiles(own_chunks, chosen, load, params, model)
-    tiles = materialize(tile_table(cut, chosen), "tiles")
-    masked = materialize(land.clip_mask_to_water(cut.select(*SIZED_TILE, "runs"), tiles, land_edges), "masks")
-
-    checked = grid.validate_corners(stored_tiles(tiles), params.corner_tolerance)
-    sound = materialize(checked.select(F.col("source_object_key").alias("scene_key"), "checked", "consistent"), "corner-checks")
-    passed = sound.where("consistent").select("scene_key")
-    polygons = materialize(
-        mask_polygons(masked.join(broadcast_if_small(passed), "scene_key", "left_semi"), tiles, land_edges, params),
-        "polygons")
+    cut, failed = cut_tiles(own_chunks, chosen, load, params)
+    errors = materialize(scene_errors(failed, chosen), "scene-errors")
+    cut = cut.join(broadcast_if_small(errors.select("scene_key")), "scene_key", "left_anti")
+    located = materialize(tile_table(cut, chosen), "located-tiles")
+
+    checked = grid.validate_corners(stored_tiles(located), params.corner_tolerance)
+    checks = materialize(grid.with_examples(checked, stored_tiles(located), params.corner_tolerance), "corner-checks")
+    sound = checks.where("consistent").select(F.col("source_object_key").alias("scene_key"))
+    tiles = materialize(located.join(broadcast_if_small(sound), "scene_key", "left_semi"), "tiles")
+    masked = materialize(land.clip_mask_to_water(cut.join(broadcast_if_small(sound), "scene_key", "left_semi").select(
+        *SIZED_TILE, "runs"), tiles, land_edges), "masks")
+    polygons = materialize(mask_polygons(masked, tiles, land_edges, params), "polygons")
     merged = merged_outlines(polygons, chosen, params) if params.merge_masks else None
     exports = export_keys(polygons)
-    results = scene_status(keys, chosen, tiles, sound, exports)
+    broken = checks.where("not consistent").select(F.col("source_object_key").alias("scene_key"), F.format_string(
+        "%d of %d corners of neighbouring tiles disagree: %s", "mismatches", "checked", F.array_join("examples", "; ")).alias("error"))
+    warnings = cut.where("model_missing").select("scene_key").distinct()
+    results = scene_status(keys, chosen, tiles, errors.unionByName(broken), exports, warnings)
     return SceneRun(stored_tiles(tiles), masked, polygons, merged, exports, results)
 
 
@@ -130,47 +156,55 @@ def _nothing_cut(keys: DataFrame, chosen: DataFrame) -> SceneRun:
     """A cycle in which no offered key has a raster, for example retries only."""
     empty = lambda schema: keys.sparkSession.createDataFrame([], schema)
     tiles, polygons = empty(STORED_TILES), empty(POLYGONS)
-    checks = empty("scene_key string, checked bigint, consistent boolean")
     results = scene_status(
-        keys, chosen, tiles.withColumnRenamed("source_object_key", "scene_key"), checks, export_keys(polygons))
+        keys, chosen, tiles.withColumnRenamed("source_object_key", "scene_key"),
+        empty("scene_key string, error string"), export_keys(polygons), empty("scene_key string"))
     return SceneRun(tiles, empty(MASKS), polygons, None, export_keys(polygons), results)
 
 
 def scene_status(
-    keys: DataFrame, scenes: DataFrame, tiles: DataFrame, checks: DataFrame, exports: DataFrame
+    keys: DataFrame, scenes: DataFrame, tiles: DataFrame, errors: DataFrame, exports: DataFrame, warnings: DataFrame
 ) -> DataFrame:
-    """Final report per key: skipped, failed, empty or processed."""
+    """Final report per key: skipped, failed, empty or processed.
+
+    `errors` has the reason of every scene that failed. `warnings` names scenes whose model could not be
+    loaded: they are finished with empty masks, and `level` and the details tell so.
+    """
+    def of(frame: DataFrame, *columns) -> DataFrame:
+        return frame.select(F.col("scene_key").alias("object_key"), *columns)
+
     counts = tiles.groupBy(F.col("scene_key").alias("object_key")).agg(F.count(F.lit(1)).cast("int").alias("tile_count"))
     files = exports.groupBy("object_key").agg(F.sort_array(F.collect_set("export_key")).alias("export_keys"))
     joined = (
         keys.select("object_key").distinct()
-        .join(scenes.select(F.col("scene_key").alias("object_key"), F.lit(True).alias("found")), "object_key", "left")
-        .join(counts, "object_key", "left")
-        .join(checks.select(F.col("scene_key").alias("object_key"), "consistent"), "object_key", "left")
-        .join(files, "object_key", "left")
+        .join(of(scenes, F.lit(True).alias("found")), "object_key", "left")
+        .join(counts, "object_key", "left").join(of(errors, "error"), "object_key", "left")
+        .join(of(warnings, F.lit(True).alias("no_model")), "object_key", "left").join(files, "object_key", "left")
     )
     count = F.coalesce("tile_count", F.lit(0))
     no_files = F.array().cast("array<string>")
     files_of = F.coalesce("export_keys", no_files)
     supported = names.is_geotiff(F.col("object_key"))
     status = (
-        F.when(~supported, "skipped").when(F.col("found").isNull(), "failed")
-        .when(~F.coalesce("consistent", F.lit(True)), "failed").when(count == 0, "empty").otherwise("processed")
+        F.when(~supported, "skipped").when(F.col("found").isNull() | F.col("error").isNotNull(), "failed")
+        .when(count == 0, "empty").otherwise("processed")
     )
     finished = F.col("status").isin("empty", "processed")
+    done = F.format_string("Tiles created: %d. Export files: %d.", count, F.size(files_of))
     details = (
         F.when(F.col("status") == "skipped", "Skipped: only GeoTIFF files are supported.")
         .when(F.col("found").isNull(), "Processing failed: the source raster was not found.")
-        .when(F.col("status") == "failed", "Processing failed: corners of neighbouring tiles disagree.")
-        .otherwise(F.format_string("Tiles created: %d. Export files: %d.", count, F.size(files_of)))
+        .when(F.col("status") == "failed", F.concat(F.lit("Processing failed: "), F.col("error"), F.lit(".")))
+        .when(F.col("no_model"), F.concat(F.lit("Model could not be loaded, masks are empty. "), done)).otherwise(done)
     )
+    level = F.when(F.col("status") == "failed", "ERROR").when(F.col("no_model"), "WARNING").otherwise(P.DEFAULT_LEVEL)
     paths = F.when(F.size(files_of) > 0, F.array_join(files_of, ",")).otherwise(F.lit(P.PROCESSED_PREFIX))
     return joined.withColumn("status", status).select(
         "object_key", "status", F.lit(GEOTIFF_PROCESSOR).alias("processor_name"),
         F.when(F.col("status") == "skipped", STAGE_SKIPPED).when(F.col("status") == "failed", STAGE_FAILED)
         .otherwise(STAGE_DONE).alias("stage"),
         F.when(finished, count).alias("progress_current"), F.when(finished, count).alias("progress_total"),
-        F.when(finished, paths).alias("result_path"), details.alias("details"),
+        F.when(finished, paths).alias("result_path"), details.alias("details"), level.alias("level"),
         count.alias("tile_count"), files_of.alias("shapefile_keys"),
     )
 

@@ -9,7 +9,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, Inputs, scene_key, task_key
+from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, SAMPLE_CAP, Inputs, scene_key, task_key
 from rastertables.functions import bbox, geojson, names, overlay
 from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
@@ -283,12 +283,12 @@ def valid_tiles_clipped_grid(i: Inputs) -> DataFrame:
 
 @query
 def data_window(i: Inputs) -> DataFrame:
-    return raster.data_window(i.pixels, i.scenes, CLIPPED_GRID)
+    return raster.data_window(i.summaries(CLIPPED_GRID), i.scenes, CLIPPED_GRID)
 
 
 @query
 def sample_contrast(i: Inputs) -> DataFrame:
-    return raster.sample_contrast(i.kept(), PARAMS.contrast_cap)
+    return raster.sample_contrast(i.kept(), SAMPLE_CAP)
 
 
 @query
@@ -296,6 +296,14 @@ def contrast_bounds(i: Inputs) -> DataFrame:
     return i.bounds().select("scene_key", F.round("low", 12).alias("low"), F.round("high", 12).alias("high"))
 
 
+@query
+def scene_bounds(i: Inputs) -> DataFrame:
+    """The bounds of a run: from the buckets of all valid cells."""
+    tiles = blocks.tiles_from_chunks(i.chunks, i.scenes, PARAMS.tile_size)
+    bounds = raster.scene_bounds(tiles, kernels.good_summaries(i.summaries(), PARAMS), PARAMS)
+    return bounds.select("scene_key", F.round("low", 12).alias("low"), F.round("high", 12).alias("high"))
+
+
 def _grey_cells(i: Inputs) -> DataFrame:
     return _cells(i.stretched(), "grey", "grey")
 
@@ -338,20 +346,12 @@ def tile_kind(i: Inputs) -> DataFrame:
 
 @query
 def pixel_to_wgs84(i: Inputs) -> DataFrame:
-    located = i.pixels.drop("value").join(i.checkable_scenes, "scene_key").withColumn(
+    located = i.pixels.drop("value").join(i.scenes, "scene_key").withColumn(
         "point", raster.pixel_to_wgs84(F.col("px"), F.col("py")))
     return located.select("scene_key", "px", "py", F.round("point.lon", 9).alias("lon"),
                           F.round("point.lat", 9).alias("lat"))
 
 
-@query
-def pixel_to_wgs84_utm(i: Inputs) -> DataFrame:
-    utm = i.scenes.where(F.col("epsg").between(32601, 32760))
-    located = i.pixels.drop("value").join(utm, "scene_key").withColumn(
-        "point", raster.pixel_to_wgs84(F.col("px"), F.col("py")))
-    return located.select("scene_key", "px", "py", "point.lon", "point.lat")
-
-
 @query
 def tile_corners(i: Inputs) -> DataFrame:
     return i.build_tiles().drop("ordinal", "partial")
@@ -561,13 +561,14 @@ def _mean_split(image: np.ndarray) -> np.ndarray:
 def segment_with_model(i: Inputs) -> DataFrame:
     tiles = blocks.tiles_from_chunks(i.chunks, i.scenes, PARAMS.tile_size)
     bounded = raster.with_bounds(tiles, i.bounds())
-    return masks.mask_cells(kernels.masked_tiles(bounded, PARAMS, lambda: _mean_split, "mean-split"))
+    return masks.mask_cells(kernels.masked_tiles(bounded, PARAMS, lambda: _mean_split))
 
 
 @query
 def tile_summaries(i: Inputs) -> DataFrame:
     tiles = blocks.tiles_from_chunks(i.chunks, i.scenes, CLIPPED_GRID.tile_size)
-    return kernels.tile_summaries(tiles, CLIPPED_GRID).drop("sample")
+    return kernels.good_summaries(kernels.tile_summaries(tiles, CLIPPED_GRID), CLIPPED_GRID).select(
+        *SIZED_TILE, "total_count", "valid_count", "value_min", "value_max")
 
 
 @query
@@ -714,7 +715,7 @@ def scene_outlines(i: Inputs) -> DataFrame:
 @query
 def merged_outlines(i: Inputs) -> DataFrame:
     polygons = components.large_polygons(_polygons(i), PARAMS.min_area)
-    return scene_run.merged_outlines(polygons, i.checkable_scenes, replace(PARAMS, merge_masks=True, gap_cells=1))
+    return scene_run.merged_outlines(polygons, i.scenes, replace(PARAMS, merge_masks=True, gap_cells=1))
 
 
 @query
@@ -775,9 +776,9 @@ def footprint_features(i: Inputs) -> DataFrame:
 
 
 def _run(i: Inputs, keys: DataFrame | None = None) -> scene_run.SceneRun:
-    wanted = keys if keys is not None else i.checkable_scenes.select(F.col("scene_key").alias("object_key"))
+    wanted = keys if keys is not None else i.scenes.select(F.col("scene_key").alias("object_key"))
     return scene_run.process_scenes(
-        wanted, i.chunks, i.scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS, "threshold")
+        wanted, i.chunks, i.scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS)
 
 
 @query
@@ -801,7 +802,7 @@ def processed_polygons(i: Inputs) -> DataFrame:
 @query
 def scene_status(i: Inputs) -> DataFrame:
     """All scenes the SQL can check, and the listed objects that are no raster of ours."""
-    scenes = i.checkable_scenes.select(F.col("scene_key").alias("object_key"))
+    scenes = i.scenes.select(F.col("scene_key").alias("object_key"))
     keys = scenes.unionByName(objects.list_raw_objects(i.listing))
     return _run(i, keys).results.select("object_key", "status", "stage", "tile_count", "progress_total")
 
@@ -821,7 +822,7 @@ def rebuild_exports(i: Inputs) -> DataFrame:
 
 @query
 def scan_events(i: Inputs) -> DataFrame:
-    window = raster.data_window(i.pixels, i.scenes, PARAMS)
+    window = raster.data_window(i.summaries(), i.scenes, PARAMS)
     return scene_run.scan_events(i.kept(), window, i.bounds(), PARAMS).drop("message")
 
 

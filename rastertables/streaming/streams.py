@@ -112,7 +112,7 @@ def ingest_batch(
     state.write_version(state.upsert_tiles(tiles, fresh), store.path("tiles"), number)
     log = run.results.select(
         "object_key", F.lit(None).cast("string").alias("worker_name"), "stage",
-        F.when(F.col("status") == "failed", "ERROR").alias("level"), F.col("details").alias("message"),
+        "level", F.col("details").alias("message"),
         "progress_current", "progress_total", now.alias("created_at"))
     state.write_version(state.prepare_log(log), store.path("logs"), number)
 

@@ -122,11 +122,11 @@ def test_model_on_a_coarser_grid_and_broken_model(spark):
     def broken():
         raise ImportError("no weights")
 
-    got = masks.mask_cells(kernels.masked_tiles(frame, params, lambda: quarter, "quarter")).collect()
+    got = masks.mask_cells(kernels.masked_tiles(frame, params, lambda: quarter)).collect()
     expected = {(r, c) for r in range(6) for c in range(6) if (r < 3) == (c < 3)} - {(0, 0)}
     assert {(r["row"], r["col"]) for r in got} == expected
-    empty = kernels.masked_tiles(frame, params, broken, "broken").collect()
-    assert [(r["valid_count"], r["runs"]) for r in empty] == [(35, [])]
+    empty = kernels.masked_tiles(frame, params, broken).collect()
+    assert [(r["valid_count"], r["runs"], r["model_missing"]) for r in empty] == [(35, [], True)]
 
 
 @pytest.mark.parametrize("requested,cuda,device", [
@@ -334,7 +334,8 @@ def test_corner_checks(spark):
     moved = tile_rows(spark, cells, shift={(0, 0): 1e-9})
     bad = grid.validate_corners(moved).first()
     assert (bad["checked"], bad["mismatches"], bad["consistent"]) == (4, 1, False)
-    assert [(r["filename"], r["neighbour"], r["edge"]) for r in grid.mismatch_examples(moved, "s").collect()] == [("t0", "t2", "left")]
+    named = grid.with_examples(grid.validate_corners(moved), moved).first()["examples"]
+    assert [e.rsplit(": ", 1)[0] for e in named] == ["t0 / t2 (left)"]
     alone = grid.validate_corners(tile_rows(spark, [(0, 0)])).first()
     assert (alone["checked"], alone["consistent"]) == (0, True)
 

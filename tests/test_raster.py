@@ -86,18 +86,18 @@ def test_kernels_equal_the_column_operators(spark, as_rows, seed):
         band[rng.random(16) < 0.3] = 0.0
         bands.append([None if rng.random() < 0.1 else v for v in band])
     bands += [[0.0] * 16, [3.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf"), 1.0] + [0.0] * 14]
-    params = SceneParams(tile_size=4, contrast_cap=5, min_valid_ratio=0.3)
+    params = SceneParams(tile_size=4, min_valid_ratio=0.3)
     tiles = tile_frame(spark, *bands)
     kept = raster.valid_tiles(tiles, params)
     stats = ["tile_x", "valid_count", "total_count", "value_min", "value_max"]
-    summaries = kernels.tile_summaries(tiles, params)
+    summaries = kernels.good_summaries(kernels.tile_summaries(tiles, params), params).cache()
     assert as_rows(summaries.select(*stats)) == as_rows(kept.select(*stats))
-    sampled = summaries.select("tile_x", F.explode("sample").alias("value"))
-    assert as_rows(sampled) == as_rows(raster.sample_contrast(kept, 5).select("tile_x", "value"))
+    exact = raster.contrast_bounds(raster.valid_values(kept)).first()
+    assert tuple(raster.scene_bounds(tiles, summaries, params).first())[1:] == pytest.approx(tuple(exact)[1:], rel=1e-12)
     bounds = spark.createDataFrame([("s", -1.0, 1.0)], "scene_key string, low double, high double")
     columns = masks.segment_tiles(
         raster.drop_black_tiles(raster.stretch(kept, bounds)).select(*blocks.SIZED_TILE, "band", "grey"), lambda g: g > 128)
-    fused = kernels.masked_tiles(raster.with_bounds(tiles, bounds), params, kernels.threshold_model(128), "threshold")
+    fused = kernels.masked_tiles(raster.with_bounds(tiles, bounds), params, kernels.threshold_model(128))
     assert as_rows(fused.select("tile_x", "runs")) == as_rows(columns.select("tile_x", "runs"))
 
 
@@ -129,9 +129,10 @@ def test_numbering_is_dense_and_ordered(spark):
 
 def test_data_window(spark):
     scenes = spark.createDataFrame([("s", 10000, 9000), ("none", 50, 60)], SCENE)
-    pixels = spark.createDataFrame([("s", 2500, 1200, 1.0), ("s", 4100, 1300, 2.0), ("none", 3, 3, 0.0)],
-                                   "scene_key string, px int, py int, value double")
-    got = {r["scene_key"]: tuple(r)[1:] for r in raster.data_window(pixels, scenes, SceneParams(tile_size=1000)).collect()}
+    summaries = spark.createDataFrame(
+        [("s", 2000, 1000, 500, 200, 500, 200), ("s", 4000, 1000, 100, 300, 100, 300), ("none", 0, 0, None, None, None, None)],
+        "scene_key string, tile_x int, tile_y int, min_col int, min_row int, max_col int, max_row int")
+    got = {r["scene_key"]: tuple(r)[1:] for r in raster.data_window(summaries, scenes, SceneParams(tile_size=1000)).collect()}
     assert got == {"s": (2000, 1000, 5000, 2000), "none": (0, 0, 50, 60)}
 
 
@@ -177,8 +178,7 @@ def test_reference_systems(spark):
         pixel_to_wgs84(F.lit(4), F.lit(2)).alias("p")).first()["p"]
     assert tuple(place(4326)) == (12.0, 19.0)
     assert place(None) is None
-    with pytest.raises(Exception, match="unsupported EPSG code 2154"):
-        place(2154)
+    assert place(2154) is None
 
 
 def test_shared_corners_are_identical(spark, sf_dir):
@@ -189,3 +189,70 @@ def test_shared_corners_are_identical(spark, sf_dir):
              if (r["scene_key"], r["tile_x"] + r["tile_width"], r["tile_y"]) in at]
     assert len(pairs) > 100
     assert all(a["top_right_lon"] == b["top_left_lon"] and a["bottom_right_lat"] == b["bottom_left_lat"] for a, b in pairs)
+
+
+def test_bounds_see_every_cell(spark):
+    """The upper half of a tile is dark; only the lower half decides the high bound."""
+    band = [1.0 + i * 1e-6 for i in range(5000)] + [100.0 + i for i in range(5000)]
+    tiles = tile_frame(spark, band, width=100, height=100)
+    params = SceneParams(tile_size=100)
+    kept = kernels.good_summaries(kernels.tile_summaries(tiles, params), params).cache()
+    got = raster.scene_bounds(tiles, kept, params).first()
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(band, [2, 98])), rel=1e-12)
+
+
+def test_buckets_keep_the_order():
+    values = np.sort(np.concatenate([np.random.default_rng(2).normal(size=500) * 10.0 ** np.arange(-250, 250), [0.0, -0.0, np.inf, -np.inf]]))
+    assert (np.diff(kernels.bucket_of(values)) >= 0).all()
+
+
+def test_extent_of_valid_cells(spark):
+    band = [0.0] * 16
+    band[6] = band[9] = 2.0
+    row = kernels.tile_summaries(tile_frame(spark, band), SceneParams(tile_size=4)).first()
+    assert (row["min_col"], row["min_row"], row["max_col"], row["max_row"]) == (1, 1, 2, 2)
+
+
+def test_bad_band_is_an_error_of_its_tile(spark):
+    rows = [("s", 0, 0, 4, 4, [1.0, 2.0]), ("s", 4, 0, 4, 4, None), ("s", 8, 0, 4, 4, [float(v) for v in range(16)])]
+    tiles = spark.createDataFrame(rows, "scene_key string, tile_x int, tile_y int, tile_width int, tile_height int, band array<double>")
+    got = {r["tile_x"]: (r["valid_count"], r["error"]) for r in kernels.tile_summaries(tiles, SceneParams(tile_size=4)).collect()}
+    assert got[8] == (15, None) and "2 cells" in got[0][1] and "0 cells" in got[4][1]
+
+
+def test_two_predictors_in_one_session(spark):
+    tiles = tile_frame(spark, [float(v) for v in range(16)]).crossJoin(spark.createDataFrame([(0.0, 15.0)], "low double, high double"))
+    params = SceneParams(tile_size=4)
+
+    def cells(threshold):
+        runs = kernels.masked_tiles(tiles, params, kernels.threshold_model(threshold)).first()["runs"]
+        return sum(r["c1"] - r["c0"] + 1 for r in runs)
+
+    assert [cells(128), cells(250), cells(128)] == [8, 1, 8]
+
+
+def test_polar_grids_round_trip(spark):
+    """Points of a plain forward projection come back."""
+    import math
+
+    from rastertables.functions import crs
+
+    e = math.sqrt(crs.FLATTENING * (2 - crs.FLATTENING))
+    rows = []
+    for code, (true, meridian) in crs.POLAR_GRIDS.items():
+        side = math.copysign(1, true)
+        for lat in (60.0, 71.5, 83.0, 89.99):
+            for lon in (-170.0, -45.0, 0.0, 12.5, 135.0, 179.0):
+                phi = math.radians(lat)
+                t = math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
+                rho, turn = crs.polar_scale(true) * t, math.radians(lon - meridian)
+                rows.append((code, rho * math.sin(turn), -side * rho * math.cos(turn), lon, side * lat))
+    frame = spark.createDataFrame(rows, "epsg int, c double, f double, lon double, lat double")
+    frame = frame.select("*", *(F.lit(0.0).alias(n) for n in "abde"))
+    for r in frame.withColumn("p", pixel_to_wgs84(F.lit(0), F.lit(0))).collect():
+        assert abs(r["p"]["lat"] - r["lat"]) < 1e-9 and abs((r["p"]["lon"] - r["lon"] + 180) % 360 - 180) < 1e-8
+
+
+def test_unknown_reference_system_gives_null(spark):
+    frame = spark.createDataFrame([(9999,), (None,)], "epsg int").select("epsg", *(F.lit(1.0).alias(n) for n in "abcdef"))
+    assert [r["p"] for r in frame.select(pixel_to_wgs84(F.lit(0), F.lit(0)).alias("p")).collect()] == [None, None]

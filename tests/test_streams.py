@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def test_failed_scenes_are_offered_again_and_finished_ones_are_not(spark, sf_dir
     def process(keys):
         offered.append({r[0] for r in keys.collect()})
         return scene_run.process_scenes(
-            keys, inputs.chunks, scenes["known"], None, kernels.threshold_model(PARAMS.mask_threshold), PARAMS, "threshold")
+            keys, inputs.chunks, scenes["known"], None, kernels.threshold_model(PARAMS.mask_threshold), PARAMS)
 
     listing = spark.createDataFrame([(k,) for k in (good, missing, other)], "object_key string")
     store = streams.IngestStore(str(tmp_path / "store"))
@@ -66,10 +67,61 @@ def test_whole_run_without_land_and_with_disagreeing_corners(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
     keys = inputs.scenes.select(F.col("scene_key").alias("object_key")).limit(3)
     run = scene_run.process_scenes(
-        keys, inputs.chunks, inputs.scenes, None, kernels.threshold_model(PARAMS.mask_threshold), PARAMS, "threshold")
+        keys, inputs.chunks, inputs.scenes, None, kernels.threshold_model(PARAMS.mask_threshold), PARAMS)
     assert {r["status"] for r in run.results.collect()} <= {"processed", "empty"}
     tiles = run.tiles.withColumnRenamed("source_object_key", "scene_key")
-    checks = spark.createDataFrame([(r["object_key"], 2, False) for r in keys.collect()],
-                                   "scene_key string, checked bigint, consistent boolean")
-    broken = scene_run.scene_status(keys, inputs.scenes, tiles, checks, run.exports)
-    assert {(r["status"], r["stage"]) for r in broken.collect()} == {("failed", "failed")}
+    errors = spark.createDataFrame([(r["object_key"], "corners disagree") for r in keys.collect()], "scene_key string, error string")
+    none = spark.createDataFrame([], "scene_key string")
+    broken = scene_run.scene_status(keys, inputs.scenes, tiles, errors, run.exports, none)
+    assert {(r["status"], r["stage"], r["level"]) for r in broken.collect()} == {("failed", "failed", "ERROR")}
+
+
+def test_a_failing_scene_fails_alone(spark):
+    """One sound scene among: an unknown code, a short band, a predictor that throws, no model."""
+    def scene(name, epsg=4326):
+        return (name, 8, 8, epsg, 0.001, 0.0, 70.0, 0.0, -0.001, 75.0)
+
+    def chunk(name, band):
+        return (name, 0, 0, 8, 8, band)
+
+    band = [float(v + 1) for v in range(64)]
+    names = ["raw/good.tif", "raw/code.tif", "raw/short.tif", "raw/throws.tif"]
+    scenes = spark.createDataFrame(
+        [scene(names[0]), scene(names[1], 9999), scene(names[2]), scene(names[3])],
+        "scene_key string, width int, height int, epsg int, a double, b double, c double, d double, e double, f double")
+    chunks = spark.createDataFrame(
+        [chunk(names[0], band), chunk(names[1], band), chunk(names[2], band[:5]), chunk(names[3], band[::-1])],
+        "scene_key string, chunk_x int, chunk_y int, chunk_width int, chunk_height int, band array<double>")
+    keys = scenes.select(F.col("scene_key").alias("object_key"))
+
+    def load():
+        def predict(image):
+            if image[0, 0] == 255:
+                raise RuntimeError("out of memory")
+            return image.astype(float) - 100
+        return predict
+
+    params = replace(PARAMS, min_area=0.0)
+    run = scene_run.process_scenes(keys, chunks, scenes, None, load, params)
+    got = {r["object_key"]: r for r in run.results.collect()}
+    assert {k: r["status"] for k, r in got.items()} == dict(zip(names, ("processed", "failed", "failed", "failed")))
+    assert "EPSG:9999" in got[names[1]]["details"] and "5 cells" in got[names[2]]["details"]
+    assert "out of memory" in got[names[3]]["details"]
+    assert {r[0] for r in run.tiles.select("source_object_key").collect()} == {names[0]}
+
+    def missing():
+        raise ImportError("no weights")
+
+    bare = scene_run.process_scenes(keys.limit(1), chunks, scenes, None, missing, params).results.first()
+    assert (bare["status"], bare["level"]) == ("processed", "WARNING") and "Model could not be loaded" in bare["details"]
+
+
+def test_corner_failures_name_their_tiles(spark):
+    from rastertables.operators import grid
+
+    corner = {n: 0.0 for c in ("top_left", "top_right", "bottom_right", "bottom_left") for n in (f"{c}_lon", f"{c}_lat")}
+    rows = [{"filename": f"t{i}", "source_object_key": "s", "tile_x": 8 * i, "tile_y": 0, "tile_width": 8, "tile_height": 8,
+             **corner, "top_left_lon": 1.0 * i, "top_right_lon": 1.0 * i + 0.5} for i in range(20)]
+    tiles = spark.createDataFrame(rows)
+    row = grid.with_examples(grid.validate_corners(tiles), tiles).first()
+    assert row["mismatches"] == 19 and len(row["examples"]) == 8 and row["examples"][0].startswith("t0 / t1 (top)")
