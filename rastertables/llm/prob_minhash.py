@@ -10,11 +10,11 @@ registers' earliest stop. Two documents agree in a register with their probabili
 which is the common Jaccard similarity where all counts are equal.
 
 Documents with the same weighted set are one node. Nodes that agree in all registers of a band share a
-bucket. A bucket is not expanded into pairs: its most popular node, the pivot, is compared with the
-others by the exact J. Distance 1 - J is a metric, so a node linked to the pivot and one that is less
-than 1 - 2 (1 - threshold) similar cannot be linked. Linked nodes are settled, the far ones go on without them;
-nodes in between become pivots first. In the end every pair of a bucket is compared, ruled out by the
-metric, or connected through a pivot, and classes are the connected components.
+bucket. A bucket is not expanded into pairs: first its most popular node, the pivot, is compared with the
+others by the exact J, and the links found join nodes to components. As a rule this leaves one component
+a bucket. Where it doesn't, the nodes outside the pivot's component meet all others in blocks of bounded
+size, and a block returns only its links; nodes of the pivot's component do not meet one another. So
+every pair of a bucket is compared or connected otherwise, and classes are the connected components.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import broadcast_if_small, materialize
 from .common import arrow_pass, text_key, texts
@@ -33,8 +35,8 @@ from .words import Words, mix, word_slices
 SHINGLE, THRESHOLD = 5, 0.8
 #: Two nodes with J = 0.8 share no bucket with a probability of 1 in 9000.
 BANDS, BAND_ROWS = 30, 6
-#: Pairs that one bucket may give in a round beyond one for each of its nodes.
-ROUND_PAIRS = 4096
+#: Nodes and bytes of weighted sets in one block of a bucket.
+BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
 
 _EVENT = np.uint64(0x9FB21C651E98DF25)
 
@@ -153,9 +155,7 @@ def weighted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 codes = [code[a:b].tobytes() for a, b in zip(ends, ends[1:])]
                 counts = [weight[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
                 part = pa.RecordBatch.from_arrays([own, pa.array(codes, pa.binary()), pa.array(counts, pa.binary())], ["node", "codes", "counts"])
-                yield part.filter(pa.compute.equal(own, batch["node"].slice(low, high - low)))
-
-    import pyarrow.compute  # noqa: F401  (loaded as pa.compute)
+                yield part.filter(pc.equal(own, batch["node"].slice(low, high - low)))
 
     return arrow_pass(docs.join(broadcast_if_small(wanted), "doc_id").select("text", "node"), run, "node long, codes binary, counts binary")
 
@@ -179,7 +179,84 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_pass(pairs.join(side("u"), "u").join(side("v"), "v"), run, "u long, v long, j double")
 
 
-_OPEN, _NEAR, _BETWEEN, _FAR = range(4)
+def pivot_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of nodes to their buckets' pivots, and (key, node, pivot) of all other nodes."""
+    tops = members.groupBy("key").agg(F.max(F.struct("rank", "node"))["node"].alias("v"))
+    met = materialize(members.join(tops, "key").filter("node <> v").select("key", F.col("node").alias("u"), "v"), "bucket-members")
+    compared = compare(met.select("u", "v").distinct(), sets).filter(F.col("j") >= threshold)
+    return materialize(compared.select("u", "v"), "pivot-links"), met.select("key", F.col("u").alias("node"), F.col("v").alias("pivot"))
+
+
+def block_links(frame: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Links between nodes of different components in a block: those outside the pivot's one, and all.
+
+    Shared shingles are counted by matrix products over shingles that occur twice at least. Where all counts
+    are equal this gives J; otherwise the shared mass bounds J, and pairs within the bound are compared.
+    """
+    frame = frame.drop_duplicates("node").sort_values("outer", ascending=False, kind="stable")
+    codes = [np.frombuffer(c, "<u8") for c in frame["codes"]]
+    counts = [np.frombuffer(c, "<u4") for c in frame["counts"]]
+    node, label, n, outer = frame["node"].to_numpy(), frame["label"].to_numpy(), len(frame), int(frame["outer"].sum())
+    size = np.array([len(c) for c in codes])
+    plain = np.array([(c == c[0]).all() for c in counts])
+    _, column, often = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    mass = np.concatenate([c / c.sum() for c in counts])
+    row, used = np.repeat(np.arange(n), size), often[column] > 1
+    new = np.cumsum(often > 1) - 1
+    row, column, mass = row[used], new[column[used]], mass[used]
+    order = np.argsort(column, kind="stable")
+    row, column, mass = row[order], column[order], mass[order]
+    shared, mine, theirs = np.zeros((outer, n)), np.zeros((outer, n)), np.zeros((outer, n))
+    for low in range(0, int(new[-1]) + 1 if len(new) else 0, 2048):
+        part = slice(*np.searchsorted(column, [low, low + 2048]))
+        has, weight = np.zeros((n, 2048), np.float32), np.zeros((n, 2048), np.float32)
+        has[row[part], column[part] - low], weight[row[part], column[part] - low] = 1, mass[part]
+        shared += has[:outer] @ has.T
+        if not plain.all():
+            mine += weight[:outer] @ has.T
+            theirs += has[:outer] @ weight.T
+    wanted = (label[:outer, None] != label[None]) & ((np.arange(n) >= outer)[None] | (np.arange(outer)[:, None] < np.arange(n)[None]))
+    both = plain[:outer, None] & plain[None]
+    linked = wanted & both & (shared / (size[:outer, None] + size[None] - shared) >= threshold)
+    for i, j in zip(*np.nonzero(wanted & ~both & (np.minimum(mine, theirs) >= threshold - 1e-3))):
+        linked[i, j] = similarity(codes[i], counts[i], codes[j], counts[j]) >= threshold
+    i, j = np.nonzero(linked)
+    return pd.DataFrame({"u": node[i], "v": node[j]})
+
+
+def rest_links(members: DataFrame, links: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Further links (u, v) in buckets that `links` leave in more than one component."""
+    found = components(links).withColumnRenamed("component", "label")
+
+    def labelled(frame: DataFrame, node: str, name: str) -> DataFrame:
+        joined = frame.join(found.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left")
+        return joined.withColumn(name, F.coalesce(name, node))
+
+    marked = labelled(labelled(members, "node", "label"), "pivot", "pivot_label")
+    marked = marked.withColumn("outer", F.col("label") != F.col("pivot_label")).drop("pivot", "pivot_label")
+    sized = marked.join(sets.select("node", (F.octet_length("codes") * 3 / 2).alias("size")), "node")
+    outer = F.col("outer")
+
+    def blocks(of: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(of) / BLOCK_NODES), F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / BLOCK_BYTES))
+
+    buckets = sized.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
+        blocks(outer).cast("int").alias("outside"), blocks(~outer).cast("int").alias("inside"),
+    ).filter("n > 1 and low < high").drop("n", "low", "high")
+    alive = sized.drop("size").join(buckets, "key")
+    block = F.pmod(F.xxhash64("node"), F.when(outer, F.col("outside")).otherwise(F.col("inside"))).cast("int")
+    # every outer block meets itself, the outer blocks after it (numbers from 0), and the inner ones (below 0)
+    upto = F.sequence(F.lit(0), F.col("outside") - 1)
+    first = F.transform(F.filter(upto, lambda k: k >= F.col("block")), lambda k: F.struct(F.col("block").alias("a"), k.alias("b")))
+    second = F.transform(F.filter(upto, lambda k: k < F.col("block")), lambda k: F.struct(k.alias("a"), F.col("block").alias("b")))
+    inner = F.when(F.col("inside") > 0, F.transform(F.sequence(F.lit(1), F.col("inside")), lambda k: F.struct(
+        F.col("block").alias("a"), (-k).alias("b")))).otherwise(F.array())
+    meetings = F.when(outer, F.concat(first, second, inner)).otherwise(
+        F.transform(upto, lambda k: F.struct(k.alias("a"), (-1 - F.col("block")).alias("b"))))
+    placed = alive.withColumn("block", block).select("key", "node", "label", "outer", F.explode(meetings).alias("m"))
+    grouped = placed.select("key", "m.*", "node", "label", "outer").join(sets, "node").groupBy("key", "a", "b")
+    return grouped.applyInPandas(lambda frame: block_links(frame, threshold), "u long, v long")
 
 
 def near_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,36 +264,8 @@ def near_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
 
     `members` has (key, node, rank): buckets with two nodes or more; a larger rank makes a pivot earlier.
     """
-    far = 1 - 2 * (1 - threshold)
-    links, turn = [], 0
-    members = members.withColumn("state", F.lit(_OPEN))
-    while True:
-        between, near = (F.col("state") == s for s in (_BETWEEN, _NEAR))
-        buckets = members.groupBy("key").agg(
-            F.count("*").alias("n"), F.count_if(between).alias("between"), F.count_if(near).alias("near"),
-            F.max(F.struct(between.alias("a"), (~near).alias("b"), "rank", "node"))["node"].alias("top"),
-        )
-        # without nodes in between, those near the last pivot are settled and the far ones start anew
-        alive = members.join(buckets, "key").filter("(between > 0 and n > 1) or (between = 0 and n - near > 1)").filter((F.col("between") > 0) | ~near)
-        chosen = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("between") * F.col("n") / ROUND_PAIRS)) == 0
-        is_pivot = (F.col("node") == F.col("top")) | (between & chosen)
-        alive = materialize(alive.withColumn("pivot", is_pivot), "bucket-members")
-        pivots = alive.filter("pivot").select("key", F.col("node").alias("v"))
-        met = alive.join(pivots, "key").filter("node <> v").filter((~F.col("pivot")) | (F.col("node") < F.col("v")))
-        pairs = met.select(F.col("node").alias("u"), "v").distinct()
-        compared = materialize(compare(pairs, sets), "compared")
-        if compared.isEmpty():
-            break
-        links.append(compared.filter(F.col("j") >= threshold).select("u", "v"))
-        first = met.filter("between = 0").select("key", F.col("node").alias("u"), "v", "rank").join(compared, ["u", "v"])
-        state = F.when(F.col("j") >= threshold, _NEAR).when(F.col("j") < far, _FAR).otherwise(_BETWEEN)
-        members = first.select("key", F.col("u").alias("node"), "rank", state.alias("state")).union(
-            alive.filter("between > 0 and not pivot").select("key", "node", "rank", "state"))
-        turn += 1
-    found = compared.select("u", "v")
-    for part in links:
-        found = found.union(part)
-    return found
+    links, others = pivot_links(members, sets, threshold)
+    return links.union(materialize(rest_links(others, links, sets, threshold), "block-links"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
