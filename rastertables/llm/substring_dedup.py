@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import BROADCAST_ROWS, materialize
 from .common import arrow_pass, texts
 from .words import Words, mix, word_slices
 
@@ -177,11 +178,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     index = spark.sparkContext.broadcast(bit_filter(anchor_index(rows, window)))
     shared = spark.sparkContext.broadcast(bit_filter(shared_anchors(rows, index, window)))
     windows = anchored_windows(rows, shared, window).withColumn("more", F.shiftright("tail", 32).cast("int"))
-    firsts = windows.groupBy("hash", "more").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    found = windows.join(firsts.drop("last"), ["hash", "more"]).filter("doc_id > first")
+    firsts = windows.groupBy("hash", "more").agg(F.min("doc_id").alias("first"))
+    found = windows.join(firsts, ["hash", "more"]).filter("doc_id > first")
     return found.groupBy("doc_id").agg(F.collect_list("tail").alias("tails"))
 
 
+def _with_tails(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows with their `tails`, or null.
+
+    While the ids of documents with repeats can be broadcast, only these documents' texts are shuffled;
+    beyond that all are.
+    """
+    ids = repeated.select("doc_id")
+    if ids.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows.join(repeated, "doc_id", "left")
+    few = F.broadcast(ids)
+    return rows.join(few, "doc_id", "left_semi").join(repeated, "doc_id").unionByName(
+        rows.join(few, "doc_id", "left_anti").withColumn("tails", F.lit(None).cast("array<long>")))
+
+
 def _keep(text: str, tails: np.ndarray | None, window: int) -> tuple[int, list[bytes]]:
     """Number of words, and the words that stay."""
     words = text.encode().split()  # at the six bytes that separate words
@@ -202,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Every word in a repeated window goes, whatever goes elsewhere. Null texts have no words. Rows that
     share a doc_id do not remove one another's words.
     """
-    marked = texts(docs).join(repeated_windows(docs, window), "doc_id", "left")
+    marked = _with_tails(texts(docs), materialize(repeated_windows(docs, window), "repeated-windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
