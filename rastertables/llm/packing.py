@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_pass
-from .token_stream import block_ids, token_blocks
+from .token_stream import block_ids, placed_blocks, stored_blocks
 from .tokens import WORD_VOCABULARY, public_path
 
 SIZE = 2048
@@ -120,6 +120,6 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, block_token
                     names, columns = [*names, "ids"], [*columns, pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    blocks = token_blocks(docs, block_tokens, path).select("ids", "doc_ids", "doc_tokens", "start")
+    blocks = placed_blocks(stored_blocks(docs, block_tokens, path)).select("ids", "doc_ids", "doc_tokens", "start")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return arrow_pass(blocks, run, schema + ", ids binary" * with_ids)

@@ -19,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..storage import shared_folder
 from .common import arrow_pass
-from .token_stream import block_ids, token_blocks
+from .token_stream import block_ids, id_counts, placed_blocks, stored_blocks
 
 SCALE = 20
-LANES, EVERY = 512, 128
-BLOCK_TOKENS = 1 << 18
+LANES, EVERY = 2048, 128
+BLOCK_TOKENS = 1 << 19
 _LOW = 1 << 31
 _MAGIC = b"ILB1"
 #: magic, table CRC, lanes, steps between checkpoints, ids, documents, words, header CRC
@@ -142,15 +142,6 @@ class Block:
         return np.concatenate([np.zeros(0, np.uint16), *map(self.stretch, range(len(self.at)))])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for data in batch["ids"]:
-            total += np.bincount(block_ids(data.as_py()), minlength=1 << 16)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["symbol", "n"])
-
-
 def write_ids(docs: DataFrame, folder: str | None = None, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> str:
     """Writes all documents' ids, in doc_id order, and returns the folder.
 
@@ -159,11 +150,9 @@ def write_ids(docs: DataFrame, folder: str | None = None, path: str | None = Non
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-file-{uuid.uuid4().hex}"
-    blocks = token_blocks(docs, block_tokens, path)
-    counts = np.zeros(1 << 16, np.int64)
-    for symbol, n in arrow_pass(blocks.select("ids"), _count, "symbol int, n long").groupBy("symbol").agg(F.sum("n")).collect():
-        counts[symbol] = n  # at most one row for each id of the vocabulary
-    frequency = quantise(counts)
+    stored = stored_blocks(docs, block_tokens, path)
+    blocks = placed_blocks(stored)
+    frequency = quantise(id_counts(stored))
     used = np.flatnonzero(frequency)
     spark.createDataFrame(list(zip(used.tolist(), frequency[used].tolist())), "symbol int, frequency long").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(frequency.astype(np.uint32))

@@ -21,18 +21,20 @@ from .words import row_slices, text_buffer
 #: Bytes of text that are encoded together.
 ENCODED_BYTES = 1 << 22
 
-BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary"
+BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary, counts array<struct<id:int,n:bigint>>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part = word_encoder(path), TaskContext.get().partitionId()
-    names = ["part", "block", "part_start", "n_tokens", "doc_ids", "doc_tokens", "ids"]
+    names = ["part", "block", "part_start", "n_tokens", "doc_ids", "doc_tokens", "ids", "counts"]
     block, start, docs, lengths, held = 0, 0, [], [], []
+    counts, counted = np.zeros(1 << 16, np.int64), pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 
     def row(ids: np.ndarray) -> pa.RecordBatch:
         columns = [
             pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()),
             pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids.astype("<u2").tobytes()], pa.binary()),
+            pa.array([None], counted),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -42,6 +44,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
         for low, high in row_slices(offsets, ENCODED_BYTES):
             ids, ends = encoder(batch["text"].slice(low, high - low))
             ids = np.insert(ids, ends[1:], end_id)
+            counts += np.bincount(ids, minlength=1 << 16)
             ends = ends + np.arange(len(ends))
             for doc, begin, end in zip(batch["doc_id"].slice(low, high - low).to_pylist(), ends, ends[1:]):
                 docs.append(doc)
@@ -53,25 +56,45 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
                     block, start, docs, lengths, held, size = block + 1, start + size, [], [], [], 0
     if docs:
         yield row(np.concatenate(held))
+    used = np.flatnonzero(counts)
+    if len(used):
+        nothing = [pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
+        found = pa.array([[{"id": int(i), "n": int(counts[i])} for i in used]], counted)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int32()), *nothing, found], names)
 
 
-def token_blocks(docs: DataFrame, block_tokens: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Stored blocks of the stream; each document's ids are followed by `end_id`.
+def stored_blocks(docs: DataFrame, block_tokens: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """The stream as a stored table: one row per block, and one row per part with its id counts.
 
-    One row per block: `part` and `block` give its place, `start` the ids before it in the stream,
-    `doc_ids` and `doc_tokens` its documents with their numbers of ids, `ids` little-endian unsigned
-    16-bit integers. A block closes at `block_tokens` ids or more. A null text has only its end id; rows
-    with the same doc_id stand in the order of their texts, null ids come first.
+    Each document's ids are followed by `end_id`. A block closes at `block_tokens` ids or more. A null
+    text has only its end id; rows with the same doc_id stand in the order of their texts, null ids
+    come first.
     """
     path = path or public_path(WORD_VOCABULARY)
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = arrow_pass(ordered, lambda batches: _blocks(batches, path, block_tokens, end_id), BLOCK_SCHEMA)
-    stored = materialize(blocks, "token-blocks")
+    return materialize(arrow_pass(ordered, lambda batches: _blocks(batches, path, block_tokens, end_id), BLOCK_SCHEMA), "token-blocks")
+
+
+def placed_blocks(stored: DataFrame) -> DataFrame:
+    """Blocks with `start`, the ids before them in the stream.
+
+    `part` and `block` give a block's place, `doc_ids` and `doc_tokens` its documents with their
+    numbers of ids, `ids` little-endian unsigned 16-bit integers.
+    """
+    blocks = stored.filter("block is not null").drop("counts")
     # one row a part: their number is that of the shuffle partitions, whatever the input
-    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return stored.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before", "part_start")
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before", "part_start")
+
+
+def id_counts(stored: DataFrame) -> np.ndarray:
+    """How often each id occurs; at most one row for each id of the vocabulary comes to the driver."""
+    counts = np.zeros(1 << 16, np.int64)
+    for i, n in stored.select(F.inline("counts")).groupBy("id").agg(F.sum("n")).collect():
+        counts[i] = n
+    return counts
 
 
 def block_ids(data: bytes) -> np.ndarray:

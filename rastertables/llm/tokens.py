@@ -15,7 +15,7 @@ from .words import ragged
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 800_000
+CACHED_PIECES = 400_000
 _TOGETHER = 2000
 
 
@@ -111,6 +111,7 @@ _NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _SPACE = "\t-\r \u0085\u00a0"
 _UNIT = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 _ASCII_UNIT = re.compile("[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\t-\\r a-z0-9]+")
+_UNIT_OR_LINE = re.compile(f"\\n|{_UNIT.pattern}")
 #: Characters that str.split() takes for white space and the vocabulary's own pattern does not.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _encoders: dict[str, WordEncoder] = {}
@@ -123,6 +124,18 @@ def _units(piece: str) -> list[str]:
     return [piece] if any(c in piece for c in _ODD_SPACE) else piece.split()
 
 
+def _units_of_all(pieces: list[str]) -> tuple[list[str], np.ndarray]:
+    """Parts of all pieces one after the other, and their numbers; pieces hold no line feed."""
+    joined = "\n".join(pieces)
+    if "<|" in joined or not _LATIN.fullmatch(joined):
+        parts = [_units(p) for p in pieces]
+        return list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+    found = _UNIT_OR_LINE.findall(joined.lower())
+    lines = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+    counts = np.diff(np.concatenate([[-1], lines, [len(found)]])) - 1
+    return [u for u in found if u != "\n"], counts
+
+
 def word_encoder(path: str) -> WordEncoder:
     """Encoder of a word vocabulary that drops white space, for Arrow columns without nulls.
 
@@ -153,7 +166,10 @@ def word_encoder(path: str) -> WordEncoder:
         units = PieceEncoder(_units, encode, np.uint16, CACHED_PIECES // 2)
 
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids, ends = units(words)
+            some = [_units_of_all(words[i:i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+            counts = np.concatenate([c for _, c in some])
+            codes = units.look_up(chain.from_iterable(p for p, _ in some), int(counts.sum()))
+            ids, ends = units.ids(codes, counts)
             return ids, np.diff(ends)
 
         _encoders[path] = WordEncoder(str.split, encode_words, np.uint16)
