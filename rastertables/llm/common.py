@@ -37,6 +37,14 @@ def arrow_pass(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(batches, schema)
 
 
+def text_score(spark: SparkSession, run: Callable[[pa.Array], pa.Array]) -> Column:
+    """`run` over the column text as doubles; only texts go to Python, other columns stay behind."""
+    ship_package(spark)
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    # not deterministic for the optimiser: a filter on the score must not score again
+    return F.arrow_udf(run, "double").asNondeterministic()("text")
+
+
 def crc_bucket(id_col: str, buckets: int) -> Column:
     """Remainder of the CRC-32 of an id's decimal text; an id that is null counts as 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % buckets, F.lit(0))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_pass, crc_bucket, labelled_sample, texts
+from .common import arrow_pass, crc_bucket, labelled_sample, text_score, texts
 from .words import Words, split_words, text_buffer, row_slices
 
 #: At most so many labelled documents are used for fitting.
@@ -210,14 +210,10 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> Data
 
     Nulls count as empty texts, which are scored like any other. `predicted` is 1 from the threshold.
     """
-    rest = docs.drop("score", "predicted")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(features(text)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(features(batch["text"])))], [*batch.schema.names, "score"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
-    return arrow_pass(rest, run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", text_score(docs.sparkSession, run)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship_package
-from .common import arrow_pass, crc_bucket, labelled_sample, texts
+from .common import crc_bucket, labelled_sample, text_score, texts
 from .words import Words, mix, word_slices
 
 #: At most so many labelled documents are used for fitting.
@@ -144,21 +144,20 @@ def score(docs: DataFrame, model: SparseModel, threshold: float = 0.7) -> DataFr
 
     A null or empty text has the score of the bias alone. `predicted` is 1 from the threshold.
     """
-    rest = docs.drop("score", "predicted")
+    table: list[np.ndarray] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
-        for batch in batches:
-            total = np.full(batch.num_rows, model.bias)
-            for low, high, words in word_slices(batch["text"]):
-                row, place = word_features(words)
-                found = np.flatnonzero(table[place])
-                row, place = distinct_features(row[found], place[found])
-                total[low:high] += np.bincount(row, table[place], high - low)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-total)))], [*batch.schema.names, "score"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
-    return arrow_pass(rest, run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    def run(text: pa.Array) -> pa.Array:
+        if not table:
+            table.append(model.table())
+        total = np.full(len(text), model.bias)
+        for low, high, words in word_slices(text):
+            row, place = word_features(words)
+            found = np.flatnonzero(table[0][place])
+            row, place = distinct_features(row[found], place[found])
+            total[low:high] += np.bincount(row, table[0][place], high - low)
+        return pa.array(1 / (1 + np.exp(-total)))
+
+    return docs.withColumn("score", text_score(docs.sparkSession, run)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
