@@ -612,9 +612,23 @@ UNION ALL SELECT source_object_key, tile_x + tile_width, tile_y, tile_x + tile_w
 UNION ALL SELECT source_object_key, tile_x + tile_width, tile_y + tile_height, tile_x, tile_y + tile_height, 2 FROM tiles
 UNION ALL SELECT source_object_key, tile_x, tile_y + tile_height, tile_x, tile_y, 3 FROM tiles""")
 cte("outer_sides", """
-SELECT * FROM tile_sides s WHERE NOT EXISTS (SELECT 1 FROM tile_sides o WHERE o.source_object_key = s.source_object_key
-  AND o.ax = s.bx AND o.ay = s.by AND o.bx = s.ax AND o.by = s.ay)""")
+SELECT source_object_key, any_value(ax) AS ax, any_value(ay) AS ay, any_value(bx) AS bx, any_value("by") AS "by", any_value(direction) AS direction
+FROM tile_sides GROUP BY source_object_key, least(ax, bx), least(ay, "by"), greatest(ax, bx), greatest(ay, "by") HAVING count(*) = 1""")
 check("footprint_sides", "SELECT * FROM outer_sides")
+cte("tile_reach", """
+SELECT source_object_key, tile_x, tile_y, tile_width, tile_height, tile_x AS rx, tile_y AS ry FROM tiles
+UNION SELECT r.source_object_key, t.tile_x, t.tile_y, t.tile_width, t.tile_height, r.rx, r.ry FROM tile_reach r JOIN tiles t
+ON t.source_object_key = r.source_object_key AND (
+  (t.tile_y = r.tile_y AND (t.tile_x = r.tile_x + r.tile_width OR r.tile_x = t.tile_x + t.tile_width))
+  OR (t.tile_x = r.tile_x AND (t.tile_y = r.tile_y + r.tile_height OR r.tile_y = t.tile_y + t.tile_height)))""")
+check("footprint_parts", """
+SELECT source_object_key, parts, area FROM (
+  SELECT source_object_key, count(DISTINCT root) AS parts FROM (
+    SELECT source_object_key, tile_x, tile_y, min(ry * 100000 + rx) AS root FROM tile_reach GROUP BY ALL) GROUP BY 1)
+JOIN (SELECT source_object_key, round(sum(abs(top_left_lon * top_right_lat - top_right_lon * top_left_lat + top_right_lon * bottom_right_lat
+  - bottom_right_lon * top_right_lat + bottom_right_lon * bottom_left_lat - bottom_left_lon * bottom_right_lat + bottom_left_lon * top_left_lat
+  - top_left_lon * bottom_left_lat)) / 2, 6) AS area FROM tiles GROUP BY 1) USING (source_object_key)""")
+check("worker_name_events", "SELECT count(*) AS events, count(*) AS named FROM events")
 check("footprint_area", """
 SELECT source_object_key, round(sum(abs(top_left_lon * top_right_lat - top_right_lon * top_left_lat + top_right_lon * bottom_right_lat - bottom_right_lon * top_right_lat
   + bottom_right_lon * bottom_left_lat - bottom_left_lon * bottom_right_lat + bottom_left_lon * top_left_lat - top_left_lon * bottom_left_lat)) / 2, 9) AS area

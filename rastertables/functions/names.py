@@ -99,7 +99,7 @@ def mask_url(key: Column, color: Column) -> Column:
 
 def sanitize_hex_color(color: Column) -> Column:
     """Six lower-case hex digits; three digits are doubled, anything else is the default."""
-    bare = F.regexp_replace(F.trim(F.coalesce(color, F.lit(""))), "^#+", "")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(color, F.lit("")), r"^\s+|\s+$", ""), "^#+", "")
     wide = F.when(F.length(bare) == 3, F.regexp_replace(bare, "^(.)(.)(.)$", "$1$1$2$2$3$3")).otherwise(bare)
     return F.lower(F.when(wide.rlike(HEX_COLOR_PATTERN), wide).otherwise(F.lit(P.DEFAULT_MASK_COLOR)))
 

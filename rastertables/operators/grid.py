@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rastertables import params as P
 from rastertables.functions import bbox
+from rastertables.operators.components import connected_components
 from rastertables.operators.rings import chained
+from rastertables.storage import broadcast_if_small, materialize
 
 # Corners that neighbours share, (side, own corner, neighbour's corner).
 RIGHT_SHARED = (("top", "top_right", "top_left"), ("bottom", "bottom_right", "bottom_left"))
@@ -64,32 +68,92 @@ def with_examples(checked: DataFrame, tiles: DataFrame, tolerance: float = P.COR
     return checked.join(first, "source_object_key", "left")
 
 
+#: Steps per degree of the grid that stands in where no tile of a scene has grid columns.
+DEGREE_STEPS = 1_000_000
+GRID = ("tile_x", "tile_y", "tile_width", "tile_height")
+
+
+def filled_grid(tiles: DataFrame) -> DataFrame:
+    """Tiles with the grid columns and corners that rows of the old layout lack.
+
+    The corners of any complete tile give the scene's affine, by which the known diagonal of an old tile
+    finds its place. A scene of old rows only gets a grid of small steps in degrees.
+    """
+    corner_names = [f"{c}_{a}" for c in bbox.CORNERS for a in ("lon", "lat")]
+    held = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*GRID, *corner_names)))
+    one = tiles.where(held).groupBy("source_object_key").agg(F.min_by(F.struct(*GRID, *corner_names), "filename").alias("r"))
+    joined = tiles.join(broadcast_if_small(one), "source_object_key", "left")
+    r = lambda c: F.col(f"r.{c}")
+    across = {a: (r(f"top_right_{a}") - r(f"top_left_{a}")) / r("tile_width") for a in ("lon", "lat")}
+    down = {a: (r(f"bottom_left_{a}") - r(f"top_left_{a}")) / r("tile_height") for a in ("lon", "lat")}
+    turn = across["lon"] * down["lat"] - down["lon"] * across["lat"]
+
+    def place(corner: str) -> tuple[Column, Column]:
+        lon, lat = (F.col(f"{corner}_{a}") - r(f"top_left_{a}") for a in ("lon", "lat"))
+        x = F.round(r("tile_x") + (lon * down["lat"] - lat * down["lon"]) / turn)
+        y = F.round(r("tile_y") + (lat * across["lon"] - lon * across["lat"]) / turn)
+        steps = ((F.col(f"{corner}_lon") + 180) * DEGREE_STEPS, (90 - F.col(f"{corner}_lat")) * DEGREE_STEPS)
+        return tuple(F.coalesce(v, F.round(d)).cast("int") for v, d in zip((x, y), steps))
+
+    (x0, y0), (x1, y1) = place("top_left"), place("bottom_right")
+    found = dict(zip(GRID, (x0, y0, x1 - x0, y1 - y0)))
+    grid = {c: F.coalesce(F.col(c), found[c]) for c in GRID}
+    plain = bbox.filled_corners()
+
+    def corner(name: str, axis: str) -> Column:
+        x = x1 if name.endswith("right") else x0
+        y = y1 if name.startswith("bottom") else y0
+        by_affine = r(f"top_left_{axis}") + across[axis] * (x - r("tile_x")) + down[axis] * (y - r("tile_y"))
+        return F.coalesce(F.col(f"{name}_{axis}"), by_affine, plain[f"{name}_{axis}"])
+
+    corners = {f"{n}_{a}": corner(n, a) for n in bbox.CORNERS for a in ("lon", "lat")}
+    return joined.withColumns({**grid, **corners}).drop("r")
+
+
 def footprint_sides(tiles: DataFrame) -> DataFrame:
     """Outer sides of the united tiles of a scene: sides that only one tile has.
 
-    Sides are directed in node coordinates with the tile on the right, and carry the degrees
-    of their start.
+    Sides are directed in node coordinates with the tile on the right, and carry the degrees of their
+    start and their tile's node. Takes tiles of either layout.
     """
     x0, y0 = F.col("tile_x"), F.col("tile_y")
     x1, y1 = x0 + F.col("tile_width"), y0 + F.col("tile_height")
-    corners = bbox.filled_corners()
     nodes = {"top_left": (x0, y0), "top_right": (x1, y0), "bottom_right": (x1, y1), "bottom_left": (x0, y1)}
     turn = list(nodes)
     sides = F.array(*(
         F.struct(nodes[a][0].alias("ax"), nodes[a][1].alias("ay"), nodes[b][0].alias("bx"), nodes[b][1].alias("by"),
-                 F.lit(d).alias("direction"), corners[f"{a}_lon"].alias("lon"), corners[f"{a}_lat"].alias("lat"))
+                 F.lit(d).alias("direction"), F.col(f"{a}_lon").alias("lon"), F.col(f"{a}_lat").alias("lat"), tile_node().alias("tile"))
         for d, (a, b) in enumerate(zip(turn, turn[1:] + turn[:1]))))
-    flat = tiles.select("source_object_key", F.inline(sides))
-    node = ("ax", "ay", "bx", "by")
+    flat = filled_grid(tiles).select("source_object_key", F.inline(sides))
     undirected = {
         "lo_x": F.least("ax", "bx"), "lo_y": F.least("ay", "by"),
         "hi_x": F.greatest("ax", "bx"), "hi_y": F.greatest("ay", "by"),
     }
     once = flat.withColumns(undirected).groupBy("source_object_key", *undirected).agg(
-        F.count(F.lit(1)).alias("n"), F.first(F.struct(*node, "direction", "lon", "lat")).alias("side"))
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("ax", "ay", "bx", "by", "direction", "lon", "lat", "tile")).alias("side"))
     return once.where(F.col("n") == 1).select("source_object_key", "side.*")
 
 
+def tile_node() -> Column:
+    """A number of a tile's place in its scene."""
+    return F.col("tile_y").cast("bigint") * 2**31 + F.col("tile_x")
+
+
+def tile_parts(tiles: DataFrame) -> DataFrame:
+    """(source_object_key, tile, part): tiles joined along whole sides share a part."""
+    placed = filled_grid(tiles).select("source_object_key", *GRID, tile_node().alias("u"))
+    x, y, w, h = (F.col(c) for c in GRID)
+
+    def beside(right: Column, below: Column) -> DataFrame:
+        return placed.select("source_object_key", "u", (below.cast("bigint") * 2**31 + right).alias("v")).join(
+            placed.select("source_object_key", F.col("u").alias("v")), ["source_object_key", "v"])
+
+    roots = connected_components(beside(x + w, y).unionByName(beside(x, y + h)), "source_object_key")
+    return placed.select("source_object_key", F.col("u").alias("tile")).join(
+        roots.withColumnRenamed("u", "tile"), ["source_object_key", "tile"], "left").select(
+        "source_object_key", "tile", F.coalesce("root", "tile").alias("part"))
+
+
 def footprint_area(tiles: DataFrame) -> DataFrame:
     """Area of the united tiles in square degrees, as the sum of the quads."""
     c = bbox.filled_corners()
@@ -103,23 +167,42 @@ def footprint_area(tiles: DataFrame) -> DataFrame:
 def scene_footprint(tiles: DataFrame) -> DataFrame:
     """Vertex rows of the footprint rings: source, ring, seq, lon, lat; one per tile side."""
     sides = footprint_sides(tiles)
-    ident = (F.col("ay").cast("bigint") * 8 * 2**28 + F.col("ax") * 8 + F.col("direction")).cast("bigint")
+    ident = F.col("ay").cast("bigint") * 2**32 + F.col("ax").cast("bigint") * 8 + F.col("direction")
     ordered = chained(sides.withColumn("id", ident), "source_object_key")
-    return ordered.select("source_object_key", "ring", "seq", "ax", "ay", "direction", "corner", "lon", "lat")
+    return ordered.select("source_object_key", "ring", "seq", "ax", "ay", "direction", "corner", "lon", "lat", "tile")
 
 
-def footprint_features(tiles: DataFrame) -> DataFrame:
-    """GeoJSON feature text per scene; only the corners of the outline enter it."""
-    corners = scene_footprint(tiles).where("corner")
-    rings = corners.groupBy("source_object_key", "ring").agg(
+def footprint_polygons(tiles: DataFrame) -> DataFrame:
+    """(source_object_key, part, rings): a polygon for each part, its outer ring first, closed, in degrees.
+
+    Tiles that only touch by a corner are parts of their own. A part has one outer ring, which in
+    scan order begins before its holes, and all its other rings are holes.
+    """
+    sides = materialize(scene_footprint(tiles), "footprint-sides")
+    parts = sides.join(tile_parts(tiles), ["source_object_key", "tile"])
+    named = parts.groupBy("source_object_key", "ring").agg(F.min("part").alias("part"))
+    rings = sides.where("corner").groupBy("source_object_key", "ring").agg(
         F.array_sort(F.collect_list(F.struct("seq", F.array("lon", "lat").alias("p")))).alias("v"))
-    closed = rings.select("source_object_key", "ring", F.transform("v", lambda v: v["p"]).alias("p")).select(
-        "source_object_key", "ring", F.concat("p", F.slice("p", 1, 1)).alias("p"))
-    scenes = closed.groupBy("source_object_key").agg(
-        F.array_sort(F.collect_list(F.struct("ring", "p"))).alias("rings"))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: r["p"]).alias("coordinates"))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.col("source_object_key").alias("source"), F.lit("tile_footprint").alias("outline")).alias("properties"),
-        geometry.alias("geometry"))
-    return scenes.select("source_object_key", F.to_json(feature).alias("feature"))
+    points = F.transform("v", lambda v: v["p"])
+    closed = rings.join(named, ["source_object_key", "ring"]).select(
+        "source_object_key", "part", "ring", F.concat(points, F.slice(points, 1, 1)).alias("p"))
+    return closed.groupBy("source_object_key", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ring", "p"))), lambda r: r["p"]).alias("rings"))
+
+
+def footprint_features(tiles: DataFrame) -> DataFrame:
+    """GeoJSON feature text per scene; only the corners of the outline enter it.
+
+    One part is a Polygon, several are a MultiPolygon. The vertex rows of `scene_footprint` are the form
+    for outlines of any size.
+    """
+    scenes = footprint_polygons(tiles).groupBy("source_object_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "rings"))), lambda r: r["rings"]).alias("parts"))
+    properties = F.struct(F.col("source_object_key").alias("source"), F.lit("tile_footprint").alias("outline")).alias("properties")
+
+    def feature(kind: str, coordinates: Column) -> Column:
+        geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), properties, geometry))
+
+    text = F.when(F.size("parts") == 1, feature("Polygon", F.col("parts")[0])).otherwise(feature("MultiPolygon", F.col("parts")))
+    return scenes.select("source_object_key", text.alias("feature"))

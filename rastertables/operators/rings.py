@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
-from rastertables.functions.crs import pixel_to_wgs84
+from rastertables.functions.crs import is_supported, pixel_to_wgs84
 from rastertables.operators.blocks import computed_once
 from rastertables.operators.components import joined_runs
 from rastertables.operators.land import tile_affine
@@ -20,64 +19,106 @@ STEP_X = np.array([1, 0, -1, 0])
 STEP_Y = np.array([0, 1, 0, -1])
 
 
-def boundary_edges(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit edges (x, y, direction) around the cells of runs, with the cells on the right."""
+def boundary_edges(
+    part: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit edges (part, x, y, direction) around the cells of runs, with the cells on the right."""
     length = c1 - c0 + 1
-    y = np.repeat(row, length)
+    y, of = np.repeat(row, length), np.repeat(part, length)
     x = np.repeat(c0, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    stride = int(c1.max()) + 2
-    cell = y * stride + x
-    top = ~np.isin(cell - stride, cell)
-    bottom = ~np.isin(cell + stride, cell)
+    stride, rows = int(c1.max()) + 2, int(row.max()) + 3
+    cell = (of * rows + y + 1) * stride + x
+    held = np.sort(cell)
+
+    def free(other: np.ndarray) -> np.ndarray:
+        return held[np.minimum(np.searchsorted(held, other), len(held) - 1)] != other
+
+    top, bottom = free(cell - stride), free(cell + stride)
     parts = [
-        (x[top], y[top], EAST), (c1 + 1, row, SOUTH),
-        (x[bottom] + 1, y[bottom] + 1, WEST), (c0, row + 1, NORTH),
+        (of[top], x[top], y[top], EAST), (part, c1 + 1, row, SOUTH),
+        (of[bottom], x[bottom] + 1, y[bottom] + 1, WEST), (part, c0, row + 1, NORTH),
     ]
-    xs, ys = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    return xs, ys, np.repeat(np.arange(4), [len(p[0]) for p in parts])
+    ps, xs, ys = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
+    return ps, xs, ys, np.repeat(np.arange(4), [len(p[0]) for p in parts])
 
 
-def trace_rings(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> list[list[int]]:
-    """Closed rings [x0, y0, x1, y1, ...] of one component; corners only, first point repeated.
+def trace_parts(part: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Closed rings of many components at once: their parts, their lengths, and their flat points.
 
-    At a point where two cells touch by their corners the ring turns right, which keeps the
-    cells apart. The outer ring runs clockwise on the screen, holes run the other way.
+    A ring is x0, y0, x1, y1, ...; corners only, first point repeated. At a point where two cells touch by
+    their corners it turns right, which keeps the cells apart. The outer ring runs clockwise on the
+    screen, holes run the other way. Successors come from a sorted search, ring names and
+    places from pointer doubling, so no edge is visited alone.
     """
-    xs, ys, ds = boundary_edges(row, c0, c1)
-    order = np.lexsort((ds, xs, ys))
-    xs, ys, ds = xs[order], ys[order], ds[order]
-    edge_at = {(x, y, d): i for i, (x, y, d) in enumerate(zip(xs.tolist(), ys.tolist(), ds.tolist()))}
-    used = np.zeros(len(xs), dtype=bool)
-    rings = []
-    for start in range(len(xs)):
-        if used[start]:
-            continue
-        ring, at, before = [], start, -1
-        while not used[at]:
-            used[at] = True
-            x, y, d = int(xs[at]), int(ys[at]), int(ds[at])
-            if d != before:
-                ring += [x, y]
-            before = d
-            x, y = x + int(STEP_X[d]), y + int(STEP_Y[d])
-            at = next(edge_at[x, y, t] for t in ((d + 1) % 4, d, (d + 3) % 4) if (x, y, t) in edge_at)
-        if before == ds[start]:
-            ring = ring[2:]
-        rings.append(ring + ring[:2])
-    return rings
+    ps, xs, ys, ds = boundary_edges(part, row, c0, c1)
+    width, height = int(xs.max()) + 1, int(ys.max()) + 1
+
+    def key(p: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return ((p * height + y) * width + x) * 4 + d
+
+    order = np.argsort(key(ps, xs, ys, ds), kind="stable")
+    ps, xs, ys, ds = ps[order], xs[order], ys[order], ds[order]
+    known, n = key(ps, xs, ys, ds), len(ps)
+    ahead = np.full(n, -1)
+    for turn in (3, 0, 1):  # the last one found wins: right before straight before left
+        wanted = key(ps, xs + STEP_X[ds], ys + STEP_Y[ds], (ds + turn) % 4)
+        at = np.minimum(np.searchsorted(known, wanted), n - 1)
+        ahead = np.where(known[at] == wanted, at, ahead)
+    low, hops, jump, span = np.arange(n), np.zeros(n, np.int64), ahead, 1
+    while True:  # low: smallest edge among the span from here on; hops: the way to it
+        other = low[jump]
+        nearer = other < low
+        if not nearer.any():
+            break
+        low, hops = np.where(nearer, other, low), np.where(nearer, hops[jump] + span, hops)
+        jump, span = jump[jump], span * 2
+    size = np.bincount(low, minlength=n)[low]
+    place = (size - hops) % size
+    came = np.empty(n, np.int64)
+    came[ahead] = ds
+    kept = np.lexsort((place, low))
+    kept = kept[ds[kept] != came[kept]]
+    name, first, count = np.unique(low[kept], return_index=True, return_counts=True)
+    closed = np.insert(kept, first + count, kept[first])
+    return ps[name], count + 1, np.column_stack([xs[closed], ys[closed]]).ravel()
+
+
+def trace_rings(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> list[list[int]]:
+    """Rings of one component."""
+    _, lengths, flat = trace_parts(np.zeros(len(row), np.int64), row, c0, c1)
+    return [ring.tolist() for ring in np.split(flat, 2 * np.cumsum(lengths)[:-1])]
+
+
+def _outlines(rows: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Rings of every component of a batch, traced in slices of whole components."""
+    sizes = rows.value_lengths().to_numpy()
+    row, c0, c1 = (v.flatten().to_numpy().astype(np.int64) for v in (rows, starts, ends))
+    ends_at = np.concatenate([[0], np.cumsum(sizes)])
+    rings, lengths, flats = np.zeros(len(sizes), np.int64), [], []
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends_at, ends_at[low] + 500_000, "right")) - 1)
+        one = slice(ends_at[low], ends_at[high])
+        if one.stop > one.start:
+            part, length, flat = trace_parts(np.repeat(np.arange(high - low), sizes[low:high]), row[one], c0[one], c1[one])
+            rings[low:high] = np.bincount(part, minlength=high - low)
+            lengths.append(2 * length)
+            flats.append(flat)
+        low = high
+    offsets = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    none = [np.zeros(0, np.int64)]
+    points = pa.ListArray.from_arrays(offsets(np.concatenate(lengths or none)), pa.array(np.concatenate(flats or none).astype(np.int32)))
+    return pa.ListArray.from_arrays(offsets(rings), points)
+
+
+_outlines.__annotations__ = {"rows": pa.Array, "starts": pa.Array, "ends": pa.Array, "return": pa.Array}
 
 
 def component_rings(polygons: DataFrame) -> DataFrame:
     """Polygons (with runs) plus `outlines` array<array<int>> in cell corners of the tile."""
     ship_package(polygons.sparkSession)
-
-    @pandas_udf("array<array<int>>")
-    def outlines(rows: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([
-            trace_rings(*(np.asarray(v, dtype=np.int64) for v in one)) for one in zip(rows, starts, ends)
-        ])
-
-    return polygons.withColumn("outlines", outlines("runs.row", "runs.c0", "runs.c1"))
+    outlines = F.arrow_udf(_outlines, "array<array<int>>").asNondeterministic()("runs.row", "runs.c0", "runs.c1")
+    return polygons.withColumn("outlines", outlines)
 
 
 def _points(ring: Column) -> Column:
@@ -219,7 +260,7 @@ def scene_outlines(runs: DataFrame) -> DataFrame:
 
 def located_outlines(outlines: DataFrame, scenes: DataFrame) -> DataFrame:
     """Outline corners in degrees, by the scene's own grid."""
-    frame = scenes.where(F.col("epsg").isNotNull()).select("scene_key", "epsg", *"abcdef")
+    frame = scenes.where(is_supported(F.col("epsg"))).select("scene_key", "epsg", *"abcdef")
     placed = outlines.join(broadcast_if_small(frame), "scene_key")
     point = computed_once(placed, {"point": pixel_to_wgs84(F.col("x"), F.col("y"))})
     return point.select("scene_key", "component", "ring", "seq", "x", "y", "point.lon", "point.lat")

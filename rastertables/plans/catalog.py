@@ -154,16 +154,22 @@ def _has_bounds(box: Box) -> Column:
 def tiles_in_viewports(tiles: DataFrame, views: DataFrame, bin_degrees: float = 0.05) -> DataFrame:
     """(view_id, filename) for many requests, each on one scene.
 
-    Tiles and views meet by scene and degree cell, so only near pairs are formed.
+    Tiles and views meet by scene and degree cell, so only near pairs are formed. A view is cut to the
+    extent of its scene first: it has no more cells than the scene, however large it is.
     """
     boxed = tiles.select("filename", "source_object_key", *bbox.tile_bbox().columns())
     sides = ("west", "south", "east", "north")
     asked = views.select("view_id", "source_object_key", *(bbox.normalize_bbox(F.col(s)).alias(s) for s in sides))
     open_views = asked.where(~_has_bounds(Box.of())).select("view_id", "source_object_key")
     everything = open_views.join(boxed.select("filename", "source_object_key"), "source_object_key")
-    near = bin_pairs(
-        boxed, asked.where(_has_bounds(Box.of())), bin_degrees, on=["source_object_key"]
-    )
+    extents = boxed.groupBy("source_object_key").agg(
+        F.min("west").alias("e_west"), F.min("south").alias("e_south"), F.max("east").alias("e_east"), F.max("north").alias("e_north"))
+    met = asked.where(_has_bounds(Box.of())).join(extents, "source_object_key").where(
+        bbox.bounds_intersect(Box.of(), Box.of("e_")))
+    cut = met.select(
+        "view_id", "source_object_key", F.greatest("west", "e_west").alias("west"), F.greatest("south", "e_south").alias("south"),
+        F.least("east", "e_east").alias("east"), F.least("north", "e_north").alias("north"))
+    near = bin_pairs(boxed, cut, bin_degrees, on=["source_object_key"])
     return near.select("view_id", "filename").unionByName(everything.select("view_id", "filename"))
 
 

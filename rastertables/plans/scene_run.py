@@ -220,7 +220,8 @@ def rebuild_exports(
     missing = missing_exports(tiles, exports, EXPORT_SUFFIX)
     keyed = tiles.join(missing, "source_object_key", "left_semi").withColumnRenamed("source_object_key", "scene_key")
     own = masked.join(missing.withColumnRenamed("source_object_key", "scene_key"), "scene_key", "left_semi")
-    boxed = keyed.select("*", *bbox.tile_bbox().columns())
+    filled = grid.filled_grid(keyed.withColumnRenamed("scene_key", "source_object_key")).withColumnRenamed("source_object_key", "scene_key")
+    boxed = filled.select("*", *bbox.tile_bbox().columns())
     polygons = materialize(mask_polygons(own, boxed, land_edges, params), "rebuilt-polygons")
     reports = export_keys(polygons).groupBy("object_key").agg(
         F.array_join(F.sort_array(F.collect_set("export_key")), ",").alias("result_path")

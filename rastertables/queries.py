@@ -738,7 +738,7 @@ def validate_corners_other_rows(i: Inputs) -> DataFrame:
 
 @query
 def footprint_sides(i: Inputs) -> DataFrame:
-    return grid.footprint_sides(i.tiles).drop("lon", "lat")
+    return grid.footprint_sides(i.old_tiles()).drop("lon", "lat", "tile")
 
 
 @query
@@ -748,13 +748,13 @@ def footprint_area(i: Inputs) -> DataFrame:
 
 @query
 def scene_footprint(i: Inputs) -> DataFrame:
-    return grid.scene_footprint(i.tiles)
+    return grid.scene_footprint(i.old_tiles()).drop("tile")
 
 
 @query
 def footprint_rings(i: Inputs) -> DataFrame:
     """Enclosed grid area per scene from the ordered rings: outer rings minus holes."""
-    ordered = grid.scene_footprint(i.tiles)
+    ordered = grid.scene_footprint(i.old_tiles())
     after = ordered.select("source_object_key", "ring", (F.col("seq") - 1).alias("seq"),
                            F.col("ax").alias("nx"), F.col("ay").alias("ny"))
     stepped = ordered.join(after, ["source_object_key", "ring", "seq"], "left")
@@ -767,9 +767,29 @@ def footprint_rings(i: Inputs) -> DataFrame:
         F.sum("sides").alias("sides"), (F.sum(F.col("open") + closing) / 2).cast("bigint").alias("grid_area"))
 
 
+def _twice_area(ring: Column) -> Column:
+    """Twice the signed area in degrees of a closed ring of (lon, lat) pairs."""
+    return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda total, k: total + (
+        F.get(ring, k)[0] * F.get(ring, k + 1)[1] - F.get(ring, k + 1)[0] * F.get(ring, k)[1]))
+
+
 @query
 def footprint_features(i: Inputs) -> DataFrame:
-    return grid.footprint_features(i.tiles)
+    return grid.footprint_features(i.old_tiles())
+
+
+@query
+def footprint_parts(i: Inputs) -> DataFrame:
+    """Polygons of each footprint text and the area inside them, holes taken off."""
+    rings = "array<array<array<double>>>"
+    text = F.col("feature")
+    kind = F.get_json_object(text, "$.geometry.type")
+    one = F.from_json(F.concat(F.lit('{"c":['), F.get_json_object(text, "$.geometry.coordinates"), F.lit("]}")), f"c array<{rings}>")["c"]
+    many = F.from_json(F.concat(F.lit('{"c":'), F.get_json_object(text, "$.geometry.coordinates"), F.lit("}")), f"c array<{rings}>")["c"]
+    parts = grid.footprint_features(i.old_tiles()).select("source_object_key", F.explode(F.when(kind == "Polygon", one).otherwise(many)).alias("rings"))
+    area = F.abs(_twice_area(F.col("rings")[0])) - F.aggregate(
+        F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(1))), F.lit(0.0), lambda total, ring: total + F.abs(_twice_area(ring)))
+    return parts.groupBy("source_object_key").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum(area) / 2, 6).alias("area"))
 
 
 # --- whole run ------------------------------------------------------------------------
@@ -832,6 +852,13 @@ def progress_events(i: Inputs) -> DataFrame:
     return scene_run.progress_events(kept, F.col("black"), step=10)
 
 
+@query
+def worker_name_events(i: Inputs) -> DataFrame:
+    """Every event has a worker, whichever it was."""
+    named = i.events.select(running_worker(F.col("event_id")).alias("worker_name"))
+    return named.agg(F.count("worker_name").alias("events"), F.count_if(F.length("worker_name") > 0).alias("named"))
+
+
 @query
 def worker_names(i: Inputs) -> DataFrame:
     named = i.events.select("event_id", running_worker(F.col("event_id")).alias("worker_name"))

@@ -1,18 +1,23 @@
-"""Polygon exports: GeoJSON feature rows, one folder per scene."""
+"""Polygon exports: GeoJSON feature rows, stored under the export key of their scene."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rastertables.functions import names
 
 EXPORT_SUFFIX = "_masks.geojson"
+MERGED_SUFFIX = "_outlines.parquet"
 
 
 def export_key(key: Column) -> Column:
     return F.concat(names.export_prefix(key), names.safe_source_name(key), F.lit(EXPORT_SUFFIX))
 
 
+def merged_key(key: Column) -> Column:
+    return F.concat(names.export_prefix(key), names.safe_source_name(key), F.lit(MERGED_SUFFIX))
+
+
 def _ring_coordinates(rings: Column) -> Column:
     return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))
 
@@ -23,7 +28,7 @@ def polygon_features(polygons: DataFrame) -> DataFrame:
     geometry = F.struct(F.lit("Polygon").alias("type"), _ring_coordinates(F.col("rings")).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
     return polygons.select(
-        names.safe_source_name(F.col("scene_key")).alias("source_name"),
+        export_key(F.col("scene_key")).alias("export_key"),
         F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
@@ -33,18 +38,28 @@ def merged_rows(outlines: DataFrame) -> DataFrame:
     A united mask may cover a whole scene, so its vertices stay rows and are never one value.
     """
     return outlines.select(
-        names.safe_source_name(F.col("scene_key")).alias("source_name"), F.lit("mask").alias("name"),
+        merged_key(F.col("scene_key")).alias("export_key"), F.lit("mask").alias("name"),
         "component", "ring", "seq", "lon", "lat")
 
 
 def export_polygons(features: DataFrame, path: str) -> None:
-    """Append the features of each scene below its own folder."""
-    features.write.mode("append").partitionBy("source_name").text(path)
+    """Store the features of each scene under its export key; a scene stored before is replaced."""
+    _replace(features, path).text(path)
 
 
 def export_merged(rows: DataFrame, path: str) -> None:
-    """Append the vertex rows of each scene below its own folder."""
-    rows.write.mode("append").partitionBy("source_name").parquet(path)
+    """Store the vertex rows of each scene under its export key; a scene stored before is replaced."""
+    _replace(rows, path).parquet(path)
+
+
+def _replace(rows: DataFrame, path: str):
+    dealt = rows.repartition("export_key")
+    return dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("export_key")
+
+
+def stored_exports(spark: SparkSession, path: str, schema: str = "value string") -> DataFrame:
+    """(export_key) of everything stored at a path; only the names of its folders are read."""
+    return spark.read.schema(f"{schema}, export_key string").text(path).select("export_key").distinct()
 
 
 def export_keys(polygons: DataFrame) -> DataFrame:

@@ -43,8 +43,13 @@ def upsert(
 
 
 def upsert_tiles(current: DataFrame, updates: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Tiles keyed by filename; the last row of a file wins, vanished tiles stay."""
-    fresh = latest_per_key(updates, "filename", order) if order else updates
+    """Tiles keyed by filename; the last row of a file wins, vanished tiles stay.
+
+    Without an order, of rows that share a file name the one with the largest scene key and ordinal is
+    taken, so that the table keeps one row per key whatever a batch holds.
+    """
+    known = order or [c for c in ("source_object_key", "ordinal") if c in updates.columns]
+    fresh = latest_per_key(updates, "filename", known or updates.columns[:1])
     return upsert(current, fresh, "filename", kept=("id", "created_at"))
 
 

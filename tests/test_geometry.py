@@ -1,3 +1,6 @@
+import json
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -373,3 +376,55 @@ def test_scene_outlines_enclose_their_components(spark, density):
     assert area == {n: int((label == n).sum()) for n in np.unique(label) if n >= 0}
     outer = [c for (c, _), p in by_ring.items() if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) > 0]
     assert sorted(outer) == sorted(area)
+
+
+def test_footprints_with_old_rows_parts_and_holes(spark):
+    """A ring of tiles around a hole, a tile apart, one of them of the old layout: outlines are valid."""
+    cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [(5, 0)]
+
+    def frame(old):
+        rows = []
+        for n, (x, y) in enumerate(cells):
+            at = lambda dx, dy: (70 + (x + dx) * 0.01 + (y + dy) * 0.001, 75 + (x + dx) * 0.0005 - (y + dy) * 0.01)  # noqa: B023, E731
+            corners = dict(zip(("top_left", "top_right", "bottom_right", "bottom_left"), (at(0, 0), at(1, 0), at(1, 1), at(0, 1))))
+            row = {"filename": f"t{n}", "source_object_key": "s", "tile_x": 8 * x, "tile_y": 8 * y, "tile_width": 8, "tile_height": 8}
+            for name, (lon, lat) in corners.items():
+                row[f"{name}_lon"], row[f"{name}_lat"] = lon, lat
+            if n in old:
+                row.update({k: None for k in row if k.startswith(("tile_", "top_right", "bottom_left"))})
+            rows.append(row)
+        names = ", ".join(f"{c}_{a} double" for c in ("top_left", "top_right", "bottom_right", "bottom_left") for a in ("lon", "lat"))
+        columns = ["filename", "source_object_key", "tile_x", "tile_y", "tile_width", "tile_height", *(c.split()[0] for c in names.split(", "))]
+        schema = "filename string, source_object_key string, tile_x int, tile_y int, tile_width int, tile_height int, " + names
+        return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], schema)
+
+    for old in ((), (1, 4), range(2, 8)):
+        body = json.loads(grid.footprint_features(frame(old)).first()["feature"])["geometry"]
+        assert body["type"] == "MultiPolygon"
+        assert sorted((len(p), [len(r) for r in p]) for p in body["coordinates"]) == [(1, [5]), (2, [5, 5])]
+    alone = json.loads(grid.footprint_features(frame(range(9)).where("filename = 't8'")).first()["feature"])["geometry"]
+    assert alone["type"] == "Polygon" and len(alone["coordinates"][0]) == 5
+
+
+def test_rings_of_a_noisy_tile_are_fast():
+    mask = np.random.default_rng(9).random((1000, 1000)) < 0.45
+    runs = np.array(runs_of(mask), dtype=np.int64)
+    label = components.label_runs(*runs.T)
+    order = np.argsort(label, kind="stable")
+    part = np.unique(label[order], return_inverse=True)[1]
+    started = time.perf_counter()
+    parts, lengths, flat = rings.trace_parts(part, *runs[order].T)
+    assert time.perf_counter() - started < 5
+    x, y = flat[::2], flat[1::2]
+    twice = x[:-1] * y[1:] - x[1:] * y[:-1]
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(twice), bool)
+    inside[ends[:-1] - 1] = False  # from one ring to the next
+    assert (twice * inside).sum() == 2 * mask.sum()
+
+
+def test_components_of_equal_scenes_do_not_cancel(spark):
+    path = [(k, n, n + 1) for k in ("one", "two") for n in range(0, 70)]
+    frame = spark.createDataFrame(path, "scene_key string, u bigint, v bigint")
+    got = components.connected_components(frame, "scene_key").collect()
+    assert {(r["scene_key"], r["u"], r["root"]) for r in got} == {(k, n, 0) for k in ("one", "two") for n in range(1, 71)}

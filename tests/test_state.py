@@ -142,9 +142,15 @@ def test_export_folders(spark, tmp_path):
     polygons = spark.createDataFrame(
         [("raw/a b.tif", "t", "m", 0.5, [[(1.0, 2.0), (3.0, 2.0), (3.0, 4.0), (1.0, 2.0)]])],
         "scene_key string, filename string, mask_name string, fill_ratio double, rings array<array<struct<lon:double,lat:double>>>")
-    exports.export_polygons(exports.polygon_features(polygons), str(tmp_path / "e"))
+    for _ in range(2):  # a second run replaces the first
+        exports.export_polygons(exports.polygon_features(polygons), str(tmp_path / "e"))
+    assert spark.read.text(str(tmp_path / "e")).count() == 1
     back = spark.read.text(str(tmp_path / "e")).first()
-    assert back["source_name"] == "a_b"
+    assert back["export_key"] == exports.export_keys(polygons).first()["export_key"]
+    assert [r[0] for r in exports.stored_exports(spark, str(tmp_path / "e")).collect()] == [back["export_key"]]
+    tiles = spark.createDataFrame([("raw/a b.tif",), ("raw/other.tif",)], "source_object_key string")
+    missing = catalog.missing_exports(tiles, exports.stored_exports(spark, str(tmp_path / "e")), exports.EXPORT_SUFFIX)
+    assert [r[0] for r in missing.select("source_object_key").collect()] == ["raw/other.tif"]
     feature = json.loads(back["value"])
     assert feature["properties"] == {"tile_id": "t", "mask_name": "m", "fill_ratio": 0.5}
     assert feature["geometry"]["coordinates"][0][1] == [3.0, 2.0]
@@ -160,3 +166,21 @@ def test_open_viewport_gives_all_tiles(spark, bounds, count):
     views = spark.createDataFrame([(1, "s", *(None if b is None else float(b) for b in bounds))],
                                   "view_id int, source_object_key string, west double, south double, east double, north double")
     assert catalog.tiles_in_viewports(tiles, views).count() == count
+
+
+def test_equal_file_names_keep_one_row(spark, as_rows):
+    rows = [("t.jpg", "raw/a/x.tif", 1), ("t.jpg", "raw/b/x.tif", 0), ("u.jpg", "raw/a/x.tif", 2)]
+    updates = spark.createDataFrame(rows, "filename string, source_object_key string, ordinal int")
+    current = updates.limit(0)
+    for _ in range(3):
+        current = state.upsert_tiles(current, updates)
+    assert as_rows(current.select("filename", "source_object_key", "ordinal")) == [("t.jpg", "raw/b/x.tif", 0), ("u.jpg", "raw/a/x.tif", 2)]
+
+
+def test_a_world_view_has_no_more_cells_than_its_scene(spark):
+    names = ", ".join(f"{c}_{a} double" for c in ("top_left", "top_right", "bottom_right", "bottom_left") for a in ("lon", "lat"))
+    rows = [("a", "s", 0.5, 1.5, 0.6, 1.5, 0.6, 1.4, 0.5, 1.4)]
+    tiles = spark.createDataFrame(rows, "filename string, source_object_key string, " + names)
+    views = spark.createDataFrame([(1, "s", -180.0, -90.0, 180.0, 90.0), (2, "s", 170.0, 0.0, 180.0, 90.0), (3, "s", 0.58, 1.0, 0.52, 2.0)],
+                                  "view_id int, source_object_key string, west double, south double, east double, north double")
+    assert sorted(r[0] for r in catalog.tiles_in_viewports(tiles, views, 1e-3).collect()) == [1, 3]
