@@ -710,3 +710,8 @@ SELECT object_key, CASE WHEN s.scene_key IS NULL THEN 'failed' WHEN coalesce(n,
 FROM (SELECT object_key FROM parsed WHERE object_key <> '' UNION SELECT scene_key FROM scenes) k
 LEFT JOIN scenes s ON s.scene_key = k.object_key
 LEFT JOIN (SELECT scene_key, CAST(count(*) AS INT) AS n FROM numbered JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL GROUP BY 1) c ON c.scene_key = k.object_key""")
+
+check("ingested_exports", f"""
+SELECT concat('processed/shapefiles/', {safe('scene_key')}, '/', {safe('scene_key')}, '_masks.geojson') AS export_key, count(*) AS features
+FROM final_polygons GROUP BY scene_key""")
+check("ingested_masks", f"SELECT {_CELL} FROM placed_mask")

@@ -922,10 +922,30 @@ def log_stream(i: Inputs) -> DataFrame:
         names.iso_timestamp(F.col("created_at")).alias("created_at"))
 
 
-@query
-def ingest_stream(i: Inputs) -> DataFrame:
+def _ingested(i: Inputs) -> streams.IngestStore:
     store = streams.IngestStore(_fresh_folder(i, "ingest"))
     listed = i.scenes.select(F.col("scene_key").alias("object_key"))
     messages = streams.notification_stream(i.spark, _message_files(i), 2)
-    streams.ingest_stream(messages, lambda: listed, lambda keys: _run(i, keys), store).awaitTermination()
+    streams.ingest_stream(
+        messages, lambda: listed, lambda keys: _run(i, keys), store,
+        rebuild=lambda tiles, masked, stored: scene_run.rebuild_exports(tiles, masked, stored, i.land_edges, PARAMS),
+    ).awaitTermination()
+    return store
+
+
+@query
+def ingest_stream(i: Inputs) -> DataFrame:
+    store = _ingested(i)
     return state.read_version(i.spark, store.path("tasks"), TASKS).select("object_key", "status", "stage", "progress_current")
+
+
+@query
+def ingested_exports(i: Inputs) -> DataFrame:
+    """Features stored under each export key by the ingest loop."""
+    return i.spark.read.text(_ingested(i).path("exports")).groupBy("export_key").agg(F.count(F.lit(1)).alias("features"))
+
+
+@query
+def ingested_masks(i: Inputs) -> DataFrame:
+    """Cells of the masks that the ingest loop keeps."""
+    return masks.mask_cells(i.spark.read.parquet(_ingested(i).path("masks")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rastertables.functions import names
+from rastertables.storage import path_exists, replace_groups
 
 EXPORT_SUFFIX = "_masks.geojson"
 MERGED_SUFFIX = "_outlines.parquet"
@@ -44,22 +45,19 @@ def merged_rows(outlines: DataFrame) -> DataFrame:
 
 def export_polygons(features: DataFrame, path: str) -> None:
     """Store the features of each scene under its export key; a scene stored before is replaced."""
-    _replace(features, path).text(path)
+    replace_groups(features, "export_key").text(path)
 
 
 def export_merged(rows: DataFrame, path: str) -> None:
     """Store the vertex rows of each scene under its export key; a scene stored before is replaced."""
-    _replace(rows, path).parquet(path)
+    replace_groups(rows, "export_key").parquet(path)
 
 
-def _replace(rows: DataFrame, path: str):
-    dealt = rows.repartition("export_key")
-    return dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("export_key")
-
-
-def stored_exports(spark: SparkSession, path: str, schema: str = "value string") -> DataFrame:
+def stored_exports(spark: SparkSession, path: str) -> DataFrame:
     """(export_key) of everything stored at a path; only the names of its folders are read."""
-    return spark.read.schema(f"{schema}, export_key string").text(path).select("export_key").distinct()
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "export_key string")
+    return spark.read.schema("value string, export_key string").text(path).select("export_key").distinct()
 
 
 def export_keys(polygons: DataFrame) -> DataFrame:

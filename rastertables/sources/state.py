@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rastertables import params as P
 from rastertables.functions import names
 from rastertables.schemas import MARKER
+from rastertables.storage import path_exists, replace_groups
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -93,10 +94,13 @@ def build_markers(results: DataFrame) -> DataFrame:
 
 
 def write_markers(markers: DataFrame, path: str) -> None:
-    markers.select("value").write.mode("append").text(path)
+    """Store each marker under its key; one stored before is replaced."""
+    replace_groups(markers.select("marker_key", "value"), "marker_key").text(path)
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], MARKER).withColumn("marker_key", F.lit(None).cast("string"))
     stored = spark.read.schema(MARKER).json(path)
     return stored.withColumn("marker_key", names.marker_key(F.col("object_key")))
 

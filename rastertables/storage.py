@@ -37,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def replace_groups(df: DataFrame, *keys: str):
+    """Writer that replaces the stored groups that occur in `df`, one folder each, and leaves the others."""
+    dealt = df.repartition(*keys)
+    return dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+
+
 def broadcast_if_small(side: DataFrame, counted: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the row count proves the side small.
 

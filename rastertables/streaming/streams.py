@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rastertables import params as P, schemas
 from rastertables.plans.catalog import pending_keys
 from rastertables.plans import scene_run
 from rastertables.plans.scene_run import SceneRun
-from rastertables.sources import objects, state
+from rastertables.sources import exports, objects, state
+from rastertables.storage import materialize, path_exists, replace_groups
 
 
 def notification_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -84,44 +85,99 @@ class IngestStore:
 STORED_TILES = T.StructType([*scene_run.STORED_TILES.fields, T.StructField("created_at", T.TimestampType())])
 
 
+Rebuild = Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def _stored_masks(spark: SparkSession, store: IngestStore) -> DataFrame:
+    path = store.path("masks")
+    known = T._parse_datatype_string(scene_run.MASKS)
+    return spark.read.schema(known).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], known)
+
+
+def _task_reports(results: DataFrame, now: Column) -> DataFrame:
+    missing = {c: F.lit(None).cast(t) for c, t in (
+        ("worker_name", "string"), ("progress_current", "int"), ("progress_total", "int")) if c not in results.columns}
+    return results.withColumns(missing).select(
+        "object_key", "status", "processor_name", "stage", "worker_name",
+        "progress_current", "progress_total", "result_path", "details", now.alias("reported_at"))
+
+
+def _repaired(tiles: DataFrame, store: IngestStore, markers: DataFrame, rebuild: Rebuild) -> DataFrame:
+    """Reports of exports made anew for scenes that have tiles and should have one, but don't.
+
+    A scene whose marker names no export has no polygons and needs none.
+    """
+    spark = tiles.sparkSession
+    bare = markers.where(F.size("shapefile_keys") == 0).select(F.col("object_key").alias("source_object_key"))
+    wanted = tiles.join(bare, "source_object_key", "left_anti")
+    polygons, reports = rebuild(wanted, _stored_masks(spark, store), exports.stored_exports(spark, store.path("exports")))
+    exports.export_polygons(exports.polygon_features(polygons), store.path("exports"))
+    return reports
+
+
 def ingest_batch(
-    batch: DataFrame, number: int, listing: DataFrame, process: Callable[[DataFrame], SceneRun], store: IngestStore
+    batch: DataFrame, number: int, listing: DataFrame, process: Callable[[DataFrame], SceneRun], store: IngestStore,
+    rebuild: Rebuild | None = None,
 ) -> None:
-    """One cycle: new and unfinished keys are processed, tiles and tasks are brought up to date.
+    """One cycle: new and unfinished keys are processed, and everything a run made is stored.
 
-    Listed keys are offered again in every cycle, so failed scenes are retried and finished
-    ones are not. All writes are replaced when a batch is repeated.
+    Masks, exports and markers are kept by scene, tiles, tasks and logs as versions; the task rows come last.
+    With `rebuild`, lost exports are made anew in every cycle. Listed keys are offered again in every
+    cycle, so failed scenes are retried and finished ones are not. All writes are replaced when a
+    batch is repeated.
     """
     spark = batch.sparkSession
     tasks = _previous(spark, store.path("tasks"), schemas.TASKS, number)
     tiles = _previous(spark, store.path("tiles"), STORED_TILES, number)
-    notified = objects.parse_notifications(batch).withColumn("position", F.lit(0).cast("bigint"))
-    finished = tasks.where(F.col("status").isin("processed", "empty"))
-    markers = state.build_markers(finished.select(
-        "object_key", "status", F.split("result_path", ",").alias("shapefile_keys"),
-        F.col("updated_at").alias("processed_at")))
-    pending = pending_keys(notified, listing, tasks, markers)
+    notified = objects.parse_notifications(batch.where(F.col("value").isNotNull())).withColumn("position", F.lit(0).cast("bigint"))
+    pending = materialize(pending_keys(notified, listing, tasks, _finished(tasks)), "pending-keys")
 
     run = process(pending.select("object_key"))
     now = F.current_timestamp()
-    reports = run.results.select(
-        "object_key", "status", "processor_name", "stage", F.lit(None).cast("string").alias("worker_name"),
-        "progress_current", "progress_total", "result_path", "details", now.alias("reported_at"))
+    results = materialize(run.results, "run-results")
+    replace_groups(run.masks, "scene_key").parquet(store.path("masks"))
+    exports.export_polygons(exports.polygon_features(run.polygons), store.path("exports"))
+    if run.merged is not None:
+        exports.export_merged(exports.merged_rows(run.merged), store.path("outlines"))
+    stored = state.upsert_tiles(tiles, run.tiles.withColumn("created_at", now))
+    state.write_version(stored, store.path("tiles"), number)
+    done = results.where(F.col("status").isin("processed", "empty")).withColumn("processed_at", now)
+    state.write_markers(state.build_markers(done), store.path("markers"))
+
+    reports = _task_reports(results, now)
+    if rebuild is not None:
+        kept = state.read_version(spark, store.path("tiles"), STORED_TILES, number)
+        markers = state.read_markers(spark, store.path("markers"))
+        repaired = _repaired(kept, store, markers, rebuild)
+        reports = reports.unionByName(_task_reports(repaired, now))
     state.write_version(state.upsert_tasks(tasks, reports, ["reported_at"]), store.path("tasks"), number)
-    fresh = run.tiles.withColumn("created_at", now)
-    state.write_version(state.upsert_tiles(tiles, fresh), store.path("tiles"), number)
-    log = run.results.select(
+    log = results.select(
         "object_key", F.lit(None).cast("string").alias("worker_name"), "stage",
         "level", F.col("details").alias("message"),
         "progress_current", "progress_total", now.alias("created_at"))
     state.write_version(state.prepare_log(log), store.path("logs"), number)
 
 
+def _finished(tasks: DataFrame) -> DataFrame:
+    """Markers of the scenes that the task table knows as finished."""
+    finished = tasks.where(F.col("status").isin("processed", "empty"))
+    return state.build_markers(finished.select(
+        "object_key", "status", F.split("result_path", ",").alias("shapefile_keys"),
+        F.col("updated_at").alias("processed_at")))
+
+
 def ingest_stream(
     messages: DataFrame, listing: Callable[[], DataFrame], process: Callable[[DataFrame], SceneRun],
-    store: IngestStore, every: str | None = None,
+    store: IngestStore, every: str | None = None, rebuild: Rebuild | None = None,
 ) -> StreamingQuery:
-    """Poll for notifications and process what is pending. Offsets advance after the batch."""
+    """Poll for notifications and process what is pending. Offsets advance after the batch.
+
+    With an interval, a clock stream beside the messages makes a cycle of every interval, also of quiet
+    ones, so that listed scenes are retried and exports repaired without a message.
+    """
+    if every:
+        clock = messages.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        messages = messages.select("value").unionByName(clock.select(F.lit(None).cast("string").alias("value")))
     return _start(
-        messages, lambda batch, number: ingest_batch(batch, number, listing(), process, store),
+        messages, lambda batch, number: ingest_batch(batch, number, listing(), process, store, rebuild),
         store.path("checkpoint"), every)

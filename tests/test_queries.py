@@ -7,7 +7,7 @@ from rastertables.queries import REGISTRY
 from tools.check_queries import compare, database
 
 LONG = {
-    "ingest_stream", "rebuild_exports", "scene_status", "processed_polygons", "processed_masks", "process_scenes",
+    "ingest_stream", "ingested_exports", "ingested_masks", "rebuild_exports", "scene_status", "processed_polygons", "processed_masks", "process_scenes",
     "segment_with_model", "upsert_tiles", "task_state_stream", "log_stream", "notification_stream", "dedup_keys",
     "overlay_colours", "standardise_rgb", "stretch", "tile_names", "number_tiles", "drop_black_tiles", "centre_land",
     "clip_polygons_to_water", "clip_mask_to_water", "union_land", "merge_masks", "scan_events", "tile_corners",

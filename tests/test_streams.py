@@ -1,4 +1,6 @@
 import json
+import os
+import time
 from dataclasses import replace
 from datetime import datetime
 
@@ -125,3 +127,59 @@ def test_corner_failures_name_their_tiles(spark):
     tiles = spark.createDataFrame(rows)
     row = grid.with_examples(grid.validate_corners(tiles), tiles).first()
     assert row["mismatches"] == 19 and len(row["examples"]) == 8 and row["examples"][0].startswith("t0 / t1 (top)")
+
+
+def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
+    inputs = Inputs(spark, sf_dir)
+    key = "raw/S1_IW_20240102.tif"
+    listing = spark.createDataFrame([(key,)], "object_key string")
+    store = streams.IngestStore(str(tmp_path / "store"))
+    params = replace(PARAMS, min_area=0.0)
+
+    def cycle(number):
+        batch = spark.createDataFrame([(None,)], "value string")
+        streams.ingest_batch(
+            batch, number, listing,
+            lambda keys: scene_run.process_scenes(keys, inputs.chunks, inputs.scenes, None, kernels.threshold_model(128), params), store,
+            rebuild=lambda tiles, masked, stored: scene_run.rebuild_exports(tiles, masked, stored, None, params))
+
+    def kept():
+        features = sorted(tuple(r) for r in spark.read.text(store.path("exports")).collect())
+        masks = sorted(map(str, spark.read.parquet(store.path("masks")).collect()))
+        tasks = sorted((r["object_key"], r["status"]) for r in state.read_version(spark, store.path("tasks"), schemas.TASKS).collect())
+        return features, masks, tasks
+
+    cycle(0)
+    first = kept()
+    assert first[0] and first[1] and first[2] == [(key, "processed")]
+    marker = state.read_markers(spark, store.path("markers")).first()
+    assert marker["status"] == "processed" and len(marker["shapefile_keys"]) == 1
+    cycle(0)  # the same batch again
+    assert kept() == first
+    os.rename(store.path("exports"), str(tmp_path / "lost"))
+    cycle(1)  # nothing pending: the export comes back from the stored tiles and masks
+    assert kept() == first
+    stages = {r["stage"] for r in state.read_version(spark, store.path("tasks"), schemas.TASKS).collect()}
+    assert stages == {scene_run.STAGE_REBUILD}
+
+
+def test_quiet_cycles_run(spark, tmp_path):
+    """Without a single message the listing is offered again and again."""
+    (tmp_path / "messages").mkdir()
+    offered = []
+
+    def process(keys):
+        offered.append([r[0] for r in keys.collect()])
+        return scene_run.process_scenes(keys, None, spark.createDataFrame([], "scene_key string"), None, None)
+
+    listing = spark.createDataFrame([("raw/late.tif",)], "object_key string")
+    query = streams.ingest_stream(
+        streams.notification_stream(spark, str(tmp_path / "messages")), lambda: listing, process,
+        streams.IngestStore(str(tmp_path / "store")), every="1 second")
+    try:
+        limit = time.time() + 120
+        while len(offered) < 2 and time.time() < limit and query.isActive:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert len(offered) >= 2 and offered[0] == offered[1] == ["raw/late.tif"]
