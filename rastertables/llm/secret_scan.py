@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shipping import ship_package
 from ..storage import broadcast_if_small, materialize
 from .common import arrow_pass, texts
 from .words import row_slices, text_buffer
@@ -204,26 +205,42 @@ def find_spans(text: str, rules: tuple[Rule, ...], compiled: list[re.Pattern], m
     return sorted(spans)
 
 
-def _verify(docs: DataFrame, found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Adds `spans` to docs, which may have further columns; needs doc_id and text."""
+def replaced(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with every span replaced, those that overlap together."""
+    parts, done = [], 0
+    for start, _, end in spans:
+        if start >= done:
+            parts += [text[done:start], mark]
+        done = max(done, end)
+    return "".join([*parts, text[done:]])
+
+
+def _verified(docs: DataFrame, rules: tuple[Rule, ...], mark: str) -> DataFrame:
+    """docs with `_found`: the spans of its texts, and the text without them if there are any.
+
+    Only texts go to Python. Needs doc_id and text; other columns stay behind.
+    """
+    found = materialize(candidates(build_index(docs, trigrams(rules)), rules), "secret-candidates")
     everywhere = sum(1 << i for i, rule in enumerate(rules) if trigram_query(rule.pattern) == EVERYTHING)
     all_rules = (1 << len(rules)) - 1
     mask = F.when(F.col("doc_id").isNull(), all_rules).otherwise(F.coalesce(F.col("_mask"), F.lit(0)).bitwiseOR(F.lit(everywhere)))
-    marked = docs.join(broadcast_if_small(found.withColumnRenamed("mask", "_mask")), "doc_id", "left").withColumn("_mask", mask)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(text: pa.Array, masks: pa.Array) -> pa.Array:
         compiled = [re.compile(rule.quick or rule.pattern, re.ASCII) for rule in rules]
-        for batch in batches:
-            spans = [
-                [{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in find_spans(t or "", rules, compiled, m)]
-                for t, m in zip(batch["text"].to_pylist(), batch["_mask"].to_pylist())
-            ]
-            kept = batch.drop_columns(["_mask"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(spans, pa.list_(span))], [*kept.schema.names, "spans"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in marked.dtypes if n != "_mask")
-    return arrow_pass(marked, run, f"{schema}, spans array<struct<kind string, start int, end int>>")
+        spans, cleaned = [], []
+        for one, bits in zip(text, masks.to_pylist()):
+            one = one.as_py() or ""
+            own = find_spans(one, rules, compiled, bits)
+            spans.append([{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in own])
+            cleaned.append(replaced(one, own, mark) if own else None)
+        return pa.StructArray.from_arrays([pa.array(spans, pa.list_(span)), pa.array(cleaned, pa.string())], names=["spans", "cleaned"])
+
+    search.__annotations__ = {"text": pa.Array, "masks": pa.Array, "return": pa.Array}
+    ship_package(docs.sparkSession)
+    kind = "struct<spans:array<struct<kind:string,start:int,end:int>>,cleaned:string>"
+    marked = docs.join(broadcast_if_small(found.withColumnRenamed("mask", "_mask")), "doc_id", "left").withColumn("_mask", mask)
+    return marked.withColumn("_found", F.arrow_udf(search, kind).asNondeterministic()("text", "_mask")).drop("_mask")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -232,8 +249,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Places count code points, ends are exclusive. Null and empty texts have no spans; a row with a
     null doc_id is searched with all rules; rows that share an id are searched with the rules of any.
     """
-    found = materialize(candidates(build_index(docs, trigrams(rules)), rules), "secret-candidates")
-    return _verify(docs.drop("spans", "_mask"), found, rules)
+    return _verified(docs.drop("spans", "_mask"), rules, "").withColumn("spans", F.col("_found.spans")).drop("_found")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
@@ -241,23 +257,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
 
     All rows stay; a null text stays null.
     """
-    found = scan(docs, rules)
-    found = found.withColumn("redacted", F.size("spans") > 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cleaned = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
-                parts, done = [], 0
-                for span in spans:
-                    if span["start"] >= done:
-                        parts += [text[done:span["start"]], mark]
-                    done = max(done, span["end"])
-                cleaned.append(text if text is None else "".join([*parts, text[done:]]))
-            at = batch.schema.get_field_index("text")
-            columns = batch.columns
-            columns[at] = pa.array(cleaned, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).drop_columns(["spans"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in found.dtypes if n != "spans")
-    return arrow_pass(found, run, schema)
+    found = _verified(docs, rules, mark)
+    return found.withColumns({
+        "text": F.coalesce("_found.cleaned", "text"), "redacted": F.col("_found.cleaned").isNotNull()}).drop("_found")
