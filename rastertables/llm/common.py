@@ -32,9 +32,14 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def arrow_pass(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors; a task gives its Arrow memory back."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(batches, schema)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(rows)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_score(spark: SparkSession, run: Callable[[pa.Array], pa.Array]) -> Column:

@@ -10,13 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import materialize
 from .common import arrow_pass, texts
 from .tokens import END_ID, WORD_VOCABULARY, public_path, word_encoder
-from .words import row_slices, text_buffer
+from .words import row_slices
 
 #: Bytes of text that are encoded together.
 ENCODED_BYTES = 1 << 22
@@ -40,7 +41,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
 
     size = 0
     for batch in batches:
-        _, offsets = text_buffer(batch["text"])
+        offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch["text"]).to_numpy())])
         for low, high in row_slices(offsets, ENCODED_BYTES):
             ids, ends = encoder(batch["text"].slice(low, high - low))
             ids = np.insert(ids, ends[1:], end_id)

@@ -15,7 +15,7 @@ from .words import ragged
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 _TOGETHER = 2000
 
 
