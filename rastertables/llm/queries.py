@@ -72,7 +72,69 @@ REGISTRY = {
     "op9_substring_dedup": substring_query,
     "op10_quality_classifier": quality_query,
 }
+def _secret_sql() -> str:
+    """Spans of all rules: places are the lengths of what stands between and in the matches before."""
+    def spans(order: int, rule: secret_scan.Rule) -> str:
+        pattern = "'" + (rule.quick or rule.pattern).replace("'", "''") + "'"
+        found = f"regexp_extract_all(coalesce(text, ''), {pattern})"
+        between = f"string_split_regex(coalesce(text, ''), {pattern})"
+        total = "coalesce(list_sum(list_transform({}, lambda t: length(t))), 0)"
+        start = f"{total.format(f'{between}[1:i]')} + {total.format(f'{found}[1:i - 1]')}"
+        held = f"length(regexp_extract({found}[i], {pattern}, {rule.group}))"
+        each = f"{{'s': ({start})::bigint, 'o': {order}, 'k': '{rule.kind}', 'e': ({start} + length({found}[i]))::bigint, 'n': {held}}}"
+        return f"list_filter(list_transform(range(1, len({found}) + 1), lambda i: {each}), lambda x: x.n >= {rule.least})"
+
+    lists = [spans(i, rule) for i, rule in enumerate(secret_scan.RULES)]
+    base = len(secret_scan.BASE_RULES)
+    text = "coalesce(list_aggregate(list_transform(list_sort({}), lambda x: concat(x.k, ':', x.s, ':', x.e)), 'string_agg', ','), '')"
+    counts = ", ".join(f"len(list_filter(a, lambda x: x.k = '{rule.kind}')) as n_{rule.kind}" for rule in secret_scan.BASE_RULES)
+    return f"""
+        select doc_id, {counts}, sha256({text.format(f"list_filter(a, lambda x: x.o < {base})")}) as base_sha256, {text.format("a")} as spans
+        from (select doc_id, {" || ".join(lists)} as a from documents)"""
+
+
 ORACLES = {
+    "op1_secret_scan": _secret_sql(),
+    "op2_near_dedup": r"""
+        with recursive texts as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+        shingles as (
+            select doc_id, g, count(*)::double as c from (
+                select doc_id, unnest(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(words[i:i + 4], ' '))) as g
+                from texts where len(words) > 0) group by all),
+        sizes as (select doc_id, sum(c) as total from shingles group by doc_id),
+        near as (  -- shared mass bounds the similarity from above
+            select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id
+            join sizes s on s.doc_id = a.doc_id join sizes t on t.doc_id = b.doc_id
+            group by all having sum(least(a.c / s.total, b.c / t.total)) >= 0.799999),
+        shapes as (
+            select a, b, x, y, count(*) as n from (
+                select a, b, g, sum(case when doc_id = a then c else 0 end) as x, sum(case when doc_id = b then c else 0 end) as y
+                from near join shingles on doc_id = a or doc_id = b group by a, b, g) group by all),
+        shared as (
+            select s.a, s.b, s.x, s.y, any_value(s.n) as n, sum(t.n * greatest(t.x / s.x, t.y / s.y)) as spread
+            from shapes s join shapes t on s.a = t.a and s.b = t.b where s.x > 0 and s.y > 0 group by s.a, s.b, s.x, s.y),
+        links as (select a, b from shared group by a, b having sum(n / spread) >= 0.8),
+        reach as (
+            select doc_id, doc_id as other from texts
+            union select reach.doc_id, case when links.a = reach.other then links.b else links.a end
+            from reach join links on links.a = reach.other or links.b = reach.other),
+        classes as (select doc_id, min(other) as class_id, count(*) as class_size from reach group by doc_id)
+        select doc_id, class_id, class_size, doc_id = class_id as kept from classes""",
+    "op9_substring_dedup": r"""
+        with texts as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+        windows as (
+            select doc_id, s, array_to_string(words[s:s + 49], ' ') as t
+            from (select doc_id, words, unnest(range(1, len(words) - 48)) as s from texts where len(words) >= 50)),
+        firsts as (select t, min(doc_id) as first from windows group by t),
+        covered as (
+            select distinct doc_id, unnest(range(s, s + 50)) as i from windows join firsts using (t) where doc_id > first),
+        placed as (select doc_id, unnest(words) as w, unnest(range(1, len(words) + 1)) as i from texts),
+        kept as (
+            select doc_id, count(*) as n, string_agg(w, ' ' order by i) as t from placed anti join covered using (doc_id, i) group by doc_id)
+        select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from texts left join kept using (doc_id)""",
     "op8_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
