@@ -152,7 +152,7 @@ def connected_components(edges: DataFrame, key: str) -> DataFrame:
     """
     current = materialize(_directed(edges, key), "cc-start")
     while _unsettled(current, key):
-        current = materialize(_small_star(_large_star(current, key), key), "cc-round")
+        current = materialize(_small_star(_large_star(current, key), key), "cc-round", replaces=current)
     return current.select(key, "u", F.col("v").alias("root"))
 
 

@@ -190,7 +190,7 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
             key, "id", F.col("far").alias("next"),
             F.least("low", "far_low").alias("low"),
             F.when(lower, F.col("far_hops") + reach).otherwise(F.col("hops")).alias("hops"),
-            lower.alias("changed")), "ring-state")
+            lower.alias("changed")), "ring-state", replaces=state)
         span *= 2
         changed = not state.where("changed").isEmpty()
     lengths = state.groupBy(key, "low").agg(F.count(F.lit(1)).alias("length"))

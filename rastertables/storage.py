@@ -26,15 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write once to the shared folder and read back.
 
-    Cuts the lineage, survives the loss of executors and gives later joins the true size.
+    Cuts the lineage, survives the loss of executors and gives later joins the true size. A stored frame
+    that this one `replaces`, such as the former round of an iteration, is removed once this one is
+    written; nothing else may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        remove(spark, replaces._stored_at)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
