@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rastertables import params as P
 from rastertables.functions import names
 from rastertables.schemas import MARKER
-from rastertables.storage import path_exists, replace_groups
+from rastertables.storage import child_names, path_exists, remove, replace_groups
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -115,14 +115,29 @@ def conform_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def write_version(df: DataFrame, root: str, version: int) -> None:
-    """Store a snapshot as a new version; writing the same version again replaces it."""
+def write_part(df: DataFrame, root: str, version: int) -> None:
+    """Store what one batch adds to a table; writing the same part again replaces it."""
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
+def write_version(df: DataFrame, root: str, version: int) -> None:
+    """Store a snapshot as a new version; writing the same version again replaces it.
+
+    The version before stays, because a repeated batch starts from it; older ones are removed.
+    """
+    write_part(df, root, version)
+    for old in stored_versions(df.sparkSession, root):
+        if old < version - 1:
+            remove(df.sparkSession, f"{root}/version={old}")
+
+
+def stored_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the stored versions, by the names of their folders."""
+    return sorted(int(n.partition("=")[2]) for n in child_names(spark, root) if n.startswith("version="))
+
+
 def read_version(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None) -> DataFrame:
     """One stored version, by default the newest."""
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(root)
     if version is None:
-        version = stored.agg(F.max("version")).first()[0]
-    return stored.where(F.col("version") == version).drop("version")
+        version = stored_versions(spark, root)[-1]
+    return spark.read.schema(schema).parquet(f"{root}/version={version}")

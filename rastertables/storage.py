@@ -54,6 +54,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it is not there."""
+    if not path_exists(spark, path):
+        return []
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+
+
 def replace_groups(df: DataFrame, *keys: str):
     """Writer that replaces the stored groups that occur in `df`, one folder each, and leaves the others."""
     dealt = df.repartition(*keys)

@@ -155,7 +155,7 @@ def ingest_batch(
         "object_key", F.lit(None).cast("string").alias("worker_name"), "stage",
         "level", F.col("details").alias("message"),
         "progress_current", "progress_total", now.alias("created_at"))
-    state.write_version(state.prepare_log(log), store.path("logs"), number)
+    state.write_part(state.prepare_log(log), store.path("logs"), number)
 
 
 def _finished(tasks: DataFrame) -> DataFrame:

@@ -159,7 +159,10 @@ def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
     os.rename(store.path("exports"), str(tmp_path / "lost"))
     cycle(1)  # nothing pending: the export comes back from the stored tiles and masks
     assert kept() == first
-    stages = {r["stage"] for r in state.read_version(spark, store.path("tasks"), schemas.TASKS).collect()}
+    cycle(2)
+    assert state.stored_versions(spark, store.path("tasks")) == [1, 2]
+    assert state.stored_versions(spark, store.path("logs")) == [0, 1, 2]
+    stages = {r["stage"] for r in state.read_version(spark, store.path("tasks"), schemas.TASKS, 1).collect()}
     assert stages == {scene_run.STAGE_REBUILD}
 
 
