@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
@@ -39,26 +38,33 @@ def mix(values: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    """Powers of an odd number, modulo 2**64."""
-    steps = np.full(1 << bits, base, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+#: Powers of each base so far, kept up to this many.
+_KEPT_POWERS = 1 << 20
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(16, (n - 1).bit_length()))[:n]
+    """The first n powers of an odd number, modulo 2**64."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+        steps[0] = 1
+        known = np.cumprod(steps, dtype=np.uint64)
+        if len(known) <= _KEPT_POWERS:
+            _powers[base] = known
+    return known[:n]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * kind().itemsize).astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
-    if data is None or not len(column) or offsets[-1] == offsets[0]:
+    if data is None or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
