@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -19,31 +20,36 @@ from .common import arrow_pass, texts
 from .tokens import END_ID, WORD_VOCABULARY, public_path, word_encoder
 from .words import row_slices
 
-#: Bytes of text that are encoded together.
-ENCODED_BYTES = 1 << 22
+#: Pieces in which the counts of all ids are added up.
+COUNT_PIECES = 32
+#: Bytes of text whose different words are looked up together.
+LOOKED_UP_BYTES = 1 << 23
 
-BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary, counts array<struct<id:int,n:bigint>>"
+BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary, counts binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part = word_encoder(path), TaskContext.get().partitionId()
     names = ["part", "block", "part_start", "n_tokens", "doc_ids", "doc_tokens", "ids", "counts"]
     block, start, docs, lengths, held = 0, 0, [], [], []
-    counts, counted = np.zeros(1 << 16, np.int64), pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
+    counts = np.zeros(1 << 16, np.int64)
 
     def row(ids: np.ndarray) -> pa.RecordBatch:
         columns = [
             pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()),
             pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids.astype("<u2").tobytes()], pa.binary()),
-            pa.array([None], counted),
+            pa.array([None], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
     size = 0
     for batch in batches:
         offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch["text"]).to_numpy())])
-        for low, high in row_slices(offsets, ENCODED_BYTES):
-            ids, ends = encoder(batch["text"].slice(low, high - low))
+        slices = (
+            (low + a, low + b, ids, ends) for low, high in row_slices(offsets, LOOKED_UP_BYTES)
+            for a, b, ids, ends in encoder.slices(batch["text"].slice(low, high - low))
+        )
+        for low, high, ids, ends in slices:
             ids = np.insert(ids, ends[1:], end_id)
             counts += np.bincount(ids, minlength=1 << 16)
             ends = ends + np.arange(len(ends))
@@ -57,11 +63,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
                     block, start, docs, lengths, held, size = block + 1, start + size, [], [], [], 0
     if docs:
         yield row(np.concatenate(held))
-    used = np.flatnonzero(counts)
-    if len(used):
+    if counts.any():
         nothing = [pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
-        found = pa.array([[{"id": int(i), "n": int(counts[i])} for i in used]], counted)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int32()), *nothing, found], names)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([part], pa.int32()), pa.array([None], pa.int32()), *nothing, pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
 
 def stored_blocks(docs: DataFrame, block_tokens: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -91,11 +96,24 @@ def placed_blocks(stored: DataFrame) -> DataFrame:
 
 
 def id_counts(stored: DataFrame) -> np.ndarray:
-    """How often each id occurs; at most one row for each id of the vocabulary comes to the driver."""
-    counts = np.zeros(1 << 16, np.int64)
-    for i, n in stored.select(F.inline("counts")).groupBy("id").agg(F.sum("n")).collect():
-        counts[i] = n
-    return counts
+    """How often each id occurs; as many rows as a count has pieces come to the driver."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for counts in batch["counts"]:
+                total += np.frombuffer(counts.as_py(), "<i8")
+        pieces = [p.astype("<i8").tobytes() for p in total.reshape(COUNT_PIECES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "counts"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, "<i8") for c in frame["counts"])
+        return pd.DataFrame({"piece": [frame["piece"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+
+    held = arrow_pass(stored.filter("counts is not null").select("counts"), split, "piece int, counts binary")
+    total = np.zeros((COUNT_PIECES, (1 << 16) // COUNT_PIECES), np.int64)
+    for piece, counts in held.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
+        total[piece] = np.frombuffer(counts, "<i8")
+    return total.ravel()
 
 
 def block_ids(data: bytes) -> np.ndarray:

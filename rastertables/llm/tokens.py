@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import ragged
+from .words import ragged, row_slices
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 _TOGETHER = 2000
 
 
@@ -96,11 +96,21 @@ class PieceEncoder:
 class WordEncoder(PieceEncoder):
     """Pieces are what stands between ASCII white space; each is looked up once in a column."""
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def slices(self, texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids, where each row's ids begin) of rows of about `size` bytes."""
         found = pc.ascii_split_whitespace(texts)
+        counts = found.value_lengths().to_numpy()
         words = found.flatten().dictionary_encode()
-        known = self.look_up(words.dictionary.to_pylist(), len(words.dictionary))
-        return self.ids(known[words.indices.to_numpy()], found.value_lengths().to_numpy())
+        codes = self.look_up(words.dictionary.to_pylist(), len(words.dictionary))[words.indices.to_numpy()]
+        places = np.concatenate([[0], np.cumsum(counts)])
+        offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+        for low, high in row_slices(offsets, size):
+            yield low, high, *self.ids(codes[places[low]:places[high]], counts[low:high])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = list(self.slices(texts))
+        lengths = [np.diff(ends) for *_, ends in parts]
+        return np.concatenate([np.zeros(0, self.dtype), *(ids for _, _, ids, _ in parts)]), np.cumsum(np.concatenate([[0], *lengths]))
 
 
 #: Texts of these characters, without a special token's opening, are cut into the vocabulary's own
