@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress
+from collections.abc import Callable, Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +19,6 @@ CACHED_PIECES = 300_000
 _TOGETHER = 2000
 
 
-class _Codes(dict):
-    """Numbers pieces in the order of their first look-up."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        code = self[piece] = len(self)
-        self.fresh.append(piece)
-        return code
-
-
 class PieceEncoder:
     """Encodes texts piece by piece; equal pieces are encoded once while they are remembered.
 
@@ -41,7 +29,7 @@ class PieceEncoder:
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable, dtype, limit: int = CACHED_PIECES):
         self.split, self.encode, self.dtype, self.limit = split, encode, dtype, limit
-        self.codes = _Codes()
+        self.codes: dict[str, int] = {}
         self.seen = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, dtype)
         self.starts = np.zeros(1, np.int64)
@@ -51,15 +39,14 @@ class PieceEncoder:
         while (self.seen >= often).sum() > self.limit // 2:
             often *= 2
         stay = np.flatnonzero(self.seen >= often)
-        kept = _Codes()
-        kept.update(zip(compress(self.codes, (self.seen >= often).tolist()), range(len(stay))))
+        kept = dict(zip(compress(self.codes, (self.seen >= often).tolist()), range(len(stay))))
         lengths = np.diff(self.starts)[stay]
         self.flat = np.append(self.flat[ragged(self.starts[stay], lengths)], np.zeros(1 << 16, self.dtype))
         self.codes, self.starts, self.seen = kept, np.concatenate([[0], np.cumsum(lengths)]), np.ones(len(stay), np.int32)
 
-    def _learn(self) -> None:
-        ids, counts = self.encode(self.codes.fresh)
-        self.codes.fresh = []
+    def _learn(self, fresh: list[str]) -> None:
+        self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
+        ids, counts = self.encode(fresh)
         used = int(self.starts[-1])
         ends = used + np.cumsum(counts)
         if ends[-1] > len(self.flat):
@@ -67,13 +54,16 @@ class PieceEncoder:
         self.flat[used:ends[-1]] = ids
         self.starts = np.concatenate([self.starts, ends])
 
-    def look_up(self, pieces: Iterable[str], n: int) -> np.ndarray:
-        """Numbers of n pieces, the new ones encoded; good until the next call."""
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces, the new ones encoded; good until the next call."""
         if len(self.codes) > self.limit:
             self._forget()
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, n)
-        if self.codes.fresh:
-            self._learn()
+        codes = np.fromiter(map(self.codes.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            found = [pieces[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(found)))
+            codes[new] = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
         return codes
 
     def ids(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +80,7 @@ class PieceEncoder:
         """Ids of all texts one after the other, and where each text's ids begin (texts + 1 values)."""
         found = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return self.ids(self.look_up(chain.from_iterable(found), int(counts.sum())), counts)
+        return self.ids(self.look_up(list(chain.from_iterable(found))), counts)
 
 
 class WordEncoder(PieceEncoder):
@@ -101,7 +91,7 @@ class WordEncoder(PieceEncoder):
         found = pc.ascii_split_whitespace(texts)
         counts = found.value_lengths().to_numpy()
         words = found.flatten().dictionary_encode()
-        codes = self.look_up(words.dictionary.to_pylist(), len(words.dictionary))[words.indices.to_numpy()]
+        codes = self.look_up(words.dictionary.to_pylist())[words.indices.to_numpy()]
         places = np.concatenate([[0], np.cumsum(counts)])
         offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
         for low, high in row_slices(offsets, size):
@@ -178,7 +168,7 @@ def word_encoder(path: str) -> WordEncoder:
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             some = [_units_of_all(words[i:i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
             counts = np.concatenate([c for _, c in some])
-            codes = units.look_up(chain.from_iterable(p for p, _ in some), int(counts.sum()))
+            codes = units.look_up(list(chain.from_iterable(p for p, _ in some)))
             ids, ends = units.ids(codes, counts)
             return ids, np.diff(ends)
 
