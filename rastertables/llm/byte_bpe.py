@@ -13,13 +13,12 @@ import base64
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_pass, texts
+from .common import arrow_pass, texts, worker_cache
 from .tokens import PieceEncoder, public_path
 from .words import ragged, row_slices, text_buffer
 
@@ -113,9 +112,15 @@ class ByteCodec:
         return begun[:-1] - np.repeat(begun[ends[:-1]], np.diff(ends))
 
 
-@lru_cache(2)
+CACHE = "byte-pieces"
+
+
 def codec(path: str, pattern: str) -> ByteCodec:
-    return ByteCodec(path, pattern)
+    """One per worker and file."""
+    codecs = worker_cache(CACHE)
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = ByteCodec(path, pattern)
+    return codecs[path, pattern]
 
 
 def _settings(path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -151,7 +156,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "char_starts"][:len(columns)])
                 done += n
 
-    return arrow_pass(texts(docs), run, "doc_id long, n_tokens long, ids binary" + ", char_starts binary" * offsets)
+    return arrow_pass(texts(docs), run, "doc_id long, n_tokens long, ids binary" + ", char_starts binary" * offsets, CACHE)
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -171,7 +176,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return arrow_pass(encoded, run, f"{schema}, decoded binary")
+    return arrow_pass(encoded, run, f"{schema}, decoded binary", CACHE)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

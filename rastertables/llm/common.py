@@ -31,11 +31,27 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
 
 
-def arrow_pass(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors; a task gives its Arrow memory back."""
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker remembers for one operator; what it held for others is forgotten."""
+    for other in [name for name in _caches if name != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
+def arrow_pass(
+    df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "",
+) -> DataFrame:
+    """mapInArrow with this package at hand on the executors; a task gives its Arrow memory back.
+
+    `owner` names the cache that the pass goes on using.
+    """
     ship_package(df.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
         yield from batches(rows)
         pa.default_memory_pool().release_unused()
 
@@ -45,9 +61,14 @@ def arrow_pass(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iter
 def text_score(spark: SparkSession, run: Callable[[pa.Array], pa.Array]) -> Column:
     """`run` over the column text as doubles; only texts go to Python, other columns stay behind."""
     ship_package(spark)
-    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+
+    def score(text: pa.Array) -> pa.Array:
+        worker_cache("")
+        return run(text)
+
+    score.__annotations__ = {"text": pa.Array, "return": pa.Array}
     # not deterministic for the optimiser: a filter on the score must not score again
-    return F.arrow_udf(run, "double").asNondeterministic()("text")
+    return F.arrow_udf(score, "double").asNondeterministic()("text")
 
 
 def crc_bucket(id_col: str, buckets: int) -> Column:

@@ -97,14 +97,14 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, block_token
     and `sequence_id` is the place of the sequence's first id in the whole stream. Null and empty texts
     are pieces of one id. `ids` are little-endian unsigned 32-bit.
     """
+    from tokenizers import Tokenizer
+
     path = path or public_path(WORD_VOCABULARY)
+    ends = [i for i in map(Tokenizer.from_file(path).token_to_id, SENTENCE_ENDS) if i is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
         sentence = np.zeros(1 << 16, bool)
-        sentence[[i for i in map(tokenizer.token_to_id, SENTENCE_ENDS) if i is not None]] = True
+        sentence[ends] = True
         for batch in batches:
             for data, doc_ids, lengths, begin in zip(*(batch[c].to_pylist() for c in ("ids", "doc_ids", "doc_tokens", "start"))):
                 ids, lengths = block_ids(data), np.array(lengths)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shipping import ship_package
 from ..storage import broadcast_if_small, materialize
-from .common import arrow_pass, texts
+from .common import arrow_pass, texts, worker_cache
 from .words import row_slices, text_buffer
 
 
@@ -227,6 +227,7 @@ def _verified(docs: DataFrame, rules: tuple[Rule, ...], mark: str) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def search(text: pa.Array, masks: pa.Array) -> pa.Array:
+        worker_cache("")
         compiled = [re.compile(rule.quick or rule.pattern, re.ASCII) for rule in rules]
         spans, cleaned = [], []
         for one, bits in zip(text, masks.to_pylist()):

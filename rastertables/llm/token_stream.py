@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import materialize
 from .common import arrow_pass, texts
-from .tokens import END_ID, WORD_VOCABULARY, public_path, word_encoder
+from .tokens import CACHE, END_ID, WORD_VOCABULARY, public_path, word_encoder
 from .words import row_slices
 
 #: Pieces in which the counts of all ids are added up.
@@ -78,7 +78,7 @@ def stored_blocks(docs: DataFrame, block_tokens: int, path: str | None = None, e
     """
     path = path or public_path(WORD_VOCABULARY)
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(arrow_pass(ordered, lambda batches: _blocks(batches, path, block_tokens, end_id), BLOCK_SCHEMA), "token-blocks")
+    return materialize(arrow_pass(ordered, lambda batches: _blocks(batches, path, block_tokens, end_id), BLOCK_SCHEMA, CACHE), "token-blocks")
 
 
 def placed_blocks(stored: DataFrame) -> DataFrame:

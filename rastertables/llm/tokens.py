@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import worker_cache
 from .words import ragged, row_slices
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -114,7 +115,7 @@ _ASCII_UNIT = re.compile("[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\t-\\r a-z0-9]+"
 _UNIT_OR_LINE = re.compile(f"\\n|{_UNIT.pattern}")
 #: Characters that str.split() takes for white space and the vocabulary's own pattern does not.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
-_encoders: dict[str, WordEncoder] = {}
+CACHE = "word-pieces"
 
 
 def _units(piece: str) -> list[str]:
@@ -142,7 +143,8 @@ def word_encoder(path: str) -> WordEncoder:
     One per worker and file. Words are remembered as they stand in texts, and so are the units, in
     lower case and without punctuation, that new words are made of.
     """
-    if path not in _encoders:
+    encoders = worker_cache(CACHE)
+    if path not in encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -172,8 +174,8 @@ def word_encoder(path: str) -> WordEncoder:
             ids, ends = units.ids(codes, counts)
             return ids, np.diff(ends)
 
-        _encoders[path] = WordEncoder(str.split, encode_words, np.uint16)
-    return _encoders[path]
+        encoders[path] = WordEncoder(str.split, encode_words, np.uint16)
+    return encoders[path]
 
 
 def public_path(name: str) -> str:
