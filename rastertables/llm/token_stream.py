@@ -23,7 +23,7 @@ from .words import row_slices
 #: Pieces in which the counts of all ids are added up.
 COUNT_PIECES = 32
 #: Bytes of text whose different words are looked up together.
-LOOKED_UP_BYTES = 1 << 23
+LOOKED_UP_BYTES = 1 << 22
 
 BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary, counts binary"
 

@@ -16,7 +16,7 @@ from .words import ragged, row_slices
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 _TOGETHER = 2000
 
 
@@ -87,7 +87,7 @@ class PieceEncoder:
 class WordEncoder(PieceEncoder):
     """Pieces are what stands between ASCII white space; each is looked up once in a column."""
 
-    def slices(self, texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def slices(self, texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids, where each row's ids begin) of rows of about `size` bytes."""
         found = pc.ascii_split_whitespace(texts)
         counts = found.value_lengths().to_numpy()
