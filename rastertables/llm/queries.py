@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mtree, packing, prob_minhash, quality_gam, rans, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, mtree, packing, prob_minhash, quality_gam, rans, secret_scan, spelling_variants, substring_dedup, toxicity
 from .common import table
 
 
@@ -60,6 +60,10 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_secret_scan": secret_query,
     "op2_near_dedup": near_dedup_query,
@@ -71,7 +75,10 @@ REGISTRY = {
     "op8_exact_top_k": top_k_query,
     "op9_substring_dedup": substring_query,
     "op10_quality_classifier": quality_query,
+    "op11_spelling_variants": spelling_query,
 }
+
+
 def _secret_sql() -> str:
     """Spans of all rules: places are the lengths of what stands between and in the matches before."""
     def spans(order: int, rule: secret_scan.Rule) -> str:
@@ -150,4 +157,37 @@ ORACLES = {
                doc_id is not distinct from max(doc_id) over same as kept,
                sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op11_spelling_variants": r"""
+        with recursive codes as (  -- CRC-32 of single bytes
+            select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        runs as (
+            select doc_id, run, count(*) as n from (
+                select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run
+                from documents) group by all),
+        bytes as (
+            select doc_id, run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c:
+                case when unicode(c) < 128 then [unicode(c)] else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end)) as b from runs),
+        hashed as (
+            select doc_id, run, n, xor(list_reduce(list_prepend(4294967295, b::bigint[]), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) as h
+            from bytes, codes),
+        words as (
+            select word, sum(n)::bigint as n from (
+                select n, case when doc_id is not null and h % 97 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end as word from hashed)
+            where length(word) >= 5 group by word having sum(n) >= 3),
+        cuts as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+        short as (select word, n, i, word[1:i - 1] || word[i + 1:] as rest from cuts),
+        pairs as (
+            select a.word, b.word as other, b.n as m from short a join short b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+            union select s.word, w.word, w.n from short s join words w on s.rest = w.word
+            union select w.word, s.word, s.n from short s join words w on s.rest = w.word),
+        near as (
+            select word, count(*) as n_near, max(m) as form_n, arg_min(other, (-m, other)) as form from pairs group by word),
+        formed as (
+            select words.word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form end as form, case when form_n >= 2 * n then form_n end as form_n
+            from words left join near using (word)),
+        paths as (
+            select word, form as root from formed where form is not null
+            union all select paths.word, formed.form from paths join formed on formed.word = paths.root where formed.form is not null),
+        ends as (select paths.word, root from paths join formed on formed.word = paths.root where formed.form is null)
+        select formed.word, form, coalesce(root, formed.word) as root, n, n_near, form_n from formed left join ends using (word)""",
 }
