@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mtree, packing, prob_minhash, quality_gam, rans, secret_scan, spelling_variants, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, mtree, packing, prob_minhash, quality_gam, rans, secret_scan, spelling_variants, substring_dedup, toxicity, whitening
 from .common import table
 
 
@@ -64,6 +64,10 @@ def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {
     "op1_secret_scan": secret_query,
     "op2_near_dedup": near_dedup_query,
@@ -76,6 +80,7 @@ REGISTRY = {
     "op9_substring_dedup": substring_query,
     "op10_quality_classifier": quality_query,
     "op11_spelling_variants": spelling_query,
+    "op12_embedding_whitening": whitening_query,
 }
 
 
