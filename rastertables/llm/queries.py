@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mtree, packing, prob_minhash, quality_gam, rans, secret_scan, spelling_variants, substring_dedup, toxicity, whitening
+from . import (
+    byte_bpe, exact_dedup, mtree, packing, pivot_permutation, prob_minhash, quality_gam, rans, secret_scan, spelling_variants, substring_dedup, toxicity,
+    whitening,
+)
 from .common import table
 
 
@@ -68,6 +71,10 @@ def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_permutation.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {
     "op1_secret_scan": secret_query,
     "op2_near_dedup": near_dedup_query,
@@ -81,6 +88,7 @@ REGISTRY = {
     "op10_quality_classifier": quality_query,
     "op11_spelling_variants": spelling_query,
     "op12_embedding_whitening": whitening_query,
+    "op13_embedding_near_dedup": embedding_links_query,
 }
 
 
@@ -195,4 +203,20 @@ ORACLES = {
             union all select paths.word, formed.form from paths join formed on formed.word = paths.root where formed.form is not null),
         ends as (select paths.word, root from paths join formed on formed.word = paths.root where formed.form is null)
         select formed.word, form, coalesce(root, formed.word) as root, n, n_near, form_n from formed left join ends using (word)""",
+    "op13_embedding_near_dedup": """
+        with recursive v as (
+            select vec_id, embedding::double[] as e from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as (
+            select a.vec_id as a, b.vec_id as b from v as a join v as b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach as (
+            select vec_id, vec_id as other from embeddings
+            union select reach.vec_id, links.b from reach join links on links.a = reach.other),
+        least as (select vec_id, min(other) as component_id from reach group by vec_id),
+        counts as (select a as vec_id, count(*) as n_links from links group by a)
+        select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+        from least left join counts using (vec_id)""",
 }

@@ -39,3 +39,28 @@ def rows_as_bytes(matrix: np.ndarray) -> pa.Array:
     size = matrix.shape[1] * matrix.itemsize
     ends = np.arange(len(matrix) + 1, dtype=np.int64) * size
     return pa.Array.from_buffers(pa.large_binary(), len(matrix), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(matrix.tobytes())]).cast(pa.binary())
+
+
+def packed(matrix: np.ndarray) -> pa.Array:
+    """Rows as bytes, 4 a component where that loses nothing and 8 otherwise; equal rows have equal bytes."""
+    with np.errstate(over="ignore"):
+        narrow = matrix.astype("<f4")
+    exact = (narrow == matrix).all(1)
+    order = np.argsort(np.concatenate([np.flatnonzero(exact), np.flatnonzero(~exact)]), kind="stable")
+    return pa.concat_arrays([rows_as_bytes(narrow[exact]), rows_as_bytes(matrix[~exact])]).take(pa.array(order))
+
+
+def unpacked(vectors: list[bytes], dim: int) -> np.ndarray:
+    out = np.empty((len(vectors), dim))
+    wide = np.array([len(v) == 8 * dim for v in vectors], bool)
+    for chosen, kind in ((~wide, "<f4"), (wide, "<f8")):
+        if chosen.any():
+            out[chosen] = stack([v for v, c in zip(vectors, chosen) if c], kind)
+    return out
+
+
+def directions(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors of packed rows, none of which is zero."""
+    x = unpacked(vectors, dim)
+    x /= np.abs(x).max(1, keepdims=True)  # squares of huge or tiny components stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
