@@ -311,6 +311,59 @@ def test_land_candidates(spark):
     assert got == expected
 
 
+def point_frame(spark, points):
+    rows = [("s", n, 0, 1, 1, float(x), float(y)) for n, (x, y) in enumerate(points)]
+    return spark.createDataFrame(rows, f"{TILE}, at_x double, at_y double")
+
+
+def edge_frame(spark, edges):
+    return spark.createDataFrame([(p, *map(float, e)) for p, e in edges], "poly_id int, x1 double, y1 double, x2 double, y2 double")
+
+
+@pytest.mark.parametrize("size", [0.07, 0.5, 40.0])
+@pytest.mark.parametrize("step", [0.25, 0.0])
+def test_points_in_polygons_equal_brute_force(spark, size, step):
+    """Random rings; with a step, corners and points lie on one lattice, on edges and on the lines of cells."""
+    rng = np.random.default_rng(4)
+    snap = lambda v: np.round(v / step) * step if step else v
+    rings = {p: snap(rng.uniform(-3, 3, (1, 2)) + rng.uniform(-2, 2, (rng.integers(3, 30), 2))) for p in range(12)}
+    edges = [(p, (*a, *b)) for p, ring in rings.items() for a, b in zip(ring, np.roll(ring, -1, 0)) if tuple(a) != tuple(b)]
+    points = snap(rng.uniform(-5, 5, (150, 2)))
+    got = {(r["tile_x"], r["poly_id"]) for r in land._enclosing(point_frame(spark, points), edge_frame(spark, edges), size).collect()}
+    expected = {(n, p) for n, (x, y) in enumerate(points) for p in rings if in_polygon(x, y, [e for q, e in edges if q == p])}
+    assert got == expected and len(got) > 50
+
+
+def test_edges_are_spread_over_the_cells_they_pass(spark):
+    cells = land.edge_cells(edge_frame(spark, [(1, (0.0, 0.0, 20.0, 20.0)), (2, (3.0, 1.01, 3.0, 4.0)), (3, (-7.01, 2.0, -2.0, 2.0))]), 0.05)
+    counts = {r["poly_id"]: r["count"] for r in cells.groupBy("poly_id").count().collect()}
+    assert 400 <= counts[1] <= 1300 and counts[2] <= 130 and 100 <= counts[3] <= 102
+
+
+def test_a_coast_in_one_band_meets_few_tiles(spark):
+    """A million edges and all tiles in one band of latitude: what is joined follows the tiles."""
+    n, size = 1_000_000, land.LAND_BIN
+    x = lambda k: k / n * 300 - 150
+    y = lambda k: F.when(k % 2 == 0, 10.02).otherwise(10.03)
+    k = F.col("id")
+    coast = spark.range(n).select(F.lit(1).alias("poly_id"), x(k).alias("x1"), y(k).alias("y1"), x(k + 1).alias("x2"), y(k + 1).alias("y2"))
+    rest = edge_frame(spark, [(1, (150.0, 10.02, 150.0, -40.0)), (1, (150.0, -40.0, -150.0, -40.0)), (1, (-150.0, -40.0, -150.0, 10.02))])
+    edges = coast.unionByName(rest)
+    for tiles in (50, 200):
+        points = [(-149.9 + 298 * m / tiles, 10.01) for m in range(tiles)]
+        placed = land._in_cells(point_frame(spark, points), size)
+        assert land._inside_cells(placed, edges, size).count() <= tiles
+        assert land._local_edges(placed, edges, size).count() <= tiles * 400  # a cell of the coast has 167 edges
+        assert land._enclosing(point_frame(spark, points), edges, size).count() == tiles
+
+
+def test_wholly_inside_tiles_need_no_row_events(spark):
+    big = edge_frame(spark, [(1, e) for e in ((-9, -9, 9, -9), (9, -9, 9, 9), (9, 9, -9, 9), (-9, 9, -9, -9))])
+    rows = land.rasterize_land(land_tiles(spark), big, 0.3).collect()
+    assert sorted((r["tile_x"], r["tile_y"], r["row"], r["c0"], r["c1"]) for r in rows) == [
+        (9 * c, 7 * t, row, 0, 8) for c in range(5) for t in range(5) for row in range(7)]
+
+
 def test_no_land_clips_nothing(spark):
     frame = masked_frame(spark, {("s", 0, 0): np.ones((3, 3), dtype=bool)})
     assert land.load_land(None, None) is None
