@@ -373,13 +373,16 @@ check("tile_corners", "SELECT * EXCLUDE (ordinal, partial) FROM tiles")
 
 # --- keyed state ----------------------------------------------------------------------
 
-check("upsert_tiles", """
+_UPSERTED_TILES = """
 SELECT * EXCLUDE (ordinal, partial),
   CASE WHEN filename IN (SELECT filename FROM first_tiles) THEN '2024-01-01T00:00:00' ELSE '2024-02-01T00:00:00' END AS created_at FROM tiles
-UNION ALL SELECT * EXCLUDE (ordinal, partial), '2024-01-01T00:00:00' FROM first_tiles WHERE filename NOT IN (SELECT filename FROM tiles)""")
+UNION ALL SELECT * EXCLUDE (ordinal, partial), '2024-01-01T00:00:00' FROM first_tiles WHERE filename NOT IN (SELECT filename FROM tiles)"""
+check("upsert_tiles", _UPSERTED_TILES)
+check("tile_deltas", _UPSERTED_TILES)
 _TASK_TEXT = f"SELECT * REPLACE ({iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at) FROM tasks"
 check("reported_tasks", _TASK_TEXT)
 check("upsert_tasks", _TASK_TEXT)
+check("task_deltas", _TASK_TEXT)
 check("prepare_log", f"""
 SELECT object_key, worker_name, stage, coalesce(level, 'INFO') AS level, message, progress_current, progress_total,
   {iso('created_at')} AS created_at FROM log_events""")

@@ -17,8 +17,8 @@ from rastertables.operators import blocks, components, grid, kernels, land, mask
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.functions.worker import worker_name as running_worker
 from rastertables.plans import catalog, scene_run
-from rastertables.schemas import TASKS, TILES
-from rastertables.sources import exports as polygon_exports, objects, state
+from rastertables.schemas import TILES
+from rastertables.sources import deltas, exports as polygon_exports, objects, state
 from rastertables.storage import materialize, shared_folder
 from rastertables.streaming import streams
 
@@ -396,6 +396,33 @@ def upsert_tasks(i: Inputs) -> DataFrame:
     return _task_text(state.upsert_tasks(early, late, order))
 
 
+@query
+def tile_deltas(i: Inputs) -> DataFrame:
+    """Tiles of two runs stored as deltas, compacted and read back."""
+    day = lambda text: F.lit(text).cast("timestamp_ntz")
+    runs = [(_first_run_tiles(i), "2024-01-01"), (i.tiles, "2024-02-01")]
+    runs = [state.newest_tiles(tiles).drop("ordinal", "partial").withColumn("created_at", day(at)) for tiles, at in runs]
+    table = deltas.KeyedTable(_fresh_folder(i, "tile-deltas"), runs[0].schema, "filename", oldest=("created_at",))
+    for number, rows in enumerate(runs):
+        deltas.write_delta(rows, table, number)
+        deltas.compact(i.spark, table, number, waiting=0)
+    return deltas.read_state(i.spark, table).withColumn("created_at", names.iso_timestamp(F.col("created_at")))
+
+
+@query
+def task_deltas(i: Inputs) -> DataFrame:
+    """Task reports stored as deltas of twelve batches in no order of time, compacted twice on the way."""
+    order = ["reported_at", "event_id"]
+    reports = i.task_reports.withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(12)))
+    table = None
+    for number in range(12):
+        rows = state.reported_tasks(reports.where(F.col("batch") == number).drop("batch"), order)
+        table = table or deltas.KeyedTable(_fresh_folder(i, "task-deltas"), rows.schema, "object_key", order=("updated_at",), oldest=("created_at",))
+        deltas.write_delta(rows, table, number)
+        deltas.compact(i.spark, table, number + 1, waiting=5)
+    return _task_text(deltas.read_state(i.spark, table))
+
+
 @query
 def prepare_log(i: Inputs) -> DataFrame:
     return state.prepare_log(i.events).select(
@@ -908,7 +935,7 @@ def task_state_stream(i: Inputs) -> DataFrame:
     root = _fresh_folder(i, "task-state")
     reports = i.task_reports.withColumn("reported_at", F.col("reported_at").cast("timestamp"))
     streams.task_state_stream(_streamed(i, reports), root, root + "-checkpoint", ["reported_at", "event_id"]).awaitTermination()
-    return _task_text(state.read_version(i.spark, root, TASKS))
+    return _task_text(deltas.read_state(i.spark, streams.task_table(root)))
 
 
 @query
@@ -936,7 +963,7 @@ def _ingested(i: Inputs) -> streams.IngestStore:
 @query
 def ingest_stream(i: Inputs) -> DataFrame:
     store = _ingested(i)
-    return state.read_version(i.spark, store.path("tasks"), TASKS).select("object_key", "status", "stage", "progress_current")
+    return deltas.read_state(i.spark, streams.task_table(store.path("tasks"))).select("object_key", "status", "stage", "progress_current")
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rastertables import params as P
 from rastertables.functions import names
 from rastertables.schemas import MARKER
-from rastertables.storage import child_names, path_exists, remove, replace_groups
+from rastertables.storage import child_names, path_exists, replace_groups
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -43,15 +43,19 @@ def upsert(
     return joined.select(*(F.col(c) if c == key else merged(c).alias(c) for c in current.columns))
 
 
+def newest_tiles(updates: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row a file name: the last by `order`, or by scene key and ordinal, as far as they are there."""
+    known = order or [c for c in ("source_object_key", "ordinal") if c in updates.columns]
+    return latest_per_key(updates, "filename", known or updates.columns[:1])
+
+
 def upsert_tiles(current: DataFrame, updates: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Tiles keyed by filename; the last row of a file wins, vanished tiles stay.
 
     Without an order, of rows that share a file name the one with the largest scene key and ordinal is
     taken, so that the table keeps one row per key whatever a batch holds.
     """
-    known = order or [c for c in ("source_object_key", "ordinal") if c in updates.columns]
-    fresh = latest_per_key(updates, "filename", known or updates.columns[:1])
-    return upsert(current, fresh, "filename", kept=("id", "created_at"))
+    return upsert(current, newest_tiles(updates, order), "filename", kept=("id", "created_at"))
 
 
 def reported_tasks(reports: DataFrame, order: list[str]) -> DataFrame:
@@ -105,6 +109,16 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     return stored.withColumn("marker_key", names.marker_key(F.col("object_key")))
 
 
+def marked_tasks(markers: DataFrame) -> DataFrame:
+    """Reports of finished scenes from their stored markers."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return markers.select(
+        "object_key", "status", none("string").alias("processor_name"), F.lit("completed").alias("stage"), none("string").alias("worker_name"),
+        none("int").alias("progress_current"), none("int").alias("progress_total"),
+        F.coalesce(F.nullif(F.array_join("shapefile_keys", ","), F.lit("")), F.lit(P.PROCESSED_PREFIX)).alias("result_path"), none("string").alias("details"),
+        F.to_timestamp("processed_at").alias("reported_at"))
+
+
 def parse_markers(markers: DataFrame) -> DataFrame:
     return markers.select("marker_key", F.from_json("value", MARKER).alias("m")).select("marker_key", "m.*")
 
@@ -116,28 +130,10 @@ def conform_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_part(df: DataFrame, root: str, version: int) -> None:
-    """Store what one batch adds to a table; writing the same part again replaces it."""
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
-
-
-def write_version(df: DataFrame, root: str, version: int) -> None:
-    """Store a snapshot as a new version; writing the same version again replaces it.
-
-    The version before stays, because a repeated batch starts from it; older ones are removed.
-    """
-    write_part(df, root, version)
-    for old in stored_versions(df.sparkSession, root):
-        if old < version - 1:
-            remove(df.sparkSession, f"{root}/version={old}")
+    """Store what one batch adds to a table; a repeated batch adds what it does again."""
+    df.write.mode("append").parquet(f"{root}/version={version}")
 
 
 def stored_versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the stored versions, by the names of their folders."""
     return sorted(int(n.partition("=")[2]) for n in child_names(spark, root) if n.startswith("version="))
-
-
-def read_version(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-    """One stored version, by default the newest."""
-    if version is None:
-        version = stored_versions(spark, root)[-1]
-    return spark.read.schema(schema).parquet(f"{root}/version={version}")

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from rastertables import params as P, schemas
-from rastertables.plans.catalog import pending_keys
+from rastertables.plans.catalog import completed_keys, pending_keys
 from rastertables.plans import scene_run
 from rastertables.plans.scene_run import SceneRun
-from rastertables.sources import exports, objects, state
+from rastertables.sources import deltas, exports, objects, state
+from rastertables.sources.deltas import KeyedTable
 from rastertables.storage import materialize, path_exists, replace_groups
 
 
@@ -36,9 +37,16 @@ def send_notifications(messages: DataFrame, servers: str, topic: str = P.DEFAULT
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-def dedup_keys(parsed: DataFrame) -> DataFrame:
-    """Each key once over the life of the stream; the state holds one entry per key."""
-    return parsed.select("object_key").dropDuplicates(["object_key"])
+def dedup_keys(parsed: DataFrame, seen_at: str | None = None, horizon: str = "1 day") -> DataFrame:
+    """Each key once.
+
+    With the time column `seen_at` the state forgets a key once the newest time is more than `horizon` later than the
+    key's own, so it holds the keys of that span; a key that comes back after it is let through again, and
+    what is pending is decided by tasks and markers. Without a time column, keys are held for the life of the stream.
+    """
+    if seen_at is None:
+        return parsed.select("object_key").dropDuplicates(["object_key"])
+    return parsed.select("object_key", seen_at).withWatermark(seen_at, horizon).dropDuplicatesWithinWatermark(["object_key"])
 
 
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
@@ -46,19 +54,23 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _previous(spark: SparkSession, root: str, schema: T.StructType, batch: int) -> DataFrame:
-    """Snapshot a batch starts from; a repeated batch starts from the same one again."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return state.read_version(spark, root, schema, batch - 1)
+def task_table(root: str) -> KeyedTable:
+    """Tasks by object_key: the newest report counts, the first one dates the row."""
+    return KeyedTable(root, schemas.TASKS, "object_key", order=("updated_at",), oldest=("created_at",))
+
+
+def tile_table(root: str) -> KeyedTable:
+    """Tiles by file name: the last batch counts, the first one dates the row."""
+    return KeyedTable(root, STORED_TILES, "filename", oldest=("created_at",))
 
 
 def task_state_stream(reports: DataFrame, root: str, checkpoint: str, order: list[str], every: str | None = None) -> StreamingQuery:
-    """Keep the newest report per key as versions below `root`, one per batch."""
+    """Keep the newest report per key below `root`; a batch writes its own keys only."""
+    table = task_table(root)
 
     def handle(batch: DataFrame, number: int) -> None:
-        current = _previous(batch.sparkSession, root, schemas.TASKS, number)
-        state.write_version(state.upsert_tasks(current, batch, order), root, number)
+        deltas.compact(batch.sparkSession, table, number)
+        deltas.write_delta(state.reported_tasks(batch, order), table, number)
 
     return _start(reports, handle, checkpoint, every)
 
@@ -121,16 +133,20 @@ def ingest_batch(
 ) -> None:
     """One cycle: new and unfinished keys are processed, and everything a run made is stored.
 
-    Masks, exports and markers are kept by scene, tiles, tasks and logs as versions; the task rows come last.
+    Masks, exports and markers are kept by scene, tiles and tasks as deltas of the batches, logs as parts.
     With `rebuild`, lost exports are made anew in every cycle. Listed keys are offered again in every
-    cycle, so failed scenes are retried and finished ones are not. All writes are replaced when a
-    batch is repeated.
+    cycle, so failed scenes are retried and finished ones are not: those with a final task row or a stored
+    marker. A marker is stored after all else of its scene but its task row; where that is missing, it is made from the
+    marker. Repeating a batch adds nothing new.
     """
     spark = batch.sparkSession
-    tasks = _previous(spark, store.path("tasks"), schemas.TASKS, number)
-    tiles = _previous(spark, store.path("tiles"), STORED_TILES, number)
+    task_rows, tile_rows = task_table(store.path("tasks")), tile_table(store.path("tiles"))
+    for table in (task_rows, tile_rows):
+        deltas.compact(spark, table, number)
+    tasks = deltas.read_state(spark, task_rows, before=number)
+    known = materialize(state.read_markers(spark, store.path("markers")), "stored-markers")
     notified = objects.parse_notifications(batch.where(F.col("value").isNotNull())).withColumn("position", F.lit(0).cast("bigint"))
-    pending = materialize(pending_keys(notified, listing, tasks, _finished(tasks)), "pending-keys")
+    pending = materialize(pending_keys(notified, listing, tasks, known), "pending-keys")
 
     run = process(pending.select("object_key"))
     now = F.current_timestamp()
@@ -139,18 +155,18 @@ def ingest_batch(
     exports.export_polygons(exports.polygon_features(run.polygons), store.path("exports"))
     if run.merged is not None:
         exports.export_merged(exports.merged_rows(run.merged), store.path("outlines"))
-    stored = state.upsert_tiles(tiles, run.tiles.withColumn("created_at", now))
-    state.write_version(stored, store.path("tiles"), number)
+    deltas.write_delta(state.newest_tiles(run.tiles.withColumn("created_at", now)), tile_rows, number)
     done = results.where(F.col("status").isin("processed", "empty")).withColumn("processed_at", now)
     state.write_markers(state.build_markers(done), store.path("markers"))
 
-    reports = _task_reports(results, now)
+    lost = state.marked_tasks(known.join(completed_keys(tasks), "object_key", "left_anti"))
+    reports = _task_reports(results, now).unionByName(lost)
     if rebuild is not None:
-        kept = state.read_version(spark, store.path("tiles"), STORED_TILES, number)
+        kept = deltas.read_state(spark, tile_rows)
         markers = state.read_markers(spark, store.path("markers"))
         repaired = _repaired(kept, store, markers, rebuild)
         reports = reports.unionByName(_task_reports(repaired, now))
-    state.write_version(state.upsert_tasks(tasks, reports, ["reported_at"]), store.path("tasks"), number)
+    deltas.write_delta(state.reported_tasks(reports, ["reported_at"]), task_rows, number)
     log = results.select(
         "object_key", F.lit(None).cast("string").alias("worker_name"), "stage",
         "level", F.col("details").alias("message"),
@@ -158,14 +174,6 @@ def ingest_batch(
     state.write_part(state.prepare_log(log), store.path("logs"), number)
 
 
-def _finished(tasks: DataFrame) -> DataFrame:
-    """Markers of the scenes that the task table knows as finished."""
-    finished = tasks.where(F.col("status").isin("processed", "empty"))
-    return state.build_markers(finished.select(
-        "object_key", "status", F.split("result_path", ",").alias("shapefile_keys"),
-        F.col("updated_at").alias("processed_at")))
-
-
 def ingest_stream(
     messages: DataFrame, listing: Callable[[], DataFrame], process: Callable[[DataFrame], SceneRun],
     store: IngestStore, every: str | None = None, rebuild: Rebuild | None = None,

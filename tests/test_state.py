@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from rastertables import schemas
 from rastertables.functions import geojson
 from rastertables.functions.bbox import Box
 from rastertables.plans import catalog
-from rastertables.sources import exports, objects, state
+from rastertables.sources import deltas, exports, objects, state
 
 REPORT = ("object_key string, status string, processor_name string, stage string, worker_name string, "
           "progress_current int, progress_total int, result_path string, details string, reported_at timestamp, n int")
@@ -50,13 +51,71 @@ def test_last_row_of_a_batch_wins(spark):
     assert [r["mask_name"] for r in merged] == ["last"]
 
 
-def test_versions(spark, tmp_path):
-    schema = spark.range(1).schema
-    state.write_version(spark.range(3), str(tmp_path), 0)
-    state.write_version(spark.range(5), str(tmp_path), 1)
-    state.write_version(spark.range(4), str(tmp_path), 1)
-    assert state.read_version(spark, str(tmp_path), schema).count() == 4
-    assert state.read_version(spark, str(tmp_path), schema, 0).count() == 3
+ROWS = "k string, v int, made int"
+
+
+def written(path, suffix=".parquet"):
+    return {f.relative_to(path): f.stat().st_size for f in path.rglob(f"*{suffix}")}
+
+
+def keyed(tmp_path, spark, order=()):
+    return deltas.KeyedTable(str(tmp_path / "table"), spark.createDataFrame([], ROWS).schema, "k", order, ("made",))
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path, as_rows):
+    table, folder = keyed(tmp_path, spark), tmp_path / "table"
+    deltas.write_delta(spark.range(50_000).selectExpr("concat('k', id) k", "1 v", "1 made"), table, 0)
+    small = spark.createDataFrame([("k7", 2, 2), ("new", 2, 2)], ROWS)
+    before = written(folder)
+    deltas.write_delta(small, table, 1)
+    added = {f: n for f, n in written(folder).items() if f not in before}
+    assert written(folder).keys() >= before.keys() and sum(added.values()) < 4000 < sum(before.values()) / 20
+    once = as_rows(deltas.read_state(spark, table))
+    assert len(once) == 50_001 and ("k7", 2, 1) in once and ("new", 2, 2) in once
+    deltas.write_delta(small, table, 1)  # the batch is repeated
+    assert as_rows(deltas.read_state(spark, table)) == once
+    assert ("k7", 1, 1) in as_rows(deltas.read_state(spark, table, before=1))
+
+
+@pytest.mark.parametrize("order", [(), ("v",)])
+def test_deltas_equal_a_plain_replay(spark, tmp_path, as_rows, order):
+    rng = random.Random(5)
+    table, expected = keyed(tmp_path, spark, order), {}
+    for batch in range(14):
+        rows = [(f"k{k}", rng.randint(0, 40), rng.randint(0, 9)) for k in rng.sample(range(30), 5)]
+        for k, v, made in rows:
+            old = expected.get(k)
+            wins = old is None or not order or v >= old[0]
+            expected[k] = (v if wins else old[0], made if old is None else min(made, old[1]))
+        deltas.compact(spark, table, batch, waiting=3)
+        deltas.write_delta(spark.createDataFrame(rows, ROWS), table, batch)
+    assert as_rows(deltas.read_state(spark, table)) == sorted((k, *v) for k, v in expected.items())
+    assert len(list((tmp_path / "table" / "deltas").iterdir())) <= 4
+
+
+def test_compaction_touches_few_buckets_and_survives_a_crash(spark, tmp_path, as_rows, monkeypatch):
+    table, folder = keyed(tmp_path, spark), tmp_path / "table"
+    deltas.write_delta(spark.createDataFrame([(f"k{n}", 1, 1) for n in range(200)], ROWS), table, 0)
+    assert deltas.compact(spark, table, 1, waiting=0)
+    whole = {f for f in written(folder) if "base" in str(f)}
+    deltas.write_delta(spark.createDataFrame([("k3", 5, 5)], ROWS), table, 1)
+    expected = as_rows(deltas.read_state(spark, table))
+    monkeypatch.setattr(deltas, "remove", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        deltas.compact(spark, table, 2, waiting=0)  # the new base is there, and so is all it replaces
+    assert as_rows(deltas.read_state(spark, table)) == expected
+    monkeypatch.undo()
+    assert deltas.compact(spark, table, 2, waiting=0) and not deltas.compact(spark, table, 2, waiting=0)
+    assert as_rows(deltas.read_state(spark, table)) == expected
+    left = {f for f in written(folder)}
+    assert len(whole - left) == 1 and len(left - whole) == 1
+
+
+def test_an_unwritten_table_is_empty(spark, tmp_path):
+    table = keyed(tmp_path, spark)
+    assert deltas.read_state(spark, table).count() == 0 and not deltas.compact(spark, table, 5)
+    deltas.write_delta(spark.createDataFrame([], ROWS), table, 0)
+    assert deltas.read_state(spark, table).count() == 0
 
 
 def test_markers_round_trip(spark, tmp_path):

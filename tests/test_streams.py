@@ -10,7 +10,7 @@ from rastertables import schemas
 from rastertables.fixtures import PARAMS, Inputs
 from rastertables.operators import kernels
 from rastertables.plans import scene_run
-from rastertables.sources import state
+from rastertables.sources import deltas, state
 from rastertables.streaming import streams
 
 
@@ -41,12 +41,12 @@ def test_failed_scenes_are_offered_again_and_finished_ones_are_not(spark, sf_dir
         streams.ingest_stream(stream, lambda: listing, process, store).awaitTermination()
 
     assert offered == [{good, no_crs, missing, other}, {missing}]
-    final = {r["object_key"]: (r["status"], r["stage"]) for r in state.read_version(spark, store.path("tasks"), schemas.TASKS).collect()}
+    final = {r["object_key"]: (r["status"], r["stage"]) for r in deltas.read_state(spark, streams.task_table(store.path("tasks"))).collect()}
     assert final == {
         good: ("processed", "completed"), no_crs: ("empty", "completed"),
         missing: ("failed", "failed"), other: ("skipped", "validate_input")}
-    tiles = state.read_version(spark, store.path("tiles"), streams.STORED_TILES)
-    assert tiles.count() == state.read_version(spark, store.path("tiles"), streams.STORED_TILES, 0).count() > 30
+    tiles = streams.tile_table(store.path("tiles"))
+    assert deltas.read_state(spark, tiles).count() == deltas.read_state(spark, tiles, before=1).count() > 30
     logged = spark.read.schema(schemas.LOGS).parquet(store.path("logs"))
     assert {r["level"] for r in logged.where(F.col("object_key") == missing).collect()} == {"ERROR"}
 
@@ -60,7 +60,7 @@ def test_task_state_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     root = str(tmp_path / "state")
     streams.task_state_stream(stream, root, root + "-checkpoint", ["reported_at", "n"]).awaitTermination()
-    streamed = state.read_version(spark, root, schemas.TASKS)
+    streamed = deltas.read_state(spark, streams.task_table(root))
     batch = state.reported_tasks(frame, ["reported_at", "n"]).select(streamed.columns)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
 
@@ -146,7 +146,7 @@ def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
     def kept():
         features = sorted(tuple(r) for r in spark.read.text(store.path("exports")).collect())
         masks = sorted(map(str, spark.read.parquet(store.path("masks")).collect()))
-        tasks = sorted((r["object_key"], r["status"]) for r in state.read_version(spark, store.path("tasks"), schemas.TASKS).collect())
+        tasks = sorted((r["object_key"], r["status"]) for r in deltas.read_state(spark, streams.task_table(store.path("tasks"))).collect())
         return features, masks, tasks
 
     cycle(0)
@@ -160,10 +160,57 @@ def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
     cycle(1)  # nothing pending: the export comes back from the stored tiles and masks
     assert kept() == first
     cycle(2)
-    assert state.stored_versions(spark, store.path("tasks")) == [1, 2]
     assert state.stored_versions(spark, store.path("logs")) == [0, 1, 2]
-    stages = {r["stage"] for r in state.read_version(spark, store.path("tasks"), schemas.TASKS, 1).collect()}
-    assert stages == {scene_run.STAGE_REBUILD}
+    tasks = streams.task_table(store.path("tasks"))
+    stages = [{r["stage"] for r in deltas.read_state(spark, tasks, before=n).collect()} for n in (1, 2, 3)]
+    assert stages == [{"completed"}, {scene_run.STAGE_REBUILD}, {scene_run.STAGE_REBUILD}]
+
+
+def test_a_marker_stands_for_a_lost_task_row(spark, sf_dir, tmp_path):
+    """The stored markers are asked for every key: without its task row a finished scene is not run again."""
+    inputs = Inputs(spark, sf_dir)
+    key, bare = "raw/S1_IW_20240102.tif", "raw/S1_IW_20240110.tif"
+    listing = spark.createDataFrame([(key,), (bare,)], "object_key string")
+    store = streams.IngestStore(str(tmp_path / "store"))
+    offered = []
+
+    def process(keys):
+        offered.append(sorted(r[0] for r in keys.collect()))
+        return scene_run.process_scenes(
+            keys, inputs.chunks, inputs.scenes.where(F.col("scene_key").isin(key, bare)), None, kernels.threshold_model(128), replace(PARAMS, min_area=0.0))
+
+    def kept():
+        tasks = deltas.read_state(spark, streams.task_table(store.path("tasks"))).select("object_key", "status", "stage", "result_path").collect()
+        tiles = deltas.read_state(spark, streams.tile_table(store.path("tiles"))).drop("created_at").collect()
+        return sorted(map(tuple, tasks)), sorted(map(str, tiles))
+
+    batch = spark.createDataFrame([(None,)], "value string")
+    streams.ingest_batch(batch, 0, listing, process, store)
+    first = kept()
+    assert {r[:2] for r in first[0]} == {(key, "processed"), (bare, "empty")} and first[1]
+    streams.ingest_batch(batch, 0, listing, process, store)  # repeated after everything was stored
+    assert kept() == first
+    os.rename(store.path("tasks"), str(tmp_path / "lost"))
+    streams.ingest_batch(batch, 1, listing, process, store)
+    assert offered == [[key, bare], [], []] and kept() == first
+
+
+def test_forgotten_keys_keep_the_state_flat(spark, tmp_path):
+    """A million keys over ten hours: the state holds the keys of the horizon only."""
+    for hour in range(10):
+        keys = spark.range(hour * 100_000, (hour + 1) * 100_000)
+        seen = F.timestamp_seconds(F.lit(1_700_000_000 + hour * 3600) + F.col("id") % 3600).alias("seen_at")
+        again = keys.select(F.concat(F.lit("raw/"), "id").alias("object_key"), seen)
+        again.union(again.limit(1000)).coalesce(1).write.parquet(str(tmp_path / "in" / f"{hour:02}"))
+    stream = spark.readStream.schema("object_key string, seen_at timestamp").option("maxFilesPerTrigger", 1).option(
+        "pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in" / "*"))
+    out = streams.dedup_keys(stream, "seen_at", "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in out.recentProgress if p["stateOperators"]]
+    assert len(held) >= 10 and 100_000 <= max(held) <= 400_000
+    assert spark.read.parquet(str(tmp_path / "out")).select("object_key").distinct().count() == 1_000_000
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1_000_000
 
 
 def test_quiet_cycles_run(spark, tmp_path):
