@@ -343,6 +343,13 @@ SELECT scene_key,
   CAST(coalesce(least(width, ceil(least(width, x1 + 2) / 12e0) * 12), width) AS INT) AS x_stop,
   CAST(coalesce(least(height, ceil(least(height, y1 + 2) / 12e0) * 12), height) AS INT) AS y_stop
 FROM scenes LEFT JOIN (SELECT scene_key, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM valid GROUP BY 1) USING (scene_key)""")
+check("chunk_zones", """
+SELECT scene_key, CAST(px // 8 * 8 AS INT) AS chunk_x, CAST(py // 8 * 8 AS INT) AS chunk_y, CAST(8 AS INT) AS chunk_width, CAST(8 AS INT) AS chunk_height,
+  CAST(count(*) AS INT) AS valid_count, min(value) AS value_min, max(value) AS value_max,
+  CAST(min(px % 8) AS INT) AS min_col, CAST(min(py % 8) AS INT) AS min_row, CAST(max(px % 8) AS INT) AS max_col, CAST(max(py % 8) AS INT) AS max_row
+FROM valid GROUP BY scene_key, px // 8, py // 8""")
+check("filled_chunks", """
+SELECT * FROM pixels WHERE (scene_key, px // 8, py // 8) IN (SELECT (scene_key, px // 8, py // 8) FROM valid)""")
 check("sample_contrast", "SELECT * FROM sampled")
 check("contrast_bounds", "SELECT scene_key, round(low, 12) AS low, round(high, 12) AS high FROM bounds")
 check("scene_bounds", "SELECT scene_key, round(low, 12) AS low, round(high, 12) AS high FROM bounds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rastertables import params as P
 from rastertables.functions import bbox
-from rastertables.operators import blocks, kernels, land, masks, raster
+from rastertables.operators import blocks, kernels, land, masks, raster, zones
 from rastertables.operators.ranking import number_within
-from rastertables.storage import materialize
+from rastertables.storage import materialize, shared_folder
 
 CHUNK_SIDE = 8
 GRID_COLUMNS = 10
@@ -21,7 +22,7 @@ SAMPLE_CAP = 16
 CLIPPED_GRID = replace(PARAMS, tile_size=12)
 FIRST_RUN = replace(PARAMS, min_valid_ratio=0.5)
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame | str] = {}
 
 
 def _text(number: Column) -> Column:
@@ -56,9 +57,22 @@ class Inputs:
             _STORED[key] = materialize(build(), name)
         return _STORED[key]
 
+    def stored_chunks(self) -> str:
+        """Folder of the chunks with their zone maps, written once per application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "zoned-chunks")
+        if key not in _STORED:
+            path = f"{shared_folder(self.spark)}/zoned-chunks-{uuid.uuid4().hex}"
+            zones.store_chunks(self.build_chunks(), path)
+            _STORED[key] = path
+        return _STORED[key]
+
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.stored("chunks", self.build_chunks)
+        return zones.all_chunks(self.spark, self.stored_chunks())
+
+    @cached_property
+    def filled_chunks(self) -> DataFrame:
+        return zones.filled_chunks(self.spark, self.stored_chunks())
 
     @cached_property
     def scenes(self) -> DataFrame:

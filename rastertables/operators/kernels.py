@@ -59,6 +59,17 @@ def bucket_of(values: np.ndarray) -> np.ndarray:
     return (ordered >> (64 - BUCKET_BITS)).astype(np.int32)
 
 
+def counted_buckets(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that occur and how often: counted over their range where that is short, sorted otherwise."""
+    found = bucket_of(values)
+    least, spread = int(found.min()), int(found.max()) - int(found.min())
+    if spread > 4 * len(found):
+        return np.unique(found, return_counts=True)
+    counts = np.bincount(found - least, minlength=spread + 1)
+    at = np.flatnonzero(counts)
+    return (at + least).astype(np.int32), counts[at]
+
+
 def grey_cells(cells: np.ndarray, valid: np.ndarray, low: float, high: float) -> np.ndarray:
     scaled = np.clip(255.0 * ((np.where(valid, cells, low) - low) / (high - low)), 0.0, 255.0)
     return np.where(valid, scaled, 0.0).astype(np.uint8)
@@ -134,7 +145,7 @@ def summarise(params: P.SceneParams) -> Callable[[pa.Array, pa.Array, pa.Array],
         if not valid.any():
             return (0,) + (None,) * 6, np.zeros(0, np.int32), np.zeros(0, np.int64)
         values, cols, rows = grid[valid], np.flatnonzero(valid.any(0)), np.flatnonzero(valid.any(1))
-        buckets, counts = np.unique(bucket_of(values), return_counts=True)
+        buckets, counts = counted_buckets(values)
         extent = (cols[0], rows[0], cols[-1], rows[-1])
         return (len(values), float(values.min()), float(values.max()), *map(int, extent)), buckets, counts
 
@@ -212,7 +223,7 @@ def cut_and_segment(params: P.SceneParams, load: Callable[[], Predictor]):
     return kernel
 
 
-def _arrow(kernel: Callable, kind: str, *columns: str) -> Column:
+def arrow_column(kernel: Callable, kind: str, *columns: str) -> Column:
     # not deterministic for the optimiser: a filter on the result must not run the kernel again
     return F.arrow_udf(kernel, kind).asNondeterministic()(*columns)
 
@@ -223,8 +234,8 @@ def tile_summaries(tiles: DataFrame, params: P.SceneParams) -> DataFrame:
     `error` tells what is wrong with a tile that could not be read.
     """
     ship_package(tiles.sparkSession)
-    kernel = _annotated(summarise(params), "bands", "widths", "heights")
-    summed = tiles.select(*SIZED_TILE, _arrow(kernel, SUMMARY, "band", "tile_width", "tile_height").alias("s"))
+    kernel = annotated(summarise(params), "bands", "widths", "heights")
+    summed = tiles.select(*SIZED_TILE, arrow_column(kernel, SUMMARY, "band", "tile_width", "tile_height").alias("s"))
     total = F.col("tile_width") * F.col("tile_height")
     return summed.select(*SIZED_TILE, total.alias("total_count"), "s.*")
 
@@ -239,8 +250,8 @@ def good_summaries(summaries: DataFrame, params: P.SceneParams) -> DataFrame:
 def wanted_values(tiles: DataFrame, params: P.SceneParams) -> DataFrame:
     """(scene_key, bucket, value, n) of the valid cells in the buckets named by the column `wanted`."""
     ship_package(tiles.sparkSession)
-    kernel = _annotated(count_values(params), "bands", "wanted")
-    counted = tiles.select("scene_key", _arrow(kernel, COUNTED, "band", "wanted").alias("v"))
+    kernel = annotated(count_values(params), "bands", "wanted")
+    counted = tiles.select("scene_key", arrow_column(kernel, COUNTED, "band", "wanted").alias("v"))
     return counted.select("scene_key", F.inline("v"))
 
 
@@ -251,13 +262,13 @@ def masked_tiles(tiles: DataFrame, params: P.SceneParams, load: Callable[[], Pre
     masks are empty and `model_missing` is true.
     """
     ship_package(tiles.sparkSession)
-    kernel = _annotated(cut_and_segment(params, load), "bands", "widths", "heights", "lows", "highs")
-    cut = tiles.select(*SIZED_TILE, _arrow(kernel, CUT, "band", "tile_width", "tile_height", "low", "high").alias("c"))
+    kernel = annotated(cut_and_segment(params, load), "bands", "widths", "heights", "lows", "highs")
+    cut = tiles.select(*SIZED_TILE, arrow_column(kernel, CUT, "band", "tile_width", "tile_height", "low", "high").alias("c"))
     total = F.col("tile_width") * F.col("tile_height")
     return cut.select(*SIZED_TILE, total.alias("total_count"), "c.*").where((F.col("grey_max") > 0) | F.col("error").isNotNull())
 
 
-def _annotated(kernel: Callable, *names: str) -> Callable:
+def annotated(kernel: Callable, *names: str) -> Callable:
     """A kernel with real type hints, which Spark reads to tell the kind of UDF."""
     kernel.__annotations__ = {n: pa.Array for n in (*names, "return")}
     return kernel

@@ -13,7 +13,7 @@ from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, SAMPLE_CAP, I
 from rastertables.functions import bbox, geojson, names, overlay
 from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings
+from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings, zones
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.functions.worker import worker_name as running_worker
 from rastertables.plans import catalog, scene_run
@@ -283,7 +283,19 @@ def valid_tiles_clipped_grid(i: Inputs) -> DataFrame:
 
 @query
 def data_window(i: Inputs) -> DataFrame:
-    return raster.data_window(i.summaries(CLIPPED_GRID), i.scenes, CLIPPED_GRID)
+    """From the zone maps that are stored with the chunks."""
+    return zones.zone_window(zones.chunk_zones(i.spark, i.stored_chunks()), i.scenes, CLIPPED_GRID)
+
+
+@query
+def chunk_zones(i: Inputs) -> DataFrame:
+    return zones.chunk_zones(i.spark, i.stored_chunks()).drop("error")
+
+
+@query
+def filled_chunks(i: Inputs) -> DataFrame:
+    """Cells of the chunks that a run reads."""
+    return blocks.pixels_from_chunks(i.filled_chunks)
 
 
 @query
@@ -825,7 +837,7 @@ def footprint_parts(i: Inputs) -> DataFrame:
 def _run(i: Inputs, keys: DataFrame | None = None) -> scene_run.SceneRun:
     wanted = keys if keys is not None else i.scenes.select(F.col("scene_key").alias("object_key"))
     return scene_run.process_scenes(
-        wanted, i.chunks, i.scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS)
+        wanted, i.filled_chunks, i.scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS)
 
 
 @query

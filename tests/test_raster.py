@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertables.fixtures import PARAMS, Inputs
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, kernels, masks, raster
+from rastertables.operators import blocks, kernels, masks, raster, zones
 from rastertables.operators.ranking import number_within
 from rastertables.operators.selection import exact_quantiles
 from rastertables.params import SceneParams
@@ -136,6 +136,54 @@ def test_data_window(spark):
     assert got == {"s": (2000, 1000, 5000, 2000), "none": (0, 0, 50, 60)}
 
 
+CHUNKS = "scene_key string, chunk_x int, chunk_y int, chunk_width int, chunk_height int, band array<double>"
+
+
+def test_zone_maps_spare_empty_chunks(spark, tmp_path):
+    """Zones equal what the cells say; files of empty chunks are not opened, and zones need no cells."""
+    rng = np.random.default_rng(2)
+    chunks, expected = [], {}
+    for n in range(60):
+        band = np.where(rng.random((5, 7)) < rng.choice([0, 0, 0.1, 0.6]), rng.normal(size=(5, 7)), rng.choice([0.0, np.nan, np.inf, 1e-13]))
+        chunks.append(("ab"[n % 2], 7 * n, 0, 7, 5, band.ravel().tolist()))
+        at = np.argwhere(np.isfinite(band) & (np.abs(band) > 1e-12))
+        if len(at):
+            values = band[at[:, 0], at[:, 1]]
+            expected["ab"[n % 2], 7 * n] = (len(at), values.min(), values.max(), *at.min(0)[::-1], *at.max(0)[::-1])
+    chunks += [("c", 0, 0, 7, 5, [1.0] * 3), ("c", 7, 0, 7, 5, None), ("c", 14, 0, 7, 5, [None] * 35)]
+    path = str(tmp_path / "zoned")
+    zones.store_chunks(spark.createDataFrame(chunks, CHUNKS), path)
+    assert zones.all_chunks(spark, path).count() == 63
+    for part in (tmp_path / "zoned" / "filled=false").glob("*.parquet"):
+        part.write_bytes(b"no parquet at all")  # whoever opens it fails
+    filled = zones.filled_chunks(spark, path).collect()
+    assert {(r["scene_key"], r["chunk_x"]) for r in filled} == {*expected, ("c", 0), ("c", 7)}
+    got = {(r["scene_key"], r["chunk_x"]): tuple(r)[5:12] for r in zones.chunk_zones(spark, path).where("error is null").collect()}
+    assert got == expected and 20 < len(expected) < 50
+    assert {r["chunk_x"] for r in zones.chunk_zones(spark, path).where("error is not null").collect()} == {0, 7}
+    plan = zones.zone_window(zones.chunk_zones(spark, path), spark.createDataFrame([("a", 420, 5)], SCENE), SceneParams(tile_size=7))
+    text = plan._jdf.queryExecution().toString()
+    read = [line for line in text.splitlines() if "FileScan parquet" in line]
+    assert read and all("band" not in line for line in read) and all("PartitionFilters: [isnotnull(filled" in line for line in read)
+
+
+def test_window_by_zones_equals_window_by_summaries(spark, sf_dir):
+    from rastertables.fixtures import CLIPPED_GRID, Inputs
+
+    inputs = Inputs(spark, sf_dir)
+    by_zones = zones.zone_window(zones.chunk_zones(spark, inputs.stored_chunks()), inputs.scenes, CLIPPED_GRID)
+    by_tiles = raster.data_window(inputs.summaries(CLIPPED_GRID), inputs.scenes, CLIPPED_GRID)
+    assert sorted(map(tuple, by_zones.collect())) == sorted(map(tuple, by_tiles.collect()))
+
+
+@pytest.mark.parametrize("low, high, n", [(0.5, 2.0, 5000), (-1e300, 1e300, 50), (-3.0, 3.0, 5000), (7.0, 7.0, 3)])
+def test_counted_buckets(low, high, n):
+    values = np.random.default_rng(1).uniform(low / 2, high / 2, n) * 2
+    expected = np.unique(kernels.bucket_of(values), return_counts=True)
+    for got, wanted in zip(kernels.counted_buckets(values), expected):
+        assert got.tolist() == wanted.tolist()
+
+
 def test_stretch_clips_and_truncates(spark):
     kept = raster.valid_tiles(tile_frame(spark, [-5, 1, 1.5, 2, 3, 9, None, 0] + [1] * 8), SceneParams(tile_size=4))
     bounds = spark.createDataFrame([("s", 1.0, 3.0)], "scene_key string, low double, high double")
