@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 
-_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,7 +34,15 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+#: Places in a word whose byte values are kept.
+_PLACES = 64
+
+
+def _byte_values(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix((place << 8 | data).astype(np.uint64))
+
+
+_BYTE_VALUE = _byte_values(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256))
 
 
 #: Powers of each base so far, kept up to this many.
@@ -94,13 +101,22 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, with ASCII letters folded if `lower`."""
-        n = len(self.data)
-        folded = _LOWER[self.data] if lower else self.data
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[folded] * powers(_BASE, n), out=total[1:])
-        inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        """A 64-bit hash of each word's bytes, with ASCII letters folded if `lower`.
+
+        Every pair of a byte and its place in the word has a value of its own; no algebra ties them.
+        """
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        first = int(self.starts[0])
+        data = (_LOWER[self.data[first:]] if lower else self.data[first:]).astype(np.int64)
+        starts, ends = self.starts - first, self.ends - first
+        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        values = _BYTE_VALUE[np.minimum(place, _PLACES - 1) << 8 | data]
+        late = np.flatnonzero(place >= _PLACES)
+        values[late] = _byte_values(data[late], place[late])
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all windows of `size` consecutive words of one row."""

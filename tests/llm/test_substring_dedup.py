@@ -4,6 +4,7 @@ import re
 from rastertables.llm import substring_dedup
 
 from .helpers import empty, frame, odd_rows, prose
+from .test_words import morse
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -51,5 +52,14 @@ def test_even_window_of_other_size(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 20)
 
 
+def test_words_that_look_alike_to_weak_hashes_are_told_apart(spark):
+    one, two = morse(1024)
+    words = prose(7, 60).split()
+    rows = [(1, " ".join([*words[:30], one, *words[31:]])), (2, " ".join([*words[:30], two, *words[31:]])), (3, " ".join([*words[:30], two, *words[31:]]))]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
+    assert [r["n_removed"] for r in got.orderBy("doc_id").collect()] == [0, 0, 60]
+
+
 def test_empty_table(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0

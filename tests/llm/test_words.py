@@ -23,6 +23,20 @@ def test_words_and_hashes(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def morse(n, a="a", b="b"):
+    """Texts that hashes by powers of a base modulo 2**64 cannot tell apart, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_hashes_of_words_do_not_collide_by_construction():
+    one, two = morse(1024)
+    own = next(words.word_slices(pa.array([f" {one} {two} {one}", two, "x" * 63, "x" * 64, "x" * 65, "X" * 65])))[2]
+    codes = own.hashes().tolist()
+    assert codes[0] == codes[2] and codes[1] == codes[3] and len(set(codes)) == 6
+    assert own.hashes(lower=True)[6] == own.hashes(lower=True)[7]
+
+
 def test_slices_cover_rows_and_long_rows():
     texts = ["a b"] * 50 + ["c " * 5000] + [None, ""] + ["d"]
     _, offsets = words.text_buffer(pa.array(texts))
