@@ -188,7 +188,7 @@ def pivot_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOL
 
 
 def block_links(frame: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Links between nodes of different components in a block: those outside the pivot's one, and all.
+    """Links that connect a block's nodes of different components, fewer than its nodes: those outside the pivot's one, and all.
 
     Shared shingles are counted by matrix products over shingles that occur twice at least. Where all counts
     are equal this gives J; otherwise the shared mass bounds J, and pairs within the bound are compared.
@@ -220,10 +220,30 @@ def block_links(frame: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFra
     linked = wanted & both & (shared / (size[:outer, None] + size[None] - shared) >= threshold)
     for i, j in zip(*np.nonzero(wanted & ~both & (np.minimum(mine, theirs) >= threshold - 1e-3))):
         linked[i, j] = similarity(codes[i], counts[i], codes[j], counts[j]) >= threshold
-    i, j = np.nonzero(linked)
+    i, j = spanning_forest(linked)
     return pd.DataFrame({"u": node[i], "v": node[j]})
 
 
+def spanning_forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer than n of the links of n nodes (the first ones' rows of a symmetric matrix) that connect the same nodes."""
+    rows, n = linked.shape
+    both = np.zeros((n, n), bool)
+    both[:rows] = linked
+    both |= both.T
+    new, edges = np.ones(n, bool), []
+    for root in range(rows):
+        waiting = [root] if new[root] else []
+        new[root] = False
+        while waiting:
+            at = waiting.pop()
+            reached = np.flatnonzero(both[at] & new)
+            new[reached] = False
+            edges.append(np.column_stack([np.full(len(reached), at), reached]))
+            waiting += reached.tolist()
+    found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    return found[:, 0], found[:, 1]
+
+
 def rest_links(members: DataFrame, links: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Further links (u, v) in buckets that `links` leave in more than one component."""
     found = components(links).withColumnRenamed("component", "label")

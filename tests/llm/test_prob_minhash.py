@@ -8,6 +8,7 @@ from rastertables.llm.components import components
 from rastertables.llm.words import word_slices
 
 from .helpers import empty, frame, odd_rows, prose
+from .test_words import morse
 
 
 def shingles(text):
@@ -53,6 +54,28 @@ def test_classes_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_words_that_look_alike_to_weak_hashes_are_told_apart(spark):
+    one, two = morse(1024)
+    rows = [(1, f"a b {one} c"), (2, f"a b {two} c"), (3, f"a b {two} c")]
+    got = p.near_classes(frame(spark, rows)).select("doc_id", "class_id", "class_size", "kept")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows) == [(1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False)]
+
+
+def test_a_block_returns_fewer_links_than_nodes():
+    rng = np.random.default_rng(1)
+    for n, rows, share in ((500, 500, 1.0), (60, 20, 0.1), (60, 60, 0.02), (5, 5, 0.0), (40, 0, 1.0)):
+        linked = np.triu(rng.random((n, n)) < share, 1)[:rows]
+        i, j = p.spanning_forest(linked)
+
+        def labels(pairs):
+            label = np.arange(n)
+            for a, b in pairs:
+                label[label == label[b]] = label[a]
+            return [np.flatnonzero(label == x).tolist() for x in label]
+
+        assert len(i) < max(n, 1) and labels(zip(i, j)) == labels(zip(*np.nonzero(linked)))
+
+
 def test_empty_table(spark):
     assert p.near_classes(empty(spark)).count() == 0
 
