@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_pass
 from .token_stream import block_ids, placed_blocks, stored_blocks
-from .tokens import WORD_VOCABULARY, public_path
+from .tokens import WORD_VOCABULARY, EncoderMemory, public_path
 
 SIZE = 2048
 BLOCK_TOKENS = 1 << 19
@@ -52,7 +52,7 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, size: int = SIZE) -> np
     n = len(places)
     at = np.full(int(places[-1]) + 1, -1, np.int32)
     at[places] = np.arange(n)
-    halves = [1 << k for k in range(size.bit_length() - 2, 5, -1)]
+    halves = [1 << k for k in range(size.bit_length() - 2, -1, -1)]
     jumps = np.stack([np.where(places >= h, at[np.maximum(places - h, 0)], -1) for h in halves], 1) if halves else np.zeros((n, 0), int)
     exact = (jumps >= 0).any(1).tolist()
     place, penalty, cost, before = places.tolist(), penalties.tolist(), [0.0] * n, [0] * n
@@ -90,12 +90,17 @@ def pieces_of(ids: np.ndarray, lengths: np.ndarray, sentence: np.ndarray, size:
     return np.searchsorted(doc_ends, starts, "right"), starts, ends - starts, heads[np.searchsorted(cuts, starts, "right")]
 
 
-def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, size: int = SIZE, path: str | None = None, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False,
+    memory: EncoderMemory = EncoderMemory(),
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
     `start` counts the document's ids before the piece, `offset` the ids before it in its sequence,
     and `sequence_id` is the place of the sequence's first id in the whole stream. Null and empty texts
-    are pieces of one id. `ids` are little-endian unsigned 32-bit.
+    are pieces of one id. `ids` are little-endian unsigned 32-bit. Rows that share a doc_id are documents of their own,
+    in the order of their texts, null ids first; long texts are cut like others; other columns are not read; an empty table
+    gives no rows.
     """
     from tokenizers import Tokenizer
 
@@ -120,6 +125,6 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, block_token
                     names, columns = [*names, "ids"], [*columns, pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    blocks = placed_blocks(stored_blocks(docs, block_tokens, path)).select("ids", "doc_ids", "doc_tokens", "start")
+    blocks = placed_blocks(stored_blocks(docs, block_tokens, path, memory=memory)).select("ids", "doc_ids", "doc_tokens", "start")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return arrow_pass(blocks, run, schema + ", ids binary" * with_ids)

@@ -17,19 +17,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import materialize
 from .common import arrow_pass, texts
-from .tokens import CACHE, END_ID, WORD_VOCABULARY, public_path, word_encoder
+from .tokens import CACHE, END_ID, WORD_VOCABULARY, EncoderMemory, public_path, word_encoder
 from .words import row_slices
 
 #: Pieces in which the counts of all ids are added up.
 COUNT_PIECES = 32
-#: Bytes of text whose different words are looked up together.
-LOOKED_UP_BYTES = 1 << 22
-
 BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary, counts binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part = word_encoder(path), TaskContext.get().partitionId()
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end_id: int, memory: EncoderMemory) -> Iterator[pa.RecordBatch]:
+    encoder, part = word_encoder(path, memory.pieces), TaskContext.get().partitionId()
     names = ["part", "block", "part_start", "n_tokens", "doc_ids", "doc_tokens", "ids", "counts"]
     block, start, docs, lengths, held = 0, 0, [], [], []
     counts = np.zeros(1 << 16, np.int64)
@@ -46,8 +43,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
     for batch in batches:
         offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch["text"]).to_numpy())])
         slices = (
-            (low + a, low + b, ids, ends) for low, high in row_slices(offsets, LOOKED_UP_BYTES)
-            for a, b, ids, ends in encoder.slices(batch["text"].slice(low, high - low))
+            (low + a, low + b, ids, ends) for low, high in row_slices(offsets, memory.looked_up_bytes)
+            for a, b, ids, ends in encoder.slices(batch["text"].slice(low, high - low), memory.slice_bytes)
         )
         for low, high, ids, ends in slices:
             ids = np.insert(ids, ends[1:], end_id)
@@ -69,7 +66,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_tokens: int, end
             pa.array([part], pa.int32()), pa.array([None], pa.int32()), *nothing, pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
 
-def stored_blocks(docs: DataFrame, block_tokens: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def stored_blocks(
+    docs: DataFrame, block_tokens: int, path: str | None = None, end_id: int = END_ID, memory: EncoderMemory = EncoderMemory(),
+) -> DataFrame:
     """The stream as a stored table: one row per block, and one row per part with its id counts.
 
     Each document's ids are followed by `end_id`. A block closes at `block_tokens` ids or more. A null
@@ -78,7 +77,7 @@ def stored_blocks(docs: DataFrame, block_tokens: int, path: str | None = None, e
     """
     path = path or public_path(WORD_VOCABULARY)
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(arrow_pass(ordered, lambda batches: _blocks(batches, path, block_tokens, end_id), BLOCK_SCHEMA, CACHE), "token-blocks")
+    return materialize(arrow_pass(ordered, lambda batches: _blocks(batches, path, block_tokens, end_id, memory), BLOCK_SCHEMA, CACHE), "token-blocks")
 
 
 def placed_blocks(stored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain, compress, repeat
 
 import numpy as np
@@ -16,10 +17,18 @@ from .words import ragged, row_slices
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_PIECES = 200_000
 _TOGETHER = 2000
 
 
+@dataclass(frozen=True)
+class EncoderMemory:
+    """What a worker may hold: remembered words, bytes of text whose words are looked up together, bytes of a slice of rows."""
+
+    pieces: int = 500_000
+    looked_up_bytes: int = 1 << 23
+    slice_bytes: int = 1 << 21
+
+
 class PieceEncoder:
     """Encodes texts piece by piece; equal pieces are encoded once while they are remembered.
 
@@ -28,7 +37,7 @@ class PieceEncoder:
     pieces and those of one call are held; beyond that only those seen more often stay.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable, dtype, limit: int = CACHED_PIECES):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable, dtype, limit: int = EncoderMemory.pieces):
         self.split, self.encode, self.dtype, self.limit = split, encode, dtype, limit
         self.codes: dict[str, int] = {}
         self.seen = np.zeros(0, np.int32)
@@ -87,7 +96,7 @@ class PieceEncoder:
 class WordEncoder(PieceEncoder):
     """Pieces are what stands between ASCII white space; each is looked up once in a column."""
 
-    def slices(self, texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def slices(self, texts: pa.Array, size: int = EncoderMemory.slice_bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids, where each row's ids begin) of rows of about `size` bytes."""
         found = pc.ascii_split_whitespace(texts)
         counts = found.value_lengths().to_numpy()
@@ -137,14 +146,14 @@ def _units_of_all(pieces: list[str]) -> tuple[list[str], np.ndarray]:
     return [u for u in found if u != "\n"], counts
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, limit: int = EncoderMemory.pieces) -> WordEncoder:
     """Encoder of a word vocabulary that drops white space, for Arrow columns without nulls.
 
-    One per worker and file. Words are remembered as they stand in texts, and so are the units, in
+    One per worker, file and limit of remembered words. Words are remembered as they stand in texts, and so are the units, in
     lower case and without punctuation, that new words are made of.
     """
     encoders = worker_cache(CACHE)
-    if path not in encoders:
+    if (path, limit) not in encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -165,7 +174,7 @@ def word_encoder(path: str) -> WordEncoder:
             found = [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
-        units = PieceEncoder(_units, encode, np.uint16, CACHED_PIECES // 2)
+        units = PieceEncoder(_units, encode, np.uint16, limit // 2)
 
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             some = [_units_of_all(words[i:i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
@@ -174,8 +183,8 @@ def word_encoder(path: str) -> WordEncoder:
             ids, ends = units.ids(codes, counts)
             return ids, np.diff(ends)
 
-        encoders[path] = WordEncoder(str.split, encode_words, np.uint16)
-    return encoders[path]
+        encoders[path, limit] = WordEncoder(str.split, encode_words, np.uint16, limit)
+    return encoders[path, limit]
 
 
 def public_path(name: str) -> str:
