@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..shipping import ship_package
 from ..storage import broadcast_if_small
@@ -25,26 +26,46 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose id and text are those of `dropped` (doc_id, text_key)."""
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+    """docs without the rows whose id and text are those of `dropped` (doc_id, text_key); docs may have any further columns."""
+    own_id, own_key = free_name(docs, "dropped_id"), free_name(docs, "dropped_key")
+    gone = dropped.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
+    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col(own_id)) & (text_key() == F.col(own_key)), "left_anti")
 
 
 _caches: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system, of Arrow and where the C library can (glibc) of all else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache(owner: str) -> dict:
     """What a Python worker remembers for one operator; what it held for others is forgotten."""
-    for other in [name for name in _caches if name != owner]:
+    others = [name for name in _caches if name != owner]
+    for other in others:
         del _caches[other]
+    if others:
+        give_back()
     return _caches.setdefault(owner, {})
 
 
 def arrow_pass(
     df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "",
 ) -> DataFrame:
-    """mapInArrow with this package at hand on the executors; a task gives its Arrow memory back.
+    """mapInArrow with this package at hand on the executors; a task gives its freed memory back.
 
     `owner` names the cache that the pass goes on using.
     """
@@ -53,7 +74,7 @@ def arrow_pass(
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache(owner)
         yield from batches(rows)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -76,11 +97,16 @@ def crc_bucket(id_col: str, buckets: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % buckets, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most `rows` labelled documents, chosen by a hash of the id.
+#: Bytes of text that a model is fitted on at most.
+SAMPLE_BYTES = 256 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `rows` labelled documents with at most `size` bytes of text, chosen by a hash of the id.
 
-    `rows` bounds what a model is fitted on; the same documents come out at every run. An id that
-    occurs more than once in the labels counts once, with the larger label.
+    Both bound what a model is fitted on; the same documents come out at every run. Documents are taken whole,
+    in the order of the hash, while they fit. An id that occurs more than once counts once, with the larger label and
+    the least text.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -88,4 +114,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return texts(docs).join(F.broadcast(marked), "doc_id")
+    found = texts(docs).join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sizes = found.select("doc_id", F.octet_length("text").alias("n"))  # at most `rows` rows
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.withColumn("total", F.sum("n").over(before)).filter(F.col("total") <= size).select("doc_id")
+    return found.join(F.broadcast(fits), "doc_id")

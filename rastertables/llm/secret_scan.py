@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shipping import ship_package
 from ..storage import broadcast_if_small, materialize
-from .common import arrow_pass, texts, worker_cache
+from .common import free_name, arrow_pass, texts, worker_cache
 from .words import row_slices, text_buffer
 
 
@@ -215,15 +215,15 @@ def replaced(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*parts, text[done:]])
 
 
-def _verified(docs: DataFrame, rules: tuple[Rule, ...], mark: str) -> DataFrame:
-    """docs with `_found`: the spans of its texts, and the text without them if there are any.
+def _verified(docs: DataFrame, rules: tuple[Rule, ...], mark: str) -> tuple[DataFrame, str]:
+    """docs with a column of the spans of its texts, and the text without them if there are any; and that column's name.
 
     Only texts go to Python. Needs doc_id and text; other columns stay behind.
     """
     found = materialize(candidates(build_index(docs, trigrams(rules)), rules), "secret-candidates")
     everywhere = sum(1 << i for i, rule in enumerate(rules) if trigram_query(rule.pattern) == EVERYTHING)
-    all_rules = (1 << len(rules)) - 1
-    mask = F.when(F.col("doc_id").isNull(), all_rules).otherwise(F.coalesce(F.col("_mask"), F.lit(0)).bitwiseOR(F.lit(everywhere)))
+    all_rules, own, result = (1 << len(rules)) - 1, free_name(docs, "_mask"), free_name(docs, "_found")
+    mask = F.when(F.col("doc_id").isNull(), all_rules).otherwise(F.coalesce(F.col(own), F.lit(0)).bitwiseOR(F.lit(everywhere)))
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def search(text: pa.Array, masks: pa.Array) -> pa.Array:
@@ -240,8 +240,8 @@ def _verified(docs: DataFrame, rules: tuple[Rule, ...], mark: str) -> DataFrame:
     search.__annotations__ = {"text": pa.Array, "masks": pa.Array, "return": pa.Array}
     ship_package(docs.sparkSession)
     kind = "struct<spans:array<struct<kind:string,start:int,end:int>>,cleaned:string>"
-    marked = docs.join(broadcast_if_small(found.withColumnRenamed("mask", "_mask")), "doc_id", "left").withColumn("_mask", mask)
-    return marked.withColumn("_found", F.arrow_udf(search, kind).asNondeterministic()("text", "_mask")).drop("_mask")
+    marked = docs.join(broadcast_if_small(found.withColumnRenamed("mask", own)), "doc_id", "left").withColumn(own, mask)
+    return marked.withColumn(result, F.arrow_udf(search, kind).asNondeterministic()("text", own)).drop(own), result
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -250,14 +250,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Places count code points, ends are exclusive. Null and empty texts have no spans; a row with a
     null doc_id is searched with all rules; rows that share an id are searched with the rules of any.
     """
-    return _verified(docs.drop("spans", "_mask"), rules, "").withColumn("spans", F.col("_found.spans")).drop("_found")
+    found, result = _verified(docs.drop("spans"), rules, "")
+    return found.withColumn("spans", F.col(result)["spans"]).drop(result)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
     """docs with every span of its texts replaced, and `redacted`; overlapping spans go together.
 
-    All rows stay; a null text stays null.
+    All rows stay, with their other columns; an own column `redacted` is replaced. A null text stays null, an empty one
+    empty; long texts are searched whole, rows that repeat a doc_id with the rules of any; an empty table stays empty.
     """
-    found = _verified(docs, rules, mark)
-    return found.withColumns({
-        "text": F.coalesce("_found.cleaned", "text"), "redacted": F.col("_found.cleaned").isNotNull()}).drop("_found")
+    found, result = _verified(docs, rules, mark)
+    cleaned = F.col(result)["cleaned"]
+    return found.withColumns({"text": F.coalesce(cleaned, "text"), "redacted": cleaned.isNotNull()}).drop(result)

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rastertables.llm import quality_gam, queries, toxicity
+from rastertables.llm.common import labelled_sample
 from rastertables.llm.words import word_slices
 
 from .helpers import empty, frame, odd_rows
@@ -82,3 +83,15 @@ def test_ftrl_is_sparse_and_separates():
     assert 0 < len(model.places) < 200
     _, place = toxicity.word_features(next(word_slices(pa.array(["scum"])))[2])
     assert model.table()[place[0]] > 1
+
+
+def test_the_sample_keeps_its_bounds(spark):
+    """Repeated ids, in documents and labels, and long texts don't widen the sample."""
+    docs = spark.createDataFrame([(n % 20, f"text {n} " + "x" * (n % 20) * 10) for n in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n % 20, n % 2) for n in range(400)], "doc_id long, quality int")
+    few = labelled_sample(docs, labels, "quality", F.lit(True), 2).collect()
+    assert len(few) == 2
+    some = labelled_sample(docs, labels, "quality", F.lit(True), 100, size=500).collect()
+    assert 1 < len(some) < 20 and sum(len(r["text"]) for r in some) <= 500 and len({r["doc_id"] for r in some}) == len(some)
+    assert len(labelled_sample(docs, labels, "quality", F.lit(True), 100).collect()) == 20
+    assert labelled_sample(docs.limit(0), labels, "quality", F.lit(True), 100).count() == 0

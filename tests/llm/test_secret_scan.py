@@ -2,8 +2,10 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rastertables.llm import queries, secret_scan as s
+from rastertables.llm.common import drop_rows
 
 from .helpers import empty, frame, odd_rows
 
@@ -67,3 +69,14 @@ def test_query_columns(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans(texts[r.doc_id]))
+
+
+def test_own_columns_of_any_name_stay(spark):
+    rows = [(1, "password = hunter22", 5, "mine", 7, 8), (2, None, 6, None, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mask int, _found string, dropped_id int, dropped_key int")
+    got = s.redact(docs)
+    assert got.columns == [*docs.columns, "redacted"]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(5, "mine", 7, 8, True), (6, None, 9, 10, False)]
+    assert sorted(r["_mask"] for r in s.scan(docs).collect()) == [5, 6]
+    gone = spark.createDataFrame([(2,)], "doc_id long").select("doc_id", F.xxhash64(F.lit("")).alias("text_key"))
+    assert [tuple(r) for r in drop_rows(docs, gone).collect()] == rows[:1]
