@@ -55,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left; workers that have done four other stages remember fewer words."""
-    return packing.pack(docs, memory=EncoderMemory(pieces=150_000, looked_up_bytes=1 << 22, slice_bytes=1 << 20))
+    return packing.pack(docs, block_tokens=1 << 18, memory=EncoderMemory(pieces=40_000, looked_up_bytes=1 << 20, slice_bytes=1 << 19))
 
 
 STAGES = [
