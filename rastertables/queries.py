@@ -981,7 +981,7 @@ def ingest_stream(i: Inputs) -> DataFrame:
 @query
 def ingested_exports(i: Inputs) -> DataFrame:
     """Features stored under each export key by the ingest loop."""
-    return i.spark.read.text(_ingested(i).path("exports")).groupBy("export_key").agg(F.count(F.lit(1)).alias("features"))
+    return polygon_exports.read_features(i.spark, _ingested(i).path("exports")).groupBy("export_key").agg(F.count(F.lit(1)).alias("features"))
 
 
 @query

@@ -48,6 +48,19 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished file in its place in one step; a file that is there is replaced."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    old, new = fs.Path(source), fs.Path(target)
+    conf = spark._jsc.hadoopConfiguration()
+    new.getFileSystem(conf).mkdirs(new.getParent())
+    overwrite = gateway.new_array(fs.Options.Rename, 1)
+    overwrite[0] = fs.Options.Rename.OVERWRITE
+    context = fs.FileContext.getFileContext(new.getFileSystem(conf).makeQualified(new).toUri(), conf)
+    context.rename(new.getFileSystem(conf).makeQualified(old), new.getFileSystem(conf).makeQualified(new), overwrite)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, in whatever store the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -203,19 +203,41 @@ def test_export_folders(spark, tmp_path):
         "scene_key string, filename string, mask_name string, fill_ratio double, rings array<array<struct<lon:double,lat:double>>>")
     for _ in range(2):  # a second run replaces the first
         exports.export_polygons(exports.polygon_features(polygons), str(tmp_path / "e"))
-    assert spark.read.text(str(tmp_path / "e")).count() == 1
-    back = spark.read.text(str(tmp_path / "e")).first()
+    assert exports.read_features(spark, str(tmp_path / "e")).count() == 1
+    back = exports.read_features(spark, str(tmp_path / "e")).first()
     assert back["export_key"] == exports.export_keys(polygons).first()["export_key"]
     assert [r[0] for r in exports.stored_exports(spark, str(tmp_path / "e")).collect()] == [back["export_key"]]
     tiles = spark.createDataFrame([("raw/a b.tif",), ("raw/other.tif",)], "source_object_key string")
     missing = catalog.missing_exports(tiles, exports.stored_exports(spark, str(tmp_path / "e")), exports.EXPORT_SUFFIX)
     assert [r[0] for r in missing.select("source_object_key").collect()] == ["raw/other.tif"]
-    feature = json.loads(back["value"])
+    feature = json.loads(back["feature"])
     assert feature["properties"] == {"tile_id": "t", "mask_name": "m", "fill_ratio": 0.5}
     assert feature["geometry"]["coordinates"][0][1] == [3.0, 2.0]
     assert exports.export_keys(polygons).first()["export_key"] == "processed/shapefiles/a_b/a_b_masks.geojson"
 
 
+def test_one_collection_a_scene(spark, tmp_path):
+    """A file is one FeatureCollection; a failing run leaves neither half a file nor its staged parts."""
+    root = tmp_path / "e"
+    key = lambda n: f"processed/shapefiles/s {n}é/s {n}é_masks.geojson"
+    rows = [(key(n), json.dumps({"type": "Feature", "n": k, "text": ",]}"})) for n in range(4) for k in range(n * 5 + 1)]
+    features = spark.createDataFrame(rows, "export_key string, feature string").repartition(5)
+    exports.export_polygons(features, str(root))
+    for n in range(4):
+        body = json.loads((root / key(n)).read_text())
+        assert body["type"] == "FeatureCollection" and sorted(f["n"] for f in body["features"]) == list(range(n * 5 + 1))
+    assert sorted(map(tuple, exports.read_features(spark, str(root)).collect())) == sorted(rows)
+    before = {f: f.read_bytes() for f in root.rglob("*.geojson")}
+    broken = features.withColumn("feature", F.when(F.col("export_key") == key(2), F.raise_error(F.lit("lost"))).otherwise(F.lit("{}")))
+    with pytest.raises(Exception, match="lost"):
+        exports.export_polygons(broken, str(root))
+    assert {f: f.read_bytes() for f in root.rglob("*.geojson")} == before and [f.name for f in root.iterdir()] == ["processed"]
+    exports.export_polygons(features.where(F.col("export_key") == key(3)).limit(2), str(root))
+    assert len(json.loads((root / key(3)).read_text())["features"]) == 2 and (root / key(1)).read_bytes() == before[root / key(1)]
+    exports.export_polygons(features.limit(0), str(root))
+    assert exports.stored_exports(spark, str(root)).count() == 4
+
+
 @pytest.mark.parametrize("bounds,count", [((None, 0, 1, 1), 2), ((0, 0, 1, 1), 1), ((5, 5, 6, 6), 0)])
 def test_open_viewport_gives_all_tiles(spark, bounds, count):
     names = ", ".join(f"{c}_{a} double" for c in ("top_left", "top_right", "bottom_right", "bottom_left") for a in ("lon", "lat"))

@@ -10,7 +10,7 @@ from rastertables import schemas
 from rastertables.fixtures import PARAMS, Inputs
 from rastertables.operators import kernels
 from rastertables.plans import scene_run
-from rastertables.sources import deltas, state
+from rastertables.sources import deltas, exports, state
 from rastertables.streaming import streams
 
 
@@ -144,7 +144,7 @@ def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
             rebuild=lambda tiles, masked, stored: scene_run.rebuild_exports(tiles, masked, stored, None, params))
 
     def kept():
-        features = sorted(tuple(r) for r in spark.read.text(store.path("exports")).collect())
+        features = sorted(tuple(r) for r in exports.read_features(spark, store.path("exports")).collect())
         masks = sorted(map(str, spark.read.parquet(store.path("masks")).collect()))
         tasks = sorted((r["object_key"], r["status"]) for r in deltas.read_state(spark, streams.task_table(store.path("tasks"))).collect())
         return features, masks, tasks
