@@ -721,6 +721,24 @@ FROM (SELECT object_key FROM parsed WHERE object_key <> '' UNION SELECT scene_ke
 LEFT JOIN scenes s ON s.scene_key = k.object_key
 LEFT JOIN (SELECT scene_key, CAST(count(*) AS INT) AS n FROM numbered JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL GROUP BY 1) c ON c.scene_key = k.object_key""")
 
+check("retry_failed", """
+SELECT s.scene_key AS object_key, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' ELSE 'processed' END AS status, 'completed' AS stage,
+  coalesce(n, 0) AS progress_current, CAST(coalesce(epsg = 3857, false) AS BIGINT) AS failures
+FROM scenes s LEFT JOIN (SELECT scene_key, CAST(count(*) AS INT) AS n FROM numbered JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL GROUP BY 1) c USING (scene_key)""")
+
+cte("run_tiles", """
+SELECT source_object_key AS object_key, CAST(row_number() OVER (PARTITION BY source_object_key ORDER BY tile_y, tile_x) AS INT) AS i,
+  CAST(count(*) OVER (PARTITION BY source_object_key) AS INT) AS n FROM tiles""")
+cte("run_steps", "SELECT * FROM run_tiles WHERE i = 1 OR i % 50 = 0 OR i = n")
+check("run_events", """
+SELECT object_key, 'generate_tiles' AS stage, 'INFO' AS level, printf('Tiles prepared: %d of %d.', i, n) AS message, i AS progress_current, n AS progress_total FROM run_steps
+UNION ALL SELECT object_key, 'assemble_shapefile', 'INFO', printf('Masks processed: %d of %d.', i, n), i, n FROM run_steps
+UNION ALL SELECT object_key, 'assemble_shapefile', 'INFO', printf('Assembly begun. Tiles: %d.', n), NULL, NULL FROM run_tiles WHERE i = 1
+UNION ALL SELECT object_key, 'assemble_shapefile', 'WARNING', 'No suitable polygons, no export.', NULL, NULL FROM run_tiles
+WHERE i = 1 AND object_key NOT IN (SELECT scene_key FROM final_polygons)
+UNION ALL SELECT source_object_key, 'validate_tile_corners', 'INFO', printf('Corners of neighbouring tiles checked: %d.', count(edge)),
+  CAST(count(edge) AS INT), CAST(count(edge) AS INT)
+FROM (SELECT DISTINCT source_object_key FROM tiles) LEFT JOIN seams USING (source_object_key) GROUP BY 1""")
 check("ingested_exports", f"""
 SELECT concat('processed/shapefiles/', {safe('scene_key')}, '/', {safe('scene_key')}, '_masks.geojson') AS export_key, count(*) AS features
 FROM final_polygons GROUP BY scene_key""")

@@ -27,6 +27,7 @@ STAGE_FAILED = "failed"
 STAGE_SCAN = "scan_tiles"
 STAGE_GENERATE = "generate_tiles"
 STAGE_ASSEMBLE = "assemble_shapefile"
+STAGE_VALIDATE = "validate_tile_corners"
 STAGE_REBUILD = "rebuild_shapefile"
 
 
@@ -40,6 +41,7 @@ class SceneRun:
     merged: DataFrame | None
     exports: DataFrame
     results: DataFrame
+    events: DataFrame
 
 
 def cut_tiles(
@@ -141,7 +143,8 @@ def process_scenes(
         "%d of %d corners of neighbouring tiles disagree: %s", "mismatches", "checked", F.array_join("examples", "; ")).alias("error"))
     warnings = cut.where("model_missing").select("scene_key").distinct()
     results = scene_status(keys, chosen, tiles, errors.unionByName(broken), exports, warnings)
-    return SceneRun(stored_tiles(tiles), masked, polygons, merged, exports, results)
+    events = run_events(stored_tiles(located), checks, polygons)
+    return SceneRun(stored_tiles(tiles), masked, polygons, merged, exports, results, events)
 
 
 STORED_TILES = T.StructType([
@@ -152,6 +155,9 @@ POLYGONS = ("scene_key string, filename string, mask_name string, fill_ratio dou
             "rings array<array<struct<lon:double,lat:double>>>")
 
 
+EVENTS = "object_key string, stage string, level string, message string, progress_current int, progress_total int"
+
+
 def _nothing_cut(keys: DataFrame, chosen: DataFrame) -> SceneRun:
     """A cycle in which no offered key has a raster, for example retries only."""
     empty = lambda schema: keys.sparkSession.createDataFrame([], schema)
@@ -159,7 +165,7 @@ def _nothing_cut(keys: DataFrame, chosen: DataFrame) -> SceneRun:
     results = scene_status(
         keys, chosen, tiles.withColumnRenamed("source_object_key", "scene_key"),
         empty("scene_key string, error string"), export_keys(polygons), empty("scene_key string"))
-    return SceneRun(tiles, empty(MASKS), polygons, None, export_keys(polygons), results)
+    return SceneRun(tiles, empty(MASKS), polygons, None, export_keys(polygons), results, empty(EVENTS))
 
 
 def scene_status(
@@ -259,3 +265,41 @@ def progress_events(kept: DataFrame, is_black: Column, step: int = P.PROGRESS_ST
         F.col("scene_key").alias("object_key"), F.lit(STAGE_GENERATE).alias("stage"),
         F.format_string("Tiles prepared: %d of %d.", "progress_current", "progress_total").alias("message"),
         "progress_current", "progress_total")
+
+
+def run_events(tiles: DataFrame, checks: DataFrame, polygons: DataFrame, step: int = P.PROGRESS_STEP) -> DataFrame:
+    """Events of a run as EVENTS: tiles prepared, corners checked, and the assembly of the polygons.
+
+    `tiles` have ordinals, `checks` one row a scene. A scene whose corners disagree ends there with an error. The assembly has
+    a start, progress at the first, each `step`-th and the last tile, and a warning where no polygon is left.
+    """
+    counted = tiles.groupBy("source_object_key").agg(F.count(F.lit(1)).cast("int").alias("progress_total"), F.min("ordinal").alias("first"))
+    placed = tiles.select("source_object_key", "ordinal").join(broadcast_if_small(counted), "source_object_key").withColumn(
+        "progress_current", F.col("ordinal") - F.col("first") + 1)
+    due = placed.where((F.col("progress_current") == 1) | (F.col("progress_current") % step == 0) | (F.col("progress_current") == F.col("progress_total")))
+
+    def events(rows: DataFrame, stage: str, level: str | Column, message: Column, current: str | None, limit: str | None) -> DataFrame:
+        number = lambda c: (F.col(c) if c else F.lit(None)).cast("int")
+        return rows.select(
+            F.col("source_object_key").alias("object_key"), F.lit(stage).alias("stage"), (F.lit(level) if isinstance(level, str) else level).alias("level"),
+            message.alias("message"), number(current).alias("progress_current"), number(limit).alias("progress_total"))
+
+    def progress(rows: DataFrame, stage: str, text: str) -> DataFrame:
+        return events(rows, stage, P.DEFAULT_LEVEL, F.format_string(text, "progress_current", "progress_total"), "progress_current", "progress_total")
+
+    agrees = F.col("mismatches") == 0
+    validated = events(
+        checks, STAGE_VALIDATE, F.when(agrees, P.DEFAULT_LEVEL).otherwise("ERROR"),
+        F.when(agrees, F.format_string("Corners of neighbouring tiles checked: %d.", "checked")).otherwise(
+            F.format_string("%d of %d corners of neighbouring tiles disagree.", "mismatches", "checked")), "checked", "checked")
+    sound = broadcast_if_small(checks.where("consistent").select("source_object_key"))
+    assembled = due.join(sound, "source_object_key", "left_semi")
+    started = events(
+        counted.join(sound, "source_object_key", "left_semi"), STAGE_ASSEMBLE, P.DEFAULT_LEVEL,
+        F.format_string("Assembly begun. Tiles: %d.", "progress_total"), None, None)
+    found = polygons.select(F.col("scene_key").alias("source_object_key")).distinct()
+    nothing = events(
+        counted.join(sound, "source_object_key", "left_semi").join(found, "source_object_key", "left_anti"), STAGE_ASSEMBLE, "WARNING",
+        F.lit("No suitable polygons, no export."), None, None)
+    return (progress(due, STAGE_GENERATE, "Tiles prepared: %d of %d.").unionByName(validated).unionByName(started)
+            .unionByName(progress(assembled, STAGE_ASSEMBLE, "Masks processed: %d of %d.")).unionByName(nothing))

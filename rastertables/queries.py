@@ -17,7 +17,7 @@ from rastertables.operators import blocks, components, grid, kernels, land, mask
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.functions.worker import worker_name as running_worker
 from rastertables.plans import catalog, scene_run
-from rastertables.schemas import TILES
+from rastertables.schemas import LOGS, TILES
 from rastertables.sources import deltas, exports as polygon_exports, objects, state
 from rastertables.storage import materialize, shared_folder
 from rastertables.streaming import streams
@@ -891,6 +891,12 @@ def progress_events(i: Inputs) -> DataFrame:
     return scene_run.progress_events(kept, F.col("black"), step=10)
 
 
+@query
+def run_events(i: Inputs) -> DataFrame:
+    """Events of all kinds that a whole run leaves for the log."""
+    return _run(i).events
+
+
 @query
 def worker_name_events(i: Inputs) -> DataFrame:
     """Every event has a worker, whichever it was."""
@@ -978,6 +984,21 @@ def ingest_stream(i: Inputs) -> DataFrame:
     return deltas.read_state(i.spark, streams.task_table(store.path("tasks"))).select("object_key", "status", "stage", "progress_current")
 
 
+@query
+def retry_failed(i: Inputs) -> DataFrame:
+    """Two quiet cycles over the listed scenes; in the first the rasters in web mercator are not there yet."""
+    store = streams.IngestStore(_fresh_folder(i, "retry"))
+    listed = i.scenes.select(F.col("scene_key").alias("object_key"))
+    early = i.scenes.where(~F.col("epsg").eqNullSafe(3857))
+    quiet = i.spark.createDataFrame([(None,)], "value string")
+    for number, scenes in enumerate((early, i.scenes)):
+        streams.ingest_batch(quiet, number, listed, lambda keys, scenes=scenes: scene_run.process_scenes(
+            keys, i.filled_chunks, scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS), store)
+    failures = i.spark.read.schema(LOGS).parquet(store.path("logs")).groupBy("object_key").agg(F.count_if(F.col("stage") == "failed").alias("failures"))
+    tasks = deltas.read_state(i.spark, streams.task_table(store.path("tasks")))
+    return tasks.join(failures, "object_key").select("object_key", "status", "stage", "progress_current", "failures")
+
+
 @query
 def ingested_exports(i: Inputs) -> DataFrame:
     """Features stored under each export key by the ingest loop."""

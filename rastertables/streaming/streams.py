@@ -167,10 +167,8 @@ def ingest_batch(
         repaired = _repaired(kept, store, markers, rebuild)
         reports = reports.unionByName(_task_reports(repaired, now))
     deltas.write_delta(state.reported_tasks(reports, ["reported_at"]), task_rows, number)
-    log = results.select(
-        "object_key", F.lit(None).cast("string").alias("worker_name"), "stage",
-        "level", F.col("details").alias("message"),
-        "progress_current", "progress_total", now.alias("created_at"))
+    final = results.select("object_key", "stage", "level", F.col("details").alias("message"), "progress_current", "progress_total")
+    log = run.events.unionByName(final).withColumns({"worker_name": F.lit(None).cast("string"), "created_at": now}).select(schemas.LOGS.names)
     state.write_part(state.prepare_log(log), store.path("logs"), number)
 
 

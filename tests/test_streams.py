@@ -129,6 +129,18 @@ def test_corner_failures_name_their_tiles(spark):
     assert row["mismatches"] == 19 and len(row["examples"]) == 8 and row["examples"][0].startswith("t0 / t1 (top)")
 
 
+def test_events_of_a_run(spark):
+    tiles = spark.createDataFrame([("a", n) for n in range(7)] + [("b", 0)], "source_object_key string, ordinal int")
+    checks = spark.createDataFrame([("a", 9, 0, True), ("b", 3, 1, False)], "source_object_key string, checked bigint, mismatches bigint, consistent boolean")
+    polygons = spark.createDataFrame([("b",)], "scene_key string")
+    got = scene_run.run_events(tiles, checks, polygons, step=3).collect()
+    assert {(r["stage"], r["progress_current"], r["progress_total"]) for r in got if r["object_key"] == "a" and r["progress_current"]} == {
+        *(("generate_tiles", n, 7) for n in (1, 3, 6, 7)), *(("assemble_shapefile", n, 7) for n in (1, 3, 6, 7)), ("validate_tile_corners", 9, 9)}
+    assert sorted((r["stage"], r["level"], r["message"]) for r in got if r["progress_current"] is None) == [
+        ("assemble_shapefile", "INFO", "Assembly begun. Tiles: 7."), ("assemble_shapefile", "WARNING", "No suitable polygons, no export.")]
+    assert {(r["stage"], r["level"]) for r in got if r["object_key"] == "b"} == {("generate_tiles", "INFO"), ("validate_tile_corners", "ERROR")}
+
+
 def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
     inputs = Inputs(spark, sf_dir)
     key = "raw/S1_IW_20240102.tif"
@@ -161,6 +173,9 @@ def test_ingest_keeps_and_repairs_its_results(spark, sf_dir, tmp_path):
     assert kept() == first
     cycle(2)
     assert state.stored_versions(spark, store.path("logs")) == [0, 1, 2]
+    logged = spark.read.schema(schemas.LOGS).parquet(store.path("logs"))
+    assert {r["stage"] for r in logged.where(F.col("object_key") == key).collect()} == {
+        scene_run.STAGE_GENERATE, scene_run.STAGE_VALIDATE, scene_run.STAGE_ASSEMBLE, "completed"}
     tasks = streams.task_table(store.path("tasks"))
     stages = [{r["stage"] for r in deltas.read_state(spark, tasks, before=n).collect()} for n in (1, 2, 3)]
     assert stages == [{"completed"}, {scene_run.STAGE_REBUILD}, {scene_run.STAGE_REBUILD}]
