@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rastertables.llm import mtree
@@ -76,3 +77,40 @@ def test_radii_cover_the_pages():
         assert (np.linalg.norm(points[rows(node)] - tree.routing[node], axis=1) <= tree.radius[node] + 1e-9).all()
         for child in tree.children[node]:
             assert abs(np.linalg.norm(tree.routing[node] - tree.routing[child]) - tree.to_parent[child]) < 1e-9
+
+
+def test_query_rows_with_one_id_are_queries_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [0.5, 0.5])]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, k=2)
+    one, half = 65536, 32768
+    assert sorted(map(tuple, got.collect())) == [(50, 1, 1, one), (50, 1, 2, 2 * one), (50, 2, 2, 2 * one), (50, 2, 3, half)]
+
+
+def test_scores_beyond_a_long_keep_their_order(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [1e17, 1.0]), (3, [-1e17, 0.0]), (4, [0.0, 1.0]), (5, [1e200, 0.0])]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 4), k=5, pivot_rows=2, tree_rows=2)
+    found = sorted(map(tuple, got.collect()))
+    assert [r[2] for r in found if r[0] == 0] == [2, 1, 4, 3]
+    assert [r[3] for r in found if r[0] == 0] == [None, None, 65536, None]
+    assert found[4:] == [(4, 1, 0, 65536), (4, 2, 2, 65536), (4, 3, 1, 0), (4, 4, 3, 0)]
+
+
+def test_any_number_of_lengths(spark):
+    rows = [(2 * i + j, [1.0] * (i + 1)) for i in range(1100) for j in range(2)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == [(q, 1, q + 1, 65536 * (q // 2 + 1)) for q in range(0, 2200, 50)]
+
+
+def test_blocks_of_queries_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for seed in range(10):
+        x = rng.integers(-9, 9, (400, 3)) * (10**12 if seed == 9 else 1)
+        ids = rng.permutation(400)
+        greatest = float((x.astype(float) ** 2).sum(1).max()) * (1 + 1e-12)
+        tree = mtree.build(ids, x.astype(float), greatest, page=8, fanout=3)
+        nodes, pages = tree.stored()
+        stored = mtree.StoredTree(nodes, pa.array(pages, pa.binary()), 3)
+        q, scores, found = mtree.search_block(stored, ids[:50], x[:50].astype(float), 4, [None] * 50, greatest)
+        for row in range(50):
+            right = sorted((-sum(int(a) * int(b) for a, b in zip(x[row], w)), int(i)) for i, w in zip(ids, x) if i != ids[row])[:4]
+            assert [(-int(s), int(i)) for s, i in zip(scores[q == row], found[q == row])] == right
