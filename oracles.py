@@ -598,6 +598,39 @@ cte("grown", "SELECT DISTINCT scene_key, x + dx AS x, y + dy AS y FROM scene_mas
 check("close_gaps", """
 SELECT scene_key, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT scene_key, x - dx AS x, y - dy AS y FROM grown, disc)
 GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM disc)""")
+cte("scene_radii", f"""
+SELECT scene_key, 0.0021 / sqrt(pow({lon('(width // 2 + 1)', '(height // 2)')} - {lon('(width // 2)', '(height // 2)')}, 2)
+    + pow({lat('(width // 2 + 1)', '(height // 2)')} - {lat('(width // 2)', '(height // 2)')}, 2)) AS gap_x,
+  0.0021 / sqrt(pow({lon('(width // 2)', '(height // 2 + 1)')} - {lon('(width // 2)', '(height // 2)')}, 2)
+    + pow({lat('(width // 2)', '(height // 2 + 1)')} - {lat('(width // 2)', '(height // 2)')}, 2)) AS gap_y
+FROM scenes""")
+cte("ellipses", """
+SELECT scene_key, CAST(a.n AS INT) - 30 AS dx, CAST(b.n AS INT) - 30 AS dy
+FROM (SELECT scene_key, coalesce(gap_x, 1e-9) AS gap_x, coalesce(gap_y, 1e-9) AS gap_y FROM scene_radii), range(61) a(n), range(61) b(n)
+WHERE pow((a.n - 30) / gap_x, 2) + pow((b.n - 30) / gap_y, 2) <= 1""")
+cte("wide", "SELECT DISTINCT scene_key, x + dx AS x, y + dy AS y FROM scene_mask JOIN ellipses USING (scene_key)")
+check("close_gaps_by_degrees", """
+SELECT scene_key, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (
+  SELECT scene_key, x - dx AS x, y - dy AS y, count(*) AS n FROM wide JOIN ellipses USING (scene_key) GROUP BY ALL)
+JOIN (SELECT scene_key, count(*) AS n FROM ellipses GROUP BY 1) USING (scene_key, n)""")
+cte("plus_cells", "SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS c(dx, dy)")
+cte("crossed", "SELECT DISTINCT scene_key, x + dx AS x, y + dy AS y FROM scene_mask, plus_cells")
+cte("closed_runs", """
+SELECT scene_key, y, min(x) AS c0, max(x) AS c1, min(y * width + x) AS id FROM (
+  SELECT *, x - row_number() OVER (PARTITION BY scene_key, y ORDER BY x) AS island FROM (
+    SELECT scene_key, x - dx AS x, y - dy AS y FROM crossed, plus_cells GROUP BY ALL HAVING count(*) = 5))
+JOIN scenes USING (scene_key) GROUP BY scene_key, y, island""")
+cte("closed_links", """
+SELECT a.scene_key, a.id, b.id AS next FROM closed_runs a JOIN closed_runs b
+ON a.scene_key = b.scene_key AND abs(a.y - b.y) = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1""")
+cte("closed_reach", """
+SELECT scene_key, id, id AS other FROM closed_runs
+UNION SELECT r.scene_key, r.id, l.next FROM closed_reach r JOIN closed_links l ON l.scene_key = r.scene_key AND l.id = r.other""")
+check("merge_masks_closing_gaps", """
+SELECT scene_key, CAST(component AS BIGINT) AS component, CAST(sum(c1 - c0 + 1) AS BIGINT) AS cells, CAST(min(c0) AS INT) AS x_min, CAST(max(c1) AS INT) AS x_max,
+  CAST(min(y) AS INT) AS y_min, CAST(max(y) AS INT) AS y_max
+FROM closed_runs JOIN (SELECT scene_key, id, min(other) AS component FROM closed_reach GROUP BY ALL) USING (scene_key, id)
+GROUP BY scene_key, component""")
 cte("seams", """
 SELECT a.source_object_key, 'top' AS edge, a.filename, greatest(abs(a.top_right_lon - b.top_left_lon), abs(a.top_right_lat - b.top_left_lat)) AS delta,
   a.tile_y AS ay, b.tile_y AS yb

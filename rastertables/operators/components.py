@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from rastertables.operators.blocks import SIZED_TILE, TILE, tile_extent, tile_origin
+from rastertables.operators.closing import close_gaps
 from rastertables.operators.kernels import RUN
 from rastertables.operators.land import tile_affine
 from rastertables.operators.masks import run
@@ -194,57 +195,6 @@ def scene_runs(masked: DataFrame) -> DataFrame:
         (F.col("tile_x") + F.col("r.c0")).alias("c0"), (F.col("tile_x") + F.col("r.c1")).alias("c1"))
 
 
-def joined_runs(runs: DataFrame, *same: str) -> DataFrame:
-    """Overlapping and touching runs of a scene row as one; a group is one raster row.
-
-    Joined runs agree on the columns `same`, which are kept.
-    """
-    in_order = Window.partitionBy("scene_key", "row").orderBy("c0", "c1")
-    reach = F.max("c1").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = runs.withColumn("opens", F.when(reach >= F.col("c0") - 1, 0).otherwise(1))
-    numbered = opened.withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("scene_key", "row", "island").agg(
-        F.min("c0").alias("c0"), F.max("c1").alias("c1"), *(F.max(c).alias(c) for c in same)).drop("island")
-
-
-def _disc(gap: int) -> Column:
-    """(dy, half width) of the rows of a disc of cells."""
-    rows = [(dy, int((gap * gap - dy * dy) ** 0.5)) for dy in range(-gap, gap + 1)]
-    return F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(half).alias("half")) for dy, half in rows))
-
-
-def close_gaps(runs: DataFrame, gap: int) -> DataFrame:
-    """Morphological closing of scene runs by a disc: grow, then shrink."""
-    merged = joined_runs(runs)
-    if gap <= 0:
-        return merged
-    disc = F.explode(_disc(gap)).alias("d")
-    grown = joined_runs(merged.select("scene_key", "row", "c0", "c1", disc).select(
-        "scene_key", (F.col("row") + F.col("d.dy")).alias("row"),
-        (F.col("c0") - F.col("d.half")).alias("c0"), (F.col("c1") + F.col("d.half")).alias("c1")))
-    shrunk = grown.select("scene_key", "row", "c0", "c1", disc).select(
-        "scene_key", (F.col("row") - F.col("d.dy")).alias("row"),
-        (F.col("c0") + F.col("d.half")).alias("c0"), (F.col("c1") - F.col("d.half")).alias("c1"),
-    ).where(F.col("c0") <= F.col("c1"))
-    return _covered(shrunk, 2 * gap + 1)
-
-
-def _covered(runs: DataFrame, depth: int) -> DataFrame:
-    """Parts of a row that `depth` runs cover."""
-    ends = F.explode(F.array(
-        F.struct(F.col("c0").alias("at"), F.lit(1).alias("step")),
-        F.struct((F.col("c1") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e")
-    steps = runs.select("scene_key", "row", ends).groupBy("scene_key", "row", F.col("e.at").alias("at")).agg(
-        F.sum("e.step").alias("step"))
-    in_order = Window.partitionBy("scene_key", "row").orderBy("at")
-    swept = steps.withColumns({
-        "depth": F.sum("step").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
-        "stop": F.lead("at").over(in_order),
-    })
-    full = swept.where(F.col("depth") == depth)
-    return joined_runs(full.select("scene_key", "row", F.col("at").alias("c0"), (F.col("stop") - 1).alias("c1")))
-
-
 def retile(runs: DataFrame, scenes: DataFrame, tile_size: int) -> DataFrame:
     """Scene runs cut back into tiles; cells outside the raster fall away."""
     sized = runs.join(scenes.select("scene_key", "width", "height"), "scene_key").where(
@@ -303,7 +253,6 @@ def merged_components(runs: DataFrame, scenes: DataFrame, tile_size: int) -> Dat
         (F.col("tile_x") + F.col("c0")).alias("c0"), (F.col("tile_x") + F.col("c1")).alias("c1"))
 
 
-def merge_masks(masked: DataFrame, scenes: DataFrame, tile_size: int, gap: int = 0) -> DataFrame:
-    """Components of the united masks of each scene, gaps of up to the disc closed."""
+def merge_masks(masked: DataFrame, scenes: DataFrame, tile_size: int, gap: float | DataFrame = 0) -> DataFrame:
+    """Components of the united masks of each scene, gaps closed; for `gap` see `close_gaps`."""
     return merged_components(close_gaps(scene_runs(masked), gap), scenes, tile_size)
-

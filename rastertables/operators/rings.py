@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rastertables.functions.crs import is_supported, pixel_to_wgs84
 from rastertables.operators.blocks import computed_once
-from rastertables.operators.components import joined_runs
+from rastertables.operators.closing import joined_runs
 from rastertables.operators.land import tile_affine
 from rastertables.shipping import ship_package
 from rastertables.storage import broadcast_if_small, materialize

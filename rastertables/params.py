@@ -44,4 +44,5 @@ class SceneParams:
     min_area: float = 0.00001
     merge_masks: bool = False
     gap_cells: int = 0
+    gap_degrees: float = 0.0
     corner_tolerance: float = CORNER_TOLERANCE

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from rastertables import params as P, schemas
 from rastertables.functions import bbox, names
 from rastertables.functions.crs import is_supported
-from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings
+from rastertables.operators import blocks, closing, components, grid, kernels, land, masks, raster, rings
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.operators.kernels import Predictor
 from rastertables.operators.ranking import number_within
@@ -96,9 +96,10 @@ def mask_polygons(
 
 
 def merged_outlines(polygons: DataFrame, scenes: DataFrame, params: P.SceneParams) -> DataFrame:
-    """Outline rows of the united polygons of each scene, gaps closed."""
+    """Outline rows of the united polygons of each scene, gaps closed by a radius in degrees or, without it, in cells."""
+    gap = closing.radii_in_cells(scenes, params.gap_degrees) if params.gap_degrees > 0 else params.gap_cells
     united = components.merge_masks(
-        polygons.select(*TILE, "runs"), scenes.select("scene_key", "width", "height"), params.tile_size, params.gap_cells)
+        polygons.select(*TILE, "runs"), scenes.select("scene_key", "width", "height"), params.tile_size, gap)
     return rings.located_outlines(rings.scene_outlines(united), scenes)
 
 

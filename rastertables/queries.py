@@ -13,7 +13,7 @@ from rastertables.fixtures import CLIPPED_GRID, FIRST_RUN, PARAMS, SAMPLE_CAP, I
 from rastertables.functions import bbox, geojson, names, overlay
 from rastertables.functions.bbox import Box
 from rastertables.functions.crs import pixel_to_wgs84
-from rastertables.operators import blocks, components, grid, kernels, land, masks, raster, rings, zones
+from rastertables.operators import blocks, closing, components, grid, kernels, land, masks, raster, rings, zones
 from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.functions.worker import worker_name as running_worker
 from rastertables.plans import catalog, scene_run
@@ -759,8 +759,17 @@ def merged_outlines(i: Inputs) -> DataFrame:
 
 @query
 def close_gaps(i: Inputs) -> DataFrame:
-    closed = components.close_gaps(components.scene_runs(i.masked), 2)
-    return closed.select("scene_key", F.col("row").alias("y"), F.explode(F.sequence("c0", "c1")).alias("x"))
+    return _run_cells(closing.close_gaps(components.scene_runs(i.masked), 2))
+
+
+@query
+def close_gaps_by_degrees(i: Inputs) -> DataFrame:
+    """Every scene by its own radii: systems in degrees, Mercator and UTM."""
+    return _run_cells(closing.close_gaps(components.scene_runs(i.masked), closing.radii_in_cells(i.scenes, 0.0021)))
+
+
+def _run_cells(runs: DataFrame) -> DataFrame:
+    return runs.select("scene_key", F.col("row").alias("y"), F.explode(F.sequence("c0", "c1")).alias("x"))
 
 
 @query

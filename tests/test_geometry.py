@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastertables.operators import components, grid, kernels, land, masks, rings
+from rastertables.operators import closing, components, grid, kernels, land, masks, rings
 from rastertables.params import SceneParams
 
 TILE = "scene_key string, tile_x int, tile_y int, tile_width int, tile_height int"
@@ -181,6 +181,50 @@ def test_merged_components_equal_flood_fill(spark, gap, density):
     assert cells == {(y, x): expected[y, x] for y, x in zip(*map(list, np.nonzero(closed)))}
 
 
+@pytest.mark.parametrize("radii", [(2.3, 0.4), (0.0, 2.0), (1.2, 3.7), (3.0, 3.0)])
+@pytest.mark.parametrize("seen_cells", [1 << 24, 0])
+def test_closing_by_radii_of_scenes_across_blocks(spark, radii, seen_cells):
+    image = scene_image(7, density=0.12)
+    gap_x, gap_y = radii
+    reach = int(max(radii)) + 1
+    offsets = [
+        (dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)
+        if (dy == 0 or gap_y > 0) and (dx == 0 or gap_x > 0) and (dy / (gap_y or 1)) ** 2 + (dx / (gap_x or 1)) ** 2 <= 1 + 1e-12]
+    wide = {(y + dy, x + dx) for y, x in zip(*map(list, np.nonzero(image))) for dy, dx in offsets}
+    expected = {(y, x) for y, x in wide if all((y + dy, x + dx) in wide for dy, dx in offsets)}
+    runs = spark.createDataFrame([(k, *r) for k in ("s", "t", "u") for r in runs_of(image)], "scene_key string, row int, c0 int, c1 int")
+    sizes = spark.createDataFrame([("s", gap_x, gap_y), ("u", None, None)], "scene_key string, gap_x double, gap_y double")
+    got = closing.close_gaps(runs, sizes, block=8, seen_cells=seen_cells).collect()
+    cells = {(r["scene_key"], r["row"], c) for r in got for c in range(r["c0"], r["c1"] + 1)}
+    own = set(zip(*map(list, np.nonzero(image))))
+    assert {c[1:] for c in cells if c[0] == "s"} == {(y, x) for y, x in expected if any((y + dy, x + dx) in wide for dy, dx in offsets)}
+    assert {c[1:] for c in cells if c[0] == "t"} == own == {c[1:] for c in cells if c[0] == "u"}
+    assert sum(r["c1"] - r["c0"] + 1 for r in got) == len(cells)
+
+
+def test_closing_copies_no_run_by_offset(spark):
+    runs = spark.range(2000).select(F.lit("s").alias("scene_key"), F.col("id").cast("int").alias("row"), F.lit(0).alias("c0"), F.lit(9).alias("c1"))
+    few, many = (closing._in_blocks(runs.withColumns({"gap_x": F.lit(g), "gap_y": F.lit(g)}), 1024) for g in (2.0, 100.0))
+    for frame in (few, many):
+        assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert joined_count(few) == joined_count(many) == 2000
+
+
+def joined_count(frame):
+    return closing.joined_runs(frame).where("c0 = 0 and c1 = 9").count()
+
+
+def test_radii_of_a_scene_in_degrees(spark):
+    scenes = spark.createDataFrame(
+        [("g", 10, 10, 4326, 0.01, 0.0, 30.0, 0.0, -0.02, 60.0), ("m", 10, 10, 3857, 100.0, 0.0, 0.0, 0.0, -100.0, 8399737.9),
+         ("n", 10, 10, None, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)],
+        "scene_key string, width int, height int, epsg int, a double, b double, c double, d double, e double, f double")
+    got = {r["scene_key"]: (r["gap_x"], r["gap_y"]) for r in closing.radii_in_cells(scenes, 0.05).collect()}
+    assert set(got) == {"g", "m"}
+    assert got["g"] == pytest.approx((5.0, 2.5))
+    assert got["m"] == pytest.approx((0.05 * 111319.49 / 100, 0.05 * 111319.49 / 100 / np.cos(np.radians(60))), rel=1e-3)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [("p", n, n + 1) for n in range(0, 60)]
     hub = [("h", 1000, n) for n in range(0, 300)]
