@@ -442,6 +442,8 @@ UNION ALL SELECT 'log', object_key, worker_name, stage, progress_current, progre
 FROM (SELECT * FROM log_events ORDER BY created_at DESC LIMIT 1)""")
 check("tiles_in_viewport", """
 SELECT filename FROM boxed WHERE source_object_key = 'raw/S1_IW_20240104.tif' AND east >= 71.5 AND west <= 71.53 AND north >= 74.07 AND south <= 74.1""")
+check("clustered_tiles_in_view", """
+SELECT source_object_key, filename FROM boxed WHERE east >= 71.5 AND west <= 71.53 AND north >= 74.07 AND south <= 74.1""")
 check("tiles_in_viewports", f"""
 SELECT v.view_id, b.filename FROM (
   SELECT view_id, {scene_key('view_id % 10 + 1')} AS source_object_key, CASE WHEN view_id % 3 <> 0 THEN west END AS west, south, east, north FROM viewports) v

@@ -18,7 +18,7 @@ from rastertables.operators.blocks import SIZED_TILE, TILE
 from rastertables.functions.worker import worker_name as running_worker
 from rastertables.plans import catalog, scene_run
 from rastertables.schemas import LOGS, TILES
-from rastertables.sources import deltas, exports as polygon_exports, objects, state
+from rastertables.sources import clustered, deltas, exports as polygon_exports, objects, state
 from rastertables.storage import materialize, shared_folder
 from rastertables.streaming import streams
 
@@ -543,6 +543,16 @@ def tiles_in_viewport(i: Inputs) -> DataFrame:
         i.old_tiles(), "raw/S1_IW_20240104.tif", 71.50004, 74.07, 71.53, 74.10001).select("filename")
 
 
+@query
+def clustered_tiles_in_view(i: Inputs) -> DataFrame:
+    """Tiles of all scenes in one view, from the store along the curve; its layer is written twice."""
+    tiles, path = i.old_tiles(), f"{shared_folder(i.spark)}/clustered-{uuid.uuid4().hex}"
+    for _ in range(2):
+        clustered.store_clustered(tiles, path, "first", file_rows=64)
+    found = clustered.read_clustered(i.spark, path, tiles.schema, (71.50004, 74.07, 71.53, 74.10001))
+    return found.select("source_object_key", "filename")
+
+
 def _requests(i: Inputs) -> DataFrame:
     """Viewport requests: each third leaves a bound open."""
     return i.viewports.select(
