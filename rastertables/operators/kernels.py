@@ -8,11 +8,12 @@ to Python once per pass and never come back.
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rastertables import params as P
@@ -20,6 +21,8 @@ from rastertables.operators.blocks import SIZED_TILE
 from rastertables.shipping import ship_package
 
 Predictor = Callable[[np.ndarray], np.ndarray]
+#: A loader without arguments, or with one named `device`.
+Loader = Callable[..., Predictor]
 
 SUMMARY = ("struct<valid_count:int,value_min:double,value_max:double,min_col:int,min_row:int,max_col:int,max_row:int,"
            "buckets:array<struct<bucket:int,n:bigint>>,error:string>")
@@ -100,27 +103,50 @@ def choose_device(requested: str = "auto", cuda_available: bool = False) -> str:
     return wanted if wanted.startswith("cuda") else "cuda"
 
 
+def task_devices() -> list[str]:
+    """Addresses of the GPUs that Spark has given this task, see spark.task.resource.gpu.amount."""
+    context = TaskContext.get()
+    held = context.resources().get("gpu") if context is not None else None
+    return list(held.addresses) if held is not None else []
+
+
+def task_device(requested: str = "auto") -> str:
+    """Device of this task: its own first GPU unless one is named or none is wanted or held."""
+    own = task_devices()
+    chosen = choose_device(requested, bool(own))
+    return f"cuda:{own[0]}" if chosen == "cuda" else chosen
+
+
 def threshold_model(threshold: int) -> Callable[[], Predictor]:
     """Model that sets the cells brighter than a grey level."""
     return lambda: lambda image: image.astype(np.float32) - (threshold + 0.5)
 
 
-_loaded: dict[str, Predictor] = {}
+_loaded: dict[tuple[str, str], Predictor] = {}
 
 
-def loader_digest(load: Callable[[], Predictor]) -> str:
+def loader_digest(load: Loader) -> str:
     """Identity of a loader: its code and everything it holds, under whatever name it goes."""
     return hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
 
 
-def load_once(digest: str, load: Callable[[], Predictor]) -> Predictor | None:
-    """Load a model once per Python worker; None if it cannot be loaded, which is tried again."""
-    if digest not in _loaded:
+def load_once(digest: str, load: Loader, device: str = "cpu") -> Predictor | None:
+    """Load a model once per Python worker and device; None if it cannot be loaded, which is tried again.
+
+    A loader with an argument named `device` gets it; if it fails there, the processor is tried.
+    """
+    if "device" not in inspect.signature(load).parameters:
+        tries, device = [{}], ""
+    else:
+        tries = [{"device": d} for d in dict.fromkeys((device, "cpu"))]
+    key = digest, device
+    for arguments in tries if key not in _loaded else ():
         try:
-            _loaded[digest] = load()
-        except Exception:  # any failure of user code means: no model
-            return None
-    return _loaded[digest]
+            _loaded[key] = load(**arguments)
+            break
+        except Exception:  # any failure of user code means: no model there
+            continue
+    return _loaded.get(key)
 
 
 def predicted(model: Predictor | None, grey: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -186,7 +212,7 @@ def count_values(params: P.SceneParams) -> Callable[[pa.Array, pa.Array], pa.Arr
     return kernel
 
 
-def cut_and_segment(params: P.SceneParams, load: Callable[[], Predictor]):
+def cut_and_segment(params: P.SceneParams, load: Loader):
     """Mask runs of a tile. A tile whose cells or predictor fail has `error` and no runs."""
     digest = loader_digest(load)
 
@@ -202,7 +228,7 @@ def cut_and_segment(params: P.SceneParams, load: Callable[[], Predictor]):
         return count, top, *runs
 
     def kernel(bands: pa.Array, widths: pa.Array, heights: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
-        model = load_once(digest, load)
+        model = load_once(digest, load, task_device(params.device))
         counts, tops, rows, starts, ends, errors = [], [], [], [], [], []
         for cells, *shape in zip(
             tile_arrays(bands), widths.to_pylist(), heights.to_pylist(), lows.to_pylist(), highs.to_pylist()
@@ -255,10 +281,11 @@ def wanted_values(tiles: DataFrame, params: P.SceneParams) -> DataFrame:
     return counted.select("scene_key", F.inline("v"))
 
 
-def masked_tiles(tiles: DataFrame, params: P.SceneParams, load: Callable[[], Predictor]) -> DataFrame:
+def masked_tiles(tiles: DataFrame, params: P.SceneParams, load: Loader) -> DataFrame:
     """Surviving tiles as mask runs, and tiles with an `error`. Tiles carry the scene's low and high.
 
-    `load` returns a function from a (height, width) byte image to logits of any size. If it fails,
+    `load` returns a function from a (height, width) byte image to logits of any size. With an argument named `device` it
+    is told where to run: `params.device`, or the GPU Spark has given the task, or the processor. If it fails,
     masks are empty and `model_missing` is true.
     """
     ship_package(tiles.sparkSession)

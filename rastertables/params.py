@@ -45,4 +45,5 @@ class SceneParams:
     merge_masks: bool = False
     gap_cells: int = 0
     gap_degrees: float = 0.0
+    device: str = "auto"
     corner_tolerance: float = CORNER_TOLERANCE

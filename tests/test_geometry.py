@@ -138,6 +138,35 @@ def test_choose_device(requested, cuda, device):
     assert kernels.choose_device(requested, cuda) == device
 
 
+def test_a_loader_is_told_its_device(spark):
+    frame = spark.createDataFrame(
+        [("s", 0, 0, 6, 6, [float(v) for v in range(1, 37)], 1.0, 36.0)],
+        "scene_key string, tile_x int, tile_y int, tile_width int, tile_height int, band array<double>, low double, high double")
+
+    def load(device):
+        return lambda image: np.full((1, 1), 1.0 if device == "cpu" else -1.0)
+
+    for asked in ("auto", "cpu", "cuda:3"):  # no task of a local session has a GPU
+        got = masks.mask_cells(kernels.masked_tiles(frame, SceneParams(tile_size=6, device=asked), load)).count()
+        assert got == 36
+
+
+def test_device_of_a_task_with_a_gpu(monkeypatch):
+    monkeypatch.setattr(kernels, "task_devices", lambda: ["2", "3"])
+    assert [kernels.task_device(r) for r in ("auto", "cpu", "cuda", "cuda:7")] == ["cuda:2", "cpu", "cuda:2", "cuda:7"]
+    asked = []
+
+    def load(device):
+        asked.append(device)
+        if device != "cpu":
+            raise MemoryError(device)
+        return device
+
+    assert [kernels.load_once("broken there", load, "cuda:2") for _ in range(2)] == ["cpu", "cpu"]
+    assert asked == ["cuda:2", "cpu"]
+    assert kernels.load_once("plain", lambda: "model", "cuda:2") == "model"
+
+
 def test_subtract_spans(spark):
     rng = np.random.default_rng(8)
     mask, gone = rng.random((12, 20)) < 0.6, rng.random((12, 20)) < 0.3
