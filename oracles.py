@@ -756,6 +756,12 @@ FROM (SELECT object_key FROM parsed WHERE object_key <> '' UNION SELECT scene_ke
 LEFT JOIN scenes s ON s.scene_key = k.object_key
 LEFT JOIN (SELECT scene_key, CAST(count(*) AS INT) AS n FROM numbered JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL GROUP BY 1) c ON c.scene_key = k.object_key""")
 
+check("scene_status_with_failures", f"""
+SELECT scene_key AS object_key, CASE WHEN epsg IN (3857, 32642) THEN 'failed' WHEN coalesce(n, 0) = 0 THEN 'empty' ELSE 'processed' END AS status,
+  CASE WHEN epsg IN (3857, 32642) THEN 'failed' ELSE 'completed' END AS stage, CASE WHEN epsg IN (3857, 32642) THEN 'ERROR' ELSE 'INFO' END AS level,
+  CAST(CASE WHEN epsg IN (3857, 32642) THEN 0 ELSE coalesce(n, 0) END AS INT) AS tile_count,
+  CASE WHEN epsg NOT IN (3857, 32642) AND n > 0 THEN scene_key = {scene_key('1')} END AS is_arctic
+FROM scenes LEFT JOIN (SELECT scene_key, CAST(count(*) AS INT) AS n FROM numbered JOIN scenes USING (scene_key) WHERE epsg IS NOT NULL GROUP BY 1) USING (scene_key)""")
 check("retry_failed", """
 SELECT s.scene_key AS object_key, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' ELSE 'processed' END AS status, 'completed' AS stage,
   coalesce(n, 0) AS progress_current, CAST(coalesce(epsg = 3857, false) AS BIGINT) AS failures

@@ -20,7 +20,7 @@ from rastertables.shipping import ship_package
 from rastertables.storage import broadcast_if_small
 
 #: Cells along the side of a block, and cells that a task looks at for one block at most.
-BLOCK, SEEN_CELLS = 1024, 1 << 24
+BLOCK, SEEN_CELLS = 1024, 1 << 22
 _RUN = "scene_key string, row int, c0 int, c1 int"
 #: Added before a root is cut to whole cells, so that whole radii stay whole.
 _SLACK = 1e-9

@@ -879,12 +879,27 @@ def processed_polygons(i: Inputs) -> DataFrame:
 
 @query
 def scene_status(i: Inputs) -> DataFrame:
-    """All scenes the SQL can check, and the listed objects that are no raster of ours."""
+    """All scenes, and the listed objects that are no raster of ours."""
     scenes = i.scenes.select(F.col("scene_key").alias("object_key"))
     keys = scenes.unionByName(objects.list_raw_objects(i.listing))
     return _run(i, keys).results.select("object_key", "status", "stage", "tile_count", "progress_total")
 
 
+@query
+def scene_status_with_failures(i: Inputs) -> DataFrame:
+    """Scenes of an unknown reference system and with bands cut short fail alone; one lies on a polar grid."""
+    polar, short = F.col("scene_key") == scene_key(F.lit(1)), F.col("scene_key") == scene_key(F.lit(3))
+    placed = dict(zip("abcdef", (10.0, 0.0, -1000000.0, 0.0, -10.0, -1000000.0)))
+    scenes = i.scenes.withColumns({
+        "epsg": F.when(polar, 3413).when(F.col("epsg") == 3857, 2154).otherwise(F.col("epsg")),
+        **{term: F.when(polar, value).otherwise(F.col(term)) for term, value in placed.items()}})
+    chunks = i.filled_chunks.withColumn("band", F.when(short, F.slice("band", 1, 3)).otherwise(F.col("band")))
+    run = scene_run.process_scenes(
+        scenes.select(F.col("scene_key").alias("object_key")), chunks, scenes, i.land_edges, kernels.threshold_model(PARAMS.mask_threshold), PARAMS)
+    arctic = run.tiles.groupBy(F.col("source_object_key").alias("object_key")).agg((F.min("bottom_left_lat") > 76).alias("is_arctic"))
+    return run.results.join(arctic, "object_key", "left").select("object_key", "status", "stage", "level", "tile_count", "is_arctic")
+
+
 @query
 def polygon_features(i: Inputs) -> DataFrame:
     return polygon_exports.polygon_features(_run(i).polygons)

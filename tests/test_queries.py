@@ -11,7 +11,7 @@ LONG = {
     "segment_with_model", "upsert_tiles", "task_state_stream", "log_stream", "notification_stream", "dedup_keys",
     "overlay_colours", "standardise_rgb", "stretch", "tile_names", "number_tiles", "drop_black_tiles", "centre_land",
     "clip_polygons_to_water", "clip_mask_to_water", "union_land", "merge_masks", "scan_events", "tile_corners",
-    "scene_outlines", "progress_events", "rasterize_land", "retry_failed",
+    "scene_outlines", "progress_events", "rasterize_land", "retry_failed", "scene_status_with_failures", "merge_masks_closing_gaps",
 }
 
 
