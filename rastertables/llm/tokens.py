@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ from .words import ragged, row_slices
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 _TOGETHER = 2000
+#: Units that go to the tokenizer as one string.
+_ENCODED_TOGETHER = 200
 
 
 @dataclass(frozen=True)
@@ -64,16 +67,20 @@ class PieceEncoder:
         self.flat[used:ends[-1]] = ids
         self.starts = np.concatenate([self.starts, ends])
 
-    def look_up(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of pieces, the new ones encoded; good until the next call."""
+    def look_up(self, pieces: list[str], distinct: bool = False) -> np.ndarray:
+        """Numbers of pieces, the new ones encoded; good until the next call. `distinct`: no piece occurs twice."""
         if len(self.codes) > self.limit:
             self._forget()
         codes = np.fromiter(map(self.codes.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(codes < 0)
         if len(new):
             found = [pieces[i] for i in new.tolist()]
-            self._learn(list(dict.fromkeys(found)))
-            codes[new] = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
+            if distinct:
+                codes[new] = np.arange(len(self.codes), len(self.codes) + len(found))
+                self._learn(found)
+            else:
+                self._learn(list(dict.fromkeys(found)))
+                codes[new] = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
         return codes
 
     def ids(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +108,7 @@ class WordEncoder(PieceEncoder):
         found = pc.ascii_split_whitespace(texts)
         counts = found.value_lengths().to_numpy()
         words = found.flatten().dictionary_encode()
-        codes = self.look_up(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        codes = self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct=True)[words.indices.to_numpy()]
         places = np.concatenate([[0], np.cumsum(counts)])
         offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
         for low, high in row_slices(offsets, size):
@@ -146,6 +153,31 @@ def _units_of_all(pieces: list[str]) -> tuple[list[str], np.ndarray]:
     return [u for u in found if u != "\n"], counts
 
 
+#: What a tokenizer must do before its model sees a piece for units to go to the model as they are.
+_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _for_units(tokenizer):
+    """A tokenizer with the same model for lower-case units between blanks, which need no normalising and no cutting.
+
+    None if the tokenizer takes other steps before its model.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers as pre
+
+    told = json.loads(tokenizer.to_str())
+    if any(list((told[step] or {}).values())[1:] != [wanted] for step, wanted in _STEPS.items()):
+        return None
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain
+
+
 def word_encoder(path: str, limit: int = EncoderMemory.pieces) -> WordEncoder:
     """Encoder of a word vocabulary that drops white space, for Arrow columns without nulls.
 
@@ -161,20 +193,22 @@ def word_encoder(path: str, limit: int = EncoderMemory.pieces) -> WordEncoder:
         size = max(tokenizer.get_vocab().values()) + 1
         last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
+        plain = _for_units(tokenizer)
+
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            parts = [encode_some(pieces[i:i + _TOGETHER]) for i in range(0, len(pieces), _TOGETHER)]
+            parts = [encode_some(pieces[i:i + _ENCODED_TOGETHER]) for i in range(0, len(pieces), _ENCODED_TOGETHER)]
             return tuple(np.concatenate(p) for p in zip(*parts))
 
         def encode_some(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Units are encoded together: each ends with its only id that closes a word."""
             joined = " ".join(pieces)
             if "<|" not in joined and _LATIN.fullmatch(joined) and _UNIT.findall(joined) == pieces:
-                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, np.uint16)
+                ids = np.array((plain or tokenizer).encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
                 return ids, np.diff(np.flatnonzero(last[ids]), prepend=-1)
             found = [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
-        units = PieceEncoder(_units, encode, np.uint16, limit // 2)
+        units = PieceEncoder(_units, encode, np.uint16, limit)  # a forgotten unit costs more than a forgotten word
 
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             some = [_units_of_all(words[i:i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]

@@ -76,3 +76,49 @@ def test_encoder_forgets_and_stays_right():
         ids, ends = encoder([f"{i} {i + 1}", "", f"{i % 3} 0"])
         assert ids.tolist() == [i, i + 1, i % 3, 0] and ends.tolist() == [0, 2, 2, 4]
         assert len(encoder.codes) <= 4 + 4
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzé'sñßÿ019.,!µŉȷ"), min_size=1, max_size=12), min_size=1, max_size=8))
+def test_units_need_no_other_step_than_the_model(library, pieces):
+    plain = tokens._for_units(library)
+    units = [u for p in pieces for u in tokens._units(p)]
+    assert plain.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids == [i for u in units for i in library.encode(u, add_special_tokens=False).ids]
+
+
+def test_other_vocabularies_take_all_their_steps():
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokens.public_path(tokens.WORD_VOCABULARY))
+    library.normalizer = tokenizers.normalizers.Lowercase()
+    assert tokens._for_units(library) is None
+    library = tokenizers.Tokenizer.from_file(tokens.public_path(tokens.WORD_VOCABULARY))
+    library.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    assert tokens._for_units(library) is None
+
+
+def test_distinct_pieces_are_numbered_as_others():
+    def encoder():
+        return tokens.PieceEncoder(str.split, lambda p: (np.array([int(x) for x in p]), np.ones(len(p), int)), np.uint32, limit=4)
+
+    one, other = encoder(), encoder()
+    for i in range(20):
+        pieces = [str(i), str(i + 1), str(i % 3 + 50)]
+        codes = one.look_up(pieces, distinct=True)
+        assert codes.tolist() == other.look_up(pieces).tolist()
+        counts = np.array([len(codes)])
+        assert one.ids(codes, counts)[0].tolist() == other.ids(codes, counts)[0].tolist() == [int(p) for p in pieces]
+
+
+def test_a_unit_is_encoded_once_while_as_many_are_remembered(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    from rastertables.llm import common
+
+    monkeypatch.setattr(common, "_caches", {})
+    calls = []
+    look_up = tokens.PieceEncoder._learn
+    monkeypatch.setattr(tokens.PieceEncoder, "_learn", lambda self, fresh: (calls.append((self, len(fresh))), look_up(self, fresh))[1])
+    encoder = tokens.word_encoder(tokens.public_path(tokens.WORD_VOCABULARY), limit=300)
+    words_of = ["".join("abcdefghij"[int(c)] for c in str(1000 + i)) for i in range(250)]
+    for mark in ",.;:!":  # new words each time, of the same units
+        encoder(pa.array([" ".join(w + mark for w in words_of)]))
+    assert sum(n for own, n in calls if own is not encoder) == 250 + 5
