@@ -62,10 +62,34 @@ def worker_cache(owner: str) -> dict:
     return _caches.setdefault(owner, {})
 
 
+#: Bytes of a record batch that goes to a Python worker or comes from one; a longer row goes by itself.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows of at most `size` bytes; a longer row is a slice by itself."""
+    if batch.nbytes <= size or batch.num_rows < 2:
+        yield batch
+        return
+    middle = batch.num_rows // 2
+    yield from bounded(batch.slice(0, middle), size)
+    yield from bounded(batch.slice(middle), size)
+
+
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on the session hands rows to Python in batches of about `size` bytes at most; a smaller setting stays.
+
+    Spark's own bounds, 10000 rows and 64 MB, are held outside the heap by every running task, twice while a column grows.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING)) > size:
+        spark.conf.set(_BATCH_SETTING, str(size))
+
+
 def arrow_pass(
     df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "",
 ) -> DataFrame:
-    """mapInArrow with this package at hand on the executors; a task gives its freed memory back.
+    """mapInArrow with this package at hand on the executors; results leave in bounded batches, a task gives its freed memory back.
 
     `owner` names the cache that the pass goes on using.
     """
@@ -73,7 +97,8 @@ def arrow_pass(
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache(owner)
-        yield from batches(rows)
+        for batch in batches(rows):
+            yield from bounded(batch)
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -1,7 +1,10 @@
 import re
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from rastertables.llm import prob_minhash, secret_scan
+from rastertables.llm import common, prob_minhash, secret_scan
 from rastertables.storage import materialize
 
 from .helpers import odd_rows
@@ -51,3 +54,31 @@ def test_run_equals_the_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "again")
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_bound_the_batches_of_their_tasks(spark, sf_dir, name, stage):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    stage(spark, docs, sf_dir)
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id", "repeat('x', 3000) as text")
+    got = [n for n, in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 15_000_000 and max(got) < 1.5 * common.BATCH_BYTES
+    spark.conf.set(setting, "1m")
+    stage(spark, docs, sf_dir)
+    assert spark.conf.get(setting) == "1m"  # a smaller bound stays
+    spark.conf.unset(setting)
+
+
+def test_results_of_a_pass_leave_in_bounded_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x" * 3000] * 2999 + ["y" * 9_000_000])], ["a", "t"])
+    parts = list(common.bounded(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.nbytes <= common.BATCH_BYTES or p.num_rows == 1 for p in parts) and len(parts) > 4
+    assert list(common.bounded(batch.slice(0, 0))) == [batch.slice(0, 0)]
